@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules, source_mix
+from . import chat_format, quality_rules, source_mix, token_files, url_filter, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op4_source_mix": source_mix.op4_source_mix,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_warc": warc.op8_warc,
+    "op9_token_files": token_files.op9_token_files,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
     "op1_chat_format": chat_format.OP1_SQL,
     "op4_source_mix": source_mix.OP4_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
+    "op8_warc": warc.OP8_SQL,
 }
