@@ -149,3 +149,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             roots = state.select(F.col("v").alias("node")).distinct()
             return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
     raise RuntimeError("the components did not settle")
+
+
+def bounded_sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """About `most` rows, those of the smallest hash of the columns `by`, or all if there are no more: rows are kept by a
+    threshold on the hash, so that no task sends more to the driver than its share. Equal tables give equal samples."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.shiftrightunsigned(F.xxhash64(*by), 1) < F.lit(int(most / n * 2**63)))

@@ -6,7 +6,7 @@ for, and the Viterbi path under channel and language model replaces it. Words of
 are looked up among those learned from labelled documents: for each the lower bound of its share of toxic documents.
 The three largest of a document's words go through a logistic curve that was fitted to left-one-out values.
 
-The labelled rows that the lexicon is learned from are at most max_labelled, those of the smallest hash; the trigram
+The labelled rows that the lexicon is learned from are about max_labelled, those of the smallest hash; the trigram
 counts cover all documents, and are as many as the alphabet allows, so that the driver gets a bounded table.
 
 Defined results: null and empty texts have no words and get the score of no evidence; equal texts get equal scores, and
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import bounded_sample, text_slices
 
 #: What signs and digits may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -52,7 +52,7 @@ _SPACED = re.compile(rf"(?<![^\W_])([^\W_]|[{_SIGNS}])([ .\-_*])(?:(?:[^\W_]|[{_
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    #: Labelled rows that the lexicon is learned from at most.
+    #: Labelled rows that the lexicon is learned from, about, if there are more.
     max_labelled: int = 12_000
     prefixes: tuple[int, ...] = (4, 5, 6, 7)
     #: A word or beginning is kept from this lower bound on.
@@ -258,8 +258,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
 def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, config: ToxicityConfig = ToxicityConfig()) -> Lexicon:
     """docs: doc_id, text; labels: doc_id, toxic, the rows that may be learned from."""
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(config.max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()  # both sides of the broadcast are bounded by max_labelled
+    chosen = bounded_sample(chosen, config.max_labelled, "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()  # max_labelled rows, about
     rows.sort(key=lambda r: (r.doc_id, r.text or "", r.toxic))
     return learn([r.text for r in rows], [r.toxic for r in rows], Restorer(lm, config.remembered), config)
 

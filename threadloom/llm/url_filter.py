@@ -4,7 +4,7 @@ A rule is a host and a path prefix; it fits its host and all subdomains where th
 the longest rule that fits decides. What no rule decides, trees judge that were fitted to labelled URLs: by length, depth,
 digit ratio, entropy, parameter counts and statistics of the host's suffixes in the labelled set.
 
-The trees are fitted on the driver to a bounded sample of the labelled rows (max_labelled, those of the smallest hash, so
+The trees are fitted on the driver to a bounded sample of the labelled rows (about max_labelled, those of the smallest hash, so
 that the same rows give the same trees); the model that tasks get is bounded by max_suffixes and the trees' size.
 
 Defined results: a null URL or one without "://" has an empty host and path, no rule, and is judged by the trees as an
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_sample
+
 #: verdict and rule; the rules of the registered query.
 RULES = (
     ("allow", "com/"),
@@ -42,7 +44,7 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 @dataclass(frozen=True)
 class TreeConfig:
-    #: Labelled rows that the trees are fitted to at most.
+    #: Labelled rows that the trees are fitted to, about, if there are more.
     max_labelled: int = 20_000
     max_suffixes: int = 5_000
     trees: int = 40
@@ -183,7 +185,8 @@ def fit(urls: list[str | None], labels: np.ndarray, config: TreeConfig = TreeCon
 
 def train(labelled: DataFrame, config: TreeConfig = TreeConfig()) -> Trees:
     """labelled: url and block (0 or 1). Rows with a null label are left out."""
-    rows = labelled.where("block IS NOT NULL").select("url", F.col("block").cast("int").alias("block"), F.xxhash64("url").alias("h")).orderBy("h", "url", "block").limit(config.max_labelled).collect()
+    known = labelled.where("block IS NOT NULL").select("url", F.col("block").cast("int").alias("block"))
+    rows = sorted(bounded_sample(known, config.max_labelled, "url").collect(), key=lambda r: (r.url or "", r.block))
     return fit([r.url for r in rows], np.array([r.block for r in rows], dtype=float), config)
 
 
