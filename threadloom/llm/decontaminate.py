@@ -39,14 +39,14 @@ class DecontaminationConfig:
     #: Words by which seeds of one window may lie apart, and the weight of seeds a window needs (items with less: all). A
     #: seed that one item has weighs 1, one that all have almost nothing.
     drift: int = 3
-    min_seeds: float = 1.6
+    min_seeds: float = 1.2
     #: Independent walks, positions in a table, and the recall that sets the number of tables for windows at max_edits.
     walks: int = 5
     sampled: int = 6
     recall: float = 0.999
-    #: Share of positions that agree in one walk's embeddings of strings that differ in a tenth of their letters; of
+    #: Share of positions that agree in one walk's embeddings of strings that differ in a sixth of their letters; of
     #: unlike strings a fifth agree.
-    agreement: float = 0.45
+    agreement: float = 0.35
     seed: int = 7
     #: Bytes of items in a block.
     block_bytes: int = 8 << 20
@@ -197,7 +197,11 @@ def candidates(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[
         return out
     data = _BLANK[data]
     pair, word, row, start = pair_hashes(data, offsets)
-    maybe = np.flatnonzero(index.bitmap[pair >> np.uint64(44)])
+    # A pair that comes again within the drift is one seed, lest a word said over and over seed windows everywhere.
+    fresh = np.ones(len(pair), dtype=bool)
+    for lag in range(1, config.drift + 1):
+        fresh[lag:] &= pair[lag:] != pair[:-lag]
+    maybe = np.flatnonzero(fresh & index.bitmap[pair >> np.uint64(44)])
     at = np.searchsorted(index.hash, pair[maybe])
     at[at == len(index.hash)] = 0
     hit = index.hash[at] == pair[maybe]
@@ -219,14 +223,9 @@ def candidates(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[
     around = total[np.searchsorted(key, key + config.drift, side="right")] - total[np.searchsorted(key, key - config.drift, side="left")]
     doc, item, begins = doc[first], item[first], begins[first]
     keep = around >= index.needs[item]
-    doc, item, begins, key, own = doc[keep], item[keep], begins[keep], key[keep], own[keep]
+    doc, item, begins = doc[keep], item[keep], begins[keep]
     if not len(doc):
         return out
-    # Of beginnings that follow each other within the drift, the first and that with the most seeds.
-    chain = np.cumsum(np.concatenate([[True], np.diff(key) > config.drift]))
-    best = np.lexsort((key, -own, chain))
-    keep = np.unique(np.concatenate([best[np.unique(chain[best], return_index=True)[1]], np.unique(chain, return_index=True)[1]]))
-    doc, item, begins = doc[keep], item[keep], begins[keep]
     begin = start[np.clip(begins, 0, len(start) - 1)]
     begin = np.clip(begin, offsets[doc], np.maximum(offsets[doc + 1] - 1, offsets[doc]))
     for d, k, b in zip(doc.tolist(), item.tolist(), begin.tolist(), strict=True):
