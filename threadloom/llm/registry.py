@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, quality_rules, source_mix, token_files, toxicity, url_filter, warc
+from . import chat_format, decontaminate, near_dedup, quality_rules, source_mix, token_files, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_source_mix": source_mix.op4_source_mix,
     "op5_toxicity": toxicity.op5_toxicity,
