@@ -44,7 +44,9 @@ class TokenFormat:
     #: Sequences in a record batch.
     batch_sequences: int = 256
     #: Units whose ids a worker remembers; further units are encoded each time.
-    remembered: int = 300_000
+    remembered: int = 600_000
+    #: New units that are encoded as one string.
+    joined: int = 256
 
 
 def default_format() -> TokenFormat:
@@ -67,26 +69,53 @@ class Encoder:
         self.by_unit = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         self.known: dict[str, bytes] = {}
         self.most = fmt.remembered
+        self.joined = fmt.joined
         self.end = np.array([fmt.end_id], dtype=self.dtype).tobytes()
+        # Tokens that begin with a blank: of units that do, these are the first ones.
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        if self.by_unit:
+            self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of each unit. Those with a blank before them are encoded many in one string, which is cut again where
+        a token opens with a blank."""
+        open_, rest = [], []
+        for u in units:
+            (open_ if u[0] == " " and len(u) > 1 and u[1] not in _SPACE else rest).append(u)
+        out = dict(zip(rest, self._encode(rest), strict=True))
+        groups = [open_[i : i + self.joined] for i in range(0, len(open_), self.joined)]
+        size = self.dtype.itemsize
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.dtype)
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) != len(group):
+                raise ValueError("the tokenizer does not part its units at blanks")
+            raw, ends = ids.tobytes(), [*(cuts[1:] * size).tolist(), len(ids) * size]
+            at = 0
+            for u, end in zip(group, ends, strict=True):
+                out[u] = raw[at:end]
+                at = end
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id, as bytes."""
         if not self.by_unit:
             return [x + self.end for x in self._encode(texts)]
-        known, find, out, new = self.known, _UNIT.findall, [], set()
+        known, find, out = self.known, _UNIT.findall, []
         split = [find(t) for t in texts]
-        for units in split:
-            new.update(u for u in units if u not in known)
-        new = list(new)
-        fresh = dict(zip(new, self._encode(new), strict=True))
+        new = set().union(*split).difference(known)
+        fresh = self._units(list(new))
         if len(known) + len(fresh) <= self.most:
             known.update(fresh)
             fresh = {}
         for units in split:
-            out.append(b"".join([known[u] if u in known else fresh[u] for u in units] if fresh else [known[u] for u in units]) + self.end)
+            if fresh and not fresh.keys().isdisjoint(units):
+                out.append(b"".join([known[u] if u in known else fresh[u] for u in units]) + self.end)
+            else:
+                out.append(b"".join([known[u] for u in units]) + self.end)
         return out
 
 
