@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, near_dedup, quality_rules, source_mix, token_files, toxicity, url_filter, warc
+from . import chat_format, decontaminate, near_dedup, quality_rules, source_mix, substring_dedup, token_files, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_source_mix": source_mix.op4_source_mix,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_warc": warc.op8_warc,
     "op9_token_files": token_files.op9_token_files,
