@@ -196,8 +196,9 @@ def compared(groups: DataFrame, config: SubstringConfig) -> DataFrame:
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            found = repeats([r[4] for r in rows], np.array([r[3] for r in rows], dtype=np.int64), config)
-            have = [(r[1], r[2], [{"lo": a, "hi": b} for a, b in merged(m)]) for r, m in zip(rows, found, strict=True) if m]
+            once = list({(r[1], r[2]): r for r in rows}.values())  # a context can be in two groups; it is no repeat of itself
+            found = repeats([r[4] for r in once], np.array([r[3] for r in once], dtype=np.int64), config)
+            have = [(r[1], r[2], [{"lo": a, "hi": b} for a, b in merged(m)]) for r, m in zip(once, found, strict=True) if m]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in have], t) for i, t in enumerate(_MARKS.types)], schema=_MARKS)
 
         for batch in batches:
