@@ -129,6 +129,13 @@ def judge(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRule
     return fourth.select("*", failed.alias("base_failed"), (~failed & good).alias("kept"))
 
 
+def keep_good(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
+    """The judged rows that are kept. Rows are dropped by a generator: a filter would be pushed below the projections, and
+    all of their expressions copied into it."""
+    judged = judge(docs, text, rules)
+    return judged.withColumn("_kept", F.explode(F.filter(F.array("kept"), lambda k: k))).drop("_kept")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts and the verdict of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
