@@ -42,7 +42,8 @@ _CLASS = {c: i + 1 for i, c in enumerate(LETTERS)}
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(LEET))
 #: A run of letters, digits and signs with at least one digit or sign in it.
-_MIXED = re.compile(rf"(?:[^\W\d_]|[{_SIGNS}])*[{_SIGNS}](?:[^\W\d_]|[{_SIGNS}])*")
+_MIXED = re.compile(rf"(?<![\w{_SIGNS}])[^\W\d]*[{_SIGNS}][\w{_SIGNS}]*")
+_SIGN = re.compile(rf"[{_SIGNS}]")
 _TAIL = re.compile(r"([$!+|(@])\1+$|!$")
 _RUN = re.compile(r"[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*")
 _HAS_RUN = re.compile(r"([^\W\d_])\1\1")
@@ -168,7 +169,8 @@ class Restorer:
         """The text in lower case with its obfuscated spans restored."""
         t = text.lower()
         t = _SPACED.sub(lambda m: self.span(m[0].replace(m[2], "")), t)
-        t = _MIXED.sub(self._mixed, t)
+        if _SIGN.search(t):
+            t = _MIXED.sub(self._mixed, t)
         return _RUN.sub(lambda m: self.span(m[0]), t) if _HAS_RUN.search(t) else t
 
 
@@ -196,16 +198,17 @@ class Lexicon:
     memo: dict[str, float] = field(default_factory=dict, repr=False)
 
     def evidence(self, word: str) -> float:
-        found = self.memo.get(word)
-        if found is None:
-            found = max((self.bounds.get(p, 0.0) for p in parts(word, self.prefixes)), default=0.0)
-            if len(self.memo) < 200_000:
-                self.memo[word] = found
+        """The largest bound of the word's parts."""
+        found = max((self.bounds.get(p, 0.0) for p in parts(word, self.prefixes)), default=0.0)
+        if len(self.memo) < 400_000:
+            self.memo[word] = found
         return found
 
     def score(self, restored: str) -> float:
-        top = sorted((e for w in set(_WORD.findall(restored)) if (e := self.evidence(w))), reverse=True)[:3]
-        return logistic(self.weights, [*top, 0.0, 0.0, 0.0][:3])
+        words = set(_WORD.findall(restored))
+        known = self.memo
+        top = [e for w in words if (e := known[w] if w in known else self.evidence(w))]
+        return logistic(self.weights, [*sorted(top, reverse=True)[:3], 0.0, 0.0, 0.0][:3])
 
 
 def logistic(weights, x) -> float:
