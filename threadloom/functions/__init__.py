@@ -1 +1 @@
-
+"""Column functions: no shuffles, no collecting."""

@@ -1 +1 @@
-
+"""Registered queries, their inputs and their SQL."""
