@@ -48,7 +48,7 @@ def topic_candidates(processed: DataFrame, config: Config = DEFAULT, normalize:
     rows = per.where(F.col("document_frequency") >= config.topic_min_df).join(total, "conversation_id").where(F.col("document_frequency") <= config.topic_max_ratio * F.col("messages"))
     df = F.col("document_frequency")
     salience = df * (F.log((F.col("messages") + 1) / (df + 1)) + 1) * (1 + 0.15 * (F.col("n") - 1))
-    w = Window.partitionBy("conversation_id").orderBy(F.col("_s").desc(), df.desc(), F.col("n").desc(), "phrase")
+    w = Window.partitionBy("conversation_id").orderBy(F.round("_s", 9).desc(), df.desc(), F.col("n").desc(), "phrase")
     ranked = rows.withColumn("_s", salience).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= config.topic_top)
     return ranked.select("conversation_id", "rank", "n", "phrase", "document_frequency", "occurrences", "participants", "first_date", "last_date", "messages", F.round("_s", 6).alias("salience"))
 
