@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Suffixes and types by class of medium.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".heic", ".heif", ".webp", ".gif", ".tif", ".tiff")
@@ -24,7 +25,7 @@ _NOT_ASCII = r"[^\x00-\x7F]"
 
 
 def _normalizer(form: str):
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def normalize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")

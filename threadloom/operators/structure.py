@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import text as tx
+from ..session import ensure_checkpoints
 
 
 def order_keys() -> list[Column]:
@@ -152,9 +153,10 @@ def reply_edges(relations: DataFrame, memberships: DataFrame, config: Config = D
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """Connected components by alternating stars. edges: a, b. Returns node, component (its smallest node).
 
-    Each round is checkpointed, so that lineage stays short and lost executors don't matter; where the session has no
-    checkpoint folder (spark.checkpoint.dir), one has to be set first.
+    Each round is checkpointed in the folder of spark.checkpoint.dir, so that lineage stays short and lost executors don't matter.
     """
+    ensure_checkpoints(edges.sparkSession)
+
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core, lexical, trends
+from . import core, identity, lexical, trends
 
 
 def _wide(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,5 +20,5 @@ def _wide(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return run
 
 
-QUERIES = {name: _wide(query) for name, query in {**core.QUERIES, **trends.QUERIES, **lexical.QUERIES}.items()}
-ORACLES = {**core.ORACLES, **trends.ORACLES, **lexical.ORACLES}
+QUERIES = {name: _wide(query) for name, query in {**core.QUERIES, **trends.QUERIES, **lexical.QUERIES, **identity.QUERIES}.items()}
+ORACLES = {**core.ORACLES, **trends.ORACLES, **lexical.ORACLES, **identity.ORACLES}

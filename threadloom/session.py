@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -9,3 +11,9 @@ def configured(builder: SparkSession.Builder | None = None) -> SparkSession:
     """Times are UTC, plans adapt at run time; everything else is the cluster's."""
     builder = builder or SparkSession.builder
     return builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder in spark.checkpoint.dir; where a session names none (one machine, tests), to one of our own."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='threadloom-')}")

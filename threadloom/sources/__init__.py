@@ -1 +1 @@
-
+"""Readers and writers of message archives."""
