@@ -39,7 +39,7 @@ class SubstringConfig:
     #: Contexts of one anchor that a task holds at most.
     contexts: int = 20_000
     #: Contexts that a task sorts at once, about.
-    chunk: int = 20_000
+    chunk: int = 8_000
 
     @property
     def window(self) -> int:
@@ -101,14 +101,15 @@ def contexts(docs: DataFrame, wanted: DataFrame, config: SubstringConfig) -> Dat
     joined = docs.join(by_doc.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "at"), (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
-            out: list[tuple] = []
-            for text, at in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                raw = (text.as_py() or "").encode()
-                out += [(x["h"], x["ctx"], x["before"], x["extra"], raw[x["place"] - x["before"] : x["place"] - x["before"] + x["extra"] + config.length]) for x in at]
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "ctx", "before", "extra", "bytes"])
+            for lo in range(0, batch.num_rows, 256):
+                part, out = batch.slice(lo, 256), []
+                for text, at in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+                    raw = (text.as_py() or "").encode()
+                    out += [(x["h"], x["ctx"], x["before"], x["extra"], raw[x["place"] - x["before"] : x["place"] - x["before"] + x["extra"] + config.length]) for x in at]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "ctx", "before", "extra", "bytes"])
 
     return joined.select("text", "at").mapInArrow(cut, "h bigint, ctx bigint, before int, extra int, bytes binary")
 
@@ -151,7 +152,23 @@ def repeats(parts: list[bytes], before: np.ndarray, config: SubstringConfig) ->
     rank[np.argsort(left.reshape(-1).view(f"S{config.window}"), kind="stable")] = np.arange(n)
     ordered = right[array]
     lcp = common_prefix(ordered[:-1], ordered[1:])
-    one, two, prefix = [], [], []
+    found: list[np.ndarray] = []
+    one, two, prefix, waiting = [], [], [], 0
+
+    def look() -> None:
+        """Compares the neighbours gathered so far; ranges are kept as rows of context, first and last window."""
+        x, y, r = np.concatenate(one), np.concatenate(two), np.concatenate(prefix)
+        for at in range(0, len(x), 20_000):
+            i, j = x[at : at + 20_000], y[at : at + 20_000]
+            l = np.minimum(common_prefix(left[i], left[j]), np.minimum(before[i], before[j]))  # noqa: E741
+            m = np.minimum(r[at : at + 20_000], np.minimum(size[i], size[j]))
+            hit = l + m >= length
+            lo, hi = -l[hit], m[hit] - length
+            found.append(np.unique(np.stack([np.concatenate([i[hit], j[hit]]), np.tile(lo, 2), np.tile(hi, 2)], axis=1).astype(np.int32), axis=0))
+        one.clear()
+        two.clear()
+        prefix.clear()
+
     for value, first, last in intervals(lcp, config.gram):
         members = array[first : last + 1]
         members = members[np.argsort(rank[members], kind="stable")]
@@ -159,18 +176,19 @@ def repeats(parts: list[bytes], before: np.ndarray, config: SubstringConfig) ->
         one.append(members[:-1])
         two.append(members[1:])
         prefix.append(np.full(len(members) - 1, value))
+        waiting += len(members)
+        if waiting >= 100_000:
+            look()
+            waiting = 0
+    if one:
+        look()
     marks: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    if not one:
-        return marks
-    a, b, r = np.concatenate(one), np.concatenate(two), np.concatenate(prefix)
-    for at in range(0, len(a), 50_000):
-        x, y = a[at : at + 50_000], b[at : at + 50_000]
-        l = np.minimum(common_prefix(left[x], left[y]), np.minimum(before[x], before[y]))  # noqa: E741
-        m = np.minimum(r[at : at + 50_000], np.minimum(size[x], size[y]))
-        for i in np.flatnonzero(l + m >= length):
-            span = (-int(l[i]), int(m[i]) - length)
-            marks[x[i]].append(span)
-            marks[y[i]].append(span)
+    for i, lo, hi in np.unique(np.concatenate(found), axis=0).tolist() if found else []:
+        own = marks[i]  # rows are in order of context and first window
+        if own and lo <= own[-1][1] + 1:
+            own[-1] = (own[-1][0], max(own[-1][1], hi))
+        else:
+            own.append((lo, hi))
     return marks
 
 
@@ -198,7 +216,7 @@ def compared(groups: DataFrame, config: SubstringConfig) -> DataFrame:
         def out() -> pa.RecordBatch:
             once = list({(r[1], r[2]): r for r in rows}.values())  # a context can be in two groups; it is no repeat of itself
             found = repeats([r[4] for r in once], np.array([r[3] for r in once], dtype=np.int64), config)
-            have = [(r[1], r[2], [{"lo": a, "hi": b} for a, b in merged(m)]) for r, m in zip(once, found, strict=True) if m]
+            have = [(r[1], r[2], [{"lo": a, "hi": b} for a, b in m]) for r, m in zip(once, found, strict=True) if m]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in have], t) for i, t in enumerate(_MARKS.types)], schema=_MARKS)
 
         for batch in batches:
