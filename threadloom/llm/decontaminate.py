@@ -96,6 +96,7 @@ class ItemIndex:
         n = len(self.texts) + 1
         self.weight = np.log(n / np.maximum(held, 1)) / math.log(n)
         self.needs = np.array([min(config.min_seeds, float(self.weight[np.searchsorted(self.hash, x)].sum()) - 1e-9) for x in own])
+        self.single = any(len(t.split()) == 1 for t in self.texts)
         self.bitmap = np.zeros(1 << 20, dtype=bool)
         self.bitmap[self.hash >> np.uint64(44)] = True
 
@@ -150,15 +151,15 @@ def walk_bits(seed: int, walk: int, steps: int) -> np.ndarray:
     return have
 
 
-def pair_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of words with the next one in their row (a row of one word: that word), the word each begins with, rows of the words and their starts."""
+def pair_hashes(data: np.ndarray, offsets: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words with the next one in their row (a row of one word, or every row: its words alone too), the word each begins with, rows of the words and their starts."""
     start, end, row = word_spans(data, offsets)
     word = SpanHash(data)(start, end) if len(start) else np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         pair = mix(word[:-1] * _K + word[1:]) if len(word) > 1 else np.zeros(0, np.uint64)
     same = row[:-1] == row[1:]
     first = np.flatnonzero(same)
-    single = np.flatnonzero(np.bincount(row, minlength=len(offsets) - 1)[row] == 1) if len(row) else first
+    single = np.arange(len(word)) if every else np.flatnonzero(np.bincount(row, minlength=len(offsets) - 1)[row] == 1) if len(row) else first
     return np.concatenate([pair[same], word[single]]), np.concatenate([first, single]), row, start
 
 
@@ -196,11 +197,11 @@ def candidates(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[
     if not len(index.texts) or not len(data):
         return out
     data = _BLANK[data]
-    pair, word, row, start = pair_hashes(data, offsets)
+    pair, word, row, start = pair_hashes(data, offsets, index.single)
     # A pair that comes again within the drift is one seed, lest a word said over and over seed windows everywhere.
-    fresh = np.ones(len(pair), dtype=bool)
+    fresh, owner = np.ones(len(pair), dtype=bool), row[word]
     for lag in range(1, config.drift + 1):
-        fresh[lag:] &= pair[lag:] != pair[:-lag]
+        fresh[lag:] &= (pair[lag:] != pair[:-lag]) | (owner[lag:] != owner[:-lag])
     maybe = np.flatnonzero(fresh & index.bitmap[pair >> np.uint64(44)])
     at = np.searchsorted(index.hash, pair[maybe])
     at[at == len(index.hash)] = 0
@@ -231,7 +232,7 @@ def candidates(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[
     for d, k, b in zip(doc.tolist(), item.tolist(), begin.tolist(), strict=True):
         n, slack = len(index.bytes[k]), 4 * int(config.max_edits * index.chars[k]) + 16
         first, last = int(offsets[d]), int(offsets[d + 1])
-        out.append((d, k, b - first, data[b : min(b + n, last)].tobytes(), data[max(first, b - slack) : min(last, b + n + slack)].tobytes()))
+        out.append((d, k, b - first, b" ".join(data[b : min(b + 2 * n, last)].tobytes().split())[:n], data[max(first, b - slack) : min(last, b + n + slack)].tobytes()))
     return out
 
 
