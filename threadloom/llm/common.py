@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that parts words: blank and \t \n \v \f \r. Any other byte belongs to a word.
@@ -135,19 +135,20 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     for every node of an edge. Each step groups neighbours by their minimum with map-side combining, so a hub is never
     gathered in one task; the state of each round is a table in the shared folder. Raises if `most` rounds don't do.
     """
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
+    def settle(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """df as a table, and its count and digests, observed while it is written."""
+        seen = Observation()
+        table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("y")), "edges")
+        return table, tuple(seen.get[k] for k in ("n", "x", "y"))
 
-    state = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    was = mark(state)
+    state, was = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(most):
         both = state.select(F.col("u").alias("x"), F.col("v").alias("y")).union(state.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        state = materialize(small, "edges")
-        now = mark(state)
+        state, now = settle(small)
         if now == was:
             roots = state.select(F.col("v").alias("node")).distinct()
             return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -7,11 +7,10 @@ coordinate and a place in the region; those under the shingle's weight count. Pe
 Two documents agree in a coordinate with the probability of their weighted Jaccard similarity. Bands of coordinates are
 join keys.
 
-Copies (equal word for word) are one class from the start and stand for each other. In each bucket of two and more the
-smallest document is the hub, and every other one is compared with it: as many pairs as documents. What that leaves
-unlinked is resolved in rounds: buckets whose documents are all of one component are done; small ones get all pairs
-between components; large ones are cut by further bands, and again compared with a hub. Every pair that counts is
-verified by the exact weighted Jaccard similarity of the shingles. Components are found by alternating stars.
+Copies (equal word for word) are one class from the start and stand for each other. In each bucket of two and more every
+document is compared with a hub: as many pairs as documents. What that leaves unlinked is resolved in rounds (`grouped`).
+Every pair that counts is verified by the exact weighted Jaccard similarity of the shingles. Components are found by
+alternating stars.
 
 Defined results: null and empty texts, and texts without a word, are alone in their class; a row with a null doc_id gets
 the class of its copies and is otherwise linked to nothing; rows that share a doc_id share a class; ties go to the
@@ -23,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,9 @@ class NearDedupConfig:
     rows: int = 6
     #: Buckets of so many documents get all pairs between components; larger ones are cut by so many further bands.
     small: int = 24
-    cut: int = 12
+    cut: int = 8
+    #: Hubs of a large bucket.
+    hubs: int = 3
     #: Members of a hub that one task compares.
     hub_rows: int = 2_000
     seed: int = 11
@@ -92,40 +94,41 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def dart_signatures(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, config: NearDedupConfig) -> np.ndarray:
-    """rows x coordinates: the id of the earliest dart under the row's weights in each coordinate, 0 where none fell."""
+    """rows x coordinates: the rank of the earliest dart under the row's weights in each coordinate, as bits."""
     k = config.coordinates
     total = np.bincount(owner, weights=weight, minlength=rows)
     limit = np.where(total > 0, config.darts / np.maximum(total, 1e-12), 0.0)
     best = np.full(rows * k, np.inf)
-    ids = np.zeros(rows * k, dtype=np.uint64)
     level = 0
     live = np.arange(len(h))
     while len(live):
         # The region of weight [low, low + width): level 0 is [0, 1), level l is [2^(l-1), 2^l).
         low, width = (0.0, 1.0) if level == 0 else (2.0 ** (level - 1), 2.0 ** (level - 1))
         live = live[weight[live] > low]
-        at, rank, throw = live, np.zeros(len(live)), 0
+        base, most, top = owner[live] * k, limit[owner[live]], weight[live]
+        rank, throw = np.zeros(len(live)), 0
         with np.errstate(over="ignore"):
             seed = mix(h[live] + np.uint64((config.seed * 4096 + level) & 0xFFFFFFFF) * _K)
-        while len(at):
+        while len(seed):
+            throw += 1
             with np.errstate(over="ignore"):
-                dart = mix(seed + np.uint64(throw + 1) * _K)
+                dart = mix(seed + np.uint64(throw) * _K)
             rank = rank - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53) / width
-            inside = rank < limit[owner[at]]
-            at, rank, seed, dart = at[inside], rank[inside], seed[inside], dart[inside]
-            ident = mix(dart + _K)
-            under = low + width * ((ident >> np.uint64(40)).astype(np.float64) / 2**24) < weight[at]
-            cell = owner[at[under]] * k + (ident[under] % np.uint64(k)).astype(np.int64)
-            r, i = rank[under], ident[under]
-            order = np.argsort(-r, kind="stable")  # of equal cells the last written, the earliest dart, stays
-            cell, r, i = cell[order], r[order], i[order]
-            mine = r < best[cell]
-            cell, r, i = cell[mine], r[mine], i[mine]
-            best[cell] = r
-            ids[cell] = i
-            throw += 1
+            inside = rank < most
+            if not inside.all():
+                base, most, top, rank, seed, dart = (x[inside] for x in (base, most, top, rank, seed, dart))
+            with np.errstate(over="ignore"):
+                dart = (dart ^ (dart >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            cell = base + ((dart >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+            place = low + width * ((dart & np.uint64(0xFFFFFF)).astype(np.float64) / 2**24)
+            if (place < top).all():
+                np.minimum.at(best, cell, rank)
+            else:
+                under = place < top
+                np.minimum.at(best, cell[under], rank[under])
         level += 1
-    return ids.reshape(rows, k)
+    # A dart's rank is as good as its name.
+    return best.view(np.uint64).reshape(rows, k)
 
 
 SIGNATURES = "doc_id bigint, c1 bigint, c2 bigint, bands array<bigint>"
@@ -179,7 +182,7 @@ def weighted_jaccard(h1: np.ndarray, c1: np.ndarray, h2: np.ndarray, c2: np.ndar
 
 
 def verify(pairs: DataFrame, packed: DataFrame, config: NearDedupConfig) -> DataFrame:
-    """The pairs (a, b) at the similarity or above. A hub's shingles are sent once to each task that compares its members."""
+    """The pairs (a, b) with their similarity (s). A hub's shingles are sent once to each task that compares its members."""
     pairs = pairs.select(F.col("a").alias("hub"), F.col("b").alias("member")).distinct()
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / config.hub_rows).cast("int").alias("parts"))
     members = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), "member")
@@ -190,58 +193,95 @@ def verify(pairs: DataFrame, packed: DataFrame, config: NearDedupConfig) -> Data
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, h1, c1 = None, np.zeros(0, np.uint64), np.zeros(0, "<u4")
         for batch in batches:
-            a, b = [], []
+            a, b, s = [], [], []
             hub, member, hashes, counts = (batch.column(n) for n in ("hub", "member", "hashes", "counts"))
             for i in range(batch.num_rows):
                 h, c = np.frombuffer(hashes[i].as_buffer(), dtype=np.uint64), np.frombuffer(counts[i].as_buffer(), dtype="<u4")
                 m = member[i].as_py()
                 if m is None:
                     own, h1, c1 = hub[i].as_py(), h.copy(), c.copy()
-                elif own == hub[i].as_py() and weighted_jaccard(h1, c1, h, c) >= config.similarity - 1e-12:
+                elif own == hub[i].as_py():
                     a.append(own)
                     b.append(m)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    s.append(weighted_jaccard(h1, c1, h, c))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "s": pa.array(s, pa.float64())})
+
+    return together.select("hub", "member", "hashes", "counts").mapInArrow(compare, "a bigint, b bigint, s double")
 
-    return together.select("hub", "member", "hashes", "counts").mapInArrow(compare, "a bigint, b bigint")
 
+def grouped(rows: DataFrame, docs: DataFrame, config: NearDedupConfig) -> DataFrame:
+    """node, component of all documents that have a similar one. rows: node, bands (of one document for each set of copies).
 
-def links(rows: DataFrame, docs: DataFrame, config: NearDedupConfig) -> DataFrame:
-    """Verified links (a, b) that join all components of similar documents. rows: node, bands (of one document for each set of copies)."""
+    In each round every document of a bucket is compared with its hub, the document that has the most company in all its
+    buckets: of a text and its edited copies that is the text. Similarity to the hub tells which others can be similar at
+    all, since one minus the weighted Jaccard similarity is a metric. Documents outside the hub's component are compared
+    with those in it that are near enough to them, if they are few, and go to the next round without it: all pairs in
+    small buckets, further bands in large ones. When bands are used up, all pairs that are left are compared.
+    """
+    least = config.similarity - 1e-12
+    far = 1.0 - config.similarity + 1e-9
     keyed = rows.select("node", F.posexplode("bands").alias("band", "key"))
-    hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-    buckets = materialize(keyed.join(hubs, "key").select("key", "band", "node", "hub"), "buckets")
-    packed = materialize(packed_shingles(docs, buckets.select("node"), config), "shingles")
-    bands = materialize(rows.join(buckets.select("node").distinct(), "node", "left_semi"), "bands")
-    done = materialize(verify(buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), packed, config), "links")
-    tried = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    state, level = buckets.select("key", "band", "node"), 0
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    state = materialize(keyed.join(sizes, "key"), "buckets")  # key, node, band, n
+    company = materialize(state.groupBy("node").agg(F.sum("n").alias("company")), "company")
+    packed = materialize(packed_shingles(docs, company, config), "shingles")
+    bands, of, level = None, None, 0
+    compared: list[DataFrame] = []
+
+    def tried() -> DataFrame:
+        return reduce(DataFrame.union, compared)
+
     while True:
-        classed = state.join(components(done).select("node", F.col("component").alias("found")), "node", "left").select("key", "band", "node", F.coalesce("found", "node").alias("component"))
-        split = classed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "n")
-        open_ = materialize(classed.join(split, "key"), "open")
-        small = open_.where(F.col("n") <= config.small).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("m"))
-        crossing = F.filter(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x.node < y.node) & (x.component != y.component)), lambda y: F.struct(x.node.alias("a"), y.node.alias("b"))))), lambda p: p.a.isNotNull())
-        pairs = small.select(F.explode(crossing).alias("p")).select("p.a", "p.b")
-        large = open_.where(F.col("n") > config.small).select("key", "band", "node", "component")
-        again = None
-        if large.limit(1).count():
-            # Cut by the bands after the one the bucket is of; when all bands are used up, the bucket stays, without its hub.
-            if (level + 1) * config.cut < config.bands:
-                places = F.sequence(F.lit(level * config.cut + 1), F.lit((level + 1) * config.cut))
-                cut = large.join(bands, "node").select("key", "band", "node", "component", F.explode(F.transform(places, lambda j: F.get("bands", (F.col("band") + j) % config.bands))).alias("other"))
-                again = cut.select(F.xxhash64("key", "other").alias("key"), "band", "node", "component")
-            else:
-                again = large.join(large.groupBy("key").agg(F.min("node").alias("hub")), "key").where("node <> hub").drop("hub")
-            tops = again.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.min_by("component", "node").alias("own")).where("n > 1")
-            again = materialize(again.join(tops, "key").select("key", "band", "node", "component", "hub", "own"), "buckets")
-            pairs = pairs.union(again.where("node <> hub AND component <> own").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        new = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(new)
-        if new.limit(1).count():
-            done = materialize(done.union(verify(new, packed, config)), "links")
-        if again is None:
-            return done
-        state, level = again.select("key", "band", "node"), level + 1
+        ranked = state.join(company, "node")
+        # Large buckets have a further hub for each share of their documents, as copies of a text may be less like each
+        # other than each is like it; the first hub is the one that distances are taken from.
+        share = F.when(F.col("n") > config.small, F.pmod(F.xxhash64("node"), F.lit(config.hubs))).otherwise(0)
+        tops = ranked.groupBy("key", share.alias("share")).agg(F.min(F.struct((-F.col("company")).alias("c"), "node")).alias("top"))
+        tops = materialize(tops, "hubs")
+        hubs = tops.groupBy("key").agg(F.min("top").alias("top")).select("key", F.col("top.node").alias("hub"))
+        star = state.join(hubs, "key").select("key", "band", "node", "n", "hub")
+        small_key = F.col("n") <= config.small
+        pairs = state.join(tops.select("key", F.col("top.node").alias("a")), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+        if compared:
+            pairs = pairs.join(tried(), ["a", "b"], "left_anti")
+        compared.append(materialize(verify(pairs, packed, config), "compared"))
+        if of is None:  # later rounds add few links; they go by these components and their own hubs
+            of = materialize(components(compared[0].where(F.col("s") >= least).select("a", "b")), "components")
+        # Each row with its component and its distance from the hub; buckets of one component are done.
+        d = tried().select(F.col("a").alias("hub"), F.col("b").alias("node"), (1.0 - F.col("s")).alias("d"))
+        named = star.join(of, "node", "left").select("key", "band", "node", "n", "hub", F.coalesce("component", "node").alias("component"))
+        named = named.join(d, ["hub", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("d")))
+        own = named.where("node = hub").select("key", F.col("component").alias("own"))
+        placed = named.join(own, "key").withColumn("component", F.when(F.col("d") <= far, F.col("own")).otherwise(F.col("component")))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("key")
+        open_ = materialize(placed.join(mixed, "key", "left_semi"), "open")
+        rest = open_.where(~small_key & (F.col("component") != F.col("own")))
+        last = (level + 1) * config.cut >= config.bands
+        if last:
+            x, y = (open_.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "component", "d")]) for i in (1, 2))
+            within = x.join(y, "key").where((F.col("node1") < F.col("node2")) & (F.col("component1") != F.col("component2")) & (F.abs(F.col("d1") - F.col("d2")) <= far)).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+        else:
+            near = lambda x, y: (F.abs(x.d - y.d) <= far) & (x.component != y.component)
+            collected = open_.where(small_key).groupBy("key").agg(F.collect_list(F.struct("node", "component", "d")).alias("m"))  # `small` at most
+            found = F.filter(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x.node < y.node) & near(x, y)), lambda y: F.struct(x.node.alias("a"), y.node.alias("b"))))), lambda q: q.a.isNotNull())
+            fringe = rest.where(F.col("d") <= 2 * far)
+            few = fringe.join(fringe.groupBy("key").agg(F.count("*").alias("f")).where(F.col("f") <= config.small), "key").select("key", F.col("node").alias("a"), F.col("d").alias("da"))
+            inner = open_.where(~small_key & (F.col("component") == F.col("own"))).select("key", F.col("node").alias("b"), F.col("d").alias("db"))
+            crossing = few.join(inner, "key").where(F.abs(F.col("da") - F.col("db")) <= far).select("a", "b")
+            within = collected.select(F.explode(found).alias("q")).select("q.a", "q.b").union(crossing)
+        both_ways = tried().select("a", "b").union(tried().select(F.col("b").alias("a"), F.col("a").alias("b")))
+        more = materialize(within.distinct().join(both_ways, ["a", "b"], "left_anti"), "pairs")
+        if more.limit(1).count():
+            compared.append(materialize(verify(more, packed, config), "compared"))
+        if last or not rest.limit(1).count():
+            return components(tried().where(F.col("s") >= least).select("a", "b"))
+        if bands is None:
+            bands = materialize(rows.join(rest.select("node").distinct(), "node", "left_semi"), "bands")
+        places = F.sequence(F.lit(level * config.cut + 1), F.lit((level + 1) * config.cut))
+        cut = rest.select("key", "band", "node").join(bands, "node").select(F.col("key").alias("_key"), "band", "node", F.explode(F.transform(places, lambda j: F.get("bands", (F.col("band") + j) % config.bands))).alias("_other"))
+        cut = cut.select(F.xxhash64("_key", "_other").alias("key"), "band", "node")
+        state = materialize(cut.join(cut.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("node", "band", "key", "n"), "buckets")
+        level += 1
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", config: NearDedupConfig = NearDedupConfig()) -> DataFrame:
@@ -250,12 +290,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", config: Ne
     signed_rows = materialize(signatures(plain, "doc_id", "text", config), "signatures")
     copies = materialize(signed_rows.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies")), "copies")
     rows = signed_rows.join(copies.where("node IS NOT NULL").select("c1", "c2", F.col("node").alias("doc_id")), ["c1", "c2", "doc_id"], "left_semi").dropDuplicates(["c1", "c2"]).select(F.col("doc_id").alias("node"), "bands")
-    found = links(rows, plain, config)
+    of_node = materialize(grouped(rows, plain, config), "components")
     # Rows of one doc_id and different words are one class as well.
-    same_id = signed_rows.join(copies, ["c1", "c2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    repeated = signed_rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("a"))
-    found = found.union(same_id.join(repeated, "a", "left_semi"))
-    of_node = components(found)
+    repeated = signed_rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.limit(1).count():
+        same_id = signed_rows.join(repeated, "doc_id", "left_semi").join(copies, ["c1", "c2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        of_node = components(of_node.select(F.col("node").alias("a"), F.col("component").alias("b")).union(same_id))
     named = copies.join(of_node, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("class_id"), "n_copies")
     # A row without words has no signature; it is its own class.
     worded = signed_rows.select("doc_id", "c1", "c2").join(named, ["c1", "c2"]).select("doc_id", "class_id", "n_copies")
