@@ -118,6 +118,24 @@ def test_large_buckets_are_resolved(spark):
     assert set(got.values()) == {0} or sum(v != 0 for v in got.values()) == sum(all(jaccard(texts[i], texts[j]) < 0.8 for j in range(60) if j != i) for i in range(60))
 
 
+def replaced(words, at, name):
+    """words with those at the given places replaced by new ones."""
+    out = list(words)
+    for i in at:
+        out[i] = f"{name}{i}"
+    return out
+
+
+def test_documents_outside_a_hubs_component_meet_all_inside_it(spark):
+    """More outside documents than `small`, each similar to one inside document alone, and that one no hub."""
+    base = [f"w{i}" for i in range(100)]
+    inside = [replaced(base, range(9 * k, 9 * k + 9), f"i{k}x") for k in range(10)]
+    outside = [replaced(w, [(9 * k + 20 + j) % 90 for j in range(9)], f"o{k}x") for k, w in enumerate(inside)]
+    config = near_dedup.NearDedupConfig(shingle=1, bands=8, rows=1, small=1, cut=4, hubs=1)
+    got = near_dedup.classes(documents(spark, [" ".join(w) for w in [base, *inside, *outside]]), config=config).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict.fromkeys(range(21), 0)
+
+
 def test_near_duplicates_of_nulls_and_repeats(spark):
     df = documents(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "q r s t u v", "k l m n o p"], [None, 7, 9, 7, None])
     assert sorted(map(tuple, near_dedup.classes(df).select("doc_id", "class_id").collect()), key=repr) == sorted([(None, 7), (7, 7), (9, 7), (7, 7), (None, None)], key=repr)

@@ -215,7 +215,7 @@ def grouped(rows: DataFrame, docs: DataFrame, config: NearDedupConfig) -> DataFr
     In each round every document of a bucket is compared with its hub, the document that has the most company in all its
     buckets: of a text and its edited copies that is the text. Similarity to the hub tells which others can be similar at
     all, since one minus the weighted Jaccard similarity is a metric. Documents outside the hub's component are compared
-    with those in it that are near enough to them, if they are few, and go to the next round without it: all pairs in
+    with those in it that are near enough to them, and go to the next round without it: all pairs in
     small buckets, further bands in large ones. When bands are used up, all pairs that are left are compared.
     """
     least = config.similarity - 1e-12
@@ -265,9 +265,9 @@ def grouped(rows: DataFrame, docs: DataFrame, config: NearDedupConfig) -> DataFr
             collected = open_.where(small_key).groupBy("key").agg(F.collect_list(F.struct("node", "component", "d")).alias("m"))  # `small` at most
             found = F.filter(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x.node < y.node) & near(x, y)), lambda y: F.struct(x.node.alias("a"), y.node.alias("b"))))), lambda q: q.a.isNotNull())
             fringe = rest.where(F.col("d") <= 2 * far)
-            few = fringe.join(fringe.groupBy("key").agg(F.count("*").alias("f")).where(F.col("f") <= config.small), "key").select("key", F.col("node").alias("a"), F.col("d").alias("da"))
+            outer = fringe.select("key", F.col("node").alias("a"), F.col("d").alias("da"))
             inner = open_.where(~small_key & (F.col("component") == F.col("own"))).select("key", F.col("node").alias("b"), F.col("d").alias("db"))
-            crossing = few.join(inner, "key").where(F.abs(F.col("da") - F.col("db")) <= far).select("a", "b")
+            crossing = outer.join(inner, "key").where(F.abs(F.col("da") - F.col("db")) <= far).select("a", "b")
             within = collected.select(F.explode(found).alias("q")).select("q.a", "q.b").union(crossing)
         both_ways = tried().select("a", "b").union(tried().select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = materialize(within.distinct().join(both_ways, ["a", "b"], "left_anti"), "pairs")
