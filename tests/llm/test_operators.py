@@ -136,6 +136,20 @@ def test_documents_outside_a_hubs_component_meet_all_inside_it(spark):
     assert {r.doc_id: r.class_id for r in got} == dict.fromkeys(range(21), 0)
 
 
+def test_documents_far_from_the_hub_meet_those_near_them(spark):
+    """Chains of edits: the third document of each is beyond twice the hub's reach, the second may be in its component."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base)]
+    for k in range(16):
+        words = base
+        for step in range(3):
+            words = replaced(words, [(6 * k + 9 * step + j) % 100 for j in range(9)], f"c{k}s{step}x")
+            texts.append(" ".join(words))
+    config = near_dedup.NearDedupConfig(shingle=1, bands=6, rows=1, small=1, cut=3, hubs=1)
+    got = near_dedup.classes(documents(spark, texts), config=config).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict.fromkeys(range(49), 0)
+
+
 def test_near_duplicates_of_nulls_and_repeats(spark):
     df = documents(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "q r s t u v", "k l m n o p"], [None, 7, 9, 7, None])
     assert sorted(map(tuple, near_dedup.classes(df).select("doc_id", "class_id").collect()), key=repr) == sorted([(None, 7), (7, 7), (9, 7), (7, 7), (None, None)], key=repr)

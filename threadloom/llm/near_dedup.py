@@ -264,8 +264,7 @@ def grouped(rows: DataFrame, docs: DataFrame, config: NearDedupConfig) -> DataFr
             near = lambda x, y: (F.abs(x.d - y.d) <= far) & (x.component != y.component)
             collected = open_.where(small_key).groupBy("key").agg(F.collect_list(F.struct("node", "component", "d")).alias("m"))  # `small` at most
             found = F.filter(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x.node < y.node) & near(x, y)), lambda y: F.struct(x.node.alias("a"), y.node.alias("b"))))), lambda q: q.a.isNotNull())
-            fringe = rest.where(F.col("d") <= 2 * far)
-            outer = fringe.select("key", F.col("node").alias("a"), F.col("d").alias("da"))
+            outer = rest.select("key", F.col("node").alias("a"), F.col("d").alias("da"))
             inner = open_.where(~small_key & (F.col("component") == F.col("own"))).select("key", F.col("node").alias("b"), F.col("d").alias("db"))
             crossing = outer.join(inner, "key").where(F.abs(F.col("da") - F.col("db")) <= far).select("a", "b")
             within = collected.select(F.explode(found).alias("q")).select("q.a", "q.b").union(crossing)
