@@ -150,6 +150,16 @@ def test_documents_far_from_the_hub_meet_those_near_them(spark):
     assert {r.doc_id: r.class_id for r in got} == dict.fromkeys(range(49), 0)
 
 
+def test_rest_of_a_large_bucket_is_compared_within_it(spark):
+    """Pairs away from the hub and its component, that need not share a further band."""
+    base = [f"w{i}" for i in range(100)]
+    away = [replaced(base, [(7 * k + j) % 100 for j in range(18)], f"a{k}x") for k in range(40)]
+    again = [replaced(w, [(7 * k + 30 + j) % 100 for j in range(11)], f"b{k}x") for k, w in enumerate(away)]
+    config = near_dedup.NearDedupConfig(shingle=1, bands=3, rows=1, small=1, cut=1, hubs=1)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(documents(spark, [" ".join(w) for w in [base, *away, *again]]), config=config).collect()}
+    assert got == {0: 0} | {k: k for k in range(1, 41)} | {k + 40: k for k in range(1, 41)}
+
+
 def test_near_duplicates_of_nulls_and_repeats(spark):
     df = documents(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "q r s t u v", "k l m n o p"], [None, 7, 9, 7, None])
     assert sorted(map(tuple, near_dedup.classes(df).select("doc_id", "class_id").collect()), key=repr) == sorted([(None, 7), (7, 7), (9, 7), (7, 7), (None, None)], key=repr)

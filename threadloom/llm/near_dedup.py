@@ -8,7 +8,7 @@ Two documents agree in a coordinate with the probability of their weighted Jacca
 join keys.
 
 Copies (equal word for word) are one class from the start and stand for each other. In each bucket of two and more every
-document is compared with a hub: as many pairs as documents. What that leaves unlinked is resolved in rounds (`grouped`).
+document is compared with a hub: as many pairs as documents. What that leaves unlinked is compared in full (`grouped`).
 Every pair that counts is verified by the exact weighted Jaccard similarity of the shingles. Components are found by
 alternating stars.
 
@@ -27,7 +27,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SpanHash, components, materialize, mix, signed, text_slices, word_spans
@@ -42,13 +42,17 @@ class NearDedupConfig:
     #: Documents at the threshold share no band with probability (1 - similarity ** rows) ** bands: 6 in 100,000.
     bands: int = 32
     rows: int = 6
-    #: Buckets of so many documents get all pairs between components; larger ones are cut by so many further bands.
+    #: Buckets of so many documents get their pairs as rows; larger ones are compared in blocks.
     small: int = 24
+    #: Not in use: nothing is cut by further bands any more. Kept for configurations that name it.
     cut: int = 8
     #: Hubs of a large bucket.
     hubs: int = 3
     #: Members of a hub that one task compares.
     hub_rows: int = 2_000
+    #: Documents, and bytes of their hashes, in a block of a large bucket.
+    block_rows: int = 256
+    block_bytes: int = 4 << 20
     seed: int = 11
 
     @property
@@ -209,14 +213,107 @@ def verify(pairs: DataFrame, packed: DataFrame, config: NearDedupConfig) -> Data
     return together.select("hub", "member", "hashes", "counts").mapInArrow(compare, "a bigint, b bigint, s double")
 
 
+def block_links(left: list[tuple], right: list[tuple], least: float) -> list[tuple[int, int, float]]:
+    """Pairs of left and right (each node, component, hashes, counts) at `least` or more, one for each two components that they join."""
+
+    def split(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """A hash for each occurrence: what two documents share of these is the sum of the lesser counts."""
+        nth = np.arange(int(c.sum())) - np.repeat(np.cumsum(c, dtype=np.int64) - c, c)
+        h = np.repeat(h, c)
+        again = nth > 0
+        with np.errstate(over="ignore"):
+            h[again] = mix(h[again] + nth[again].astype(np.uint64) * _K)
+        return h
+
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    parts = [split(h, c) for _, _, h, c in right]
+    words = np.array([len(x) for x in parts], dtype=np.int64)
+    every, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), words)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    known, first = np.unique(every, return_index=True)
+    first = np.append(first, len(every))
+    out = []
+    for node, component, h, c in left:
+        own = split(h, c)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        at = at[known[at] == own]
+        count = first[at + 1] - first[at]
+        places = np.repeat(first[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        both = np.bincount(owner[places], minlength=len(right)).astype(np.float64)
+        s = both / (float(len(own)) + words - both)
+        for i in np.flatnonzero(s >= least):
+            x, y = find(component), find(right[i][1])
+            if x != y:
+                parent[x] = y
+                out.append((node, right[i][0], float(s[i])))
+    return out
+
+
+def linked_in_blocks(large: DataFrame, packed: DataFrame, config: NearDedupConfig) -> DataFrame:
+    """Links (a, b) between the components of each bucket. large: key, node, component, hub, n, whole buckets of n rows.
+
+    Buckets that overlap are one set, where that takes no more comparisons than bucket by bucket. All documents outside a
+    set's largest component meet all of the set, block by block: rows grow with blocks, and pairs are no rows.
+    """
+    least = config.similarity - 1e-12
+    sets = components(large.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "set")
+    named = large.join(sets, "node")
+    cost = named.groupBy("set").agg(F.sum("n").alias("squares"), F.count_distinct("node").alias("m"))
+    whole = F.col("m") * F.col("m") <= F.col("squares")
+    members = named.join(cost, "set").select(F.xxhash64(whole, F.when(whole, F.col("set")).otherwise(F.col("key"))).alias("unit"), "node", "component").distinct()
+    members = materialize(members.join(packed.select("node", F.octet_length("hashes").alias("bytes")), "node"), "members")
+    main = members.groupBy("unit", "component").agg(F.count("*").alias("c")).groupBy("unit").agg(F.max(F.struct("c", "component")).alias("top"))
+    sides = members.join(main, "unit").withColumn("rest", F.col("component") != F.col("top.component")).drop("top")
+
+    def blocks(of: Column) -> Column:
+        return F.ceil(F.greatest(F.count_if(of) / config.block_rows, F.coalesce(F.sum(F.when(of, F.col("bytes"))), F.lit(0)) / config.block_bytes)).cast("int")
+
+    dealt = sides.join(sides.groupBy("unit").agg(blocks(F.col("rest")).alias("r"), blocks(~F.col("rest")).alias("k")).where("r > 0"), "unit")
+    own = F.when(F.col("rest"), F.pmod(F.xxhash64("node"), F.col("r"))).otherwise(F.col("r") + F.pmod(F.xxhash64("node"), F.col("k"))).cast("int")
+    task = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    block = F.col("block")
+    left = F.when(F.col("rest"), F.transform(F.sequence(block, F.col("r") + F.col("k") - 1), lambda j: task(block, j, 0))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    right = F.when(block > 0, F.transform(F.sequence(F.lit(0), F.least(block, F.col("r")) - 1), lambda i: task(i, block, 1))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    tasks = dealt.withColumn("block", own).select("unit", "node", "component", F.explode(F.concat(left, right)).alias("t")).select("unit", "t.*", "node", "component")
+    together = tasks.join(packed, "node").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "side", "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            found = block_links(sides[0], sides[1] if now[1] != now[2] else sides[0], least) if sides[0] and (sides[1] or now[1] == now[2]) else []
+            return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64()), "s": pa.array([x[2] for x in found], pa.float64())})
+
+        for batch in batches:
+            unit, i, j, side, node, component = (batch.column(n).to_pylist() for n in ("unit", "i", "j", "side", "node", "component"))
+            hashes, counts = batch.column("hashes"), batch.column("counts")
+            for k in range(batch.num_rows):
+                if now != (unit[k], i[k], j[k]):
+                    if now is not None:
+                        yield done()
+                    now, sides = (unit[k], i[k], j[k]), ([], [])
+                h, c = np.frombuffer(hashes[k].as_buffer(), dtype=np.uint64).copy(), np.frombuffer(counts[k].as_buffer(), dtype="<u4").astype(np.int64)
+                sides[side[k]].append((node[k], component[k], h, c))
+        if now is not None:
+            yield done()
+
+    return together.select("unit", "i", "j", "side", "node", "component", "hashes", "counts").mapInArrow(compare, "a bigint, b bigint, s double")
+
+
 def grouped(rows: DataFrame, docs: DataFrame, config: NearDedupConfig) -> DataFrame:
     """node, component of all documents that have a similar one. rows: node, bands (of one document for each set of copies).
 
-    In each round every document of a bucket is compared with its hub, the document that has the most company in all its
-    buckets: of a text and its edited copies that is the text. Similarity to the hub tells which others can be similar at
-    all, since one minus the weighted Jaccard similarity is a metric. Documents outside the hub's component are compared
-    with those in it that are near enough to them, and go to the next round without it: all pairs in
-    small buckets, further bands in large ones. When bands are used up, all pairs that are left are compared.
+    Every document of a bucket is compared with its hub, the document that has the most company in all its buckets: of a
+    text and its edited copies that is the text. Similarity to the hub tells which others can be similar at all, since
+    one minus the weighted Jaccard similarity is a metric: small buckets get all those pairs between components. In large
+    ones all documents outside the largest component are compared with all others, in blocks (`linked_in_blocks`).
     """
     least = config.similarity - 1e-12
     far = 1.0 - config.similarity + 1e-9
@@ -225,62 +322,33 @@ def grouped(rows: DataFrame, docs: DataFrame, config: NearDedupConfig) -> DataFr
     state = materialize(keyed.join(sizes, "key"), "buckets")  # key, node, band, n
     company = materialize(state.groupBy("node").agg(F.sum("n").alias("company")), "company")
     packed = materialize(packed_shingles(docs, company, config), "shingles")
-    bands, of, level = None, None, 0
-    compared: list[DataFrame] = []
-
-    def tried() -> DataFrame:
-        return reduce(DataFrame.union, compared)
-
-    while True:
-        ranked = state.join(company, "node")
-        # Large buckets have a further hub for each share of their documents, as copies of a text may be less like each
-        # other than each is like it; the first hub is the one that distances are taken from.
-        share = F.when(F.col("n") > config.small, F.pmod(F.xxhash64("node"), F.lit(config.hubs))).otherwise(0)
-        tops = ranked.groupBy("key", share.alias("share")).agg(F.min(F.struct((-F.col("company")).alias("c"), "node")).alias("top"))
-        tops = materialize(tops, "hubs")
-        hubs = tops.groupBy("key").agg(F.min("top").alias("top")).select("key", F.col("top.node").alias("hub"))
-        star = state.join(hubs, "key").select("key", "band", "node", "n", "hub")
-        small_key = F.col("n") <= config.small
-        pairs = state.join(tops.select("key", F.col("top.node").alias("a")), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-        if compared:
-            pairs = pairs.join(tried(), ["a", "b"], "left_anti")
-        compared.append(materialize(verify(pairs, packed, config), "compared"))
-        if of is None:  # later rounds add few links; they go by these components and their own hubs
-            of = materialize(components(compared[0].where(F.col("s") >= least).select("a", "b")), "components")
-        # Each row with its component and its distance from the hub; buckets of one component are done.
-        d = tried().select(F.col("a").alias("hub"), F.col("b").alias("node"), (1.0 - F.col("s")).alias("d"))
-        named = star.join(of, "node", "left").select("key", "band", "node", "n", "hub", F.coalesce("component", "node").alias("component"))
-        named = named.join(d, ["hub", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("d")))
-        own = named.where("node = hub").select("key", F.col("component").alias("own"))
-        placed = named.join(own, "key").withColumn("component", F.when(F.col("d") <= far, F.col("own")).otherwise(F.col("component")))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("key")
-        open_ = materialize(placed.join(mixed, "key", "left_semi"), "open")
-        rest = open_.where(~small_key & (F.col("component") != F.col("own")))
-        last = (level + 1) * config.cut >= config.bands
-        if last:
-            x, y = (open_.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "component", "d")]) for i in (1, 2))
-            within = x.join(y, "key").where((F.col("node1") < F.col("node2")) & (F.col("component1") != F.col("component2")) & (F.abs(F.col("d1") - F.col("d2")) <= far)).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
-        else:
-            near = lambda x, y: (F.abs(x.d - y.d) <= far) & (x.component != y.component)
-            collected = open_.where(small_key).groupBy("key").agg(F.collect_list(F.struct("node", "component", "d")).alias("m"))  # `small` at most
-            found = F.filter(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x.node < y.node) & near(x, y)), lambda y: F.struct(x.node.alias("a"), y.node.alias("b"))))), lambda q: q.a.isNotNull())
-            outer = rest.select("key", F.col("node").alias("a"), F.col("d").alias("da"))
-            inner = open_.where(~small_key & (F.col("component") == F.col("own"))).select("key", F.col("node").alias("b"), F.col("d").alias("db"))
-            crossing = outer.join(inner, "key").where(F.abs(F.col("da") - F.col("db")) <= far).select("a", "b")
-            within = collected.select(F.explode(found).alias("q")).select("q.a", "q.b").union(crossing)
-        both_ways = tried().select("a", "b").union(tried().select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = materialize(within.distinct().join(both_ways, ["a", "b"], "left_anti"), "pairs")
-        if more.limit(1).count():
-            compared.append(materialize(verify(more, packed, config), "compared"))
-        if last or not rest.limit(1).count():
-            return components(tried().where(F.col("s") >= least).select("a", "b"))
-        if bands is None:
-            bands = materialize(rows.join(rest.select("node").distinct(), "node", "left_semi"), "bands")
-        places = F.sequence(F.lit(level * config.cut + 1), F.lit((level + 1) * config.cut))
-        cut = rest.select("key", "band", "node").join(bands, "node").select(F.col("key").alias("_key"), "band", "node", F.explode(F.transform(places, lambda j: F.get("bands", (F.col("band") + j) % config.bands))).alias("_other"))
-        cut = cut.select(F.xxhash64("_key", "_other").alias("key"), "band", "node")
-        state = materialize(cut.join(cut.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("node", "band", "key", "n"), "buckets")
-        level += 1
+    # Large buckets have a further hub for each share of their documents, as copies of a text may be less like each other
+    # than each is like it; the first hub is the one that distances are taken from.
+    share = F.when(F.col("n") > config.small, F.pmod(F.xxhash64("node"), F.lit(config.hubs))).otherwise(0)
+    tops = materialize(state.join(company, "node").groupBy("key", share.alias("share")).agg(F.min(F.struct((-F.col("company")).alias("c"), "node")).alias("top")), "hubs")
+    hubs = tops.groupBy("key").agg(F.min("top").alias("top")).select("key", F.col("top.node").alias("hub"))
+    star = state.join(hubs, "key").select("key", "node", "n", "hub")
+    pairs = state.join(tops.select("key", F.col("top.node").alias("a")), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    tried = materialize(verify(pairs, packed, config), "compared")
+    of = materialize(components(tried.where(F.col("s") >= least).select("a", "b")), "components")
+    # Each row with its component and its distance from the hub; buckets of one component are done.
+    d = tried.select(F.col("a").alias("hub"), F.col("b").alias("node"), (1.0 - F.col("s")).alias("d"))
+    named = star.join(of, "node", "left").select("key", "node", "n", "hub", F.coalesce("component", "node").alias("component"))
+    named = named.join(d, ["hub", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("d")))
+    mixed = named.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("key")
+    open_ = materialize(named.join(mixed, "key", "left_semi"), "open")
+    near = lambda x, y: (F.abs(x.d - y.d) <= far) & (x.component != y.component)
+    collected = open_.where(F.col("n") <= config.small).groupBy("key").agg(F.collect_list(F.struct("node", "component", "d")).alias("m"))  # `small` at most
+    found = F.filter(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x.node < y.node) & near(x, y)), lambda y: F.struct(x.node.alias("a"), y.node.alias("b"))))), lambda q: q.a.isNotNull())
+    both_ways = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = materialize(collected.select(F.explode(found).alias("q")).select("q.a", "q.b").distinct().join(both_ways, ["a", "b"], "left_anti"), "pairs")
+    compared = [tried]
+    if more.limit(1).count():
+        compared.append(materialize(verify(more, packed, config), "compared"))
+    large = open_.where(F.col("n") > config.small)
+    if large.limit(1).count():
+        compared.append(materialize(linked_in_blocks(large, packed, config), "compared"))
+    return components(reduce(DataFrame.union, compared).where(F.col("s") >= least).select("a", "b"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", config: NearDedupConfig = NearDedupConfig()) -> DataFrame:
