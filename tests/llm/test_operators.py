@@ -246,6 +246,13 @@ def test_mix(spark):
     assert source_mix.mix(df.limit(0)).count() == 0
 
 
+def test_mix_of_a_small_source_reaches_its_target(spark):
+    """Its rate is 1 / 1001 of a mix of 1,000,001 characters, and no cap keeps it below."""
+    df = documents(spark, ["x" * 1000] * 1000 + ["y"]).withColumn("source", F.col("text").substr(1, 1))
+    got = source_mix.mix(df).where("source = 'y'").collect()
+    assert abs(got[0].rate - 1_000_001 / 1001) < 1e-6 and 850 < len(got) == got[0].n_copies < 1150
+
+
 # Toxicity
 
 

@@ -12,7 +12,6 @@ table. Sources missing from the given weights get weight 0 and so no copies.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +30,8 @@ class MixTarget:
     exponent: float = 0.5
     #: Size of the mix as a multiple of the input's.
     total: float = 1.0
-    #: Largest mean repetition; a source that is too small for its share stays below it.
-    max_rate: float = 4.0
+    #: Largest mean repetition, if there is to be one: a source that is too small for its share then stays below it.
+    max_rate: float | None = None
     seed: str = "mix-1"
     own: tuple[str, ...] = field(default=("copy", "n_copies", "rate", "shuffle_key"), repr=False)
 
@@ -52,22 +51,23 @@ def source_rates(docs: DataFrame, source: str, size: Column, target: MixTarget)
         weight = F.coalesce(F.try_element_at(given, F.col("_source")), F.lit(0.0))
     weighted = sizes.withColumn("_weight", weight)
     whole = weighted.agg(F.sum("_size").alias("_all"), F.sum("_weight").alias("_weights"))
-    rate = F.when(F.col("_size") == 0, 1.0).when(F.col("_weights") == 0, 0.0).otherwise(F.least(F.lit(target.max_rate), F.col("_weight") / F.col("_weights") * F.lit(target.total) * F.col("_all") / F.col("_size")))
+    wanted = F.col("_weight") / F.col("_weights") * F.lit(target.total) * F.col("_all") / F.col("_size")
+    rate = F.when(F.col("_size") == 0, 1.0).when(F.col("_weights") == 0, 0.0).otherwise(wanted if target.max_rate is None else F.least(F.lit(target.max_rate), wanted))
     # Rounded, so that the order in which weights were summed can't show.
     rated = weighted.crossJoin(F.broadcast(whole)).select("_source", "_size", F.round(rate, 9).alias("rate"))
-    return rated.withColumn("_cdf", poisson_cdf(F.col("rate"), target.max_rate))
+    return rated.withColumn("_cdf", poisson_cdf(F.col("rate")))
 
 
-def poisson_cdf(rate: Column, max_rate: float) -> Column:
-    """P(X <= k) for k = 0, 1, ... up to a k that no number of BITS bits goes beyond, for rates up to max_rate."""
-    top = math.ceil(max_rate + 12 * math.sqrt(max_rate) + 24)
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("all"))
+def poisson_cdf(rate: Column) -> Column:
+    """P(X <= k) for k = 0, 1, ... up to a k that no number of BITS bits goes beyond. By logarithms: exp(-rate) may be 0."""
+    top = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
+    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("all"))
 
     def add(acc: Column, k: Column) -> Column:
-        p = acc.p * rate / k
-        return F.struct(p.alias("p"), (acc.sum + p).alias("sum"), F.concat(acc.all, F.array(acc.sum + p)).alias("all"))
+        log = acc.log + F.when(rate > 0, F.log(rate / k)).otherwise(-1e300)
+        return F.struct(log.alias("log"), (acc.sum + F.exp(log)).alias("sum"), F.concat(acc.all, F.array(acc.sum + F.exp(log))).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(top)), start, add, lambda acc: acc.all)
+    return F.aggregate(F.sequence(F.lit(1), top), start, add, lambda acc: acc.all)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", target: MixTarget = MixTarget(), ordered: bool = True) -> DataFrame:
