@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.numbers import fixed
 
 
 def clamp(c: Column) -> Column:
@@ -72,7 +73,7 @@ def participant_summary(processed: DataFrame, turns: DataFrame, responses: DataF
     responsive = F.when(F.col("latency_sample_count") > 0, 1.0 - clamp(F.col("median_response_latency_seconds") / config.responsiveness_seconds)).otherwise(0.0)
     parts = (F.col("_turn_share"), F.col("initiation_share"), responsive, of_turns("question_count"), of_turns("affection_marker_count"))
     score = sum((F.lit(w) * c for w, c in zip(config.engagement_weights, parts, strict=True)), F.lit(0.0)) * 100
-    return shared.withColumn("engagement_score", F.round(score, 6)).drop("_turn_share")
+    return shared.withColumn("engagement_score", fixed(score, 6)).drop("_turn_share")
 
 
 def reciprocity(summary: DataFrame) -> DataFrame:

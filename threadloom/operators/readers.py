@@ -48,11 +48,19 @@ def inventory(messages: DataFrame, top: int = 100) -> DataFrame:
     return per.orderBy(F.col("message_count").desc(), "conversation_id").limit(top)
 
 
-def daily_pivot(daily: DataFrame, metric: str, participants: Sequence[int], zero: bool = True) -> DataFrame:
-    """Days as rows, the given participants as columns p<id>."""
-    out = daily.groupBy("conversation_id", "period_start").pivot("participant_id", list(participants)).agg(F.sum(metric) if zero else F.first(metric, ignorenulls=True))
-    named = out.select("conversation_id", "period_start", *[F.col(f"`{p}`").alias(f"p{p}") for p in participants])
-    return named.fillna(0, [f"p{p}" for p in participants]) if zero else named
+def daily_pivot(daily: DataFrame, metrics: dict[str, bool], columns: int = 2) -> DataFrame:
+    """Days as rows, and for each metric a column for each of a conversation's participants, by rank of id: <metric>_1 to
+    <metric>_<columns>, and <metric>_more for all further ones. A metric that is True counts: it is summed, and 0 where
+    there is none; any other is the first known value in order of the participants' ids."""
+    rank = F.dense_rank().over(Window.partitionBy("conversation_id").orderBy("participant_id"))
+    placed = daily.select("conversation_id", "participant_id", "period_start", *metrics, F.least(rank, F.lit(columns + 1)).alias("_rank"))
+    values = []
+    for m, counts in metrics.items():
+        for i in range(1, columns + 2):
+            own = F.when(F.col("_rank") == i, F.col(m))
+            name = f"{m}_{i}" if i <= columns else f"{m}_more"
+            values.append((F.coalesce(F.sum(own), F.lit(0)) if counts else F.min_by(own, F.when(own.isNotNull(), F.col("participant_id")))).alias(name))
+    return placed.groupBy("conversation_id", "period_start").agg(*values)
 
 
 def opposite_sender_gaps(messages: DataFrame, most_hours: int = 72) -> DataFrame:

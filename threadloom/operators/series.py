@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.numbers import fixed, let, sorted_median
 from .behaviour import initiations
 
 #: Metrics of a series in which change points and slopes are sought.
@@ -53,17 +54,22 @@ def series(processed: DataFrame, turns: DataFrame, responses: DataFrame, kind: s
     )
 
 
-def _median(values: Column) -> Column:
-    s, n = F.array_sort(values), F.size(values)
-    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+def robust_z(value: Column, history: Column) -> Column:
+    """A struct of the history's median (center) and the value's distance from it (z): by the median absolute deviation,
+    else the standard deviation, else a tenth of the median. The history is sorted once and its deviations once."""
 
+    def deviation(h: Column) -> Column:
+        n = F.size(h)
+        total = lambda f: F.aggregate(h, F.lit(0.0), lambda a, x: a + f(x))
+        return let(total(lambda x: x) / n, lambda mean: F.sqrt(total(lambda x: (x - mean) * (x - mean)) / n))
 
-def robust_z(value: Column, history: Column, center: Column) -> Column:
-    """Of a value against its history: by the median absolute deviation, else the standard deviation, else a tenth of the median."""
-    mad = _median(F.transform(history, lambda x: F.abs(x - center)))
-    mean = F.aggregate(history, F.lit(0.0), lambda a, x: a + x) / F.size(history)
-    deviation = F.sqrt(F.aggregate(history, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(history))
-    return F.when(mad > 0, 0.67448975 * (value - center) / mad).when(deviation > 0, (value - center) / deviation).otherwise((value - center) / F.greatest(F.lit(1.0), 0.1 * F.abs(center)))
+    def scaled(p: Column) -> Column:
+        away = value - p.center
+        plain = let(deviation(history), lambda sd: F.when(sd > 0, away / sd).otherwise(away / F.greatest(F.lit(1.0), 0.1 * F.abs(p.center))))
+        mad = sorted_median(F.sort_array(F.transform(history, lambda x: F.abs(x - p.center))))
+        return F.struct(p.center.alias("center"), let(mad, lambda m: F.when(m > 0, 0.67448975 * away / m).otherwise(plain)).alias("z"))
+
+    return let(F.struct(sorted_median(F.sort_array(history)).alias("center")), scaled)
 
 
 def _long(rows: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
@@ -75,17 +81,16 @@ def _long(rows: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
 
 def _history(rows: DataFrame, most: int | None) -> DataFrame:
     w = Window.partitionBy("conversation_id", "participant_id", "metric").orderBy("period_start").rowsBetween(-most if most else Window.unboundedPreceding, -1)
-    with_history = rows.withColumn("_history", F.collect_list("value").over(w))
-    return with_history.withColumn("_center", _median(F.col("_history")))
+    return rows.withColumn("_history", F.collect_list("value").over(w))
 
 
 def change_points(daily: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Known values that lie change_z robust deviations off the change_window known ones before them; they stay in the history."""
     rows = _history(_long(daily, METRICS), config.change_window).where(F.size("_history") >= config.change_min_history)
-    scored = rows.withColumn("_z", robust_z(F.col("value"), F.col("_history"), F.col("_center"))).where(F.round(F.abs("_z"), 9) >= config.change_z)  # nine digits, lest rounding decides at the threshold
+    scored = rows.withColumn("_s", robust_z(F.col("value"), F.col("_history"))).where(F.round(F.abs("_s.z"), 9) >= config.change_z)  # nine digits, lest rounding decides at the threshold
     return scored.select(
-        "conversation_id", "participant_id", F.col("period_start").alias("period_date"), "metric", F.col("_center").alias("baseline"), "value", F.round("_z", 6).alias("z_score"),
-        F.when(F.col("_z") > 0, "increasing").otherwise("decreasing").alias("direction"), "source_message_ids",
+        "conversation_id", "participant_id", F.col("period_start").alias("period_date"), "metric", F.col("_s.center").alias("baseline"), "value", fixed(F.col("_s.z"), 6).alias("z_score"),
+        F.when(F.col("_s.z") > 0, "increasing").otherwise("decreasing").alias("direction"), "source_message_ids",
     )
 
 
@@ -97,7 +102,7 @@ def engagement_signals(weekly: DataFrame, config: Config = DEFAULT) -> DataFrame
     rows = _history(_long(weekly, tuple(m for _, m, _ in SIGNALS)), None).where(F.size("_history") >= config.regime_min_history)
     table = F.create_map(*[v for (n, m, p), w in zip(SIGNALS, config.regime_weights, strict=True) for v in (F.lit(m), F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"), F.lit(p).alias("polarity")))])
     known = rows.withColumn("_k", F.element_at(table, F.col("metric")))
-    z = F.greatest(F.lit(-config.regime_clip), F.least(F.lit(config.regime_clip), robust_z(F.col("value"), F.col("_history"), F.col("_center")) * F.col("_k.polarity")))
+    z = F.greatest(F.lit(-config.regime_clip), F.least(F.lit(config.regime_clip), robust_z(F.col("value"), F.col("_history")).getField("z") * F.col("_k.polarity")))
     scored = known.withColumn("_score", 100.0 * z / config.regime_clip)
     per = scored.groupBy("conversation_id", "participant_id", "period_start").agg(
         F.any_value("period_end").alias("period_end"), F.array_sort(F.collect_list(F.struct("_k.name", "_k.weight", F.col("_score").alias("score")))).alias("_c"), F.max_by("source_message_ids", "metric").alias("source_message_ids")
@@ -106,8 +111,8 @@ def engagement_signals(weekly: DataFrame, config: Config = DEFAULT) -> DataFrame
     total = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x.weight * x.score) / F.aggregate("_c", F.lit(0.0), lambda a, x: a + x.weight)
     direction = F.when(F.col("_t") >= config.regime_signal, "increase").when(F.col("_t") <= -config.regime_signal, "decrease").otherwise("stable")
     return per.withColumn("_t", total).select(
-        "conversation_id", "participant_id", "period_start", "period_end", F.round("_t", 6).alias("score"), direction.alias("direction"),
-        F.map_from_entries(F.transform("_c", lambda x: F.struct(x["name"], F.round(x.score, 6)))).alias("component_scores"), "source_message_ids",
+        "conversation_id", "participant_id", "period_start", "period_end", fixed(F.col("_t"), 6).alias("score"), direction.alias("direction"),
+        F.map_from_entries(F.transform("_c", lambda x: F.struct(x["name"], fixed(x.score, 6)))).alias("component_scores"), "source_message_ids",
     )
 
 
@@ -143,8 +148,8 @@ def trend_slopes(periods: DataFrame, config: Config = DEFAULT) -> DataFrame:
     direction = F.when(F.col("_n") >= config.trend_slope, "increasing").when(F.col("_n") <= -config.trend_slope, "decreasing").otherwise("stable")
     change = F.when(F.col("first_value") != 0, (F.col("last_value") - F.col("first_value")) / F.abs("first_value"))
     return known.select(
-        "conversation_id", "participant_id", "period_kind", "metric", "window_periods", "period_start", "period_end", "first_value", "last_value", F.round("_slope", 9).alias("slope_per_period"),
-        F.round("_n", 9).alias("normalized_slope"), F.round(change, 9).alias("percent_change"), direction.alias("direction"),
+        "conversation_id", "participant_id", "period_kind", "metric", "window_periods", "period_start", "period_end", "first_value", "last_value", fixed(F.col("_slope"), 9).alias("slope_per_period"),
+        fixed(F.col("_n"), 9).alias("normalized_slope"), fixed(change, 9).alias("percent_change"), direction.alias("direction"),
     )
 
 

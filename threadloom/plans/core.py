@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import sql_fixed
 from ..operators import behaviour as bh
 from ..operators import structure as st
 from . import adapters as ad
@@ -61,7 +62,7 @@ def _summary(spark, sf_dir: str) -> DataFrame:
 
 
 def participant_summary(spark, sf_dir: str) -> DataFrame:
-    return _summary(spark, sf_dir).withColumns({**{c: F.round(c, 3) for c in _LATENCIES}, "median_response_effort_ratio": F.round("median_response_effort_ratio", 6), "initiation_share": F.round("initiation_share", 6), "engagement_score": F.round(F.col("engagement_score") + 1e-5, 3)})  # off the ties, which engines round differently
+    return _summary(spark, sf_dir).withColumns({**{c: F.round(c, 3) for c in _LATENCIES}, "median_response_effort_ratio": F.round("median_response_effort_ratio", 6), "initiation_share": F.round("initiation_share", 6)})
 
 
 def reciprocity(spark, sf_dir: str) -> DataFrame:
@@ -104,8 +105,8 @@ j AS (SELECT c.*, coalesce(turn_count, 0) AS turn_count, coalesce(initiations, 0
   CASE WHEN latency_sample_count > 0 THEN mean_l END AS mean_l, p50, p25, p75, p90, eff FROM c LEFT JOIN tc USING (conversation_id, participant_id) LEFT JOIN ic USING (conversation_id, participant_id) LEFT JOIN uc USING (conversation_id, participant_id) LEFT JOIN rc USING (conversation_id, participant_id)),
 k AS (SELECT *, initiations::DOUBLE / greatest(sum(initiations) OVER w, 1) AS ishare, turn_count::DOUBLE / greatest(sum(turn_count) OVER w, 1) AS tshare FROM j WINDOW w AS (PARTITION BY conversation_id)),
 sm AS (SELECT * EXCLUDE (mean_l, p50, p25, p75, p90, eff, ishare, tshare), round(ishare, 6) AS initiation_share, round(mean_l, 3) AS mean_response_latency_seconds, round(p50, 3) AS median_response_latency_seconds, round(p25, 3) AS p25_response_latency_seconds, round(p75, 3) AS p75_response_latency_seconds,
-  round(p90, 3) AS p90_response_latency_seconds, round(eff, 6) AS median_response_effort_ratio, round(100 * (0.25 * tshare + 0.2 * ishare + 0.25 * CASE WHEN latency_sample_count > 0 THEN 1 - least(1, p50 / 21600) ELSE 0 END
-  + 0.15 * least(1, question_count::DOUBLE / greatest(turn_count, 1)) + 0.15 * least(1, affection_marker_count::DOUBLE / greatest(turn_count, 1))) + 0.00001::DOUBLE, 3) AS engagement_score FROM k)"""
+  round(p90, 3) AS p90_response_latency_seconds, round(eff, 6) AS median_response_effort_ratio, {sql_fixed('''100 * (0.25 * tshare + 0.2 * ishare + 0.25 * CASE WHEN latency_sample_count > 0 THEN 1 - least(1, p50 / 21600) ELSE 0 END
+  + 0.15 * least(1, question_count::DOUBLE / greatest(turn_count, 1)) + 0.15 * least(1, affection_marker_count::DOUBLE / greatest(turn_count, 1)))''', 6)} AS engagement_score FROM k)"""
 
 
 def _ratio(c: str) -> str:

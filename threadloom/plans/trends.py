@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed, sql_fixed
 from ..operators import behaviour as bh
 from ..operators import readers as rd
 from ..operators import series as se
@@ -31,9 +32,8 @@ def _changes(spark, sf_dir: str) -> DataFrame:
 
 
 def change_points(spark, sf_dir: str) -> DataFrame:
-    # Latencies lie on ties of their last digit, and values at the threshold: those metrics are left to the tests.
-    rows = _changes(spark, sf_dir).where(F.col("metric").isin("message_count", "word_count", "turn_count", "initiations", "question_count", "affection_marker_count", "negative_marker_count"))
-    return rows.select("conversation_id", "participant_id", F.col("period_date").cast("string").alias("period_date"), "metric", "baseline", "value", F.round(F.col("z_score") + 1e-5, 3).alias("z_score"), "direction", F.array_join("source_message_ids", ",").alias("source_message_ids"))
+    rows = _changes(spark, sf_dir)
+    return rows.withColumns({"period_date": F.col("period_date").cast("string"), "baseline": fixed(F.col("baseline"), 3), "value": fixed(F.col("value"), 3), "source_message_ids": F.array_join("source_message_ids", ",")})
 
 
 def _signals(spark, sf_dir: str) -> DataFrame:
@@ -41,28 +41,32 @@ def _signals(spark, sf_dir: str) -> DataFrame:
 
 
 def engagement_signals(spark, sf_dir: str) -> DataFrame:
-    return _signals(spark, sf_dir).select("conversation_id", "participant_id", F.col("period_start").cast("string").alias("period_start"), F.round("score", 2).alias("score"), "direction", F.size("component_scores").alias("components"))
+    parts = [F.try_element_at("component_scores", F.lit(n)).alias(n) for n, _, _ in se.SIGNALS]
+    return _signals(spark, sf_dir).select("conversation_id", "participant_id", F.col("period_start").cast("string").alias("period_start"), "score", "direction", *parts)
 
 
 def dyadic_regimes(spark, sf_dir: str) -> DataFrame:
     r = se.dyadic_regimes(_signals(spark, sf_dir))
-    return r.select("conversation_id", F.col("period_start").cast("string").alias("period_start"), F.col("period_end").cast("string").alias("period_end"), "participant_a_id", "participant_a_direction", "participant_b_id", "participant_b_direction", "regime_type", F.size("source_message_ids").alias("evidence"))
+    return r.withColumns({"period_start": F.col("period_start").cast("string"), "period_end": F.col("period_end").cast("string"), "source_message_ids": F.array_join("source_message_ids", ",")})
 
 
 def trend_slopes(spark, sf_dir: str) -> DataFrame:
-    rows = se.trend_slopes(_series(spark, sf_dir, "month", ad.orders, ad.ORDERS), ad.ORDERS)
-    return rows.select("conversation_id", "participant_id", "period_kind", "metric", "window_periods", F.col("period_start").cast("string").alias("period_start"), F.col("period_end").cast("string").alias("period_end"), F.round("first_value", 3).alias("first_value"), F.round("last_value", 3).alias("last_value"), F.round("slope_per_period", 3).alias("slope_per_period"), "direction")
+    periods = _series(spark, sf_dir, "week", ad.orders, ad.ORDERS).unionByName(_series(spark, sf_dir, "month", ad.orders, ad.ORDERS))
+    rows = se.trend_slopes(periods, ad.ORDERS)
+    return rows.withColumns({"period_start": F.col("period_start").cast("string"), "period_end": F.col("period_end").cast("string"), "first_value": fixed(F.col("first_value"), 3), "last_value": fixed(F.col("last_value"), 3)})
 
 
 def findings_union(spark, sf_dir: str) -> DataFrame:
     t = core._turns(spark, sf_dir)
-    rows = se.findings(bh.conflict_candidates(t, ad.EVENTS), _changes(spark, sf_dir), se.dyadic_regimes(_signals(spark, sf_dir)))
-    return rows.groupBy("conversation_id", "kind").agg(F.count("*").alias("n"), F.min("start_us").alias("first_us"), F.max("end_us").alias("last_us"))
+    return se.findings(bh.conflict_candidates(t, ad.EVENTS), _changes(spark, sf_dir), se.dyadic_regimes(_signals(spark, sf_dir)))
+
+
+PIVOTED = {"message_count": True, "initiations": True, "median_response_latency_seconds": False}
 
 
 def daily_pivot(spark, sf_dir: str) -> DataFrame:
-    daily = _series(spark, sf_dir, "day").where("participant_id IN (0, 1, 2, 3)")
-    return rd.daily_pivot(daily, "message_count", (0, 1, 2, 3)).withColumn("period_start", F.col("period_start").cast("string"))
+    rows = rd.daily_pivot(_series(spark, sf_dir, "day"), PIVOTED)
+    return rows.withColumns({"period_start": F.col("period_start").cast("string"), **{c: fixed(F.col(c), 3) for c in rows.columns if c.startswith("median_")}})
 
 
 def candidate_rows(spark, sf_dir: str) -> DataFrame:
@@ -108,18 +112,55 @@ def _unpivot(metrics: dict[str, str]) -> str:
 
 
 def _z(frame: str) -> str:
-    return f"""h0 AS (SELECT *, list(y) OVER w AS hl FROM lg WHERE y IS NOT NULL WINDOW w AS (PARTITION BY conversation_id, participant_id, metric ORDER BY d ROWS BETWEEN {frame} PRECEDING AND 1 PRECEDING)),
-h AS (SELECT *, coalesce(len(hl), 0) AS n, list_aggregate(hl, 'median') AS c, list_aggregate(hl, 'mad') AS m, list_aggregate(hl, 'stddev_pop') AS s FROM h0),
+    """Medians and deviations step by step as the operators take them."""
+    median = "({0}[(len({0}) + 1) // 2] + {0}[len({0}) // 2 + 1]) / 2".format
+    return f"""h0 AS (SELECT *, coalesce(list(y) OVER w, []) AS hl FROM lg WHERE y IS NOT NULL WINDOW w AS (PARTITION BY conversation_id, participant_id, metric ORDER BY d ROWS BETWEEN {frame} PRECEDING AND 1 PRECEDING)),
+h1 AS (SELECT *, len(hl) AS n, list_sort(hl) AS hs, list_sum(hl) / len(hl) AS mean FROM h0),
+h2 AS (SELECT *, CASE WHEN n > 0 THEN {median('hs')} END AS c, sqrt(list_sum(list_transform(hl, lambda x: (x - mean) * (x - mean))) / n) AS s FROM h1),
+h3 AS (SELECT *, list_sort(list_transform(hl, lambda x: abs(x - c))) AS ds FROM h2), h AS (SELECT *, CASE WHEN n > 0 THEN {median('ds')} END AS m FROM h3),
 z AS (SELECT *, CASE WHEN m > 0 THEN 0.67448975::DOUBLE * (y - c) / m WHEN s > 0 THEN (y - c) / s ELSE (y - c) / greatest(1.0::DOUBLE, 0.1::DOUBLE * abs(c)) END AS z FROM h)"""
 
 
+_PARTS = ", ".join(f"max({sql_fixed('sc', 6)}) FILTER (WHERE metric = '{m}') AS {n}" for n, m, _ in se.SIGNALS)
+_NAME = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{n}'" for n, m, _ in se.SIGNALS) + " END"
+_NINE = {**{m: m for m in _COUNTS}, "median_response_latency_seconds": "lat", "median_response_effort_ratio": "eff"}
 _WEEK = sql_series("week", ad.SQL_SPARSE, ad.EVENTS)
 _SIGNAL_SQL = f"""{_WEEK}, lg AS ({_unpivot({'message_count': 'message_count', 'initiations': 'initiations', 'median_response_latency_seconds': 'lat', 'median_response_effort_ratio': 'eff', 'question_count': 'question_count', 'affection_marker_count': 'affection_marker_count'})}),
 {_z('UNBOUNDED')},
-sg AS (SELECT *, CASE metric WHEN 'message_count' THEN 0.25 WHEN 'initiations' THEN 0.2 WHEN 'median_response_latency_seconds' THEN 0.2 WHEN 'median_response_effort_ratio' THEN 0.15 ELSE 0.1 END::DOUBLE AS w, greatest(-2.5::DOUBLE, least(2.5::DOUBLE, z * CASE metric WHEN 'median_response_latency_seconds' THEN -1 ELSE 1 END)) * 40 AS sc FROM z WHERE n >= 2),
-sig AS (SELECT conversation_id, participant_id, d, any_value(e) AS e, sum(w * sc) / sum(w) AS score, count(*) AS components, any_value(ids) AS ids FROM sg GROUP BY 1, 2, 3),
+sg AS (SELECT *, CASE metric WHEN 'message_count' THEN 0.25 WHEN 'initiations' THEN 0.2 WHEN 'median_response_latency_seconds' THEN 0.2 WHEN 'median_response_effort_ratio' THEN 0.15 ELSE 0.1 END::DOUBLE AS w, greatest(-2.5::DOUBLE, least(2.5::DOUBLE, z * CASE metric WHEN 'median_response_latency_seconds' THEN -1 ELSE 1 END)) * 100 / 2.5::DOUBLE AS sc, {_NAME} AS name FROM z WHERE n >= 2),
+sig AS (SELECT conversation_id, participant_id, d, any_value(e) AS e, list_sum(list(w * sc ORDER BY name)) / list_sum(list(w ORDER BY name)) AS score, {_PARTS}, any_value(ids) AS ids FROM sg GROUP BY 1, 2, 3),
 sgn AS (SELECT *, CASE WHEN score >= 10 THEN 'increase' WHEN score <= -10 THEN 'decrease' ELSE 'stable' END AS direction FROM sig)"""
 
+
+
+def _slopes_sql(kind: str, size: int) -> str:
+    return f"""WITH {sql_series(kind, ad.SQL_ORDERS, ad.ORDERS).removeprefix('WITH ')}, n AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, participant_id ORDER BY d DESC) AS back FROM ser), k AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, participant_id ORDER BY d) - 1 AS x FROM n WHERE back <= {size}),
+  lg AS ({_unpivot(_NINE).replace(' AS metric,', ' AS metric, x,').replace('FROM ser', 'FROM k')}),
+  g AS (SELECT conversation_id, participant_id, metric, count(*) AS window_periods, min(d) AS a, max(e) AS b, arg_min(y, x) AS f, arg_max(y, x) AS l, regr_slope(y, x) AS sl, greatest(1, median(abs(y))) AS sc FROM lg WHERE y IS NOT NULL GROUP BY 1, 2, 3)
+  SELECT conversation_id, participant_id, '{kind}' AS period_kind, metric, window_periods, a::VARCHAR AS period_start, b::VARCHAR AS period_end, {sql_fixed('f', 3)} AS first_value, {sql_fixed('l', 3)} AS last_value, {sql_fixed('sl', 9)} AS slope_per_period, {sql_fixed('sl / sc', 9)} AS normalized_slope,
+  CASE WHEN f <> 0 THEN {sql_fixed('(l - f) / abs(f)', 9)} END AS percent_change, CASE WHEN sl / sc >= 0.05 THEN 'increasing' WHEN sl / sc <= -0.05 THEN 'decreasing' ELSE 'stable' END AS direction FROM g WHERE window_periods >= 4 AND sl IS NOT NULL"""
+
+
+_CHANGES = f"""{sql_series('day', ad.SQL_SPARSE, ad.EVENTS)}, lg AS ({_unpivot(_NINE)}), {_z('28')}
+  SELECT conversation_id, participant_id, d::VARCHAR AS period_date, metric, {sql_fixed('c', 3)} AS baseline, {sql_fixed('y', 3)} AS value, {sql_fixed('z', 6)} AS z_score, CASE WHEN z > 0 THEN 'increasing' ELSE 'decreasing' END AS direction, array_to_string(ids, ',') AS source_message_ids FROM z WHERE n >= 7 AND round(abs(z), 9) >= 2.5"""
+_REGIMES = f"""{_SIGNAL_SQL}, p AS (SELECT conversation_id, d, max(e) AS e, list(participant_id ORDER BY participant_id) AS w, list(direction ORDER BY participant_id) AS di, list({sql_fixed('score', 6)} ORDER BY participant_id) AS ss, list_sort(list(direction)) AS b, list_sort(list_distinct(flatten(list(ids)))) AS ids FROM sgn GROUP BY 1, 2 HAVING count(*) = 2)
+  SELECT conversation_id, d::VARCHAR AS period_start, e::VARCHAR AS period_end, w[1] AS participant_a_id, di[1] AS participant_a_direction, ss[1] AS participant_a_score, w[2] AS participant_b_id, di[2] AS participant_b_direction, ss[2] AS participant_b_score, CASE array_to_string(b, '/') WHEN 'increase/increase' THEN 'mutual_approach' WHEN 'decrease/decrease' THEN 'mutual_withdrawal'
+  WHEN 'decrease/increase' THEN 'opposing_directions' WHEN 'increase/stable' THEN 'one_sided_increase' WHEN 'decrease/stable' THEN 'one_sided_decrease' ELSE 'stable_or_mixed' END AS regime_type, array_to_string(ids, ',') AS source_message_ids FROM p"""
+_FINDINGS = f"""SELECT 'event:' || conversation_id || ':' || session_no AS finding_id, event_type AS kind, conversation_id, start_us, end_us, score::DOUBLE AS score FROM ({core.ORACLES['conflict_candidates']})
+  UNION ALL SELECT 'change:' || conversation_id || ':' || participant_id || ':' || metric || ':' || period_date, 'change_point', conversation_id, epoch_us(period_date::TIMESTAMP), epoch_us(period_date::TIMESTAMP) + 86399999999, abs(z_score) FROM ({_CHANGES})
+  UNION ALL SELECT 'regime:' || conversation_id || ':' || period_start, 'regime:' || regime_type, conversation_id, epoch_us(period_start::TIMESTAMP), epoch_us(period_end::TIMESTAMP) + 86399999999, greatest(abs(participant_a_score), abs(participant_b_score)) FROM ({_REGIMES}) WHERE regime_type <> 'stable_or_mixed'"""
+
+
+def _pivot_sql() -> str:
+    columns = []
+    for m, counts in PIVOTED.items():
+        c = {"median_response_latency_seconds": "lat"}.get(m, m)
+        for i in (1, 2, 3):
+            name = f"{m}_{i}" if i < 3 else f"{m}_more"
+            columns.append(f"coalesce(sum({c}) FILTER (WHERE r = {i}), 0)::BIGINT AS {name}" if counts else f"{sql_fixed(f'arg_min({c}, participant_id) FILTER (WHERE r = {i} AND {c} IS NOT NULL)', 3)} AS {name}")
+    return f"{sql_series('day', ad.SQL_SPARSE, ad.EVENTS)}, pr AS (SELECT *, least(dense_rank() OVER (PARTITION BY conversation_id ORDER BY participant_id), 3) AS r FROM ser) SELECT conversation_id, d::VARCHAR AS period_start, {', '.join(columns)} FROM pr GROUP BY 1, 2"
+
+
 QUERIES = {
     "daily_metrics": lambda s, d: _shown(_series(s, d, "day")), "weekly_metrics": lambda s, d: _shown(_series(s, d, "week")), "monthly_metrics": lambda s, d: _shown(_series(s, d, "month", ad.orders, ad.ORDERS)),
     "change_points": change_points, "engagement_signals": engagement_signals, "dyadic_regimes": dyadic_regimes, "trend_slopes": trend_slopes, "findings_union": findings_union, "daily_pivot": daily_pivot, "candidate_merge": candidate_merge,
@@ -128,15 +169,10 @@ ORACLES = {
     "daily_metrics": _series_sql("day", ad.SQL_SPARSE, ad.EVENTS),
     "weekly_metrics": _series_sql("week", ad.SQL_SPARSE, ad.EVENTS),
     "monthly_metrics": _series_sql("month", ad.SQL_ORDERS, ad.ORDERS),
-    "change_points": f"""{sql_series('day', ad.SQL_SPARSE, ad.EVENTS)}, lg AS ({_unpivot({m: m for m in _COUNTS})}), {_z('28')}
-  SELECT conversation_id, participant_id, d::VARCHAR AS period_date, metric, c AS baseline, y AS value, round(round(z, 6) + 0.00001::DOUBLE, 3) AS z_score, CASE WHEN z > 0 THEN 'increasing' ELSE 'decreasing' END AS direction, array_to_string(ids, ',') AS source_message_ids FROM z WHERE n >= 7 AND round(abs(z), 9) >= 2.5""",
-    "engagement_signals": f"{_SIGNAL_SQL} SELECT conversation_id, participant_id, d::VARCHAR AS period_start, round(score, 2) AS score, direction, components FROM sgn",
-    "dyadic_regimes": f"""{_SIGNAL_SQL}, p AS (SELECT conversation_id, d, max(e) AS e, list(participant_id ORDER BY participant_id) AS w, list(direction ORDER BY participant_id) AS di, list_sort(list(direction)) AS b, len(list_distinct(flatten(list(ids)))) AS evidence FROM sgn GROUP BY 1, 2 HAVING count(*) = 2)
-  SELECT conversation_id, d::VARCHAR AS period_start, e::VARCHAR AS period_end, w[1] AS participant_a_id, di[1] AS participant_a_direction, w[2] AS participant_b_id, di[2] AS participant_b_direction, CASE array_to_string(b, '/') WHEN 'increase/increase' THEN 'mutual_approach' WHEN 'decrease/decrease' THEN 'mutual_withdrawal'
-  WHEN 'decrease/increase' THEN 'opposing_directions' WHEN 'increase/stable' THEN 'one_sided_increase' WHEN 'decrease/stable' THEN 'one_sided_decrease' ELSE 'stable_or_mixed' END AS regime_type, evidence FROM p""",
-    "trend_slopes": f"""{sql_series('month', ad.SQL_ORDERS, ad.ORDERS)}, n AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, participant_id ORDER BY d DESC) AS back FROM ser), k AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, participant_id ORDER BY d) - 1 AS x FROM n WHERE back <= 6),
-  lg AS ({_unpivot({**{m: m for m in _COUNTS}, 'median_response_latency_seconds': 'lat', 'median_response_effort_ratio': 'eff'}).replace(' AS metric,', ' AS metric, x,').replace('FROM ser', 'FROM k')}),
-  g AS (SELECT conversation_id, participant_id, metric, count(*) AS window_periods, min(d) AS a, max(e) AS b, arg_min(y, x) AS f, arg_max(y, x) AS l, regr_slope(y, x) AS sl, greatest(1, median(abs(y))) AS sc FROM lg WHERE y IS NOT NULL GROUP BY 1, 2, 3)
-  SELECT conversation_id, participant_id, 'month' AS period_kind, metric, window_periods, a::VARCHAR AS period_start, b::VARCHAR AS period_end, round(f, 3) AS first_value, round(l, 3) AS last_value, round(sl, 3) AS slope_per_period, CASE WHEN sl / sc >= 0.05 THEN 'increasing' WHEN sl / sc <= -0.05 THEN 'decreasing' ELSE 'stable' END AS direction FROM g WHERE window_periods >= 4""",
-    "daily_pivot": f"""{sql_series('day', ad.SQL_SPARSE, ad.EVENTS)} SELECT conversation_id, d::VARCHAR AS period_start, {', '.join(f"coalesce(sum(message_count) FILTER (WHERE participant_id = {i}), 0)::BIGINT AS p{i}" for i in range(4))} FROM ser WHERE participant_id IN (0, 1, 2, 3) GROUP BY 1, 2""",
+    "change_points": _CHANGES,
+    "engagement_signals": f"{_SIGNAL_SQL} SELECT conversation_id, participant_id, d::VARCHAR AS period_start, {sql_fixed('score', 6)} AS score, direction, {', '.join(n for n, _, _ in se.SIGNALS)} FROM sgn",
+    "dyadic_regimes": _REGIMES,
+    "trend_slopes": f"SELECT * FROM ({_slopes_sql('week', 8)}) UNION ALL SELECT * FROM ({_slopes_sql('month', 6)})",
+    "findings_union": _FINDINGS,
+    "daily_pivot": _pivot_sql(),
 }
