@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,22 +11,32 @@ from ..config import DEFAULT, Config
 from ..functions import text as tx
 
 
-def _ngrams(config: Config, normalize: bool) -> tuple[Column, Column]:
-    """Tokens of text, and of tokens all n-grams that may be topics, as structs of n and phrase."""
-    words = tx.tokens(F.col("text"), normalize)
-    stop = F.array(*[F.lit(w) for w in config.stopwords])
-    content = lambda g: F.filter(g, lambda t: ~F.array_contains(stop, t))
+#: Bits of a token's flags: a stopword, a content word with a letter, a content word that is too short.
+STOP, LETTER, SHORT = 1, 2, 4
+
+
+def _flagged(rows: DataFrame, config: Config, normalize: bool) -> DataFrame:
+    """Adds _tokens of text and _flags, what has to be known of each token, found once."""
+    has = lambda t, pattern, bit: F.when(t.rlike(pattern), bit).otherwise(0)
+    content = lambda t: has(t, r"\p{L}", LETTER) + F.when((F.length(t) < config.topic_min_token) & ~t.rlike(r"\p{N}"), SHORT).otherwise(0)
+    flag = lambda t: F.when(t.isin(*config.stopwords), STOP).otherwise(content(t))
+    return rows.withColumn("_tokens", tx.tokens(F.col("text"), normalize)).withColumn("_flags", F.transform("_tokens", flag))
+
+
+def _ngrams(config: Config) -> Column:
+    """All n-grams of _tokens that may be topics, as structs of n and phrase: no stopword at either end, a letter in some
+    content word, and none of these too short."""
 
     def of(n: int) -> Column:
-        grams = F.when(F.size("_tokens") >= n, F.transform(F.sequence(F.lit(1), F.size("_tokens") - (n - 1)), lambda i: F.slice("_tokens", i, n))).otherwise(F.array().cast("array<array<string>>"))
-        valid = F.filter(
-            grams,
-            lambda g: ~F.array_contains(stop, g[0]) & ~F.array_contains(stop, F.element_at(g, -1)) & (F.size(content(g)) > 0) & F.exists(content(g), lambda t: t.rlike(r"\p{L}"))
-            & F.forall(content(g), lambda t: (F.length(t) >= config.topic_min_token) | t.rlike(r"\p{N}")),
-        )
-        return F.transform(valid, lambda g: F.struct(F.lit(n).alias("n"), F.array_join(g, " ").alias("phrase")))
+        def valid(i: Column) -> Column:
+            flags = [F.get("_flags", i + k) for k in range(n)]
+            together = reduce(lambda a, b: a.bitwiseOR(b), flags)
+            return (flags[0].bitwiseOR(flags[-1]).bitwiseAND(STOP) == 0) & (together.bitwiseAND(LETTER | SHORT) == LETTER)
+
+        starts = F.when(F.size("_flags") >= n, F.sequence(F.lit(0), F.size("_flags") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(starts, valid), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("_tokens", i + 1, n), " ").alias("phrase")))
 
-    return words, F.flatten(F.array(*[of(n) for n in range(config.topic_min_n, config.topic_max_n + 1)]))
+    return F.flatten(F.array(*[of(n) for n in range(config.topic_min_n, config.topic_max_n + 1)]))
 
 
 def topic_tokens(messages: DataFrame, normalize: bool = True) -> DataFrame:
@@ -34,9 +46,8 @@ def topic_tokens(messages: DataFrame, normalize: bool = True) -> DataFrame:
 
 def phrase_counts(processed: DataFrame, config: Config = DEFAULT, normalize: bool = True) -> DataFrame:
     """Occurrences of each n-gram in each message."""
-    words, grams = _ngrams(config, normalize)
-    rows = processed.select("conversation_id", "message_id", "sender_id", "period_date", words.alias("_tokens"))
-    return rows.select("conversation_id", "message_id", "sender_id", "period_date", F.explode(grams).alias("g")).groupBy("conversation_id", "message_id", "sender_id", "period_date", "g.n", "g.phrase").agg(F.count("*").alias("occurrences"))
+    rows = _flagged(processed.select("conversation_id", "message_id", "sender_id", "period_date", "text"), config, normalize)
+    return rows.select("conversation_id", "message_id", "sender_id", "period_date", F.explode(_ngrams(config)).alias("g")).groupBy("conversation_id", "message_id", "sender_id", "period_date", "g.n", "g.phrase").agg(F.count("*").alias("occurrences"))
 
 
 def topic_candidates(processed: DataFrame, config: Config = DEFAULT, normalize: bool = True) -> DataFrame:
