@@ -15,10 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Code points that end a sentence, with closing quotes or brackets behind them.
-LINE_END = r"[.!?…。！？:;][\"'”’»)\]]*$"
-#: Between the links of a menu: blanks around a bar, a bullet or an arrow.
-LINK_SEPARATOR = r"\s[|•·»›>]\s|\s[|•·»›>]$"
+#: White space within a line; a line's end is looked at without it, so that line feeds and carriage returns are one.
+SPACE = " \t\r\x0b\x0c"
+#: Code points that end a sentence, and quotes and brackets that may close behind them.
+ENDS = ".!?…。！？:;"
+CLOSERS = "\"'”’»)]"
+#: Between the links of a menu: blanks around a bar, a bullet or an arrow, which may end the line.
+LINK_SEPARATOR = r"[ \t\r\x0B\f][|•·»›>](?:[ \t\r\x0B\f]|\z)"
 #: What pages repeat about themselves.
 BOILERPLATE = (
     r"all cookies|cookie policy|cookie settings|uses cookies|privacy policy|terms of use|terms of service|enable javascript|"
@@ -39,7 +42,11 @@ class QualityRules:
     #: if it has so many words of two letters or more and over this percent of them are in capitals,
     shout_words: int = 4
     max_shout_percent: int = 60
-    #: or if it has so many words and doesn't end as a sentence does, unless it ends with a digit or is the last line.
+    #: if it holds phrases that pages repeat about themselves, and no more than so many words for each of them (a long
+    #: paragraph that names a privacy policy once is no boilerplate),
+    boilerplate_words: int = 60
+    #: or if it has so many words and doesn't end as a sentence does, unless it ends with a digit or is the last line with
+    #: a word.
     unended_words: int = 12
     #: Percent of the words that a document may lose with its lines.
     max_lost_percent: int = 50
@@ -59,21 +66,23 @@ def _joined(left: str, right: str, step: Column) -> Column:
     return F.zip_with(F.slice(left, 1, n), F.slice(right, step + 1, n), lambda a, b: F.xxhash64(a, b))
 
 
-def line_verdict(line: Column, rules: QualityRules = QualityRules()) -> Column:
-    """Why a line fails: null if it doesn't. Lines without a word never fail."""
+def line_verdict(line: Column, last: Column, rules: QualityRules = QualityRules()) -> Column:
+    """Why a line fails: null if it doesn't. Lines without a word never fail, the last one that has any not for its end."""
     n = _n_words(line)
     symbols = F.regexp_count(line, F.lit(r"[#*$%&|<>]+"))
     letters = F.regexp_count(line, F.lit(r"\p{L}{2,}"))
     shouts = F.regexp_count(line, F.lit(r"(?<!\p{L})\p{Lu}{2,}(?!\p{L})"))
-    end = F.right(F.rtrim(line), F.lit(4))
+    bare = F.rtrim(line, F.lit(SPACE))
+    ended = F.contains(F.lit(ENDS), F.right(F.rtrim(bare, F.lit(CLOSERS)), F.lit(1))) & (F.rtrim(bare, F.lit(CLOSERS)) != "")
+    phrases = F.regexp_count(F.lower(line), F.lit(BOILERPLATE))
     # The cheap tests that most lines don't pass stand before the dear ones.
     return (
         F.when(~line.rlike(r"[^\x20\x09-\x0D]"), None)
-        .when(F.regexp_count(line, F.lit(LINK_SEPARATOR)) >= rules.nav_separators, "navigation")
+        .when(F.regexp_count(bare, F.lit(LINK_SEPARATOR)) >= rules.nav_separators, "navigation")
         .when((symbols > 1) & (symbols * 100 > n * rules.max_symbol_percent), "symbols")
         .when(line.rlike(r"\p{Lu}\p{Lu}[^\p{Ll}]{0,3}\p{Lu}") & (letters >= rules.shout_words) & (shouts * 100 > letters * rules.max_shout_percent), "shouting")
-        .when((F.length(line) < 500) & F.lower(line).rlike(BOILERPLATE), "boilerplate")
-        .when(~end.rlike(LINE_END) & ~end.rlike(r"\d$") & (n >= rules.unended_words), "punctuation")
+        .when((phrases > 0) & (n <= phrases * rules.boilerplate_words), "boilerplate")
+        .when(~last & ~ended & ~F.right(bare, F.lit(1)).rlike("[0-9]") & (n >= rules.unended_words), "punctuation")
     )
 
 
@@ -86,7 +95,8 @@ def judge(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRule
     w = rules.window_words
 
     # Steps that a later step reads more than once are columns of their own, so that each is computed once.
-    first = docs.select(*passed, t.alias("_t"), F.split(t, "\n").alias("_lines"), _words(t).alias("_words"))
+    last = F.length(F.regexp_replace(F.rtrim(t, F.lit(SPACE + "\n")), r"[^\n]+", ""))
+    first = docs.select(*passed, t.alias("_t"), F.split(t, "\n").alias("_lines"), last.alias("_last"), _words(t).alias("_words"))
     # Hashes of one word, then of windows twice as long or a word longer, until they are w words long.
     hashed = first.withColumn("_hashes", F.transform("_words", lambda x: F.xxhash64(x))).withColumn("_one", F.col("_hashes"))
     for bit in bin(w)[3:]:
@@ -98,7 +108,7 @@ def judge(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRule
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.filter("_lines", lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "").alias("_worded"),
-        F.transform("_lines", lambda x: F.struct(x.alias("line"), line_verdict(x, rules).alias("why"))).alias("_judged"),
+        F.transform("_lines", lambda x, i: F.struct(x.alias("line"), line_verdict(x, i == F.col("_last"), rules).alias("why"))).alias("_judged"),
     )
     # Only where some window occurs twice are the windows sorted by hash, so that equal ones are neighbours.
     ordered = F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
@@ -149,15 +159,15 @@ w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_f
 win AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM w WHERE len(ws) >= 8)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, sum(least(8, i - p)) AS n FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -7) AS p FROM rep) GROUP BY doc_id),
-lines AS (SELECT doc_id, unnest(ls) AS l FROM w),
-feat AS (SELECT doc_id, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
-  len(regexp_extract_all(l, '\s[|•·»›>]\s|\s[|•·»›>]$')) AS nav,
+lines AS (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) = len(ls) AS last, unnest(list_transform(ls, lambda x: rtrim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS bare FROM w),
+feat AS (SELECT doc_id, l, last, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
+  len(regexp_extract_all(bare, '[ \t\r\x0B\f][|•·»›>](?:[ \t\r\x0B\f]|\z)')) AS nav,
   len(regexp_extract_all(l, '[#*$%&|<>]+')) AS sym,
   len(regexp_extract_all(l, '\p{L}{2,}')) AS letters,
   len(list_filter(regexp_extract_all(l, '\p{L}+'), lambda x: regexp_full_match(x, '\p{Lu}{2,}'))) AS shout, regexp_matches(l, '\p{Lu}\p{Lu}[^\p{Ll}]{0,3}\p{Lu}') AS loud,
-  length(l) < 500 AND regexp_matches(lower(l), 'all cookies|cookie policy|cookie settings|uses cookies|privacy policy|terms of use|terms of service|enable javascript|sign in to|sign up for|log in to|click here to|subscribe to our|skip to content|skip to main content|lorem ipsum') AS boil,
-  regexp_matches(rtrim(l), '[.!?…。！？:;]["''”’»)\]]*$') AS ended, regexp_matches(rtrim(l), '\d$') AS digit FROM lines),
-lost AS (SELECT doc_id, sum(n) AS n FROM feat WHERE nav >= 2 OR (sym > 1 AND sym * 100 > n * 40) OR (loud AND letters >= 4 AND shout * 100 > letters * 60) OR boil OR (n >= 12 AND NOT ended AND NOT digit) GROUP BY doc_id),
+  len(regexp_extract_all(lower(l), 'all cookies|cookie policy|cookie settings|uses cookies|privacy policy|terms of use|terms of service|enable javascript|sign in to|sign up for|log in to|click here to|subscribe to our|skip to content|skip to main content|lorem ipsum')) AS boil,
+  regexp_matches(bare, '[.!?…。！？:;]["''”’»)\]]*\z') AS ended, regexp_matches(bare, '[0-9]\z') AS digit FROM lines),
+lost AS (SELECT doc_id, sum(n) AS n FROM feat WHERE nav >= 2 OR (sym > 1 AND sym * 100 > n * 40) OR (loud AND letters >= 4 AND shout * 100 > letters * 60) OR (boil > 0 AND n <= 60 * boil) OR (n >= 12 AND NOT last AND NOT ended AND NOT digit) GROUP BY doc_id),
 f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_lost_words
   FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN lost USING (doc_id)),
