@@ -41,15 +41,15 @@ def escape_role(c: Column) -> Column:
     return F.replace(F.replace(escape(c), F.lit("\n"), F.lit("\\n")), F.lit(":"), F.lit("\\c"))
 
 
-def fold(log: DataFrame) -> DataFrame:
+def fold(log: DataFrame, dealt: bool = False) -> DataFrame:
     """The final messages of a log with the columns of LOG: conv_id, message_id, position (from 1), role, text.
 
-    All steps keep the partitioning by conversation: one exchange.
+    All steps keep the partitioning by conversation: one exchange, or none if the log has been dealt by it.
     """
-    events = log.select(
+    events = (log if dealt else log.repartition("conv_id")).select(
         "conv_id", "seq", "message_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         F.when(F.col("event").isin("delta", "edit", "regenerate"), F.col("event")).otherwise("message").alias("event"),
-    ).repartition("conv_id")
+    )
     of_message = Window.partitionBy("conv_id", "message_id").orderBy("seq", "event", "role", "text")
     first = Window.partitionBy("conv_id", "message_id")
     # A message's events since the last one that set or emptied it; n counts those resets from the front.
@@ -94,11 +94,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     hard = r"\### Assistant: </turn> ok"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
-    # Rows that share a turn stay turns of their own: the message is the turn with the row's role and text.
-    log = turns.unionByName(own).groupBy("conv_id", "turn", "role", "text").count()
-    log = log.select("conv_id", F.col("turn").alias("seq"), F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("again"), "role", "text")
-    log = log.select("conv_id", "seq", F.struct("seq", F.coalesce("role", F.lit("")).alias("role"), F.xxhash64("text").alias("h"), "again").alias("message_id"), F.lit("message").alias("event"), "role", "text")
-    back = read_back(render(fold(log)))
+    # Rows that share a turn stay turns of their own, in the order of their roles and texts: each row is a message.
+    order = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    log = turns.unionByName(own).repartition("conv_id").withColumn("message_id", F.row_number().over(order))
+    log = log.select("conv_id", F.col("turn").alias("seq"), "message_id", F.lit("message").alias("event"), "role", "text")
+    back = read_back(render(fold(log, dealt=True)))
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
     loss = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.array_join("loss_texts", "").alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return loss.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
@@ -109,9 +109,9 @@ OP1_SQL = r"""
 WITH c AS (SELECT conv_id::BIGINT AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
 e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\h\h\h'), '</turn>', '\l/turn>') AS body, replace(replace(replace(replace(replace(role, '\', '\\'), '###', '\h\h\h'), '</turn>', '\l/turn>'), chr(10), '\n'), ':', '\c') AS head FROM c)
-SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(4 + length(head) + 2 + length(body) + 8)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
