@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: A table of so many sources at most is broadcast; beyond that it is joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 #: Numbers in [0, 1) are so many hashed bits, exact in a double.
@@ -43,7 +45,8 @@ def hashed_unit(*parts: Column | str) -> Column:
 
 def source_rates(docs: DataFrame, source: str, size: Column, target: MixTarget) -> DataFrame:
     """Per source its size, its rate, and the cumulated Poisson probabilities from 0 up to where they reach 1."""
-    sizes = docs.groupBy(F.col(source).alias("_source")).agg(F.sum(size).alias("_size"))
+    # A row for each source, read three times: a table, so that the documents are read for it once.
+    sizes = materialize(docs.groupBy(F.col(source).alias("_source")).agg(F.sum(size).alias("_size")), "source-sizes")
     if target.weights is None:
         weight = F.pow(F.col("_size").cast("double"), F.lit(target.exponent))
     else:
@@ -97,8 +100,8 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in DuckDB.
 OP4_SQL = """
 WITH s AS (SELECT source, sum(length(coalesce(text, '')))::BIGINT AS size FROM documents GROUP BY source),
-r AS (SELECT source, CASE WHEN size = 0 THEN 1.0::DOUBLE ELSE round(least(4.0::DOUBLE, pow(size::DOUBLE, 0.5::DOUBLE) / (SELECT sum(pow(size::DOUBLE, 0.5::DOUBLE)) FROM s) * (SELECT sum(size)::DOUBLE FROM s) / size::DOUBLE), 9) END AS rate FROM s),
-p AS (SELECT source, rate, k, CASE WHEN k = 0 THEN exp(-rate) ELSE exp(-rate + k * ln(rate) - lgamma(k + 1)) END AS p FROM r, range(0, 53) AS t(k)),
+r AS (SELECT source, CASE WHEN size = 0 THEN 1.0::DOUBLE ELSE round(pow(size::DOUBLE, 0.5::DOUBLE) / (SELECT sum(pow(size::DOUBLE, 0.5::DOUBLE)) FROM s) * (SELECT sum(size)::DOUBLE FROM s) / size::DOUBLE, 9) END AS rate FROM s),
+p AS (SELECT source, rate, k, CASE WHEN k = 0 THEN exp(-rate) ELSE exp(-rate + k * ln(rate) - lgamma(k + 1)) END AS p FROM r JOIN range(0, (SELECT ceil(max(rate) + 12 * sqrt(max(rate)) + 25)::BIGINT FROM r)) AS t(k) ON k <= rate + 12 * sqrt(rate) + 24),
 c AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
 u AS (SELECT *, ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
 n AS (SELECT u.doc_id, u.source, u.text, any_value(c.rate) AS rate, count(*) FILTER (WHERE c.cdf <= u.u)::INTEGER AS n_copies FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY u.doc_id, u.source, u.text, u.u)
