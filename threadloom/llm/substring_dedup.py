@@ -3,13 +3,14 @@
 Windows of `length` bytes are not compared one by one. Each has an anchor, the leftmost of its grams of `gram` bytes with
 the smallest hash; equal windows have equal anchors in equal places, so that only windows of one anchor are compared.
 An anchor's occurrence comes with its context, the bytes of all windows it is the anchor of. Equal contexts are counted
-with map-side combining and are repeats as a whole; one of them stands for all. The different contexts of an anchor go
-to one task, which sorts them by what follows the anchor (a suffix array sampled at anchors), computes the longest common
-prefixes of neighbours, and scans these with a stack for the tree of common-prefix intervals. Within each interval the
-occurrences are told apart by what stands before the anchor: those that agree in enough bytes on both sides are a
-repeat, with all its occurrences. Anchors with more contexts than a task may hold are first split by halving the range of
-windows: a half's windows share a core of bytes, contexts go on only with others of an equal core, and where one window
-is left, equal cores are repeats without any comparison.
+with map-side combining; one of them stands for all, and if there are two it is a repeat as a whole. The different contexts
+of an anchor go to one task, which sorts them by what follows the anchor (a suffix array sampled at anchors), computes the
+longest common prefixes of neighbours, and scans these with a stack for the tree of common-prefix intervals. Within each
+interval the contexts are put in order of what stands before the anchor, and the tree of that order tells which agree in
+how many bytes there: the sets that can't grow on either side are the maximal repeats, with all contexts that hold them
+(`repeat_groups`). What is removed is what these cover; `maximal_repeats` returns them with all their occurrences. Anchors
+with more contexts than a task may hold are first split by halving the range of windows: a half's windows share a core of
+bytes, contexts go on only with others of an equal core, and where one window is left, equal cores are a repeat.
 
 Defined results: a null or empty text has no bytes and nothing removed; texts are taken whole, as UTF-8; repeated rows
 are copies of each other, so that both lose what is long enough; rows with a null doc_id count like any; extra columns
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SpanHash, materialize, mix, signed, text_slices
@@ -36,8 +37,8 @@ PAD = 0xFF  # in no UTF-8 text
 class SubstringConfig:
     length: int = 400
     gram: int = 64
-    #: Contexts of one anchor that a task holds at most.
-    contexts: int = 20_000
+    #: Contexts of one anchor that are compared in one task; anchors with more are split first. Results don't hang on it.
+    contexts: int = 1_000
     #: Contexts that a task sorts at once, about.
     chunk: int = 8_000
 
@@ -136,8 +137,18 @@ def intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def repeats(parts: list[bytes], before: np.ndarray, config: SubstringConfig) -> list[list[tuple[int, int]]]:
-    """For each context the ranges of windows, by their start from its anchor, that another context has too."""
+#: A maximal repeat among contexts of one anchor: bytes before the anchor, bytes from it on, and the contexts that hold it.
+Group = tuple[int, int, np.ndarray]
+
+
+def repeat_groups(parts: list[bytes], before: np.ndarray, config: SubstringConfig) -> list[Group]:
+    """The maximal repeats of `length` bytes and more that hold the anchor, each with all contexts it occurs in.
+
+    The tree of common-prefix intervals of the array of right sides gives every set of contexts that agree in `right`
+    bytes and no more. Within an interval the contexts are put in order of what stands before the anchor, and the tree of
+    that order gives the sets that agree in `left` bytes and no more: what stands before differs (left-diverse). A set that
+    agrees in more on the right belongs to a deeper interval and is left to it (right-diverse).
+    """
     n, length = len(parts), config.length
     right = np.full((n, length), PAD, dtype=np.uint8)
     left = np.full((n, config.window), PAD, dtype=np.uint8)  # from the anchor backwards; one byte of padding at least
@@ -148,42 +159,57 @@ def repeats(parts: list[bytes], before: np.ndarray, config: SubstringConfig) ->
         left[i, :b] = x[:b][::-1]
         size[i] = len(x) - b
     array = np.argsort(right.reshape(-1).view(f"S{length}"), kind="stable")
-    rank = np.empty(n, dtype=np.int64)
+    place, rank = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    place[array] = np.arange(n)
     rank[np.argsort(left.reshape(-1).view(f"S{config.window}"), kind="stable")] = np.arange(n)
     ordered = right[array]
-    lcp = common_prefix(ordered[:-1], ordered[1:])
-    found: list[np.ndarray] = []
-    one, two, prefix, waiting = [], [], [], 0
+    # Sides that end alike agree in their padding too, which counts for nothing.
+    lcp = np.minimum(common_prefix(ordered[:-1], ordered[1:]), np.minimum(size[array[:-1]], size[array[1:]]))
+    groups: list[Group] = []
+    nodes: list[tuple[int, np.ndarray]] = []  # (right, contexts in order of their left sides)
+    waiting = 0
 
     def look() -> None:
-        """Compares the neighbours gathered so far; ranges are kept as rows of context, first and last window."""
-        x, y, r = np.concatenate(one), np.concatenate(two), np.concatenate(prefix)
-        for at in range(0, len(x), 20_000):
-            i, j = x[at : at + 20_000], y[at : at + 20_000]
-            l = np.minimum(common_prefix(left[i], left[j]), np.minimum(before[i], before[j]))  # noqa: E741
-            m = np.minimum(r[at : at + 20_000], np.minimum(size[i], size[j]))
-            hit = l + m >= length
-            lo, hi = -l[hit], m[hit] - length
-            found.append(np.unique(np.stack([np.concatenate([i[hit], j[hit]]), np.tile(lo, 2), np.tile(hi, 2)], axis=1).astype(np.int32), axis=0))
-        one.clear()
-        two.clear()
-        prefix.clear()
+        """Left sides of the nodes gathered so far: neighbours are compared together, and nodes with a repeat scanned."""
+        i, j = np.concatenate([m[:-1] for _, m in nodes]), np.concatenate([m[1:] for _, m in nodes])
+        common = np.empty(len(i), dtype=np.int64)
+        for at in range(0, len(i), 20_000):
+            x, y = i[at : at + 20_000], j[at : at + 20_000]
+            common[at : at + 20_000] = np.minimum(common_prefix(left[x], left[y]), np.minimum(before[x], before[y]))
+        at = 0
+        for r, members in nodes:
+            own = common[at : at + len(members) - 1]
+            at += len(own)
+            least = length - r
+            if not (own >= least).any():
+                continue
+            for l, first, last in intervals(own, least):  # noqa: E741
+                held = members[first : last + 1]
+                ends = place[held]
+                if len(held) == len(members) or lcp[ends.min() : ends.max()].min() == r:
+                    groups.append((l, r, held))
+        nodes.clear()
 
     for value, first, last in intervals(lcp, config.gram):
         members = array[first : last + 1]
-        members = members[np.argsort(rank[members], kind="stable")]
-        # All of them agree in `value` bytes after the anchor: neighbours by what stands before it agree in the most there.
-        one.append(members[:-1])
-        two.append(members[1:])
-        prefix.append(np.full(len(members) - 1, value))
+        nodes.append((value, members[np.argsort(rank[members], kind="stable")]))
         waiting += len(members)
         if waiting >= 100_000:
             look()
             waiting = 0
-    if one:
+    if nodes:
         look()
+    return groups
+
+
+def group_marks(groups: list[Group], n: int, config: SubstringConfig) -> list[list[tuple[int, int]]]:
+    """For each of n contexts the ranges of windows, by their start from its anchor, that lie in a repeat."""
     marks: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    for i, lo, hi in np.unique(np.concatenate(found), axis=0).tolist() if found else []:
+    if not groups:
+        return marks
+    sizes = [len(m) for _, _, m in groups]
+    rows = np.stack([np.concatenate([m for _, _, m in groups]), np.repeat([-g[0] for g in groups], sizes), np.repeat([g[1] - config.length for g in groups], sizes)], axis=1)
+    for i, lo, hi in np.unique(rows.astype(np.int32), axis=0).tolist():
         own = marks[i]  # rows are in order of context and first window
         if own and lo <= own[-1][1] + 1:
             own[-1] = (own[-1][0], max(own[-1][1], hi))
@@ -192,6 +218,11 @@ def repeats(parts: list[bytes], before: np.ndarray, config: SubstringConfig) ->
     return marks
 
 
+def repeats(parts: list[bytes], before: np.ndarray, config: SubstringConfig) -> list[list[tuple[int, int]]]:
+    """For each context the ranges of windows, by their start from its anchor, that another context has too: those of its repeats."""
+    return group_marks(repeat_groups(parts, before, config), len(parts), config)
+
+
 def merged(spans: list[tuple[int, int]], gap: int = 1) -> list[tuple[int, int]]:
     """Ranges of whole numbers, both ends in, joined where they touch."""
     out: list[list[int]] = []
@@ -205,19 +236,34 @@ def merged(spans: list[tuple[int, int]], gap: int = 1) -> list[tuple[int, int]]:
 
 MARKS = "h bigint, ctx bigint, spans array<struct<lo:int,hi:int>>"
 _MARKS = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))])
+HELD = "repeat bigint, h bigint, ctx bigint, lo int, hi int"
+_HELD = pa.schema([("repeat", pa.int64()), ("h", pa.int64()), ("ctx", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
-def compared(groups: DataFrame, config: SubstringConfig) -> DataFrame:
-    """The ranges found by comparing the contexts of each g with each other. groups: g, h, ctx, before, bytes."""
+def compared(groups: DataFrame, config: SubstringConfig, listed: bool = False) -> DataFrame:
+    """The contexts of each g compared with each other. groups: g, h, ctx, before, bytes. Returns the ranges of each context
+    that lie in repeats, or, listed, a row for each repeat (named by a hash of its bytes) and context that holds it."""
+
+    def names(groups: list[Group], rows: list[tuple]) -> list[tuple]:
+        out = []
+        for l, r, members in groups:  # noqa: E741
+            one = rows[members[0]]
+            name = int.from_bytes(hashlib.blake2b(one[4][one[3] - l : one[3] + r], digest_size=8).digest(), "little", signed=True)
+            out += [(name, rows[m][1], rows[m][2], -l, r - config.length) for m in members]
+        return out
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
             once = list({(r[1], r[2]): r for r in rows}.values())  # a context can be in two groups; it is no repeat of itself
-            found = repeats([r[4] for r in once], np.array([r[3] for r in once], dtype=np.int64), config)
-            have = [(r[1], r[2], [{"lo": a, "hi": b} for a, b in m]) for r, m in zip(once, found, strict=True) if m]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in have], t) for i, t in enumerate(_MARKS.types)], schema=_MARKS)
+            found = repeat_groups([r[4] for r in once], np.array([r[3] for r in once], dtype=np.int64), config)
+            if listed:
+                have, schema = names(found, once), _HELD
+            else:
+                marks, schema = group_marks(found, len(once), config), _MARKS
+                have = [(r[1], r[2], [{"lo": a, "hi": b} for a, b in m]) for r, m in zip(once, marks, strict=True) if m]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in have], t) for i, t in enumerate(schema.types)], schema=schema)
 
         for batch in batches:
             for r in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
@@ -228,7 +274,7 @@ def compared(groups: DataFrame, config: SubstringConfig) -> DataFrame:
         if rows:
             yield out()
 
-    return groups.select("g", "h", "ctx", "before", "bytes").repartition("g").sortWithinPartitions("g").mapInArrow(scan, MARKS)
+    return groups.select("g", "h", "ctx", "before", "bytes").repartition("g").sortWithinPartitions("g").mapInArrow(scan, HELD if listed else MARKS)
 
 
 def refined(hot: DataFrame, config: SubstringConfig) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -246,21 +292,22 @@ def refined(hot: DataFrame, config: SubstringConfig) -> tuple[list[DataFrame], l
         sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         keyed = materialize(keyed.join(sizes, "key"), "refined")
         single = keyed.where("lo = hi")
-        marks.append(single.select("h", "ctx", F.array(F.struct("lo", "hi")).alias("spans")))
+        marks.append(single.select(F.col("key").alias("repeat"), "h", "ctx", "lo", "hi"))
         groups.append(keyed.where((F.col("lo") < F.col("hi")) & (F.col("n") <= config.contexts)).select(F.col("key").alias("g"), "h", "ctx", "before", "bytes"))
         state = keyed.where((F.col("lo") < F.col("hi")) & (F.col("n") > config.contexts)).select("h", "ctx", "before", "extra", "bytes", "lo", "hi", F.col("key").alias("g"))
         if not state.limit(1).count():
             return groups, marks
 
 
-def find_spans(docs: DataFrame, config: SubstringConfig = SubstringConfig()) -> DataFrame:
-    """doc_id, th and the byte ranges (first, last) covered by repeats. docs: doc_id, th (a hash of the text), text."""
+def _held(docs: DataFrame, config: SubstringConfig, listed: bool) -> tuple[DataFrame, DataFrame]:
+    """All anchors of docs (doc_id, th, text), and what repeats hold of their contexts, as `compared` returns it."""
     found = materialize(anchors(docs, config), "anchors")
     distinct = found.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "place", "before", "extra")).alias("one"))
     groups = distinct.groupBy("h").agg(F.count("*").alias("m"), F.sum("c").alias("total"), F.min("c").alias("least")).where("total > 1")
     repeated = materialize(distinct.join(groups, "h"), "contexts")
-    marks = repeated.where("c > 1").select("h", "ctx", F.array(F.struct((-F.col("one.before")).alias("lo"), (F.col("one.extra") - F.col("one.before")).alias("hi"))).alias("spans"))
-    open_ = repeated.where("m > 1 AND least = 1")
+    # Equal contexts are one repeat as they are.
+    whole = repeated.where("c > 1").select(F.xxhash64("h", "ctx").alias("repeat"), "h", "ctx", (-F.col("one.before")).alias("lo"), (F.col("one.extra") - F.col("one.before")).alias("hi"))
+    open_ = repeated.where("m > 1" if listed else "m > 1 AND least = 1")
     parts = materialize(contexts(docs, open_.select("h", "ctx", "one.*"), config).join(open_.groupBy("h").agg(F.count("*").alias("m")), "h").dropDuplicates(["h", "ctx"]), "context-bytes")
     todo = parts.where(F.col("m") <= config.contexts).select(F.col("h").alias("g"), "h", "ctx", "before", "bytes")
     hot = parts.where(F.col("m") > config.contexts)
@@ -269,14 +316,43 @@ def find_spans(docs: DataFrame, config: SubstringConfig = SubstringConfig()) ->
         for x in more:
             todo = todo.union(x)
         for x in known:
-            marks = marks.union(x)
-    marks = materialize(marks.union(compared(todo, config)), "marks")
+            whole = whole.union(x)
+    if not listed:
+        whole = whole.select("h", "ctx", F.array(F.struct("lo", "hi")).alias("spans"))
+    return found, materialize(whole.union(compared(todo, config, listed)), "marks")
+
+
+def find_spans(docs: DataFrame, config: SubstringConfig = SubstringConfig()) -> DataFrame:
+    """doc_id, th and the byte ranges (first, last) covered by repeats. docs: doc_id, th (a hash of the text), text."""
+    found, marks = _held(docs, config, listed=False)
     spans = found.join(marks, ["h", "ctx"]).select("doc_id", "th", "place", "before", "extra", F.explode("spans").alias("s"))
     # Only windows of the occurrence's own range: both ends lie in it already, for equal contexts have equal ranges.
     cover = spans.select("doc_id", "th", (F.col("place") + F.col("s.lo")).alias("first"), (F.col("place") + F.col("s.hi") + config.length - 1).alias("last"))
     return cover.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # a text's own ranges
 
 
+def maximal_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", config: SubstringConfig = SubstringConfig()) -> DataFrame:
+    """Repeats of `length` bytes and more with all their occurrences: repeat (a hash), length, n_occurrences, doc_id, start
+    (a byte of the text). Rows with equal key and text are one text here.
+
+    Each anchor gives its own maximal repeats, which end where the anchor's contexts do. Those of anchors that follow each
+    other and occur in the same places, moved by the same bytes, are joined to one; where a part of a repeat occurs
+    elsewhere too, that part is a repeat of its own with more occurrences, and the others end at the anchors around it.
+    """
+    plain = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text").distinct()
+    found, held = _held(plain, config, listed=True)
+    occurs = materialize(held.distinct().join(found, ["h", "ctx"]).select("repeat", "doc_id", "th", (F.col("place") + F.col("lo")).alias("start"), (F.col("hi") - F.col("lo") + config.length).alias("length")).distinct(), "occurrences")
+    first = occurs.groupBy("repeat", "length").agg(F.min(F.struct("doc_id", "th", "start")).alias("f"), F.count("*").alias("n_occurrences")).where("n_occurrences > 1")
+    # The places of a repeat against its first one, as a sum that combines map-side.
+    moved = occurs.join(first, ["repeat", "length"]).groupBy("repeat", "length", "f", "n_occurrences").agg(F.sum(F.xxhash64("doc_id", "th", F.col("start") - F.col("f.start")).cast("decimal(38,0)")).alias("places"))
+    same = Window.partitionBy("f.doc_id", "f.th", "n_occurrences", "places").orderBy("f.start", "length", "repeat")
+    reach = F.max(F.col("f.start") + F.col("length")).over(same.rowsBetween(Window.unboundedPreceding, -1))
+    runs = moved.withColumn("_new", F.when(F.col("f.start") <= reach, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(same))
+    runs = runs.groupBy("f.doc_id", "f.th", "n_occurrences", "places", "_run").agg(F.min(F.struct("f.start", "length", "repeat")).alias("one"), F.max(F.col("f.start") + F.col("length")).alias("end"))
+    joined = runs.select(F.col("one.repeat").alias("repeat"), F.col("one.length").alias("length"), "n_occurrences", (F.col("end") - F.col("one.start")).alias("_whole"))
+    return joined.join(occurs, ["repeat", "length"]).select("repeat", F.col("_whole").alias("length"), "n_occurrences", "doc_id", "start")
+
+
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", config: SubstringConfig = SubstringConfig()) -> DataFrame:
     """doc_id, n_bytes, removed (array of first and last byte, both in, not touching) and kept (binary) of every row."""
     plain = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
@@ -307,7 +383,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", config: Sub
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, without what repeats anywhere for 400 bytes."""
     rows = remove(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("bigint").alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("bigint").alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("removed") > 0).alias("repeated"))
 
 
 def brute_force(texts: list[str | None], length: int) -> list[tuple[int, int, int, str]]:
