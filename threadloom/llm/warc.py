@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.canonical import dense_ids
 from .common import materialize, new_folder
 
 EPOCH = datetime.datetime(1970, 1, 1)
@@ -50,6 +51,8 @@ class WarcConfig:
     range_entries: int = 100_000
     #: First captures of repeated payloads are broadcast if they are so many at most.
     broadcast_rows: int = 200_000
+    #: Bytes of archives that a task reads back, about.
+    read_bytes: int = 8 << 20
 
 
 def _store(uri: str):
@@ -254,7 +257,7 @@ class LoserTree:
 
 def _merge_groups(runs: DataFrame, folder: str, config: WarcConfig) -> DataFrame:
     """One pass: groups of fan_in runs become a run each."""
-    numbered = runs.withColumn("g", F.floor((F.row_number().over(_by_run()) - 1) / config.fan_in))
+    numbered = dense_ids(runs, ["run"], "no").withColumn("g", F.floor((F.col("no") - 1) / config.fan_in))
     groups = numbered.groupBy("g").agg(F.collect_list("run").alias("runs"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,12 +280,6 @@ def _merge_groups(runs: DataFrame, folder: str, config: WarcConfig) -> DataFrame
     return materialize(groups.repartition("g").select("runs").mapInArrow(merge, RUNS), "warc-runs")
 
 
-def _by_run():
-    from pyspark.sql import Window
-
-    return Window.orderBy("run")
-
-
 def merged_index(runs: DataFrame, folder: str, config: WarcConfig = WarcConfig()) -> DataFrame:
     """All entries in one order by URL key, time and page: index_part (long) and index_row (long) tell each one's place."""
     spark = runs.sparkSession
@@ -321,8 +318,11 @@ def merged_index(runs: DataFrame, folder: str, config: WarcConfig = WarcConfig()
     return spark.range(0, len(bounds), 1, len(bounds)).mapInArrow(merge, f"index_part bigint, index_row bigint, {ENTRY_SQL}")
 
 
-def read_archives(index: DataFrame) -> DataFrame:
-    """Fetches the record of each index entry from its archive and reads it."""
+def read_archives(index: DataFrame, config: WarcConfig = WarcConfig()) -> DataFrame:
+    """Fetches the record of each index entry from its archive and reads it. Tasks read about config.read_bytes of archives each,
+    however many archives there are: records of one archive are read by several tasks if it is larger."""
+    index = materialize(index.select("file", "offset", "length", "urlkey", "captured", "index_part", "index_row"), "warc-index")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_file, source = None, None
@@ -347,7 +347,7 @@ def read_archives(index: DataFrame) -> DataFrame:
         if source is not None:
             source.close()
 
-    ordered = index.select("file", "offset", "length", "urlkey", "captured", "index_part", "index_row").repartition("file").sortWithinPartitions("file", "offset")
+    ordered = index.repartitionByRange(max(1, -(-total // config.read_bytes)), "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, urlkey string, captured bigint, index_part bigint, index_row bigint")
 
 
