@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, new_folder, text_slices
 
-MANIFEST = "part int, file string, index string, n_docs bigint, n_tokens bigint"
+MANIFEST = "part int, file string, index string, n_docs bigint, n_tokens bigint, n_slices int"
+#: Slices of an index that one task reads back: some 64 MB of text.
+READ_SLICES = 64
 #: What the byte-level BPE's own pattern takes as white space.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Pieces of a text at whose edges that pattern always parts: a run of other characters with one blank before it, or white space.
@@ -64,7 +66,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(fmt.tokenizer)
-        self.tokenizer.encode_special_tokens = True
+        # Tokens that were added to the vocabulary are found in a text before it is cut into units.
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), fmt.end_id + 1) <= 65536 else "<u4")
         self.by_unit = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         self.known: dict[str, bytes] = {}
@@ -105,6 +109,11 @@ class Encoder:
         if not self.by_unit:
             return [x + self.end for x in self._encode(texts)]
         known, find, out = self.known, _UNIT.findall, []
+        if self.added is not None and any(map(self.added.search, texts)):
+            # Texts with one are encoded whole, the others by units.
+            plain = [i for i, t in enumerate(texts) if not self.added.search(t)]
+            ids = dict(zip(plain, self([texts[i] for i in plain]), strict=True))
+            return [ids[i] if i in ids else self._encode([t])[0] + self.end for i, t in enumerate(texts)]
         split = [find(t) for t in texts]
         new = set().union(*split).difference(known)
         fresh = self._units(list(new))
@@ -184,7 +193,7 @@ def write_sequences(docs: DataFrame, key: str, text: str, folder: str, fmt: Toke
     ordered = docs.select(F.col(f"`{key}`").cast("bigint" if kind == pa.int64() else "string").alias("key"), F.col(f"`{text}`").alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, packer, starts, index_writer = TaskContext.get().partitionId(), None, 0, None
+        part, packer, starts, index_writer, slices = TaskContext.get().partitionId(), None, 0, None, 0
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:12]}"
         schema = pa.schema([("key", kind), ("start", pa.int64()), ("n_tokens", pa.int64())])
         encode, n_docs = encoder(fmt), 0
@@ -200,6 +209,7 @@ def write_sequences(docs: DataFrame, key: str, text: str, folder: str, fmt: Toke
                 sizes = np.array([len(x) for x in ids], dtype=np.int64) // encode.dtype.itemsize
                 index_writer.write_batch(pa.record_batch([batch.column("key").slice(lo, hi - lo), pa.array(starts + np.cumsum(sizes) - sizes), pa.array(sizes)], schema=schema))
                 starts += int(sizes.sum())
+                slices += 1
                 n_docs += len(ids)
                 for x in ids:
                     packer.add(x)
@@ -207,7 +217,7 @@ def write_sequences(docs: DataFrame, key: str, text: str, folder: str, fmt: Toke
             packer.close()
             index_writer.close()
             sink.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{name}.arrow"], "index": [f"{name}.index.arrow"], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([packer.total], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{name}.arrow"], "index": [f"{name}.index.arrow"], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([packer.total], pa.int64()), "n_slices": pa.array([slices], pa.int32())})
 
     return materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
@@ -246,9 +256,14 @@ class Sequences:
 
 
 def read_documents(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
-    """Each document as the files have it: key, start among all ids, n_tokens and the CRC-32 of its ids as 32-bit little-endian integers."""
+    """Each document as the files have it: key, start among all ids, n_tokens and the CRC-32 of its ids as 32-bit little-endian integers.
+
+    A task reads READ_SLICES slices of one file's index and the ids that they point to; files open at any place.
+    """
     # A row for each file: numbering them in one partition costs as much as there are files.
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    pieces = based.select("file", "index", "base", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1, F.lit(READ_SLICES))).alias("first"), "n_slices")
+    n = manifest.agg(F.coalesce(F.sum(F.ceil(F.col("n_slices") / READ_SLICES)), F.lit(0)).alias("n")).first().n
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +271,7 @@ def read_documents(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
                 file, (store, path) = Sequences(row["file"]), _file(row["index"])
                 with store.open_input_file(path) as source:
                     index = pa.ipc.open_file(source)
-                    for i in range(index.num_record_batches):
+                    for i in range(row["first"], min(row["first"] + READ_SLICES, row["n_slices"])):
                         part = index.get_batch(i)
                         sums = []
                         for start, n in zip(part.column("start").to_pylist(), part.column("n_tokens").to_pylist(), strict=True):
@@ -268,7 +283,8 @@ def read_documents(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
                         yield pa.RecordBatch.from_arrays([part.column("key"), starts, part.column("n_tokens"), pa.array(sums, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
                 file.close()
 
-    return based.select("file", "index", "base").repartition("file").mapInArrow(read, f"key {key_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # Dealt by number, one piece to a task: rows this small would all be put into one otherwise.
+    return pieces.repartition(max(1, int(n))).mapInArrow(read, f"key {key_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
