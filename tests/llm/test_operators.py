@@ -293,7 +293,7 @@ def test_toxicity_on_held_out_rows(spark):
 # Substrings
 
 
-@pytest.mark.parametrize("limits", [(20_000, 8_000), (2, 5)])
+@pytest.mark.parametrize("limits", [(1_000, 8_000), (2, 5)])
 def test_substrings_against_brute_force(spark, limits):
     rng = random.Random(8)
     config = substring_dedup.SubstringConfig(length=60, gram=16, contexts=limits[0], chunk=limits[1])
@@ -312,6 +312,47 @@ def test_substrings_against_brute_force(spark, limits):
     assert got == dict(enumerate(substring_dedup.brute_force(texts, 60)))
 
 
+def test_repeat_groups_are_those_of_the_definition():
+    """All sets of contexts that agree in a string around the anchor which none of its sides can grow for all of them."""
+    rng = random.Random(1)
+    config = substring_dedup.SubstringConfig(length=12, gram=4)
+    side = lambda n: "".join(rng.choice("xy") if rng.random() < 0.15 else "x" for _ in range(n))
+    for _ in range(150):
+        made = {}
+        for _ in range(rng.randint(2, 9)):
+            b = rng.randint(0, 8)
+            made[(side(b) + "ABCD" + side(rng.randint(max(0, 8 - b), 8)), b)] = None
+        left, right = [p[:b][::-1] for p, b in made], [p[b:] for p, b in made]
+        want, every = set(), range(len(made))
+        for i in every:
+            for a in range(len(left[i]) + 1):
+                for z in range(4, len(right[i]) + 1):
+                    held = frozenset(k for k in every if left[k].startswith(left[i][:a]) and right[k].startswith(right[i][:z]))
+                    grows = lambda sides, n, held=held: all(len(sides[k]) > n for k in held) and len({sides[k][n] for k in held}) == 1
+                    if a + z >= 12 and len(held) > 1 and not grows(left, a) and not grows(right, z):
+                        want.add((a, z, held))
+        got = [(a, z, frozenset(m.tolist())) for a, z, m in substring_dedup.repeat_groups([p.encode() for p, _ in made], np.array([b for _, b in made]), config)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("contexts", [1_000, 2])
+def test_maximal_repeats_with_all_their_places(spark, contexts):
+    rng = random.Random(3)
+    config = substring_dedup.SubstringConfig(length=60, gram=16, contexts=contexts)
+    own = lambda: prose(rng, 12) + " "
+    twice, often = prose(rng, 60), prose(rng, 40)
+    texts = [own() + twice + "|1", own() + often + "|2", own() + twice + "|3" + own() + often + "|4", own() + often + "|5" + own(), own(), "", None]
+    rows = substring_dedup.maximal_repeats(documents(spark, texts).withColumn("length", F.lit("x")), config=config).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.repeat, r.length), []).append((r.doc_id, r.start))
+    found = {(len(v), max((texts[d] or "").encode()[s : s + k[1]] for d, s in v)) for k, v in groups.items()}
+    assert {len({(texts[d] or "").encode()[s : s + k[1]] for d, s in v}) for k, v in groups.items()} == {1}
+    assert any(n == 2 and twice.encode() in t for n, t in found) and any(n == 3 and often.encode() in t for n, t in found)
+    assert all(r.n_occurrences == len(groups[r.repeat, r.length]) for r in rows)
+    assert substring_dedup.maximal_repeats(documents(spark, [], []), config=config).count() == 0 == substring_dedup.remove(documents(spark, [], []), config=config).count()
+
+
 def test_intervals_are_those_of_the_definition():
     rng = random.Random(9)
     lcp = [rng.randint(0, 5) for _ in range(60)]
@@ -339,6 +380,46 @@ def test_quality_edges(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0 and [r.doc_id for r in quality_rules.keep_good(df).collect()] == [7]
 
 
+def spark_and_duck(spark, tmp_path, query, sql, **tables):
+    """The query and its SQL on tables of our own."""
+    import duckdb
+
+    db = duckdb.connect()
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    out = db.execute(sql)
+    names = [d[0] for d in out.description]
+    got = query(spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(names)
+    rows = [tuple(r[n] for n in names) for r in got.collect()]
+    assert Counter(rows) == Counter(tuple(r) for r in out.fetchall())
+    return got
+
+
+def test_quality_of_line_ends(spark, tmp_path):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    ended, open_ = words + " end.", words + " end"
+    texts = [
+        "\r\n".join([ended] * 2 + [open_, ended]), "\n".join([ended, open_ + ".\"'”’»)]", ended + " \t\r", open_ + ".' )"]), f"{ended}\n{open_}\n\n \n", f"{open_}\n{ended}", open_ * 3, f"{open_} 7\r\n{ended}",
+        f"{ended}\n" + "please read our privacy policy " * 30 + f".\n{ended} {ended}", f"{ended}\n" + (words + " ") * 20 + f"privacy policy.\n{ended} {ended}", "a | b | c\r\n" + ended * 2, "x |\t| y |\n" + ended * 2, "", None, "\r\n", ended + "\x0b",
+    ]
+    got = {r.doc_id: r for r in spark_and_duck(spark, tmp_path, quality_rules.op7_quality_rules, quality_rules.OP7_SQL, documents=documents(spark, texts)).collect()}
+    assert [got[i].n_lost_words for i in range(9)] == [16, 0, 0, 16, 0, 0, 151, 0, 5]
+
+
+def test_chat_ties_and_odd_logs(spark, tmp_path):
+    rows = [(1, 0, "user", t) for t in ("b", "a", None, "a", "", "c" * 200_000)] + [(1, 0, "assistant", "z"), (2, None, None, "x"), (2, 1, "assistant", "</turn>"), (None, 1, "user", "n")]
+    log = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("loss", F.lit(1)).withColumn("position", F.lit("x"))
+    spark_and_duck(spark, tmp_path / "a", cf.op1_chat_format, cf.OP1_SQL, conversations=log)
+    spark_and_duck(spark, tmp_path / "b", cf.op1_chat_format, cf.OP1_SQL, conversations=log.limit(0))
+
+
+def test_mix_against_its_sql_where_sources_are_small(spark, tmp_path):
+    rows = [(i, "large", "x" * 900) for i in range(60)] + [(100, "small", "y"), (101, None, "zz"), (102, "empty", ""), (None, "large", "long " * 20_000)]
+    spark_and_duck(spark, tmp_path, source_mix.op4_source_mix, source_mix.OP4_SQL, documents=spark.createDataFrame(rows, "doc_id bigint, source string, text string"))
+
+
 # WARC
 
 
@@ -367,7 +448,9 @@ def test_archives(spark):
     index = warc.merged_index(runs, folder, config)
     order = [(r.urlkey, r.captured, r.page_id or 0) for r in index.orderBy("index_part", "index_row").collect()]
     assert order == sorted(order) and len(order) == len(rows) and index.select("index_part").distinct().count() > 3
-    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(index).collect()}
+    read = warc.read_archives(index, warc.WarcConfig(read_bytes=2000))
+    assert read.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 3
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read.collect()}
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     assert got[2] == (203, sha(big), "response", None) and got[5] == (203, sha(big), "revisit", 2) and got[9][3] == 2
     assert got[1][2] == got[3][2] == got[7][2] == "response" and got[4][:2] == (0, sha(""))
@@ -379,7 +462,7 @@ def test_archives(spark):
 # Tokens
 
 
-def test_token_files(spark):
+def test_token_files(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     fmt = token_files.default_format()
@@ -390,7 +473,7 @@ def test_token_files(spark):
     manifest = token_files.write_sequences(documents(spark, texts, ids).withColumn("start", F.lit(1)), "doc_id", "text", common.new_folder(spark, "tokens"), small)
     got = [(r.key, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_documents(manifest).collect()]
     tokenizer = Tokenizer.from_file(fmt.tokenizer)
-    tokenizer.encode_special_tokens = True
+    assert 50256 in tokenizer.encode(texts[63], add_special_tokens=False).ids
     want, at, stream = [], 0, []
     for i, t in sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
         own = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
@@ -398,6 +481,10 @@ def test_token_files(spark):
         at += len(own)
         stream += own
     assert sorted(got, key=lambda r: r[1]) == want
+    monkeypatch.setattr(token_files, "READ_SLICES", 1)
+    again = token_files.read_documents(manifest)
+    assert sorted(((r.key, r.start, r.n_tokens, r.ids_crc32) for r in again.collect()), key=lambda r: r[1]) == want
+    assert manifest.count() == 1 or again.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
     rows = manifest.orderBy("part").collect()
     back = []
     for r in rows:
