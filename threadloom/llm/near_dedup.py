@@ -44,15 +44,13 @@ class NearDedupConfig:
     rows: int = 6
     #: Buckets of so many documents get their pairs as rows; larger ones are compared in blocks.
     small: int = 24
-    #: Not in use: nothing is cut by further bands any more. Kept for configurations that name it.
-    cut: int = 8
     #: Hubs of a large bucket.
     hubs: int = 3
     #: Members of a hub that one task compares.
     hub_rows: int = 2_000
-    #: Documents, and bytes of their hashes, in a block of a large bucket.
-    block_rows: int = 256
-    block_bytes: int = 4 << 20
+    #: Documents, and bytes of their hashes, in a block of a large bucket. Rows grow with the blocks of a bucket.
+    block_rows: int = 1024
+    block_bytes: int = 8 << 20
     seed: int = 11
 
     @property
@@ -160,18 +158,24 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", config:
 
 
 def packed_shingles(docs: DataFrame, wanted: DataFrame, config: NearDedupConfig) -> DataFrame:
-    """node, hashes and counts (binary) of the documents in wanted (node). docs: doc_id, text."""
+    """node, hashes and counts (binary) of the texts in wanted (node, doc_id, c1, c2). docs: doc_id, text."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = pc.utf8_lower(batch.column(1))
             for lo, hi, data, offsets in text_slices(column):
-                owner, h, count, _, _ = shingles(data, offsets, config.shingle)
+                owner, h, count, c1, c2 = shingles(data, offsets, config.shingle)
                 at = np.searchsorted(owner, np.arange(hi - lo + 1))
-                rows = [(h[a:b].tobytes(), count[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x for x, _ in rows], pa.binary()), pa.array([y for _, y in rows], pa.binary())], names=["node", "hashes", "counts"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+                rows, texts = [], batch.column(2).slice(lo, hi - lo).to_pylist()
+                for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                    for w in texts[i]:  # the texts that are wanted under this id: one, but for repeated ids
+                        if (w["c1"], w["c2"]) == (int(signed(c1)[i]), int(signed(c2)[i])):
+                            rows.append((w["node"], h[a:b].tobytes(), count[a:b].astype("<u4").tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["node", "hashes", "counts"])
+
+    of_id = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("node", "c1", "c2")).alias("texts"))  # an id's own texts
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(of_id, "doc_id")
     return rows.mapInArrow(pack, "node bigint, hashes binary, counts binary")
 
 
@@ -214,10 +218,13 @@ def verify(pairs: DataFrame, packed: DataFrame, config: NearDedupConfig) -> Data
 
 
 def block_links(left: list[tuple], right: list[tuple], least: float) -> list[tuple[int, int, float]]:
-    """Pairs of left and right (each node, component, hashes, counts) at `least` or more, one for each two components that they join."""
+    """Pairs of left and right (each node, component, hashes, counts) at `least` or more, one for each two components that they join.
+
+    What two documents share is a product of matrices over the shingles that both sides have: a column for the first
+    occurrence of a shingle, one for the second, and so on, so that the sum of the lesser counts comes out.
+    """
 
     def split(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """A hash for each occurrence: what two documents share of these is the sum of the lesser counts."""
         nth = np.arange(int(c.sum())) - np.repeat(np.cumsum(c, dtype=np.int64) - c, c)
         h = np.repeat(h, c)
         again = nth > 0
@@ -225,6 +232,11 @@ def block_links(left: list[tuple], right: list[tuple], least: float) -> list[tup
             h[again] = mix(h[again] + nth[again].astype(np.uint64) * _K)
         return h
 
+    def side(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [split(h, c) for _, _, h, c in rows]
+        words = np.array([len(x) for x in parts], dtype=np.int64)
+        return np.concatenate(parts), np.repeat(np.arange(len(rows)), words), words
+
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -232,27 +244,41 @@ def block_links(left: list[tuple], right: list[tuple], least: float) -> list[tup
             parent[x] = x = parent.get(up, up)
         return x
 
-    parts = [split(h, c) for _, _, h, c in right]
-    words = np.array([len(x) for x in parts], dtype=np.int64)
-    every, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), words)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    known, first = np.unique(every, return_index=True)
-    first = np.append(first, len(every))
+    h1, row1, n1 = side(left)
+    h2, row2, n2 = side(right) if right is not left else (h1, row1, n1)
+    common = np.intersect1d(h1, h2)
+    if not len(common):
+        return []
+
+    def placed(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        there = common[at] == h
+        return row[there], at[there]
+
+    (r1, k1), (r2, k2) = placed(h1, row1), placed(h2, row2)
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    # Some thousand columns at a time, so that a matrix stays small whatever the number of shingles.
+    for lo in range(0, len(common), 4096):
+        width = min(4096, len(common) - lo)
+        x, y = np.zeros((len(left), width), dtype=np.float32), np.zeros((len(right), width), dtype=np.float32)
+        own = (k1 >= lo) & (k1 < lo + width)
+        x[r1[own], k1[own] - lo] = 1
+        own = (k2 >= lo) & (k2 < lo + width)
+        y[r2[own], k2[own] - lo] = 1
+        both += x @ y.T
+    # A float32 counts exactly up to 2^24; longer texts are counted one by one.
+    if max(n1.max(), n2.max()) >= 1 << 24:
+        both = np.array([[len(np.intersect1d(h1[row1 == i], h2[row2 == j], assume_unique=True)) for j in range(len(right))] for i in range(len(left))], dtype=np.float64)
+    i, j = np.nonzero(both >= least * (n1[:, None] + n2[None, :]) / (1 + least) - 1e-3)
+    shared = both[i, j].astype(np.float64)
+    s = shared / (n1[i] + n2[j] - shared)
     out = []
-    for node, component, h, c in left:
-        own = split(h, c)
-        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        at = at[known[at] == own]
-        count = first[at + 1] - first[at]
-        places = np.repeat(first[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        both = np.bincount(owner[places], minlength=len(right)).astype(np.float64)
-        s = both / (float(len(own)) + words - both)
-        for i in np.flatnonzero(s >= least):
-            x, y = find(component), find(right[i][1])
-            if x != y:
-                parent[x] = y
-                out.append((node, right[i][0], float(s[i])))
+    for k in np.flatnonzero(s >= least):
+        a, b = left[i[k]], right[j[k]]
+        x, y = find(a[1]), find(b[1])
+        if x != y:
+            parent[x] = y
+            out.append((a[0], b[0], float(s[k])))
     return out
 
 
@@ -308,7 +334,7 @@ def linked_in_blocks(large: DataFrame, packed: DataFrame, config: NearDedupConfi
 
 
 def grouped(rows: DataFrame, docs: DataFrame, config: NearDedupConfig) -> DataFrame:
-    """node, component of all documents that have a similar one. rows: node, bands (of one document for each set of copies).
+    """node, component of all documents that have a similar one. rows: node, doc_id, c1, c2, bands (of one document for each set of copies).
 
     Every document of a bucket is compared with its hub, the document that has the most company in all its buckets: of a
     text and its edited copies that is the text. Similarity to the hub tells which others can be similar at all, since
@@ -321,7 +347,7 @@ def grouped(rows: DataFrame, docs: DataFrame, config: NearDedupConfig) -> DataFr
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     state = materialize(keyed.join(sizes, "key"), "buckets")  # key, node, band, n
     company = materialize(state.groupBy("node").agg(F.sum("n").alias("company")), "company")
-    packed = materialize(packed_shingles(docs, company, config), "shingles")
+    packed = materialize(packed_shingles(docs, rows.select("node", "doc_id", "c1", "c2").join(company, "node", "left_semi"), config).dropDuplicates(["node"]), "shingles")
     # Large buckets have a further hub for each share of their documents, as copies of a text may be less like each other
     # than each is like it; the first hub is the one that distances are taken from.
     share = F.when(F.col("n") > config.small, F.pmod(F.xxhash64("node"), F.lit(config.hubs))).otherwise(0)
@@ -355,15 +381,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", config: Ne
     """Each row's doc_id, class_id (the smallest doc_id of its class) and n_copies, the number of rows with its very words."""
     plain = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed_rows = materialize(signatures(plain, "doc_id", "text", config), "signatures")
-    copies = materialize(signed_rows.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies")), "copies")
-    rows = signed_rows.join(copies.where("node IS NOT NULL").select("c1", "c2", F.col("node").alias("doc_id")), ["c1", "c2", "doc_id"], "left_semi").dropDuplicates(["c1", "c2"]).select(F.col("doc_id").alias("node"), "bands")
+    copies = signed_rows.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
+    # A node is a text: it goes by the smallest id of its copies, or by its hash if that id has other texts as well.
+    repeated = materialize(signed_rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("c1", "c2")).alias("low"), F.max(F.struct("c1", "c2")).alias("high")).where("low <> high").select("doc_id"), "repeated-ids")
+    any_repeated = repeated.limit(1).count() > 0
+    if any_repeated:
+        again = repeated.select(F.col("doc_id").alias("first"), F.lit(True).alias("_again"))
+        copies = copies.join(again, "first", "left").withColumn("node", F.when(F.col("_again"), F.xxhash64("c1", "c2", "first")).otherwise(F.col("first"))).drop("_again")
+    else:
+        copies = copies.withColumn("node", F.col("first"))
+    copies = materialize(copies.select("c1", "c2", "first", "n_copies", "node"), "copies")
+    rows = signed_rows.join(copies.where("node IS NOT NULL").select("c1", "c2", F.col("first").alias("doc_id"), "node"), ["c1", "c2", "doc_id"]).dropDuplicates(["node"]).select("node", "doc_id", "c1", "c2", "bands")
     of_node = materialize(grouped(rows, plain, config), "components")
-    # Rows of one doc_id and different words are one class as well.
-    repeated = signed_rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if repeated.limit(1).count():
-        same_id = signed_rows.join(repeated, "doc_id", "left_semi").join(copies, ["c1", "c2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-        of_node = components(of_node.select(F.col("node").alias("a"), F.col("component").alias("b")).union(same_id))
-    named = copies.join(of_node, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("class_id"), "n_copies")
+    if any_repeated:
+        # Rows of one doc_id and different words are one class as well.
+        of_id = signed_rows.join(repeated, "doc_id", "left_semi").join(copies, ["c1", "c2"]).select("doc_id", "node")
+        same_id = of_id.join(of_id.groupBy("doc_id").agg(F.min("node").alias("low")), "doc_id").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+        of_node = materialize(components(of_node.select(F.col("node").alias("a"), F.col("component").alias("b")).union(same_id)), "components")
+    named = copies.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if any_repeated:
+        least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("class_id"))
+        named = named.join(least, "component", "left")
+    else:
+        named = named.withColumn("class_id", F.col("component"))  # the smallest node is the smallest id
+    named = named.select("c1", "c2", "class_id", "n_copies")
     # A row without words has no signature; it is its own class.
     worded = signed_rows.select("doc_id", "c1", "c2").join(named, ["c1", "c2"]).select("doc_id", "class_id", "n_copies")
     wordless = plain.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("n_copies"))
