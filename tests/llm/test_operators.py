@@ -113,7 +113,7 @@ def test_large_buckets_are_resolved(spark):
         for _ in range(rng.randint(1, 3)):
             copy[rng.randrange(120)] = rng.choice(WORDS)
         texts.append(" ".join(copy))
-    config = near_dedup.NearDedupConfig(small=3, cut=8)
+    config = near_dedup.NearDedupConfig(small=3)
     got = {r.doc_id: r.class_id for r in near_dedup.classes(documents(spark, texts), config=config).collect()}
     assert set(got.values()) == {0} or sum(v != 0 for v in got.values()) == sum(all(jaccard(texts[i], texts[j]) < 0.8 for j in range(60) if j != i) for i in range(60))
 
@@ -131,7 +131,7 @@ def test_documents_outside_a_hubs_component_meet_all_inside_it(spark):
     base = [f"w{i}" for i in range(100)]
     inside = [replaced(base, range(9 * k, 9 * k + 9), f"i{k}x") for k in range(10)]
     outside = [replaced(w, [(9 * k + 20 + j) % 90 for j in range(9)], f"o{k}x") for k, w in enumerate(inside)]
-    config = near_dedup.NearDedupConfig(shingle=1, bands=8, rows=1, small=1, cut=4, hubs=1)
+    config = near_dedup.NearDedupConfig(shingle=1, bands=8, rows=1, small=1, hubs=1)
     got = near_dedup.classes(documents(spark, [" ".join(w) for w in [base, *inside, *outside]]), config=config).collect()
     assert {r.doc_id: r.class_id for r in got} == dict.fromkeys(range(21), 0)
 
@@ -145,7 +145,7 @@ def test_documents_far_from_the_hub_meet_those_near_them(spark):
         for step in range(3):
             words = replaced(words, [(6 * k + 9 * step + j) % 100 for j in range(9)], f"c{k}s{step}x")
             texts.append(" ".join(words))
-    config = near_dedup.NearDedupConfig(shingle=1, bands=6, rows=1, small=1, cut=3, hubs=1)
+    config = near_dedup.NearDedupConfig(shingle=1, bands=6, rows=1, small=1, hubs=1)
     got = near_dedup.classes(documents(spark, texts), config=config).collect()
     assert {r.doc_id: r.class_id for r in got} == dict.fromkeys(range(49), 0)
 
@@ -155,7 +155,7 @@ def test_rest_of_a_large_bucket_is_compared_within_it(spark):
     base = [f"w{i}" for i in range(100)]
     away = [replaced(base, [(7 * k + j) % 100 for j in range(18)], f"a{k}x") for k in range(40)]
     again = [replaced(w, [(7 * k + 30 + j) % 100 for j in range(11)], f"b{k}x") for k, w in enumerate(away)]
-    config = near_dedup.NearDedupConfig(shingle=1, bands=3, rows=1, small=1, cut=1, hubs=1)
+    config = near_dedup.NearDedupConfig(shingle=1, bands=3, rows=1, small=1, hubs=1)
     got = {r.doc_id: r.class_id for r in near_dedup.classes(documents(spark, [" ".join(w) for w in [base, *away, *again]]), config=config).collect()}
     assert got == {0: 0} | {k: k for k in range(1, 41)} | {k + 40: k for k in range(1, 41)}
 
@@ -166,6 +166,45 @@ def test_near_duplicates_of_nulls_and_repeats(spark):
     assert near_dedup.classes(documents(spark, [], [])).count() == 0
 
 
+def test_variants_of_a_hub_keep_links_to_each_other(spark):
+    """500 one-word variants of a text, and for each a further one that is at 0.8 or more to it and below that to the text."""
+    rng = random.Random(12)
+    hub = [f"w{i}" for i in range(400)]
+    texts = [hub]
+    for k in range(500):
+        at = rng.sample(range(10, 390, 10), 9)
+        one = replaced(hub, at[:1], f"v{k}x")
+        texts += [one, replaced(one, [*at[1:], at[1] + 3], f"u{k}x")]
+    joined = [" ".join(t) for t in texts]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(documents(spark, joined)).collect()}
+    far = [k for k in range(500) if jaccard(joined[0], joined[2 * k + 2]) < 0.8 <= jaccard(joined[2 * k + 1], joined[2 * k + 2])]
+    lost = [k for k in far if got[2 * k + 2] != got[2 * k + 1]]
+    assert len(far) == 500 and len(lost) <= 1 and all(got[2 * k + 1] == 0 for k in range(500))
+
+
+def test_all_texts_of_a_repeated_id_keep_their_links(spark):
+    rng = random.Random(13)
+    texts, ids = [], []
+    for k in range(60):
+        for j in range(2):
+            words = prose(rng, 80).split()
+            texts += [" ".join(words), " ".join(replaced(words, [40], f"n{k}x"))]
+            ids += [k, 1000 + 2 * k + j]
+    got = {}
+    for r in near_dedup.classes(documents(spark, texts, ids)).collect():
+        got.setdefault(r.doc_id, set()).add(r.class_id)
+    assert got == {k: {k} for k in range(60)} | {1000 + i: {i // 2} for i in range(120)}
+
+
+def test_long_and_clashing_near_duplicates(spark):
+    rng = random.Random(14)
+    long = prose(rng, 60_000).split()
+    texts = [" ".join(long), " ".join(replaced(long, range(0, 60_000, 1000), "n")), " ".join(long[:30_000]), "same", "same", None, ""]
+    df = documents(spark, texts).withColumns({c: F.lit(1) for c in ("node", "c1", "bands", "class_id")})
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6}
+    assert [r.doc_id for r in near_dedup.keep_first(df).orderBy("doc_id").collect()] == [0, 2, 3, 5, 6]
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     h = rng.integers(1, 2**63, 400).astype(np.uint64)
