@@ -1,19 +1,21 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts and items are compared in lower case, every white space a blank. Where two words in a row of a document stand so
-in an item, a window of the item's size begins where the item would. Windows with enough such seeds around their
-beginning are embedded by random walks (each step writes the current byte and stays or goes on, by a random bit for step
-and byte), which maps few edits to few differing positions; positions are sampled in tables, as many as reach the target
-recall, and a window that agrees with its item in one table is verified: the least edit distance between the item and any
-part of the text around the window, by a bit-parallel search, must be at most max_edits of the item's length.
+Texts and items are compared in lower case, a run of white space as one blank. Windows of an item's size are laid where a
+text shares short byte grams with the item on one diagonal (or on neighbouring ones, as edits move it), weighted by how few
+items have a gram; no more than a twentieth of the item's grams is asked for, while of strings that differ in a fifth of
+their letters a sixth stays whole. Windows are embedded by random walks (each step writes the current byte and stays or
+goes on, by a random bit for step and byte), which maps few edits to few differing positions; positions are sampled in
+tables, as many as reach the target recall at max_edits, and a window that agrees with its item in one table is verified:
+the least edit distance between the item and any part of the text around the window, by a bit-parallel search, must be at
+most max_edits of the item's length.
 
 All of it is done within a document's row: no shuffle. The items go to the tasks in blocks of bounded size, one stage of
 a chain for each block, so that a benchmark of any size is compared whole.
 
-Defined results: null and empty texts and items have no matches; an item of one word is sought by that word; repeated
-items are one item, known by their smallest id; null ids are left out of item_ids but count as matches; repeated rows are
-judged each for itself; extra columns pass through, columns of the operator's own names are replaced; an empty benchmark
-finds nothing, an empty table gives an empty table. Texts are compared whole.
+Defined results: null and empty texts and items have no matches; items of a few letters are sought by pieces that that
+many edits can't all break; repeated items are one item, known by their smallest id; null ids are left out of item_ids but
+count as matches; repeated rows are judged each for itself; extra columns pass through, columns of the operator's own
+names are replaced; an empty benchmark finds nothing, an empty table gives an empty table. Texts are compared whole.
 """
 
 from __future__ import annotations
@@ -29,45 +31,94 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WS, SpanHash, mix, text_slices, word_spans
+from .common import WS, SpanHash, mix, text_slices
 
 
 @dataclass(frozen=True)
 class DecontaminationConfig:
     #: Edits allowed, as a share of the item's code points.
     max_edits: float = 0.2
-    #: Words by which seeds of one window may lie apart, and the weight of seeds a window needs (items with less: all). A
-    #: seed that one item has weighs 1, one that all have almost nothing.
-    drift: int = 3
-    min_seeds: float = 1.2
+    #: Bytes of a gram for items of so many bytes and more; still shorter items have grams that max_edits can't all break.
+    grams: tuple[tuple[int, int], ...] = ((64, 8), (24, 5))
+    #: Weight of seeds that a window needs: this share of the item's own, but no more than min_seeds. A gram that one item
+    #: has weighs 1, one that all have almost nothing.
+    seed_share: float = 0.05
+    min_seeds: float = 6.0
+    #: Bytes by which the diagonals of one window's seeds may lie apart.
+    drift: int = 16
     #: Independent walks, positions in a table, and the recall that sets the number of tables for windows at max_edits.
     walks: int = 5
     sampled: int = 6
     recall: float = 0.999
-    #: Share of positions that agree in one walk's embeddings of strings that differ in a sixth of their letters; of
+    #: Share of positions that agree in one walk's embeddings of strings that differ in a fifth of their letters; of
     #: unlike strings a fifth agree.
-    agreement: float = 0.35
+    agreement: float = 0.3
     seed: int = 7
-    #: Bytes of items in a block.
-    block_bytes: int = 8 << 20
+    #: Bytes of items in a block; its index takes some forty times as much in each Python worker.
+    block_bytes: int = 2 << 20
 
     @property
     def tables(self) -> int:
         """Of each walk."""
         return math.ceil(math.log(1 - self.recall) / math.log(1 - self.agreement**self.sampled) / self.walks)
 
+    def gram(self, item_bytes: int, item_chars: int) -> int:
+        for least, size in self.grams:
+            if item_bytes >= least:
+                return size
+        return max(1, item_bytes // (int(self.max_edits * item_chars) + 1) if item_bytes == item_chars else item_chars // (int(self.max_edits * item_chars) + 1))
+
 
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[WS] = 0x20
-_K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
 
 
+def collapsed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with every run of white space of a row as one blank, the rows' offsets in them, and where each byte stood."""
+    space = WS[data]
+    keep = np.ones(len(data), dtype=bool)
+    keep[1:] = ~(space[1:] & space[:-1])
+    starts = offsets[:-1]
+    keep[starts[starts < len(data)]] = True
+    at = np.flatnonzero(keep)
+    return _BLANK[data[at]], np.searchsorted(at, offsets), at
+
+
+class Grams:
+    """Seeds of items that have grams of one size: their hashes, each with the items and places where it stands."""
+
+    def __init__(self, size: int, members: list[int], texts: list[bytes], config: DecontaminationConfig):
+        self.size = size
+        hashes, items, places = [], [], []
+        for k in members:
+            data = np.frombuffer(texts[k], dtype=np.uint8)
+            at = np.arange(len(data) - size + 1)
+            hashes.append(SpanHash(data)(at, at + size))
+            items.append(np.full(len(at), k, dtype=np.int64))
+            places.append(at)
+        h = np.concatenate(hashes)
+        order = np.argsort(h, kind="stable")
+        self.hash, first = np.unique(h[order], return_index=True)
+        self.first = np.append(first, len(h))
+        self.item, self.place = np.concatenate(items)[order], np.concatenate(places)[order]
+        own = [np.unique(x) for x in hashes]
+        held = np.unique(np.concatenate(own), return_counts=True)[1]
+        n = len(members) + 1
+        self.weight = np.log(n / held) / math.log(n)
+        weights = {k: float(self.weight[np.searchsorted(self.hash, x)].sum()) for k, x in zip(members, own, strict=True)}
+        # Items too short for the given sizes need any one gram.
+        share = config.seed_share if size in [s for _, s in config.grams] else 0.0
+        self.needs = {k: min(config.min_seeds, share * w) for k, w in weights.items()}
+        self.bitmap = np.zeros(1 << 22, dtype=bool)
+        self.bitmap[self.hash >> np.uint64(42)] = True
+
+
 class ItemIndex:
-    """Seeds of the items of a block: hashes of word pairs, each with the items and places where it stands."""
+    """The items of a block, once each, and their seeds."""
 
     def __init__(self, ids: list[int | None], texts: list[str], config: DecontaminationConfig):
         column = normal(pa.array(texts, pa.string()))
@@ -79,62 +130,50 @@ class ItemIndex:
         self.texts, self.ids, self.config = list(seen), list(seen.values()), config
         self.bytes = [t.encode() for t in self.texts]
         self.chars = np.array([len(t) for t in self.texts], dtype=np.int64)
-        hashes, items, places = [], [], []
+        self.length = np.array([len(b) for b in self.bytes], dtype=np.int64)
+        by_size: dict[int, list[int]] = {}
         for k, b in enumerate(self.bytes):
-            data = np.frombuffer(b, dtype=np.uint8)
-            pair = pair_hashes(data, np.array([0, len(data)]))[0]
-            hashes.append(pair)
-            items.append(np.full(len(pair), k, dtype=np.int64))
-            places.append(np.arange(len(pair), dtype=np.int64))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash, first = np.unique(h[order], return_index=True)
-        self.first = np.append(first, len(h))
-        self.item, self.place = (np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (items, places))
-        own = [np.unique(x) for x in hashes]
-        held = np.unique(np.concatenate(own), return_counts=True)[1] if own else np.zeros(0)
-        n = len(self.texts) + 1
-        self.weight = np.log(n / np.maximum(held, 1)) / math.log(n)
-        self.needs = np.array([min(config.min_seeds, float(self.weight[np.searchsorted(self.hash, x)].sum()) - 1e-9) for x in own])
-        self.single = any(len(t.split()) == 1 for t in self.texts)
-        self.bitmap = np.zeros(1 << 20, dtype=bool)
-        self.bitmap[self.hash >> np.uint64(44)] = True
-
-    def embed(self, strings: list[bytes], length: np.ndarray, walk: int) -> np.ndarray:
-        """The bytes written at 2 n steps of the walk, n the item's length, per string a row; beyond its end a string is zeros."""
-        top = int(length.max())
-        data = np.zeros((len(strings), top + 1), dtype=np.uint8)
+            by_size.setdefault(config.gram(len(b), len(self.texts[k])), []).append(k)
+        self.families = [Grams(size, members, self.bytes, config) for size, members in sorted(by_size.items())]
+        self.needs = np.zeros(len(self.texts))
+        for family in self.families:
+            for k, v in family.needs.items():
+                self.needs[k] = v
+
+    def embed(self, strings: list[bytes], steps: int, walk: int) -> np.ndarray:
+        """The bytes written at the steps of the walk, a row for each step and a column for each string; beyond its end a string is zeros."""
+        data = np.zeros((len(strings), steps + 1), dtype=np.uint8)
         for i, s in enumerate(strings):
-            data[i, : min(top, len(s))] = np.frombuffer(s[:top], dtype=np.uint8)
-        rows, at = np.arange(len(strings)), np.zeros(len(strings), dtype=np.int64)
-        out = np.zeros((len(strings), 2 * top), dtype=np.uint8)
-        bits = walk_bits(self.config.seed, walk, 2 * top)
-        for j in range(2 * top):
-            c = data[rows, at]
-            out[:, j] = c
-            at = np.minimum(at + bits[j, c], top)
+            data[i, : min(steps, len(s))] = np.frombuffer(s[:steps], dtype=np.uint8)
+        flat, at = data.reshape(-1), np.arange(len(strings), dtype=np.int64) * (steps + 1)
+        out = np.zeros((steps, len(strings)), dtype=np.uint8)
+        bits = walk_bits(self.config.seed, walk, steps)
+        for j in range(steps):
+            c = flat[at]
+            out[j] = c
+            at += bits[j][c]
         return out
 
     def near(self, items: np.ndarray, windows: list[bytes]) -> np.ndarray:
-        """Whether each window agrees with its item in all sampled positions of a table."""
+        """Whether each window agrees with its item in all sampled positions of a table. Walks go two steps for each byte of
+        the item, rounded down to one of few lengths, so that windows of like sizes are looked at together."""
         config, found = self.config, np.zeros(len(items), dtype=bool)
-        for lo in range(0, len(items), 2048):
-            part = items[lo : lo + 2048]
-            own, inverse = np.unique(part, return_inverse=True)
-            length = np.array([len(self.bytes[k]) for k in part], dtype=np.int64)
-            for walk in range(config.walks):
-                a = self.embed([self.bytes[k] for k in own], length[[int(np.argmax(inverse == i)) for i in range(len(own))]], walk)
-                b = self.embed(windows[lo : lo + 2048], length, walk)
-                width = min(a.shape[1], b.shape[1])
-                rng = np.random.default_rng([config.seed, walk])
-                places = rng.random((config.tables, config.sampled))
-                rows = np.arange(len(part))
-                for table in places:
-                    agree = np.ones(len(part), dtype=bool)
-                    for share in table:
-                        j = np.minimum((share * 2 * length).astype(np.int64), width - 1)
-                        agree &= a[inverse, j] == b[rows, j]
-                    found[lo : lo + 2048] |= agree
+        rungs = np.unique(np.round(1.2 ** np.arange(1, 120)).astype(np.int64))
+        level = rungs[np.searchsorted(rungs, 2 * self.length[items], side="right") - 1]
+        for steps in np.unique(level).tolist():
+            mine = np.flatnonzero(level == steps)
+            size = max(1, min(1024, (64 << 20) // (steps * 8)))
+            for lo in range(0, len(mine), size):
+                part = mine[lo : lo + size]
+                own, inverse = np.unique(items[part], return_inverse=True)
+                for walk in range(config.walks):
+                    agree = self.embed([self.bytes[k] for k in own], steps, walk)[:, inverse] == self.embed([windows[i] for i in part], steps, walk)
+                    places = np.random.default_rng([config.seed, walk, steps]).integers(0, steps, (config.tables, config.sampled))
+                    for t in range(0, config.tables, 256):
+                        all_of = agree[places[t : t + 256, 0]]
+                        for j in range(1, config.sampled):
+                            all_of &= agree[places[t : t + 256, j]]
+                        found[part] |= all_of.any(axis=0)
         return found
 
 
@@ -151,40 +190,59 @@ def walk_bits(seed: int, walk: int, steps: int) -> np.ndarray:
     return have
 
 
-def pair_hashes(data: np.ndarray, offsets: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of words with the next one in their row (a row of one word, or every row: its words alone too), the word each begins with, rows of the words and their starts."""
-    start, end, row = word_spans(data, offsets)
-    word = SpanHash(data)(start, end) if len(start) else np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        pair = mix(word[:-1] * _K + word[1:]) if len(word) > 1 else np.zeros(0, np.uint64)
-    same = row[:-1] == row[1:]
-    first = np.flatnonzero(same)
-    single = np.arange(len(word)) if every else np.flatnonzero(np.bincount(row, minlength=len(offsets) - 1)[row] == 1) if len(row) else first
-    return np.concatenate([pair[same], word[single]]), np.concatenate([first, single]), row, start
-
-
-def edit_search(pattern: str, text: str, most: int) -> tuple[int, int] | None:
-    """The least edit distance of pattern to any part of text and where that part ends, if it is at most `most`. Bit-parallel, exact."""
-    m = len(pattern)
-    masks: dict[str, int] = {}
-    for i, c in enumerate(pattern):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full, last = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best = full, 0, m, (m, 0)
-    for j, c in enumerate(text):
-        eq = masks.get(c, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | ~(xh | pv) & full
-        mh = pv & xh
-        score += bool(ph & last) - bool(mh & last)
-        ph = ph << 1 & full
-        mh = mh << 1 & full
-        pv = mh | ~(xv | ph) & full
-        mv = ph & xv
-        if score < best[0]:
-            best = (score, j + 1)
-    return best if best[0] <= most else None
+def edit_search(patterns: list[str], texts: list[str]) -> np.ndarray:
+    """The least edit distance of each pattern to any part of its text, exactly.
+
+    Bit-parallel: a column of the table is a few words of bits, and the columns of many pairs are worked on together. Pairs
+    whose patterns take as many words are, in order of their texts' lengths, so that those that have ended fall away.
+    """
+    sizes = np.array([len(p) for p in patterns], dtype=np.int64)
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    out, width = sizes.copy(), -(-sizes // 64)
+    one, full = np.uint64(1), np.uint64(2**64 - 1)
+    for words in np.unique(width).tolist():
+        group = np.flatnonzero(width == words)
+        group = group[np.argsort(-lengths[group], kind="stable")]
+        for lo in range(0, len(group), 1024):
+            part = group[lo : lo + 1024]
+            names = {p: i for i, p in enumerate(dict.fromkeys(patterns[i] for i in part))}
+            codes = [np.frombuffer(p.encode("utf-32-le", "surrogatepass"), dtype="<u4") for p in names]
+            letters = np.unique(np.concatenate(codes))
+            step = len(letters) + 1  # the last one for letters that no pattern has
+            equal = np.zeros((words, len(names) * step), dtype=np.uint64)
+            for i, c in enumerate(codes):
+                at = np.arange(len(c))
+                np.bitwise_or.at(equal, (at // 64, i * step + np.searchsorted(letters, c)), one << (at % 64).astype(np.uint64))
+            most = int(lengths[part[0]])
+            letter = np.full((most, len(part)), step - 1, dtype=np.int64)
+            for k, i in enumerate(part):
+                c = np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+                at = np.minimum(np.searchsorted(letters, c), len(letters) - 1)
+                letter[: len(c), k] = np.where(letters[at] == c, at, step - 1)
+            letter += np.array([names[patterns[i]] for i in part], dtype=np.int64) * step
+            active = np.searchsorted(-lengths[part], -np.arange(most), side="left")
+            last = one << ((sizes[part] - 1) % 64).astype(np.uint64)
+            score, best = sizes[part].copy(), sizes[part].copy()
+            pv, mv = np.full((words, len(part)), full), np.zeros((words, len(part)), dtype=np.uint64)
+            for j in range(most):
+                n = int(active[j])
+                up = down = np.zeros(n, dtype=np.uint64)
+                for w in range(words):
+                    eq, p, m = equal[w][letter[j, :n]], pv[w, :n], mv[w, :n]
+                    xv = eq | m
+                    eq = eq | down
+                    with np.errstate(over="ignore"):
+                        xh = (((eq & p) + p) ^ p) | eq
+                    ph, mh = m | ~(xh | p), p & xh
+                    if w == words - 1:
+                        score[:n] += ((ph & last[:n]) != 0).astype(np.int64) - ((mh & last[:n]) != 0)
+                    above, below = ph >> np.uint64(63), mh >> np.uint64(63)
+                    ph, mh = (ph << one) | up, (mh << one) | down
+                    pv[w, :n], mv[w, :n] = mh | ~(xv | ph), ph & xv
+                    up, down = above, below
+                np.minimum(best[:n], score[:n], out=best[:n])
+            out[part] = best
+    return out
 
 
 #: A window to look at: row, item, byte where it begins in its row, its bytes, and the text around it.
@@ -192,47 +250,64 @@ Window = tuple[int, int, int, bytes, bytes]
 
 
 def candidates(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[Window]:
-    """The windows of a slice that have seeds enough."""
+    """The windows of a slice that have seeds enough, of windows within `drift` bytes the one with most."""
     config, out = index.config, []
     if not len(index.texts) or not len(data):
         return out
-    data = _BLANK[data]
-    pair, word, row, start = pair_hashes(data, offsets, index.single)
-    # A pair that comes again within the drift is one seed, lest a word said over and over seed windows everywhere.
-    fresh, owner = np.ones(len(pair), dtype=bool), row[word]
-    for lag in range(1, config.drift + 1):
-        fresh[lag:] &= (pair[lag:] != pair[:-lag]) | (owner[lag:] != owner[:-lag])
-    maybe = np.flatnonzero(fresh & index.bitmap[pair >> np.uint64(44)])
-    at = np.searchsorted(index.hash, pair[maybe])
-    at[at == len(index.hash)] = 0
-    hit = index.hash[at] == pair[maybe]
-    maybe, at = maybe[hit], at[hit]
-    if not len(maybe):
-        return out
-    count = index.first[at + 1] - index.first[at]
-    source = np.repeat(np.arange(len(maybe)), count)
-    place = index.first[at][source] + np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)
-    item, w = index.item[place], word[maybe][source]
-    begins = w - index.place[place]  # the word where the item would begin, by its number in the slice
-    doc = row[w]
-    # One row for each (document, item, beginning), in order, with the weight of its seeds.
-    spread = np.int64(2 * len(start) + 4 * config.drift + 4)
-    key = (doc * len(index.texts) + item) * spread + begins + len(start) // 2 + config.drift
-    key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    own = np.bincount(inverse, weights=index.weight[at[source]])
-    total = np.concatenate([[0], np.cumsum(own)])
-    around = total[np.searchsorted(key, key + config.drift, side="right")] - total[np.searchsorted(key, key - config.drift, side="left")]
-    doc, item, begins = doc[first], item[first], begins[first]
-    keep = around >= index.needs[item]
-    doc, item, begins = doc[keep], item[keep], begins[keep]
-    if not len(doc):
-        return out
-    begin = start[np.clip(begins, 0, len(start) - 1)]
-    begin = np.clip(begin, offsets[doc], np.maximum(offsets[doc + 1] - 1, offsets[doc]))
-    for d, k, b in zip(doc.tolist(), item.tolist(), begin.tolist(), strict=True):
-        n, slack = len(index.bytes[k]), 4 * int(config.max_edits * index.chars[k]) + 16
-        first, last = int(offsets[d]), int(offsets[d + 1])
-        out.append((d, k, b - first, b" ".join(data[b : min(b + 2 * n, last)].tobytes().split())[:n], data[max(first, b - slack) : min(last, b + n + slack)].tobytes()))
+    data, offsets, stood = collapsed(data, offsets)
+    hashes = SpanHash(data)
+    for family in index.families:
+        if len(data) < family.size:
+            continue
+        at = np.arange(len(data) - family.size + 1)
+        h = hashes(at, at + family.size)
+        maybe = np.flatnonzero(family.bitmap[h >> np.uint64(42)])
+        slot = np.searchsorted(family.hash, h[maybe])
+        slot[slot == len(family.hash)] = 0
+        hit = family.hash[slot] == h[maybe]
+        maybe, slot = maybe[hit], slot[hit]
+        doc = np.searchsorted(offsets, maybe, side="right") - 1
+        whole = maybe + family.size <= offsets[doc + 1]
+        maybe, slot, doc = maybe[whole], slot[whole], doc[whole]
+        if not len(maybe):
+            continue
+        count = family.first[slot + 1] - family.first[slot]
+        source = np.repeat(np.arange(len(maybe)), count)
+        place = family.first[slot][source] + np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)
+        item = family.item[place]
+        # One row for each document, item and diagonal, in order, with the weight of its seeds. Diagonals of neighbouring
+        # documents are kept apart by the longest item.
+        reach = int(index.length.max()) + 4 * config.drift
+        diagonal = maybe[source] - family.place[place] + doc[source] * reach + reach
+        span = np.int64(len(data) + (len(offsets) + 2) * reach)
+        key, inverse = np.unique(item * span + diagonal, return_inverse=True)
+        first = np.zeros(len(key), dtype=np.int64)
+        first[inverse] = np.arange(len(source))
+        total = np.concatenate([[0.0], np.cumsum(np.bincount(inverse, weights=family.weight[slot[source]]))])
+        around = total[np.searchsorted(key, key + config.drift, side="right")] - total[np.searchsorted(key, key - config.drift, side="left")]
+        item, doc = item[first], doc[source[first]]
+        keep = np.flatnonzero(around >= index.needs[item] - 1e-9)
+        if not len(keep):
+            continue
+        # Of diagonals within `drift` bytes the one with most seeds around it.
+        near, weight = key[keep], around[keep]
+        peak = np.ones(len(keep), dtype=bool)
+        for lag in range(1, len(keep)):
+            close = near[lag:] - near[:-lag] <= config.drift
+            if not close.any():
+                break
+            peak[lag:] &= ~(close & (weight[:-lag] >= weight[lag:]))
+            peak[:-lag] &= ~(close & (weight[lag:] > weight[:-lag]))
+        best = keep[peak]
+        begin = key[best] % span - doc[best] * reach - reach
+        for d, k, b in zip(doc[best].tolist(), item[best].tolist(), begin.tolist(), strict=True):
+            n, edits, low, high = int(index.length[k]), int(config.max_edits * index.chars[k]), int(offsets[d]), int(offsets[d + 1])
+            b = min(max(b, low), high)
+            # An alignment begins within `edits` code points of the diagonal and takes as many more than the item has.
+            wide = data[max(low, b - 4 * edits - config.drift) : min(high, b + n + 8 * edits + config.drift)].tobytes()
+            if wide.isascii():
+                wide = data[max(low, b - edits - config.drift) : min(high, b + n + 2 * edits + config.drift)].tobytes()
+            out.append((d, k, int(stood[min(b, len(stood) - 1)] - stood[low]) if low < high else 0, data[b : min(b + n, high)].tobytes(), wide))
     return out
 
 
@@ -241,14 +316,12 @@ def verified(index: ItemIndex, windows: list[Window]) -> dict[int, dict[int, tup
     out: dict[int, dict[int, tuple[int, int]]] = {}
     if not windows:
         return out
-    near = index.near(np.array([w[1] for w in windows], dtype=np.int64), [w[3] for w in windows])
-    for i in np.flatnonzero(near):
-        d, k, b, _, around = windows[i]
-        if k in out.get(d, ()):
-            continue
-        most = int(index.config.max_edits * index.chars[k])
-        if found := edit_search(index.texts[k], " ".join(around.decode("utf-8", "ignore").split()), most):
-            out.setdefault(d, {})[k] = (found[0], b)
+    near = np.flatnonzero(index.near(np.array([w[1] for w in windows], dtype=np.int64), [w[3] for w in windows]))
+    distances = edit_search([index.texts[windows[i][1]] for i in near], [windows[i][4].decode("utf-8", "ignore") for i in near])
+    for i, distance in zip(near.tolist(), distances.tolist(), strict=True):
+        d, k, b, _, _ = windows[i]
+        if distance <= int(index.config.max_edits * index.chars[k]) and (k not in out.get(d, ()) or distance < out[d][k][0]):
+            out.setdefault(d, {})[k] = (distance, b)
     return out
 
 
