@@ -233,10 +233,9 @@ def distance(a, b):
 
 def test_edit_search_is_exact():
     rng = random.Random(2)
-    for _ in range(200):
-        a = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 70)))
-        b = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 90)))
-        assert decontaminate.edit_search(a, b, len(a))[0] == distance(a, b)
+    a = ["".join(rng.choice("abé ") for _ in range(rng.choice([1, 2, 5, 63, 64, 65, 70, 128, 140]))) for _ in range(300)]
+    b = ["".join(rng.choice("abcé ") for _ in range(rng.randint(0, 170))) for _ in range(300)]
+    assert decontaminate.edit_search(a, b).tolist() == [distance(x, y) for x, y in zip(a, b, strict=True)]
 
 
 def test_decontamination(spark):
@@ -268,6 +267,49 @@ def test_decontamination(spark):
     assert {r.doc_id: sorted(h.item_id for h in r.hits) for r in decontaminate.find(documents(spark, rows), bench, config=blocks).collect()} == {i: sorted(v) for i, v in found.items()}
 
 
+def test_decontamination_recall_at_all_rates_of_edits(spark):
+    """Letters of the items replaced, or replaced, put in and taken out, up to max_edits: 0.9 of those within the limit are found at least, and nothing else."""
+    rng = random.Random(21)
+    items = [prose(rng, rng.randint(15, 59)) for _ in range(60)]
+
+    def edited(text, rate, mixed):
+        out = list(text)
+        n = int(rate * len(out))
+        for i in rng.sample(range(len(out)), n) if not mixed else [None] * n:
+            i = rng.randrange(len(out)) if i is None else i
+            kind = rng.randrange(3) if mixed else 0
+            out[i : i + 1] = [[rng.choice("abcdefghijklmnop")], [out[i], rng.choice("abcdefgh")], []][kind]
+        return "".join(out)
+
+    rows, truth = [], []
+    for rate in (0.05, 0.1, 0.15, 0.2):
+        for mixed in (False, True):
+            for _ in range(60):
+                k = rng.randrange(60)
+                rows.append(f"{prose(rng, 40)} {edited(items[k], rate, mixed)} \n {prose(rng, 40)}")
+                truth.append((k, rate, mixed))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = {r.doc_id: {h.item_id: h.distance for h in r.hits} for r in decontaminate.find(documents(spark, rows), bench).collect()}
+    exact = decontaminate.edit_search([items[k].lower() for k, _, _ in truth], [" ".join(r.lower().split()) for r in rows]).tolist()
+    for rate in (0.05, 0.1, 0.15, 0.2):
+        for mixed in (False, True):
+            own = [i for i, t in enumerate(truth) if t[1:] == (rate, mixed) and exact[i] <= int(0.2 * len(items[t[0]]))]
+            assert len(own) >= 50 and sum(truth[i][0] in found[i] for i in own) >= 0.9 * len(own), (rate, mixed)
+    every = [(i, k) for i, hits in found.items() for k in hits]
+    assert all(d <= int(0.2 * len(items[k])) for (i, k), d in zip(every, decontaminate.edit_search([items[k].lower() for _, k in every], [" ".join(rows[i].lower().split()) for i, _ in every]).tolist(), strict=True))
+
+
+def test_decontamination_of_odd_rows(spark):
+    rng = random.Random(22)
+    item = prose(rng, 40)
+    items = [item, item, "Single", "ab", "日本語の問題です。答えは何ですか", None, ""]
+    rows = [prose(rng, 150_000) + " " + item + " x", item[:20], None, "", "x sinGle y", "aab", "前文。日本語の間題です。答えは何ですか。後文", " \n\t", item.replace(" ", " \n ")]
+    bench = spark.createDataFrame(list(zip([9, 4, 5, None, 6, 7, 8], items, strict=True)), "item_id bigint, text string").withColumn("hits", F.lit(1))
+    found = {r.doc_id: sorted(h.item_id or -1 for h in r.hits) for r in decontaminate.find(documents(spark, rows).withColumn("item_id", F.lit(1)), bench).collect()}
+    assert 4 in found[0] and 4 in found[8] and 5 in found[4] and found[2] == found[3] == found[7] == [] and -1 in found[5] and 6 in found[6] and 4 not in found[1]
+    assert decontaminate.find(documents(spark, [], []), bench).count() == 0
+
+
 # Mixing
 
 
