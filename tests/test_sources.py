@@ -47,7 +47,9 @@ def test_chat_database(spark, tmp_path):
     )
     db.commit()
     db.close()
-    rows = {r.message_id: r for r in chatdb.records(chatdb.tables(spark, str(tmp_path / "chat.db"))).collect()}
+    copy, sha = chatdb.snapshot(str(tmp_path / "chat.db"), str(tmp_path))
+    assert len(sha) == 64
+    rows = {r.message_id: r for r in chatdb.records(chatdb.tables(spark, copy)).collect()}
     assert [c.conversation_key for c in rows[1].conversations] == ["guid:c1", "rowid:2"] and rows[1].sender == "+1" and rows[1].timestamp_us == 978_307_200 * 10**6
     assert rows[2].text == "ok" and rows[2].conversations[0].conversation_key == "orphan:2" and rows[2].attachments is None and rows[2].timestamp_precision == "nanosecond"
 
@@ -64,6 +66,13 @@ def test_bundle(spark, tmp_path):
 def test_published_runs(spark, tmp_path):
     path = f"file://{tmp_path}/p"
     staging.publish(spark.range(2), path, 1, "v")
-    staging.publish(spark.range(5), path, 2, "v")
-    spark.range(9).withColumn("run_id", F.lit(3).cast("bigint")).write.mode("append").partitionBy("run_id").parquet(f"{path}/rows")  # never completed
+    staging.publish(spark.range(4), path, 2, "v")
+    staging.publish(spark.range(5), path, 2, "v")  # again: in place of the first
+    spark.range(9).write.parquet(f"{path}/rows/run_id=3")  # never completed
     assert staging.read_published(spark, path).count() == 5
+
+
+def test_long_bodies_are_whole():
+    from threadloom.functions.body import decode
+
+    assert decode(b"xxNSString+\x82" + (150_000).to_bytes(4, "little") + b"a" * 150_000) == "a" * 150_000

@@ -9,13 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-MOST = 100_000
 MARKER = b"NSString"
 
 
 def decode(raw: bytes | None) -> str | None:
     """Typed-stream bodies hold, after the marker, a '+' and the length of the UTF-8 text: one byte, or 0x81 and two, or 0x82
-    and four, little-endian. Without a defensible reading the result is None."""
+    and four, little-endian. The text is taken whole. Without a defensible reading the result is None."""
     if not raw or (at := raw.find(MARKER)) < 0:
         return None
     at = raw.find(b"+", at + len(MARKER), at + len(MARKER) + 32)
@@ -31,7 +30,7 @@ def decode(raw: bytes | None) -> str | None:
         text = raw[start : start + size].decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return text[:MOST] if sum(c.isprintable() or c in "\n\t￼" for c in text) >= 0.9 * len(text) else None
+    return text if sum(c.isprintable() or c in "\n\t￼" for c in text) >= 0.9 * len(text) else None
 
 
 @pandas_udf(StringType())

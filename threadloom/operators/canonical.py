@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Between the parts of a key.
 SEPARATOR = "\u001f"
 APPLE_EPOCH = 978_307_200
+# They must be these for results to agree.
 OUTGOING = ("outgoing", "sent", "me", "mine", "true", "yes", "1")
 INCOMING = ("incoming", "received", "false", "no", "0")
 PRECISIONS = ("microsecond", "millisecond", "second", "minute", "day")
@@ -104,13 +107,18 @@ def conversation_refs(records: DataFrame) -> DataFrame:
 
 def resolve_messages(records: DataFrame) -> DataFrame:
     """Adds canonical_id, the smallest source_pk of the records that are one message: equal source type and record key, or
-    equal service (null-safe) and guid. Never by text. Chains of both rules are followed."""
-    from .structure import components
-
-    by_key = Window.partitionBy("source_type", "source_record_key")
-    by_guid = Window.partitionBy("service", "guid")
-    first = records.select("source_pk", F.min("source_pk").over(by_key).alias("k"), F.when(F.col("guid").isNotNull(), F.min("source_pk").over(by_guid)).alias("g"))
-    edges = first.select(F.col("source_pk").alias("a"), F.explode(F.array("k", "g")).alias("b")).where("b IS NOT NULL AND a <> b")
+    equal service (null-safe) and guid. Never by text. Chains of both rules are followed, so that the result doesn't hang on
+    the order of imports."""
+    from .graph import components
+
+    def shared(rows: DataFrame, *key: str) -> DataFrame:
+        """source_pk with the smallest one of its key, where there are others; only rows that have the key take part."""
+        low = rows.groupBy(*key).agg(F.min("source_pk").alias("b"), F.count("*").alias("n")).where("n > 1").select(*[F.col(k).alias(f"_{k}") for k in key], "b")
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+        return rows.join(low, reduce(lambda x, y: x & y, same)).select(F.col("source_pk").alias("a"), "b").where("a <> b")
+
+    named = records.select("source_pk", "source_type", "source_record_key", "service", "guid")
+    edges = shared(named, "source_type", "source_record_key").union(shared(named.where("guid IS NOT NULL").drop("source_type", "source_record_key"), "service", "guid"))
     of = components(edges)
     return records.join(of.select(F.col("node").alias("source_pk"), "component"), "source_pk", "left").withColumn("canonical_id", F.coalesce("component", "source_pk")).drop("component")
 
@@ -147,3 +155,36 @@ def local_time(rows: DataFrame) -> DataFrame:
 def pending_imports(candidates: DataFrame, runs: DataFrame) -> DataFrame:
     """Sources (fingerprint) whose import hasn't been completed."""
     return candidates.join(runs.where("status = 'completed'").select("fingerprint"), "fingerprint", "left_anti")
+
+
+def source_hash(record_key: Column, *fields: Column) -> Column:
+    """The record key, or where there is none a digest of all fields; null and empty are told apart."""
+    return F.coalesce(record_key, F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256))
+
+
+def memberships(refs: DataFrame, canonical: DataFrame) -> DataFrame:
+    """One membership for each message and conversation, with the first position it is referred to at; of each message the
+    first is primary. refs: as conversation_refs returns them; canonical: record_id, canonical_id."""
+    key = F.coalesce("canonical_key", "conversation_key").alias("conversation")
+    rows = refs.join(canonical, "record_id").groupBy("canonical_id", key).agg(F.min(F.struct("record_id", "position")).alias("first"))
+    order = Window.partitionBy("canonical_id").orderBy("first", "conversation")
+    return rows.select("canonical_id", "conversation", F.col("first.position").alias("position"), (F.row_number().over(order) == 1).alias("is_primary"))
+
+
+def availability(path: Column, found: Column, sha: Column) -> Column:
+    """external if the file is there or its content is known, missing if only its path is, else unknown."""
+    return F.when(F.coalesce(found, F.lit(False)) | (path.isNull() & sha.isNotNull()), "external").when(path.isNotNull(), "missing").otherwise("unknown")
+
+
+def apple_metadata(rows: DataFrame) -> DataFrame:
+    """What a phone notes of a message: whom it is about (only with a target), when it was edited or taken back (dates that
+    aren't 0, raw and UTC), its flags that are set, and the bytes of its history of edits."""
+    about = F.when(F.coalesce(F.trim("associated_message_guid"), F.lit("")) != "", F.struct(F.col("associated_message_guid").alias("target_guid"), F.col("associated_message_type").alias("type")))
+    dated = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) != 0, F.struct(F.col(c).alias("raw"), apple_time_us(F.col(c)).alias("us")))
+    flags = F.array_compact(F.array(*[F.when(F.col(c) > 0, F.lit(c)) for c in ("is_read", "is_delivered", "is_sent", "is_audio_message", "is_system_message") if c in rows.columns]))
+    return rows.select("*", about.alias("associated"), dated("date_edited").alias("edited"), dated("date_retracted").alias("retracted"), flags.alias("flags"), F.length(F.unbase64("edit_history")).alias("edit_history_bytes"))
+
+
+def json_safe(c: Column, binary: bool) -> Column:
+    """Bytes as {"encoding": "base64", "data": ...}, anything else as its text; null stays null."""
+    return F.when(c.isNotNull(), F.to_json(F.struct(F.lit("base64").alias("encoding"), F.base64(c).alias("data")))) if binary else c.cast("string")

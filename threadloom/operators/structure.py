@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import text as tx
-from ..session import ensure_checkpoints
+from .graph import components
 
 
 def order_keys() -> list[Column]:
@@ -150,32 +150,6 @@ def reply_edges(relations: DataFrame, memberships: DataFrame, config: Config = D
     return joined.where("conversation_id = _c AND source_membership_id <> target_membership_id").select("conversation_id", "source_membership_id", "target_membership_id").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """Connected components by alternating stars. edges: a, b. Returns node, component (its smallest node).
-
-    Each round is checkpointed in the folder of spark.checkpoint.dir, so that lineage stays short and lost executors don't matter.
-    """
-    ensure_checkpoints(edges.sparkSession)
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-
-    state = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
-    was = mark(state)
-    for _ in range(most):
-        both = state.select(F.col("u").alias("x"), F.col("v").alias("y")).union(state.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        state = small.where("u <> v").distinct().checkpoint()
-        now = mark(state)
-        if now == was:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        was = now
-    raise RuntimeError("the components did not settle")
-
-
 def reply_threads(edges: DataFrame, structured_messages: DataFrame) -> DataFrame:
     """Members of each thread of two and more, by place in the conversation. The thread is named by its smallest membership;
     session_no is given only where all members share it."""

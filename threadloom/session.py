@@ -13,7 +13,20 @@ def configured(builder: SparkSession.Builder | None = None) -> SparkSession:
     return builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir. On one machine (master local) it may be unset, and is then
+    one of our own; on a cluster nothing would be kept there, and so that raises."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='threadloom-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder in spark.checkpoint.dir; where a session names none (one machine, tests), to one of our own."""
+    """Checkpoints go to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='threadloom-')}")
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))

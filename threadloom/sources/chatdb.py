@@ -3,9 +3,10 @@ yields are tables, and the relations are joined by Spark."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 import sqlite3
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,20 +45,26 @@ class SqliteReader(DataSourceReader):
         self.path, self.table, self.columns = path, table, columns
 
     def read(self, partition) -> Iterator[tuple]:
-        """A snapshot by SQLite's own backup, so that writes that are in the log are seen and none in between."""
-        with tempfile.TemporaryDirectory() as folder:
-            copy = os.path.join(folder, "snapshot.db")
-            with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as source, sqlite3.connect(copy) as target:
-                source.backup(target)
-            with sqlite3.connect(copy) as db:
-                have = {r[1] for r in db.execute(f'PRAGMA table_info("{self.table}")')}
-                if not have:
-                    return
-                picked = ", ".join("ROWID" if c == "ROWID" else f'"{c}"' if c in have else "NULL" for c in self.columns)
-                yield from db.execute(f'SELECT {picked} FROM "{self.table}"')
+        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
+            have = {r[1] for r in db.execute(f'PRAGMA table_info("{self.table}")')}
+            if not have:
+                return
+            picked = ", ".join("ROWID" if c == "ROWID" else f'"{c}"' if c in have else "NULL" for c in self.columns)
+            yield from db.execute(f'SELECT {picked} FROM "{self.table}"')
+
+
+def snapshot(path: str, folder: str) -> tuple[str, str]:
+    """One copy of the database by SQLite's own backup, so that writes in its log are seen and none in between; the copy's
+    path and SHA-256. All tables are read from it, and so agree. folder: one that every task can read."""
+    copy = os.path.join(folder, f"snapshot-{uuid.uuid4().hex[:12]}.db")
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as source, sqlite3.connect(copy) as target:
+        source.backup(target)
+    with open(copy, "rb") as f:
+        return copy, hashlib.file_digest(f, "sha256").hexdigest()
 
 
 def tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a snapshot, or of a database that nobody writes to."""
     spark.dataSource.register(SqliteSource)
     return {t: spark.read.format("sqlite_table").option("path", path).option("table", t).load() for t in TABLES}
 

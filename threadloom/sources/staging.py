@@ -29,12 +29,14 @@ def read_bundle(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def publish(rows: DataFrame, path: str, run_id: int, signature: str) -> None:
-    """Rows of a run as a partition, then the run itself: readers take only runs that are completed."""
-    rows.withColumn("run_id", F.lit(run_id).cast("bigint")).write.mode("append").partitionBy("run_id").parquet(f"{path}/rows")
-    rows.sparkSession.createDataFrame([(run_id, signature, "completed")], "run_id bigint, signature string, status string").coalesce(1).write.mode("append").parquet(f"{path}/runs")
+    """Rows of a run as its folder, then the run itself as another: readers take only runs that are completed. A run that is
+    published again takes the place of what it left before."""
+    rows.write.mode("overwrite").parquet(f"{path}/rows/run_id={run_id}")
+    rows.sparkSession.createDataFrame([(signature, "completed")], "signature string, status string").coalesce(1).write.mode("overwrite").parquet(f"{path}/runs/run_id={run_id}")
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
     from ..operators.views import latest_run
 
-    return latest_run(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/runs"))
+    wide = lambda df: df.withColumn("run_id", F.col("run_id").cast("bigint"))
+    return latest_run(wide(spark.read.parquet(f"{path}/rows")), wide(spark.read.parquet(f"{path}/runs")))
