@@ -105,3 +105,53 @@ def resolved_senders(messages: DataFrame, sidecar: DataFrame) -> tuple[DataFrame
     return joined.where("_here AND _there").withColumn("sender_id", F.col("_resolved")).drop("_here", "_there", "_resolved"), bad
 
 
+
+
+def analysis_attachments(occurrences: DataFrame, attachments: DataFrame) -> DataFrame:
+    """A row for each occurrence with its blob."""
+    return occurrences.join(attachments, "attachment_id").select("occurrence_id", "message_id", "attachment_id", "sha256", "mime_type", "position")
+
+
+def _runs(runs: DataFrame, *more: str) -> DataFrame:
+    """import_run_id, the snapshot's key and what more is asked for."""
+    return runs.select("import_run_id", F.coalesce("source_sha256", F.concat(F.lit("fingerprint:"), "source_fingerprint")).alias("source_snapshot_key"), "source_sha256", *more)
+
+
+def analysis_message_sources(sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every source of a message with the snapshot it came from."""
+    return sources.join(_runs(runs), "import_run_id").select("message_id", "source_type", "source_snapshot_key", "source_sha256", "source_conversation_id", "source_record_key", "import_run_id")
+
+
+def analysis_memberships(memberships: DataFrame, links: DataFrame, conversation_sources: DataFrame) -> DataFrame:
+    """Every membership with the source conversations behind it, if any."""
+    c = conversation_sources.select("conversation_source_id", "source_type", "source_sha256", "source_conversation_id")
+    joined = memberships.select("membership_id", "message_id", "conversation_id", "is_primary").join(links, "membership_id", "left").join(c, "conversation_source_id", "left")
+    return joined.select("membership_id", "message_id", "conversation_id", "is_primary", "message_source_id", "conversation_source_id", "source_type", "source_sha256", "source_conversation_id", "position")
+
+
+def analysis_attachment_sources(attachment_sources: DataFrame, runs: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Every source of an attachment with its snapshot, and with its occurrence if it has one."""
+    o = occurrences.select("occurrence_id", "message_id", "position")
+    joined = attachment_sources.join(_runs(runs, "source_type", "parser_version"), "import_run_id").join(o, "occurrence_id", "left")
+    return joined.select("attachment_source_id", "attachment_id", "occurrence_id", "message_id", "position", "import_run_id", "source_type", "source_snapshot_key", "parser_version", "source_occurrence_key")
+
+
+def resolved_latest(rows: DataFrame, sidecar: DataFrame, runs: DataFrame, on: str = "membership_id") -> DataFrame:
+    """Rows of the last completed run with what the sidecar resolved of them in that run; null where it has nothing."""
+    return latest_run(rows, runs).join(sidecar, ["run_id", on], "left")
+
+
+def message_provenance(messages: DataFrame, relations: DataFrame, attachments: DataFrame, sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each message with its first reply target, and the distinct kinds of its attachments, keys, snapshots and parsers."""
+    reply = relations.where(F.lower("relation_type").contains("reply")).groupBy(F.col("source_message_id").alias("message_id")).agg(F.min_by("target_message_id", "relation_id").alias("reply_to"))
+    kinds = attachments.where("mime_type IS NOT NULL").groupBy("message_id").agg(F.sort_array(F.collect_set("mime_type")).alias("mime_types"))
+    per = sources.join(_runs(runs, "parser_version"), "import_run_id").groupBy("message_id").agg(*[F.sort_array(F.collect_set(c)).alias(f"{c}s") for c in ("source_record_key", "source_snapshot_key", "parser_version")])
+    return messages.select("message_id").join(reply, "message_id", "left").join(kinds, "message_id", "left").join(per, "message_id", "left")
+
+
+def labelled(rows: DataFrame, participants: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Adds <column>_name for each column of participants' ids; ids without a name stay with a null."""
+    for c in columns:
+        p = participants.select(F.col("participant_id").alias(f"_{c}"), F.col("canonical_name").alias(f"{c}_name"))
+        rows = rows.join(p, F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
+    return rows
