@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph
+from ..session import shared_dir
+
 #: The white space that parts words: blank and \t \n \v \f \r. Any other byte belongs to a word.
 WS = np.zeros(256, dtype=bool)
 WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -19,15 +21,6 @@ WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; where unset (tests on one machine), one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='threadloom-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def new_folder(spark: SparkSession, label: str) -> str:
     """A folder name in the shared folder that nothing has used yet."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
@@ -40,6 +33,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows lo to hi of a string column, their UTF-8 bytes and the offsets of the rows in them; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -128,32 +127,19 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
-
-    edges: a, b (long, not null; order, repeats and loops don't matter). Returns node, component (its smallest node)
-    for every node of an edge. Each step groups neighbours by their minimum with map-side combining, so a hub is never
-    gathered in one task; the state of each round is a table in the shared folder. Raises if `most` rounds don't do.
-    """
-    def settle(df: DataFrame) -> tuple[DataFrame, tuple]:
-        """df as a table, and its count and digests, observed while it is written."""
-        seen = Observation()
-        table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("y")), "edges")
-        return table, tuple(seen.get[k] for k in ("n", "x", "y"))
-
-    state, was = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(most):
-        both = state.select(F.col("u").alias("x"), F.col("v").alias("y")).union(state.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        state, now = settle(small)
-        if now == was:
-            roots = state.select(F.col("v").alias("node")).distinct()
-            return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
-        was = now
-    raise RuntimeError("the components did not settle")
+def components(edges: DataFrame) -> DataFrame:
+    """As threadloom.operators.graph has it, the state of each round as a table; a table goes when the next one is there."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        paths.append(new_folder(spark, "edges"))
+        df.write.parquet(paths[-1])
+        if len(paths) > 1:
+            delete(spark, paths[-2])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    return graph.components(edges, keep)
 
 
 def bounded_sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
