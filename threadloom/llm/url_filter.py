@@ -5,7 +5,7 @@ the longest rule that fits decides. What no rule decides, trees judge that were
 digit ratio, entropy, parameter counts and statistics of the host's suffixes in the labelled set.
 
 The trees are fitted on the driver to a bounded sample of the labelled rows (about max_labelled, those of the smallest hash, so
-that the same rows give the same trees); the model that tasks get is bounded by max_suffixes and the trees' size.
+that the same rows give the same trees), both kinds weighing the same; the model that tasks get is bounded by max_suffixes and the trees' size.
 
 Defined results: a null URL or one without "://" has an empty host and path, no rule, and is judged by the trees as an
 empty string is; equal URLs get equal verdicts; extra columns pass through, columns of the operator's own names are
@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,29 +61,10 @@ def split_url(url: str | None) -> tuple[str, str]:
         return "", ""
     rest = url[at + 3 :]
     cut = m.start() if (m := _HOST_END.search(rest)) else len(rest)
-    path = rest[cut:]
+    path = rest[cut:] if rest[cut : cut + 1] == "/" else ""
     return rest[:cut].translate(_LOWER), path[: m.start()] if (m := _PATH_END.search(path)) else path
 
 
-class RuleList:
-    """Rules by host, so that a URL looks up its own suffixes only."""
-
-    def __init__(self, rules):
-        self.by_host: dict[str, list[tuple[str, str, str]]] = {}
-        for verdict, rule in rules:
-            host, slash, path = rule.partition("/")
-            self.by_host.setdefault(host.translate(_LOWER), []).append((slash + path, rule, verdict))
-
-    def find(self, host: str, path: str) -> tuple[str, str] | None:
-        best = None
-        labels = host.split(".")
-        for i in range(len(labels)):
-            for prefix, rule, verdict in self.by_host.get(".".join(labels[i:]), ()):
-                if path.startswith(prefix) and (best is None or (len(rule), rule) > (len(best[0]), best[0])):
-                    best = (rule, verdict)
-        return best
-
-
 def entropy(s: str) -> float:
     return -sum(c / len(s) * math.log2(c / len(s)) for c in sorted(Counter(s).values())) if s else 0.0
 
@@ -136,16 +117,20 @@ class Trees:
 def fit(urls: list[str | None], labels: np.ndarray, config: TreeConfig = TreeConfig()) -> Trees:
     """labels: 1 for block. Rows are taken in the order given; equal input gives equal trees."""
     n, ones = len(labels), float(np.sum(labels))
-    prior = (ones + 0.5) / (n + 1)
+    # Both kinds weigh the same, however rare one is, so that 0.5 parts them; a single kind gives its own share.
+    both = 0 < ones < n
+    weight = np.where(labels > 0, n / (2 * ones), n / (2 * (n - ones))) if both else np.ones(n)
+    prior = 0.5 if both else (ones + 0.5) / (n + 1)
     parts = [split_url(u) for u in urls]
     seen: dict[str, list[float]] = {}
-    for (host, _), y in zip(parts, labels, strict=True):
+    for (host, _), y, w in zip(parts, labels, weight, strict=True):
         for s in dict.fromkeys(suffixes(host)):
-            c = seen.setdefault(s, [0.0, 0])
-            c[0] += float(y)
-            c[1] += 1
-    top = sorted(seen, key=lambda s: (-seen[s][1], s))[: config.max_suffixes]
-    model = Trees(math.log(prior / (1 - prior)), prior, {s: ((seen[s][0] + 10 * prior) / (seen[s][1] + 10), int(seen[s][1])) for s in top})
+            c = seen.setdefault(s, [0.0, 0.0, 0])
+            c[0] += float(y * w)
+            c[1] += float(w)
+            c[2] += 1
+    top = sorted(seen, key=lambda s: (-seen[s][2], s))[: config.max_suffixes]
+    model = Trees(math.log(prior / (1 - prior)), prior, {s: ((seen[s][0] + 10 * prior) / (seen[s][1] + 10), int(seen[s][2])) for s in top})
     if not 0 < ones < n:
         return model
     x = np.array([features(u, h, p, model.known, prior) for u, (h, p) in zip(urls, parts, strict=True)])
@@ -154,7 +139,7 @@ def fit(urls: list[str | None], labels: np.ndarray, config: TreeConfig = TreeCon
     raw = np.full(n, model.base)
     for _ in range(config.trees):
         p = 1 / (1 + np.exp(-raw))
-        grad, hess = labels - p, p * (1 - p)
+        grad, hess = weight * (labels - p), weight * p * (1 - p)
         size = 2 ** (config.depth + 1) - 1
         tree: list[tuple[int, float, float]] = [(-1, 0.0, 0.0)] * size
         where = np.zeros(n, dtype=np.int64)
@@ -190,41 +175,57 @@ def train(labelled: DataFrame, config: TreeConfig = TreeConfig()) -> Trees:
     return fit([r.url for r in rows], np.array([r.block for r in rows], dtype=float), config)
 
 
+def with_rules(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
+    """Adds host, path, rule and _listed (the rule's verdict), all null-safe column functions: a host looks up its own suffixes."""
+    u = F.coalesce(F.col(f"`{url}`"), F.lit(""))
+    host = F.translate(F.regexp_extract(u, r"(?s)://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    path = F.regexp_extract(u, r"(?s)://[^/?#]*(/[^?#]*)", 1)
+    by_host: dict[str, list[Column]] = {}
+    for verdict, rule in rules:
+        name, slash, prefix = rule.partition("/")
+        by_host.setdefault(name.translate(_LOWER), []).append(F.struct(F.lit(slash + prefix).alias("prefix"), F.lit(len(rule)).alias("n"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict")))
+    kind = "array<struct<prefix:string,n:int,rule:string,verdict:string>>"
+    table = F.create_map(*[x for k, v in by_host.items() for x in (F.lit(k), F.array(*v))]) if by_host else F.create_map().cast(f"map<string,{kind}>")
+    base = pages.drop(*[n for n, _ in ADDED if n != url]).withColumns({"host": host, "path": path})
+    labels = F.split("host", r"\.")
+    own = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fits = F.filter(F.flatten(F.transform(own, lambda h: F.coalesce(F.try_element_at(table, h), F.array().cast(kind)))), lambda r: F.startswith(F.col("path"), r.prefix))
+    best = F.array_max(F.transform(fits, lambda r: F.struct(r.n.alias("n"), r.rule.alias("rule"), r.verdict.alias("verdict"))))
+    return base.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "_listed": F.col("_best.verdict")}).drop("_best")
+
+
 def classify(pages: DataFrame, model: Trees, rules=RULES, url: str = "url", threshold: float = 0.5) -> DataFrame:
     """The rows of pages with host, path, rule, score (of the trees, for every row) and verdict added."""
-    listed, names = RuleList(rules), [n for n, _ in ADDED]
-    base = pages.drop(*[n for n in names if n != url])
-    schema = T.StructType([*base.schema.fields, *[T.StructField(n, T._parse_datatype_string(k)) for n, k in ADDED]])
+    listed = with_rules(pages, rules, url)
+    if url in ("host", "path", "rule"):
+        raise ValueError(f"the column of URLs can't be named {url}")
+    schema = T.StructType([*listed.schema.fields, T.StructField("score", T.DoubleType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls = batch.column(url).to_pylist()
-            parts = [split_url(u) for u in urls]
-            found = [listed.find(*x) for x in parts]
-            x = np.array([features(u, h, p, model.known, model.prior) for u, (h, p) in zip(urls, parts, strict=True)]).reshape(len(urls), len(FEATURES))
-            score = model.scores(x)
-            verdict = [f[1] if f else "block" if s >= threshold else "allow" for f, s in zip(found, score, strict=True)]
-            added = [pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array([f[0] if f else None for f in found], pa.string()), pa.array(score), pa.array(verdict, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
+            rows = zip(*(batch.column(c).to_pylist() for c in (url, "host", "path")), strict=True)
+            x = np.array([features(u, h, p, model.known, model.prior) for u, h, p in rows]).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(x), pa.float64())], names=[*batch.schema.names, "score"])
 
-    return base.mapInArrow(judge, schema)
+    judged = listed.mapInArrow(judge, schema)
+    return judged.withColumn("verdict", F.coalesce("_listed", F.when(F.col("score") >= threshold, "block").otherwise("allow"))).drop("_listed")
 
 
-def rule_labels(pages: DataFrame, rules=RULES) -> DataFrame:
-    """URLs labelled by the lists: block is 1 or 0 where a rule fits."""
-    listed = RuleList(rules)
+#: Words that a page is blocked for, and the share of its words, in percent, that may be of symbols.
+SPAM_WORDS = r"\b(casino|jackpot|viagra|porn|xxx|cheap|free money|buy now)\b"
+MAX_SYMBOL_WORDS = 20
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            urls = batch.column("url").to_pylist()
-            found = [listed.find(*split_url(u)) for u in urls]
-            keep = [(u, int(f[1] == "block")) for u, f in zip(urls, found, strict=True) if f]
-            yield pa.RecordBatch.from_pydict({"url": pa.array([u for u, _ in keep], pa.string()), "block": pa.array([b for _, b in keep], pa.int32())})
 
-    return pages.select("url").mapInArrow(label, "url string, block int")
+def content_labels(pages: DataFrame, html: str = "html") -> DataFrame:
+    """url and block, 1 where the text of the page itself is spam or junk: labels that neither the URL nor any rule has a part in.
+    Pages without text have no label."""
+    text = F.regexp_replace(F.coalesce(F.col(f"`{html}`"), F.lit("")), r"(?s)<(script|style)[^>]*>.*?</\1>|<[^>]*>", " ")
+    rows = pages.select("url", F.lower(text).alias("_text"))
+    n, junk = F.regexp_count("_text", F.lit(r"\S+")), F.regexp_count("_text", F.lit(r"[#*$%]{2,}(?=\s)"))
+    return rows.select("url", F.when(n > 0, (F.col("_text").rlike(SPAM_WORDS) | (junk * 100 > n * MAX_SYMBOL_WORDS)).cast("int")).alias("block")).where("block IS NOT NULL")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages; the trees are fitted to the URLs that the rules label."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return classify(pages, train(rule_labels(pages)))
+    """All pages; the trees are fitted to URLs labelled by what their pages say."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return classify(pages.select("page_id", "url"), train(content_labels(pages)))
