@@ -597,6 +597,39 @@ def test_urls(spark):
     assert (out[None].host, out[None].path) == ("", "") and out["http://a.net?x/es/"].verdict in ("allow", "block")
 
 
+URL_SQL = """
+WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r), p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM h),
+l AS (SELECT * FROM (VALUES ('com', '/', 'com/'), ('example.com', '/en/', 'example.com/en/'), ('www.example.com', '/en/', 'www.example.com/en/'), ('net', '/es/', 'net/es/'), ('net', '/fr/', 'net/fr/')) AS t(rh, rp, rule))
+SELECT page_id, host, path, (SELECT arg_max(rule, length(rule)) FROM l WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS rule FROM p
+"""
+
+
+def test_hosts_paths_and_rules_against_sql(spark, tmp_path):
+    rng = random.Random(8)
+    ends = ["/", "", "/en/x", "/es/", "/fr/?q", "?a=/es/", "#/", "/fr", "/\n/x", "//en/"]
+    urls = [f"{rng.choice(['http', 'x://y'])}://{rng.choice(['', 'www.', 'a.WWW.', 'not'])}{rng.choice(['example.com', 'Example.NET', 'net', 'com', 'x.org', '', '.com', 'É.net'])}{rng.choice(ends)}" for _ in range(300)] + [None, "", "://", "u" * 50_000, "http://" + "a." * 5_000 + "net/fr/" + "p" * 50_000]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    query = lambda s, d: url_filter.op10_url_filter(s, d).select("page_id", "host", "path", "rule")
+    spark_and_duck(spark, tmp_path / "a", query, URL_SQL, pages=pages)
+    spark_and_duck(spark, tmp_path / "b", query, URL_SQL, pages=pages.limit(0))
+
+
+def test_content_labels_and_held_out_urls(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        bad = rng.random() < 0.15
+        url = f"http://{'win-' + str(rng.randint(0, 99)) if bad else 'news'}.site{rng.randint(0, 9)}.org/" + ("p/" * rng.randint(3, 6) + "?a=1&b=2&c=3" if bad else "story")
+        rows.append((i, url, f"<html><script>casino</script><p class='casino'>{prose(rng, 30)} {'best CASINO here' if bad and i % 2 else 'bu%%% ne*** ' * 12 if bad else ''}</p>", bad))
+    pages = spark.createDataFrame([*rows, (900, "http://x", None, None), (901, None, "<p></p>", None)], "page_id bigint, url string, html string, bad boolean")
+    labels = url_filter.content_labels(pages)
+    assert labels.count() == 900 and labels.where("block = 1").count() == sum(r[3] for r in rows)
+    model = url_filter.train(url_filter.content_labels(pages.where("page_id % 3 <> 1")))
+    out = url_filter.classify(pages.where("page_id % 3 = 1 AND bad IS NOT NULL"), model, rules=()).collect()
+    assert sum((r.verdict == "block") == r.bad for r in out) / len(out) > 0.97 and {r.verdict for r in out} == {"allow", "block"}
+
+
 def test_trees_learn():
     rng = random.Random(3)
     urls = [f"http://h{rng.randint(0, 50)}.org/" + "/".join("p" * rng.randint(1, 9) for _ in range(rng.randint(1, 6))) + ("?a=1&b=2" if rng.random() < 0.5 else "") for _ in range(3000)]
