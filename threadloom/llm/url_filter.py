@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample
+from .common import bounded_sample, materialize
 
 #: verdict and rule; the rules of the registered query.
 RULES = (
@@ -170,7 +170,8 @@ def fit(urls: list[str | None], labels: np.ndarray, config: TreeConfig = TreeCon
 
 def train(labelled: DataFrame, config: TreeConfig = TreeConfig()) -> Trees:
     """labelled: url and block (0 or 1). Rows with a null label are left out."""
-    known = labelled.where("block IS NOT NULL").select("url", F.col("block").cast("int").alias("block"))
+    # Read twice, so a table: what labels are made of, whole pages, is read once.
+    known = materialize(labelled.where("block IS NOT NULL").select("url", F.col("block").cast("int").alias("block")), "url-labels")
     rows = sorted(bounded_sample(known, config.max_labelled, "url").collect(), key=lambda r: (r.url or "", r.block))
     return fit([r.url for r in rows], np.array([r.block for r in rows], dtype=float), config)
 
