@@ -28,6 +28,15 @@ def read_bundle(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/messages")
 
 
+def write_report(checks: DataFrame, path: str) -> str:
+    """Checks (code, n, severity) as one line of JSON with sorted keys; returns its digest. The status is FAIL with any error."""
+    from ..operators.gates import report
+
+    one = report(checks)
+    one.select("report").coalesce(1).write.mode("overwrite").text(path)
+    return one.sparkSession.read.text(path).select(F.sha2("value", 256)).first()[0]
+
+
 def publish(rows: DataFrame, path: str, run_id: int, signature: str) -> None:
     """Rows of a run as its folder, then the run itself as another: readers take only runs that are completed. A run that is
     published again takes the place of what it left before."""
