@@ -2,10 +2,14 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import canonical as ca
+from threadloom.operators import gates as gt
 from threadloom.operators import integrity as ig
+from threadloom.operators import packets as pk
+from threadloom.operators import views as vw
 
 
 def rows(df, *columns):
@@ -60,3 +64,33 @@ def test_memberships_and_metadata(spark):
     assert [r.j for r in safe] == ['{"encoding":"base64","data":"AP8="}', None]
     hashes = spark.createDataFrame([(None, ""), (None, None), ("k", "")], "k string, t string").select(ca.source_hash(F.col("k"), F.col("t")).alias("h")).collect()
     assert hashes[0].h != hashes[1].h and hashes[2].h == "k"
+
+
+def test_reads_of_repeated_identities_fail(spark):
+    m = spark.createDataFrame([(1, 10, 5), (2, 11, 5)], "membership_id long, message_id long, conversation_id long")
+    assert rows(vw.analytic_read(m, m.withColumn("x", F.lit(1))), "membership_id", "x") == [(1, 1), (2, 1)]
+    for left, right in ((m.union(m), m), (m, m.union(m.limit(1)))):
+        with pytest.raises(Exception, match="twice"):
+            vw.analytic_read(left, right).collect()
+
+
+def test_packets_of_odd_selections(spark):
+    m = spark.createDataFrame([(1, 1, 1, 5, "a"), (1, 2, 2, None, None), (2, 3, 3, 5, "b")], "conversation_id long, message_id long, membership_id long, timestamp_us long, text string")
+    chosen = lambda *ids: spark.createDataFrame([(7, i) for i in ids], "packet_id long, message_id long")
+    faults = lambda *ids: rows(pk.selection_faults(m, chosen(*ids), 1, 1), "code", "n")
+    assert faults(3) == [] and faults() == [] and faults(1) == [("CONTEXT_TIME_UNKNOWN", 1)]
+    assert faults(1, 3, 3, 9, 2) == [("SELECTED_ID_DUPLICATE", 1), ("SELECTED_ID_MISSING", 1), ("SELECTED_TIME_UNKNOWN", 1), ("SEVERAL_CONVERSATIONS", 2)]
+    got = pk.with_provenance(pk.packet_rows(m, chosen(1), 0, 5), spark.createDataFrame([(1, ["k"], ["s"], [])], "message_id long, source_record_keys array<string>, source_snapshot_keys array<string>, parser_versions array<string>"))
+    assert rows(got, "message_id", "selected", "source_provenance_status") == [(1, True, "complete"), (2, False, "missing")]
+    assert rows(pk.packet_faults(pk.packet_headers(got, False), got), "code", "n") == [("A6_PACKET_SOURCE_PROVENANCE_UNVERIFIED", 1), ("A6_PACKET_UNKNOWN_TIMESTAMP", 1)]
+    alone = {r.code for r in pk.packet_faults(pk.packet_headers(got), got.limit(0)).collect()}
+    assert {"A6_PACKET_MESSAGES_INVALID", "A6_PACKET_MESSAGE_COUNT_MISMATCH", "A6_PACKET_SELECTED_FLAG_MISMATCH"} <= alone
+
+
+def test_gates_of_empty_tables(spark):
+    none = spark.createDataFrame([], "source_key long")
+    assert rows(gt.source_accounts(none, emitted=none), "n", "severity") == [(0, "OK")] * 3
+    assert gt.report(gt.source_accounts(none, emitted=none)).first().status == "PASS"
+    assert gt.bundle_faults(spark.createDataFrame([], "bundle_id long, manifest string, report string"), spark.createDataFrame([], "bundle_id long"), spark.createDataFrame([], "bundle_id long")).count() == 0
+    old = spark.createDataFrame([(1, False), (2, True)], "conversation_id long, reconciliation_ok boolean")
+    assert rows(gt.reader_faults(old, spark.createDataFrame([(1,), (2,), (3,)], "conversation_id long")), "conversation_id", "code") == [(1, "RECONCILIATION_NOT_OK"), (3, "RECONCILIATION_ROW_MISSING")]

@@ -22,7 +22,7 @@ def is_night(hour: Column, config: Config = DEFAULT) -> Column:
 
 
 def time_buckets(processed: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Messages by participant, basis (local where known), kind of bucket and value."""
+    """Messages by participant, basis (local where known), kind of bucket and value, with the ids of all of them in their order."""
     known = processed.where("sender_id IS NOT NULL")
     hour, weekday = F.coalesce("local_hour", "utc_hour"), F.coalesce("local_weekday", "utc_weekday")
     hour_basis = F.when(F.col("local_hour").isNotNull(), "local").otherwise("utc")
@@ -34,8 +34,9 @@ def time_buckets(processed: DataFrame, config: Config = DEFAULT) -> DataFrame:
         row(day_basis, "weekday", weekday.cast("string"), weekday),
         row(day_basis, "weekend", F.when(weekday >= 5, "weekend").otherwise("workday"), weekday),
     )
-    rows = known.select("conversation_id", "sender_id", "message_id", F.explode(F.filter(buckets, lambda b: b.isNotNull())).alias("b"))
-    return rows.groupBy("conversation_id", F.col("sender_id").alias("participant_id"), "b.basis", "b.kind", "b.value").agg(F.count("*").alias("message_count"), F.min("message_id").alias("first_message_id"))
+    rows = known.select("conversation_id", "sender_id", "message_id", "sequence_number", F.explode(F.filter(buckets, lambda b: b.isNotNull())).alias("b"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("sequence_number", "message_id"))), lambda x: x.message_id)
+    return rows.groupBy("conversation_id", F.col("sender_id").alias("participant_id"), "b.basis", "b.kind", "b.value").agg(F.count("*").alias("message_count"), F.min("message_id").alias("first_message_id"), ids.alias("source_message_ids"))
 
 
 def initiations(turns: DataFrame) -> DataFrame:

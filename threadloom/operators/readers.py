@@ -48,6 +48,17 @@ def inventory(messages: DataFrame, top: int = 100) -> DataFrame:
     return per.orderBy(F.col("message_count").desc(), "conversation_id").limit(top)
 
 
+def inventory_details(messages: DataFrame, memberships_of: DataFrame, sources: DataFrame, top: int = 100) -> DataFrame:
+    """The conversations with most messages: participants (an array of id, name and is_self, by id) and sources (an array of
+    type, snapshot and source conversation). memberships_of: conversation_id, participant_id, canonical_name, is_self; sources:
+    conversation_id, source_type, source_snapshot_key, source_conversation_id."""
+    per = messages.groupBy("conversation_id").agg(F.count("*").alias("message_count"), F.count_if(F.col("timestamp_us").isNull()).alias("unknown_time_count"), F.min("timestamp_us").alias("first_us"), F.max("timestamp_us").alias("last_us"))
+    first = per.orderBy(F.col("message_count").desc(), "conversation_id").limit(top)
+    nested = lambda rows, name, *columns: rows.join(F.broadcast(first.select("conversation_id")), "conversation_id", "left_semi").groupBy("conversation_id").agg(F.sort_array(F.collect_set(F.struct(*columns))).alias(name))
+    people = nested(memberships_of, "participants", "participant_id", "canonical_name", "is_self")
+    return first.join(people, "conversation_id", "left").join(nested(sources, "sources", "source_type", "source_snapshot_key", "source_conversation_id"), "conversation_id", "left")
+
+
 def daily_pivot(daily: DataFrame, metrics: dict[str, bool], columns: int = 2) -> DataFrame:
     """Days as rows, and for each metric a column for each of a conversation's participants, by rank of id: <metric>_1 to
     <metric>_<columns>, and <metric>_more for all further ones. A metric that is True counts: it is summed, and 0 where

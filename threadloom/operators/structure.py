@@ -91,12 +91,23 @@ def sessions(messages: DataFrame, config: Config = DEFAULT) -> DataFrame:
     )
 
 
-def turns(processed_messages: DataFrame) -> DataFrame:
-    """Islands of one sender within a session; turn_no counts from 1 in each conversation."""
+def numbered_turns(processed_messages: DataFrame) -> DataFrame:
+    """Messages with their turn_no, which counts from 1 in each conversation: islands of one sender within a session."""
     w = Window.partitionBy("conversation_id").orderBy("sequence_number")
     starts = F.when((F.row_number().over(w) == 1) | ~F.col("sender_id").eqNullSafe(F.lag("sender_id").over(w)) | (F.col("session_no") != F.lag("session_no").over(w)), 1).otherwise(0)
-    numbered = processed_messages.withColumn("_t", starts).withColumn("turn_no", F.sum("_t").over(w))
-    return numbered.groupBy("conversation_id", "turn_no").agg(
+    return processed_messages.withColumn("_t", starts).withColumn("turn_no", F.sum("_t").over(w)).drop("_t")
+
+
+def turn_texts(processed_messages: DataFrame) -> DataFrame:
+    """conversation_id, turn_no and the texts of the turn's messages in their order, a line each; null and empty texts are left out."""
+    rows = numbered_turns(processed_messages).select("conversation_id", "turn_no", "sequence_number", F.nullif("text", F.lit("")).alias("_text"))
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("_text").isNotNull(), F.struct("sequence_number", "_text")))), lambda x: x["_text"])
+    return rows.groupBy("conversation_id", "turn_no").agg(F.array_join(parts, "\n").alias("text"))
+
+
+def turns(processed_messages: DataFrame) -> DataFrame:
+    """A row for each turn with what is counted in it, and the ids of its messages."""
+    return numbered_turns(processed_messages).groupBy("conversation_id", "turn_no").agg(
         F.any_value("session_no").alias("session_no"), F.any_value("sender_id").alias("participant_id"), F.count("*").alias("message_count"),
         F.min_by("timestamp_us", "sequence_number").alias("start_us"), F.max_by("timestamp_us", "sequence_number").alias("end_us"),
         F.min_by("period_date", "sequence_number").alias("period_date"),
@@ -127,13 +138,20 @@ def unanswered_turns(turn_rows: DataFrame) -> DataFrame:
     return rows.withColumn("_other", other).where("participant_id = _last AND (_other IS NULL OR _other < turn_no)").drop("_last", "_other")
 
 
-def duplicate_pairs(messages: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def duplicate_groups(messages: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Messages with what makes them equal beside conversation and sender: clean_text and attachment_keys, the sorted keys of
+    all their attachments (message_id, attachment_key), empty if there are none."""
+    keys = attachments.groupBy("message_id").agg(F.array_join(F.array_sort(F.collect_list("attachment_key")), "\u001f").alias("attachment_keys"))
+    return messages.join(keys, "message_id", "left").withColumns({"clean_text": tx.clean_text(F.col("text")), "attachment_keys": F.coalesce("attachment_keys", F.lit(""))})
+
+
+def duplicate_pairs(messages: DataFrame, config: Config = DEFAULT, same: tuple[str, ...] = ("text",)) -> DataFrame:
     """Pairs that may be one message: same source id among equal texts of a sender (each with the first), or neighbours in
-    time within the tolerance. Messages are flagged, never dropped; pairs are as many as messages at most."""
-    group = ["conversation_id", "sender_id", "text"]
+    time within the tolerance; same names what equal texts are (with duplicate_groups: clean_text and attachment_keys). Messages are flagged, never dropped; pairs are as many as messages at most."""
+    group = ["conversation_id", "sender_id", *same]
     by_source = Window.partitionBy(*group, "source_message_id").orderBy("message_id")
-    same = messages.where("source_message_id IS NOT NULL").withColumn("_first", F.first("message_id").over(by_source)).where("message_id <> _first")
-    exact = same.select(F.col("_first").alias("left_id"), F.col("message_id").alias("right_id"), F.lit("same_source_id").alias("kind"), F.lit(1.0).alias("confidence"))
+    again = messages.where("source_message_id IS NOT NULL").withColumn("_first", F.first("message_id").over(by_source)).where("message_id <> _first")
+    exact = again.select(F.col("_first").alias("left_id"), F.col("message_id").alias("right_id"), F.lit("same_source_id").alias("kind"), F.lit(1.0).alias("confidence"))
     w = Window.partitionBy(*group).orderBy("timestamp_us", "message_id")
     near = messages.where("timestamp_us IS NOT NULL").select("*", F.lag("message_id").over(w).alias("_id"), F.lag("timestamp_us").over(w).alias("_us"), F.lag("source_message_id").over(w).alias("_source"))
     near = near.where((F.col("timestamp_us") - F.col("_us") <= config.duplicate_tolerance_seconds * 1_000_000) & (F.col("_id") != F.col("message_id")) & (F.col("_source").isNull() | ~F.col("_source").eqNullSafe(F.col("source_message_id"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -155,3 +155,18 @@ def labelled(rows: DataFrame, participants: DataFrame, columns: tuple[str, ...])
         p = participants.select(F.col("participant_id").alias(f"_{c}"), F.col("canonical_name").alias(f"{c}_name"))
         rows = rows.join(p, F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
     return rows
+
+
+def analytic_read(memberships: DataFrame, processed: DataFrame) -> DataFrame:
+    """Memberships with what was processed of them, by membership, message and conversation. A task that meets one of these
+    twice on either side fails: which of them is meant is not guessed."""
+    keys = ["membership_id", "message_id", "conversation_id"]
+    once = F.count("*").over(Window.partitionBy(*keys)) == 1
+    checked = lambda rows, side: rows.withColumn("_ok", once).where(F.assert_true("_ok", F.concat(F.lit(f"{side} twice: membership "), F.col("membership_id").cast("string"))).isNull()).drop("_ok")
+    return checked(memberships, "membership").join(checked(processed, "processed"), keys)
+
+
+def resolve_evidence(messages: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The messages that are wanted (conversation_id, message_id), and what is wanted but no message."""
+    keys = ["conversation_id", "message_id"]
+    return messages.join(wanted.select(*keys), keys, "left_semi"), wanted.select(*keys).distinct().join(messages.select(*keys), keys, "left_anti")

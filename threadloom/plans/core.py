@@ -76,7 +76,11 @@ def conversation_summary(spark, sf_dir: str) -> DataFrame:
 
 
 def time_buckets(spark, sf_dir: str) -> DataFrame:
-    return bh.time_buckets(_processed(spark, sf_dir), ad.EVENTS)
+    return bh.time_buckets(_processed(spark, sf_dir), ad.EVENTS).withColumn("source_message_ids", F.array_join("source_message_ids", ","))
+
+
+def turn_texts(spark, sf_dir: str) -> DataFrame:
+    return st.turn_texts(_processed(spark, sf_dir)).select("conversation_id", "turn_no", F.md5("text").alias("text_md5"))
 
 
 def silence_events(spark, sf_dir: str) -> DataFrame:
@@ -117,7 +121,7 @@ QUERIES = {
     "text_features": text_features, "calendar_parts": calendar_parts, "message_structure": structured, "sequence_number": lambda s, d: structured(s, d).select("membership_id", "conversation_id", "sequence_number"),
     "prev_gaps": lambda s, d: structured(s, d).select("membership_id", "seconds_since_previous", "seconds_since_other"), "sender_runs": lambda s, d: st.sender_runs(ad.sparse(s, d)), "sessions": lambda s, d: st.sessions(ad.sparse(s, d)),
     "turns": turns, "response_samples": response_samples, "unanswered_turns": unanswered, "participant_summary": participant_summary, "reciprocity": reciprocity, "conversation_summary": conversation_summary,
-    "time_buckets": time_buckets, "silence_events": silence_events, "conflict_candidates": conflict_candidates,
+    "time_buckets": time_buckets, "turn_texts": turn_texts, "silence_events": silence_events, "conflict_candidates": conflict_candidates,
 }
 _STRUCTURE = f"""{_BASE}, ru AS (SELECT conversation_id, run_no, max(timestamp_us) AS m FROM st GROUP BY 1, 2), rp AS (SELECT *, max(m) OVER (PARTITION BY conversation_id ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS other FROM ru)"""
 ORACLES = {
@@ -134,9 +138,10 @@ ORACLES = {
     "participant_summary": f"{_BASE}, {_SUMMARY} SELECT * FROM sm",
     "reciprocity": f"{_BASE}, {_SUMMARY} SELECT conversation_id, {_ratio('message_count')} AS message_reciprocity, {_ratio('word_count')} AS word_reciprocity, {_ratio('turn_count')} AS turn_reciprocity, {_ratio('initiations')} AS initiation_reciprocity FROM sm GROUP BY conversation_id",
     "conversation_summary": f"{_BASE} SELECT conversation_id, message_count, participant_count, unknown_sender_count, unknown_time_count, first_us, last_us, session_count, turn_count FROM (SELECT conversation_id, count(*) AS message_count, count(DISTINCT sender_id) AS participant_count, count(*) FILTER (WHERE sender_id IS NULL) AS unknown_sender_count, count(*) FILTER (WHERE timestamp_us IS NULL) AS unknown_time_count, min(timestamp_us) AS first_us, max(timestamp_us) AS last_us, max(session_no) AS session_count FROM pm GROUP BY 1) JOIN (SELECT conversation_id, count(*) AS turn_count FROM turns GROUP BY 1) USING (conversation_id)",
-    "time_buckets": f"""{_BASE}, b AS (SELECT conversation_id, sender_id AS participant_id, message_id, CASE WHEN l IS NULL THEN 'utc' ELSE 'local' END AS basis, coalesce(l, u) AS x FROM pm WHERE sender_id IS NOT NULL AND u IS NOT NULL),
+    "time_buckets": f"""{_BASE}, b AS (SELECT conversation_id, sender_id AS participant_id, message_id, seq, CASE WHEN l IS NULL THEN 'utc' ELSE 'local' END AS basis, coalesce(l, u) AS x FROM pm WHERE sender_id IS NOT NULL AND u IS NOT NULL),
   v AS (SELECT *, 'hour' AS kind, lpad(hour(x)::VARCHAR, 2, '0') AS value FROM b UNION ALL SELECT *, 'night', CASE WHEN hour(x) < 6 THEN 'night' ELSE 'day' END FROM b UNION ALL SELECT *, 'weekday', (isodow(x) - 1)::VARCHAR FROM b UNION ALL SELECT *, 'weekend', CASE WHEN isodow(x) >= 6 THEN 'weekend' ELSE 'workday' END FROM b)
-  SELECT conversation_id, participant_id, basis, kind, value, count(*) AS message_count, min(message_id) AS first_message_id FROM v GROUP BY 1, 2, 3, 4, 5""",
+  SELECT conversation_id, participant_id, basis, kind, value, count(*) AS message_count, min(message_id) AS first_message_id, string_agg(message_id::VARCHAR, ',' ORDER BY seq) AS source_message_ids FROM v GROUP BY 1, 2, 3, 4, 5""",
+    "turn_texts": f"{_BASE} SELECT conversation_id, turn_no, md5(coalesce(string_agg(text, chr(10) ORDER BY seq) FILTER (WHERE text <> ''), '')) AS text_md5 FROM t1 GROUP BY 1, 2",
     "silence_events": f"""{_BASE}, se AS (SELECT conversation_id, session_no, min(turn_no) AS ft, max(turn_no) AS lt, arg_min_null(start_us, turn_no) AS s, arg_max_null(end_us, turn_no) AS e, arg_max(participant_id, turn_no) AS lk, arg_min(participant_id, turn_no) AS fk, arg_max(ids, turn_no) AS li, arg_min(ids, turn_no) AS fi FROM turns GROUP BY 1, 2),
   n AS (SELECT *, lead(session_no) OVER w AS ns, lead(s) OVER w AS nx, lead(fk) OVER w AS rk, lead(fi) OVER w AS ni FROM se WINDOW w AS (PARTITION BY conversation_id ORDER BY ft))
   SELECT conversation_id, session_no, ns AS next_session_no, nx - e AS gap_us, lk AS before_participant_id, rk AS return_participant_id, array_to_string(list_concat(li, ni), ',') AS source_message_ids FROM n WHERE nx - e >= 86400000000""",

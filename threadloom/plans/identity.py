@@ -11,6 +11,7 @@ from ..operators import readers as rd
 from ..operators import structure as st
 from ..operators import views as vw
 from . import adapters as ad
+from .store import TABLES
 
 
 def stable_keys(spark, sf_dir: str) -> DataFrame:
@@ -98,6 +99,38 @@ def duplicate_candidates(spark, sf_dir: str) -> DataFrame:
     return st.duplicate_pairs(ad.repeated(spark, sf_dir))
 
 
+def duplicate_groups(spark, sf_dir: str) -> DataFrame:
+    """White space and control characters around some copies, attachments at some: copies are such only with the same attachments."""
+    i = F.col("message_id")
+    m = ad.repeated(spark, sf_dir).withColumn("text", F.when(i % 3 == 0, F.concat(F.lit(" \u0000"), "text", F.lit(" \n"))).otherwise(F.col("text")))
+    a = m.where("message_id % 4 = 0").select("message_id", F.explode(F.array(F.lit("b"), F.when(i % 8 == 0, "a").otherwise("b"))).alias("attachment_key"))
+    return st.duplicate_pairs(st.duplicate_groups(m, a), same=("clean_text", "attachment_keys"))
+
+
+def analytic_read(spark, sf_dir: str) -> DataFrame:
+    m = ad.memberships(spark, sf_dir).select("membership_id", "message_id", "conversation_id", "is_primary")
+    processed = ad.memberships(spark, sf_dir).where("message_id % 13 <> 0").select("membership_id", F.when(F.col("message_id") % 17 == 0, -1).otherwise(F.col("message_id")).cast("bigint").alias("message_id"), "conversation_id", F.length("text").alias("char_count"))
+    return vw.analytic_read(m, processed)
+
+
+def evidence_resolution(spark, sf_dir: str) -> DataFrame:
+    m = ad.sparse(spark, sf_dir).select("conversation_id", "message_id")
+    wanted = m.where("message_id % 2 = 0").unionByName(m.select("conversation_id", (F.col("message_id") + 1).alias("message_id")).where("message_id % 10 = 0"))
+    found, missing = vw.resolve_evidence(m, wanted)
+    return found.withColumn("found", F.lit(True)).unionByName(missing.withColumn("found", F.lit(False)))
+
+
+def inventory_details(spark, sf_dir: str) -> DataFrame:
+    from .store import store
+
+    s, m = store(spark, sf_dir), ad.sparse(spark, sf_dir)
+    of = m.where("sender_id IS NOT NULL").select("conversation_id", F.col("sender_id").alias("participant_id")).distinct().join(ad.people(spark, sf_dir), "participant_id")
+    sources = s["conversation_source"].select("conversation_id", "source_type", F.coalesce("source_sha256", F.lit("none")).alias("source_snapshot_key"), "source_conversation_id")
+    rows = rd.inventory_details(m, of, sources)
+    people = F.array_join(F.transform("participants", lambda x: F.concat_ws("/", x.participant_id.cast("string"), x.canonical_name, x.is_self.cast("string"))), ",")
+    return rows.withColumns({"participants": people, "sources": F.array_join(F.transform("sources", lambda x: F.concat_ws("/", x.source_type, x.source_snapshot_key, x.source_conversation_id)), ",")})
+
+
 def reply_threads(spark, sf_dir: str) -> DataFrame:
     m = ad.chats(spark, sf_dir)
     return st.reply_threads(st.reply_edges(ad.replies(spark, sf_dir), m), st.structured(m))
@@ -245,7 +278,7 @@ _REF = "struct_pack(k := NULL::VARCHAR, i := CASE WHEN event_id % 4 = {0} THEN u
 
 QUERIES = {f.__name__: f for f in (
     stable_keys, apple_time, timestamp_parse, direction_parse, identity_norm, participant_ids, conversation_keys, conversation_refs, resolved_messages, attachments, reply_relations, local_time, participant_resolution, name_candidates,
-    duplicate_candidates, reply_threads, media_class, analysis_messages, analysis_conversations, latest_run_per_conversation, latest_run, integrity_antijoins, multiset_diff, evidence_audit, primary_audit, reconciliation, fingerprint,
+    duplicate_candidates, duplicate_groups, analytic_read, evidence_resolution, inventory_details, reply_threads, media_class, analysis_messages, analysis_conversations, latest_run_per_conversation, latest_run, integrity_antijoins, multiset_diff, evidence_audit, primary_audit, reconciliation, fingerprint,
     incremental_changed, resolved_sender_audit, message_filter, contact_overview, conversation_inventory, opposite_sender_gap, evidence_window, context_window, question_route, clean_text, safe_excerpt, text_blocks, disposition,
 )}
 ORACLES = {
@@ -266,6 +299,15 @@ ORACLES = {
   UNION ALL SELECT conversation_id, sender_id, text, message_id + 2000000000, timestamp_us + 1000000, source_message_id FROM msg WHERE message_id % 50 = 0),
   a AS (SELECT *, min(message_id) OVER (PARTITION BY conversation_id, sender_id, text, source_message_id) AS f, lag(message_id) OVER w AS li, lag(timestamp_us) OVER w AS lu, lag(source_message_id) OVER w AS ls FROM c WINDOW w AS (PARTITION BY conversation_id, sender_id, text ORDER BY timestamp_us, message_id))
   SELECT f AS left_id, message_id AS right_id, 'same_source_id' AS kind, 1.0::DOUBLE AS confidence FROM a WHERE f <> message_id UNION SELECT least(li, message_id), greatest(li, message_id), 'near_in_time', 0.8::DOUBLE FROM a WHERE timestamp_us - lu <= 2000000 AND ls IS DISTINCT FROM source_message_id""",
+    "duplicate_groups": f"""WITH {ad.SQL_EVENTS}, c AS (SELECT conversation_id, sender_id, text, message_id, timestamp_us, source_message_id FROM msg UNION ALL SELECT conversation_id, sender_id, text, message_id + 1000000000, timestamp_us + 1000000, 'x' || (message_id + 1000000000) FROM msg WHERE message_id % 50 = 0
+  UNION ALL SELECT conversation_id, sender_id, text, message_id + 2000000000, timestamp_us + 1000000, source_message_id FROM msg WHERE message_id % 50 = 0), k AS (SELECT *, CASE WHEN message_id % 8 = 0 THEN 'ab' WHEN message_id % 4 = 0 THEN 'bb' ELSE '' END AS ak FROM c),
+  a AS (SELECT *, min(message_id) OVER (PARTITION BY conversation_id, sender_id, text, ak, source_message_id) AS f, lag(message_id) OVER w AS li, lag(timestamp_us) OVER w AS lu, lag(source_message_id) OVER w AS ls FROM k WINDOW w AS (PARTITION BY conversation_id, sender_id, text, ak ORDER BY timestamp_us, message_id))
+  SELECT f AS left_id, message_id AS right_id, 'same_source_id' AS kind, 1.0::DOUBLE AS confidence FROM a WHERE f <> message_id UNION SELECT least(li, message_id), greatest(li, message_id), 'near_in_time', 0.8::DOUBLE FROM a WHERE timestamp_us - lu <= 2000000 AND ls IS DISTINCT FROM source_message_id""",
+    "analytic_read": f"WITH {ad.SQL_EVENTS}, mb AS (SELECT membership_id, message_id, conversation_id, true AS is_primary, text FROM msg UNION ALL SELECT membership_id + 1000000000, message_id, conversation_id + 1000, false, text FROM msg WHERE message_id % 40 = 0) SELECT membership_id, message_id, conversation_id, is_primary, length(text) AS char_count FROM mb WHERE message_id % 13 <> 0 AND message_id % 17 <> 0",
+    "evidence_resolution": "WITH w AS (SELECT DISTINCT user_id // 2 AS conversation_id, event_id AS message_id FROM events WHERE event_id % 2 = 0 UNION SELECT user_id // 2, event_id + 1 FROM events WHERE (event_id + 1) % 10 = 0) SELECT w.conversation_id, w.message_id, e.event_id IS NOT NULL AS found FROM w LEFT JOIN events e ON e.event_id = w.message_id AND e.user_id // 2 = w.conversation_id",
+    "inventory_details": f"""WITH {ad.SQL_SPARSE}, cs AS ({TABLES["conversation_source"]}), p AS (SELECT conversation_id, string_agg(DISTINCT sender_id || '/User ' || (sender_id % 40) || '/' || CASE WHEN sender_id % 50 = 0 THEN 'true' ELSE 'false' END, ',' ORDER BY sender_id || '/User ' || (sender_id % 40) || '/' || CASE WHEN sender_id % 50 = 0 THEN 'true' ELSE 'false' END) AS participants FROM msg WHERE sender_id IS NOT NULL GROUP BY 1),
+  s AS (SELECT conversation_id, string_agg(source_type || '/' || coalesce(source_sha256, 'none') || '/' || source_conversation_id, ',' ORDER BY source_type, coalesce(source_sha256, 'none'), source_conversation_id) AS sources FROM cs GROUP BY 1), g AS (SELECT conversation_id, count(*) AS message_count, count(*) FILTER (WHERE timestamp_us IS NULL) AS unknown_time_count, min(timestamp_us) AS first_us, max(timestamp_us) AS last_us FROM msg GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100)
+  SELECT g.*, participants, sources FROM g LEFT JOIN p USING (conversation_id) LEFT JOIN s USING (conversation_id)""",
     "reply_threads": f"""WITH {ad.sql_processed(ad.SQL_CHATS)}, e AS (SELECT conv_id * 100 + turn AS a FROM conversations WHERE turn > 0 AND (conv_id + turn) % 3 <> 0 AND EXISTS (SELECT 1 FROM conversations q WHERE q.conv_id = conversations.conv_id AND q.turn = conversations.turn - 1)),
   n AS (SELECT a AS m FROM e UNION SELECT a - 1 FROM e), g AS (SELECT m, sum(CASE WHEN m IN (SELECT a FROM e) THEN 0 ELSE 1 END) OVER (ORDER BY m) AS k FROM n), t AS (SELECT m, min(m) OVER (PARTITION BY k) AS thread_id FROM g)
   SELECT conversation_id, thread_id, membership_id, row_number() OVER (PARTITION BY thread_id ORDER BY seq) AS position, CASE WHEN min(session_no) OVER (PARTITION BY thread_id) = max(session_no) OVER (PARTITION BY thread_id) THEN session_no END AS session_no, count(*) OVER (PARTITION BY thread_id) AS size FROM t JOIN st ON st.membership_id = t.m""",
