@@ -119,7 +119,8 @@ def ai_candidates(conflicts: DataFrame, changes: DataFrame, signals: DataFrame,
 
 def merge_candidates(candidates: DataFrame, least: float = 0.7) -> DataFrame:
     """Folds candidates of a conversation and kind, by start, into the merged one before where they overlap by `least` of the shorter
-    (a second at least). The fold depends on what was merged, so that it runs within a group, in pandas."""
+    (a second at least). The fold depends on what was merged, so that it runs in pandas, within an island: what starts when all
+    before it have ended can join none of them, so that islands are folded apart and a conversation is never gathered."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
@@ -134,7 +135,10 @@ def merge_candidates(candidates: DataFrame, least: float = 0.7) -> DataFrame:
         return pd.DataFrame(out, columns=["conversation_id", "kind", "start_us", "end_us", "importance", "merged"])
 
     known = candidates.where("start_us IS NOT NULL AND end_us IS NOT NULL").select("conversation_id", "kind", "start_us", "end_us", "importance")
-    return known.groupBy("conversation_id", "kind").applyInPandas(fold, "conversation_id bigint, kind string, start_us bigint, end_us bigint, importance double, merged bigint")
+    w = Window.partitionBy("conversation_id", "kind").orderBy("start_us", "end_us", "importance")
+    before = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    known = known.withColumn("_new", F.when(F.col("start_us") >= before, 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return known.groupBy("conversation_id", "kind", "_island").applyInPandas(fold, "conversation_id bigint, kind string, start_us bigint, end_us bigint, importance double, merged bigint")
 
 
 def ordered_lookup(requests: DataFrame, rows: DataFrame, key: str) -> DataFrame:
