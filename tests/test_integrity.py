@@ -1,6 +1,7 @@
 """Audits and normalisation that no registered query reaches."""
 
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,26 @@ def test_gates_of_empty_tables(spark):
     assert gt.bundle_faults(spark.createDataFrame([], "bundle_id long, manifest string, report string"), spark.createDataFrame([], "bundle_id long"), spark.createDataFrame([], "bundle_id long")).count() == 0
     old = spark.createDataFrame([(1, False), (2, True)], "conversation_id long, reconciliation_ok boolean")
     assert rows(gt.reader_faults(old, spark.createDataFrame([(1,), (2,), (3,)], "conversation_id long")), "conversation_id", "code") == [(1, "RECONCILIATION_NOT_OK"), (3, "RECONCILIATION_ROW_MISSING")]
+
+
+def test_staged_bundles(spark):
+    sha = "a" * 64
+    key = lambda i: hashlib.sha256("\u001f".join([sha, "", str(i), "c"]).encode()).hexdigest()
+    manifest = {"contract_version": "1", "source": {"type": "csv", "sha256": sha}, "parser": {"name": "p", "version": "1"}, "outputs": {"messages": "m"}, "counts": {"messages_seen": 1, "attachments_seen": 1, "errors": 0}, "source_record_key": {"version": "1"}}
+    good = {"source_record_key": key(1), "contract_version": "1", "record_type": "message", "source_type": "csv", "source_sha256": sha, "source_message_id": "1", "conversation_source_id": "c", "timestamp_utc": "2024-01-01T00:00:00Z", "timestamp_raw": "x", "attachments": [{"source_attachment_id": "1", "sha256": sha}]}
+    bad = {**good, "contract_version": "2", "record_type": "x", "source_type": "json", "source_sha256": None, "source_message_id": "", "timestamp_utc": "soon", "conversation_sources": [{"source_conversation_key": "k"}, {"source_conversation_key": "k"}, {}, 3], "attachments": [1, {"sha256": "z"}]}
+    chat = {**manifest, "source": {"type": "imessage_chat_db", "sha256": "x"}, "counts": {"messages_seen": 0, "attachments_seen": 0, "errors": 2}, "parser": None}
+    lines = [(1, json.dumps(good)), (2, json.dumps(good)), (2, json.dumps(bad)), (2, " "), (2, "{"), (2, "[1]"), (3, json.dumps({**good, "timestamp_utc": None, "attachments": {}, "conversation_sources": 5, "source_record_key": "short"})), (5, "1")]
+    bundles = [(1, json.dumps(manifest)), (2, json.dumps(manifest)), (3, json.dumps(chat)), (4, None), (5, "[]")]
+    got = {}
+    for r in gt.staging_faults(spark.createDataFrame(lines, "bundle_id long, value string"), spark.createDataFrame(bundles, "bundle_id long, manifest string")).collect():
+        got.setdefault(r.bundle_id, {})[r.code] = r.n
+    assert 1 not in got and got[4] == {"MANIFEST_MISSING": 1, "MESSAGES_MISSING": 1} and got[5] == {"MANIFEST_INVALID": 1, "MESSAGE_NOT_OBJECT": 1}
+    assert got[2] == {
+        "EMPTY_LINE": 1, "MESSAGE_JSON_INVALID": 1, "MESSAGE_NOT_OBJECT": 1, "CONTRACT_VERSION_MISMATCH": 1, "RECORD_TYPE_INVALID": 1, "SOURCE_TYPE_MISMATCH": 1, "SOURCE_SHA256_MISMATCH": 1, "SOURCE_MESSAGE_ID_MISSING": 1, "SOURCE_RECORD_KEY_MISMATCH": 1, "SOURCE_RECORD_KEY_DUPLICATE": 1,
+        "TIMESTAMP_INVALID": 1, "CONVERSATION_SOURCE_NOT_OBJECT": 1, "CONVERSATION_SOURCE_KEY_MISSING": 1, "CONVERSATION_SOURCE_DUPLICATE": 1, "ATTACHMENT_NOT_OBJECT": 1, "ATTACHMENT_SOURCE_ID_MISSING": 1, "ATTACHMENT_SHA256_INVALID": 1, "MESSAGES_SEEN_MISMATCH": 1, "MESSAGES_EMITTED_MISMATCH": 1, "ATTACHMENTS_SEEN_MISMATCH": 1,
+    }
+    assert got[3].keys() == {
+        "MANIFEST_PARSER_INVALID", "SOURCE_SHA256_INVALID", "IMESSAGE_RECORD_KEY_CONTRACT_INVALID", "IMESSAGE_SNAPSHOT_METHOD_INVALID", "IMESSAGE_WAL_PROVENANCE_MISSING", "SOURCE_RECORD_KEY_INVALID", "SOURCE_TYPE_MISMATCH", "SOURCE_SHA256_MISMATCH", "SOURCE_RECORD_KEY_CONTRACT_UNKNOWN", "IMESSAGE_TIMESTAMP_CONVERSION_MISSING",
+        "CONVERSATION_SOURCES_NOT_LIST", "IMESSAGE_CONVERSATION_SOURCES_MISSING", "ATTACHMENTS_NOT_LIST", "MESSAGES_SEEN_MISMATCH", "MESSAGES_EMITTED_MISMATCH", "A1_EXTRACTION_ERRORS",
+    }

@@ -131,3 +131,71 @@ def report(checks: DataFrame) -> DataFrame:
     worst = F.max(F.when(F.col("severity") == "ERROR", 2).when(F.col("severity") == "WARNING", 1).otherwise(0))
     one = checks.agg(each.alias("checks"), F.when(worst == 2, "FAIL").when(worst == 1, "WARNING").otherwise("PASS").alias("status"))
     return one.select("status", F.to_json(F.struct("checks", "status")).alias("report")).withColumn("fingerprint", F.sha2("report", 256))
+
+
+RECORD = """source_record_key string, contract_version string, record_type string, source_type string, source_sha256 string, source_guid string, source_message_id string, conversation_source_id string, timestamp_utc string,
+  timestamp_raw string, conversation_sources string, attachments string"""
+STAGING_MANIFEST = """contract_version string, source struct<type:string,sha256:string,snapshot_method:string,snapshot_includes_committed_wal:boolean>, parser struct<name:string,version:string>, outputs struct<messages:string>,
+  counts struct<messages_seen:bigint,messages_emitted:bigint,attachments_seen:bigint,errors:bigint>, source_record_key struct<version:string,scope:string>"""
+# What a snapshot of a chat database must declare.
+CHAT_TYPE, CHAT_KEY_VERSION, CHAT_KEY_SCOPE, CHAT_SNAPSHOT = "imessage_chat_db", "2", "source_snapshot+message_rowid", "sqlite_online_backup_v1"
+
+
+def staging_faults(lines: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Staged bundles as they lie in files against their contract: (bundle_id, code, severity, n). lines: bundle_id, value (a
+    line of the messages); manifests: bundle_id, manifest (JSON). Records are judged line by line without Python, counts and
+    repeated keys by one aggregate each; a bundle without a manifest that is JSON has only faults of that and of its lines."""
+    from . import canonical as ca
+
+    sha = lambda c: F.coalesce(c.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    valid = lambda c: F.try_parse_json(c).isNotNull()
+    m = manifests.select("bundle_id", F.col("manifest").alias("_json"), F.when(F.json_object_keys("manifest").isNotNull(), F.from_json("manifest", STAGING_MANIFEST)).alias("m"))
+    rows = lines.select("bundle_id", "value", F.from_json("value", RECORD).alias("r"), F.coalesce(F.json_object_keys("value").isNotNull(), F.lit(False)).alias("_object")).join(m.select("bundle_id", "m"), "bundle_id", "left")
+    r, q = lambda name: F.col(f"r.{name}"), lambda name: F.col(f"m.{name}")
+    chat = q("source.type").eqNullSafe(F.lit(CHAT_TYPE))
+    told = F.col("m").isNotNull() & F.col("_object")
+    differ = lambda x, y: ~x.eqNullSafe(y)
+    by_row = ca.stable_key(q("source.sha256"), F.lit("message"), r("source_message_id"))
+    by_ids = ca.stable_key(q("source.sha256"), r("source_guid"), r("source_message_id"), r("conversation_source_id"))
+    version = q("source_record_key.version")
+    key = F.when(sha(q("source.sha256")), F.when(chat & (version == CHAT_KEY_VERSION), by_row).when(version == "1", by_ids))
+    array = lambda c: F.from_json(c, "array<string>")
+    is_list = lambda c: c.rlike(r"^\s*\[")
+    relations, files = F.when(is_list(r("conversation_sources")), array(r("conversation_sources"))), F.when(is_list(r("attachments")), array(r("attachments")))
+    objects = lambda a: F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.json_object_keys(x).isNotNull())
+    field = lambda a, name: F.transform(objects(a), lambda x: F.get_json_object(x, f"$.{name}"))
+    size = lambda a: F.greatest(F.coalesce(F.size(a), F.lit(0)), F.lit(0)).cast("bigint")
+    names = F.filter(field(relations, "source_conversation_key"), lambda x: x.isNotNull() & (x != ""))
+    one = lambda condition: F.when(F.coalesce(condition, F.lit(False)), 1).otherwise(0).cast("bigint")
+    untimed = blank(r("timestamp_utc")) & r("timestamp_raw").isNotNull()
+    per_line = {
+        "EMPTY_LINE": one(F.trim("value") == ""), "MESSAGE_JSON_INVALID": one((F.trim("value") != "") & ~valid(F.col("value"))), "MESSAGE_NOT_OBJECT": one(valid(F.col("value")) & ~F.col("_object")),
+        "SOURCE_RECORD_KEY_INVALID": one(told & ~sha(r("source_record_key"))), "CONTRACT_VERSION_MISMATCH": one(told & differ(r("contract_version"), q("contract_version"))), "RECORD_TYPE_INVALID": one(told & differ(r("record_type"), F.lit("message"))),
+        "SOURCE_TYPE_MISMATCH": one(told & differ(r("source_type"), q("source.type"))), "SOURCE_SHA256_MISMATCH": one(told & differ(r("source_sha256"), q("source.sha256"))), "SOURCE_MESSAGE_ID_MISSING": one(told & blank(r("source_message_id"))),
+        "SOURCE_CONVERSATION_ID_MISSING": one(told & blank(r("conversation_source_id"))), "SOURCE_RECORD_KEY_CONTRACT_UNKNOWN": one(told & key.isNull()), "SOURCE_RECORD_KEY_MISMATCH": one(told & key.isNotNull() & differ(r("source_record_key"), key)),
+        "TIMESTAMP_INVALID": one(told & ~blank(r("timestamp_utc")) & ca.parse_timestamp(r("timestamp_utc"))["us"].isNull()), "IMESSAGE_TIMESTAMP_CONVERSION_MISSING": one(told & chat & untimed), "TIMESTAMP_UNNORMALIZED": one(told & ~chat & untimed),
+        "CONVERSATION_SOURCES_NOT_LIST": one(told & ~is_list(r("conversation_sources"))), "CONVERSATION_SOURCE_NOT_OBJECT": F.when(told, size(relations) - size(objects(relations))).otherwise(0), "CONVERSATION_SOURCE_KEY_MISSING": F.when(told, size(objects(relations)) - size(names)).otherwise(0),
+        "CONVERSATION_SOURCE_DUPLICATE": F.when(told, size(names) - size(F.array_distinct(names))).otherwise(0), "IMESSAGE_CONVERSATION_SOURCES_MISSING": one(told & chat & (F.size(names) == 0)),
+        "ATTACHMENTS_NOT_LIST": one(told & ~is_list(r("attachments"))), "ATTACHMENT_NOT_OBJECT": F.when(told, size(files) - size(objects(files))).otherwise(0),
+        "ATTACHMENT_SOURCE_ID_MISSING": F.when(told, size(F.filter(field(files, "source_attachment_id"), blank))).otherwise(0), "ATTACHMENT_SHA256_INVALID": F.when(told, size(F.filter(field(files, "sha256"), lambda x: x.isNotNull() & ~sha(x)))).otherwise(0),
+    }
+    sums = rows.groupBy("bundle_id").agg(*[F.sum(c).alias(code) for code, c in per_line.items()], F.count_if("_object").alias("_records"), F.sum(F.when(F.col("_object"), size(files)).otherwise(0)).alias("_files"))
+    keys = rows.where(told & sha(r("source_record_key"))).groupBy("bundle_id", r("source_record_key").alias("k")).agg((F.count("*") - 1).alias("c")).groupBy("bundle_id").agg(F.sum("c").alias("SOURCE_RECORD_KEY_DUPLICATE"))
+    b = m.withColumn("_manifest", F.lit(True)).join(sums, "bundle_id", "full").join(keys, "bundle_id", "left").withColumns({"_lines": F.col("_records").isNotNull(), "_records": F.coalesce("_records", F.lit(0)), "_files": F.coalesce("_files", F.lit(0))})
+    have, chat = F.col("m").isNotNull(), q("source.type").eqNullSafe(F.lit(CHAT_TYPE))
+    count = lambda name: q(f"counts.{name}")
+    per_bundle = {
+        "MANIFEST_MISSING": one(F.col("_json").isNull()), "MANIFEST_INVALID": one(F.col("_json").isNotNull() & ~have), "MESSAGES_MISSING": one(F.col("_manifest") & ~F.col("_lines")),
+        "CONTRACT_VERSION_UNSUPPORTED": one(have & differ(q("contract_version"), F.lit("1"))), "MANIFEST_SOURCE_INVALID": one(have & q("source").isNull()), "MANIFEST_PARSER_INVALID": one(have & (blank(q("parser.name")) | blank(q("parser.version")))),
+        "MANIFEST_OUTPUTS_INVALID": one(have & blank(q("outputs.messages"))), "MANIFEST_COUNTS_INVALID": one(have & q("counts").isNull()), "SOURCE_RECORD_KEY_CONTRACT_MISSING": one(have & q("source_record_key").isNull()),
+        "SOURCE_TYPE_MISSING": one(have & blank(q("source.type"))), "SOURCE_SHA256_INVALID": one(have & ~sha(q("source.sha256"))),
+        "IMESSAGE_RECORD_KEY_CONTRACT_INVALID": one(chat & (differ(q("source_record_key.version"), F.lit(CHAT_KEY_VERSION)) | differ(q("source_record_key.scope"), F.lit(CHAT_KEY_SCOPE)))),
+        "IMESSAGE_SNAPSHOT_METHOD_INVALID": one(chat & differ(q("source.snapshot_method"), F.lit(CHAT_SNAPSHOT))), "IMESSAGE_WAL_PROVENANCE_MISSING": one(chat & differ(q("source.snapshot_includes_committed_wal"), F.lit(True))),
+        "MESSAGES_SEEN_MISMATCH": one(have & differ(count("messages_seen"), F.col("_records"))), "MESSAGES_EMITTED_MISMATCH": one(have & differ(F.coalesce(count("messages_emitted"), count("messages_seen")), F.col("_records"))),
+        "ATTACHMENTS_SEEN_MISMATCH": one(have & differ(count("attachments_seen"), F.col("_files"))), "A1_EXTRACTION_ERRORS": one(have & differ(count("errors"), F.lit(0).cast("bigint"))),
+    }
+    cases = {**per_bundle, **{code: F.col(code) for code in per_line}, "SOURCE_RECORD_KEY_DUPLICATE": F.col("SOURCE_RECORD_KEY_DUPLICATE")}
+    severity = lambda code: "WARNING" if code in ("EMPTY_LINE", "TIMESTAMP_UNNORMALIZED", "ATTACHMENT_SOURCE_ID_MISSING") else "ERROR"
+    each = F.array(*[F.struct(F.lit(code).alias("code"), F.lit(severity(code)).alias("severity"), F.coalesce(c, F.lit(0)).cast("bigint").alias("n")) for code, c in cases.items()])
+    return b.select("bundle_id", F.explode(each).alias("c")).select("bundle_id", "c.code", "c.severity", "c.n").where("n > 0")
