@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import canonical as ca
 from ..operators import gates as gt
 from ..operators import packets as pk
 from ..operators import structure as st
@@ -113,6 +114,24 @@ def bundle_gate(spark, sf_dir: str) -> DataFrame:
     return gt.bundle_faults(bundles, rows, rows.where("bundle_id % 37 = 0"))
 
 
+def staging_contract(spark, sf_dir: str) -> DataFrame:
+    """A bundle for each user, a line for each event; lines, records and manifests with faults."""
+    i, sha = F.col("event_id"), F.lit("a" * 64)
+    text = lambda c: c.cast("string")
+    key = F.when(i % 53 == 0, F.lit("short")).when(i % 59 == 0, F.lit("b" * 64)).otherwise(ca.stable_key(sha, F.lit(""), text(i), text(F.col("user_id"))))
+    fields = {
+        "source_record_key": key, "contract_version": F.when(i % 61 != 0, "1"), "record_type": F.when(i % 67 != 0, "message").otherwise("note"), "source_type": F.when(i % 71 != 0, "csv").otherwise("json"), "source_sha256": sha, "source_message_id": text(i), "conversation_source_id": text(F.col("user_id")),
+        "timestamp_utc": F.when(i % 73 == 0, "soon").when(i % 79 != 0, "2024-01-01T00:00:00Z"), "timestamp_raw": F.lit("raw"), "attachments": F.when(i % 83 == 0, F.array(F.struct(F.lit("x").alias("sha256")))),
+    }
+    e = ad.table(spark, sf_dir, "events").withColumn("_object", (i % 41 != 0) & (i % 43 != 0) & (i % 47 != 0))
+    lines = e.select(F.col("user_id").alias("bundle_id"), F.when(i % 41 == 0, " ").when(i % 43 == 0, "{x").when(i % 47 == 0, "[]").otherwise(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))).alias("value"))
+    u = F.col("bundle_id")
+    counts = F.struct((F.col("n") + F.when(u % 4 == 0, 1).otherwise(0)).alias("messages_seen"), F.col("n").alias("messages_emitted"), F.col("f").alias("attachments_seen"), F.when(u % 6 == 0, 1).otherwise(0).alias("errors"))
+    told = F.to_json(F.struct(F.lit("1").alias("contract_version"), F.struct(F.lit("csv").alias("type"), sha.alias("sha256")).alias("source"), F.struct(F.lit("p").alias("name"), F.lit("1").alias("version")).alias("parser"), F.struct(F.lit("m").alias("messages")).alias("outputs"), counts.alias("counts"), F.struct(F.when(u % 9 == 0, "7").otherwise("1").alias("version")).alias("source_record_key")))
+    per = e.groupBy(F.col("user_id").alias("bundle_id")).agg(F.count_if("_object").alias("n"), F.count_if(F.col("_object") & (i % 83 == 0)).alias("f"))
+    return gt.staging_faults(lines, per.select("bundle_id", F.when(u % 19 != 0, told).alias("manifest")))
+
+
 def source_accounts(spark, sf_dir: str) -> DataFrame:
     e = ad.table(spark, sf_dir, "events").select(F.col("event_id").alias("source_key"))
     return gt.source_accounts(e.where("source_key % 97 <> 0"), emitted=e.where("source_key % 5 <> 0"), errors=e.where("source_key % 5 = 0 AND source_key % 3 <> 0"), unsupported=e.where("source_key % 101 = 0"), duplicates=e.where("source_key % 15 = 0 AND source_key % 2 = 0"))
@@ -200,8 +219,20 @@ one AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY source_type,
 cs AS (SELECT * FROM old UNION ALL SELECT NULL, conversation_id, import_run_id, source_type, source_snapshot_key, source_sha256, source_conversation_id, 'message_source' FROM one WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.source_type = one.source_type AND old.source_snapshot_key = one.source_snapshot_key AND old.source_conversation_id = one.source_conversation_id))"""
 _JSON = "to_json(struct_pack(analysis_type := 'conflict', context := struct_pack(message_id := message_id, text := text, timestamp_us := timestamp_us), mode := 'local', model := 'm', prompt_version := '1', provider := 'p'))::VARCHAR"
 
+_LINE_CASES = {
+    "EMPTY_LINE": "i % 41 = 0", "MESSAGE_JSON_INVALID": "i % 41 <> 0 AND i % 43 = 0", "MESSAGE_NOT_OBJECT": "i % 41 <> 0 AND i % 43 <> 0 AND i % 47 = 0",
+    **{code: f"told AND {sql}" for code, sql in {
+        "SOURCE_RECORD_KEY_INVALID": "i % 53 = 0", "SOURCE_RECORD_KEY_CONTRACT_UNKNOWN": "b % 9 = 0", "SOURCE_RECORD_KEY_MISMATCH": "b % 9 <> 0 AND (i % 53 = 0 OR i % 59 = 0)", "CONTRACT_VERSION_MISMATCH": "i % 61 = 0", "RECORD_TYPE_INVALID": "i % 67 = 0", "SOURCE_TYPE_MISMATCH": "i % 71 = 0",
+        "TIMESTAMP_INVALID": "i % 73 = 0", "TIMESTAMP_UNNORMALIZED": "i % 73 <> 0 AND i % 79 = 0", "ATTACHMENT_SOURCE_ID_MISSING": "i % 83 = 0", "ATTACHMENT_SHA256_INVALID": "i % 83 = 0",
+    }.items()},
+}
+_STAGED = f"""WITH l AS (SELECT user_id AS b, event_id AS i, user_id % 19 <> 0 AND event_id % 41 <> 0 AND event_id % 43 <> 0 AND event_id % 47 <> 0 AS told FROM events),
+h AS (SELECT b, {', '.join(f"count(*) FILTER (WHERE {sql}) AS {code}" for code, sql in _LINE_CASES.items())}, greatest(count(*) FILTER (WHERE told AND i % 53 <> 0 AND i % 59 = 0) - 1, 0) AS SOURCE_RECORD_KEY_DUPLICATE, CASE WHEN b % 19 = 0 THEN 1 ELSE 0 END AS MANIFEST_MISSING,
+  CASE WHEN b % 19 <> 0 AND b % 4 = 0 THEN 1 ELSE 0 END AS MESSAGES_SEEN_MISMATCH, CASE WHEN b % 19 <> 0 AND b % 6 = 0 THEN 1 ELSE 0 END AS A1_EXTRACTION_ERRORS FROM l GROUP BY b), g AS (SELECT b AS bundle_id, * EXCLUDE (b) FROM h)"""
+_STAGED_CODES = [*_LINE_CASES, "SOURCE_RECORD_KEY_DUPLICATE", "MANIFEST_MISSING", "MESSAGES_SEEN_MISMATCH", "A1_EXTRACTION_ERRORS"]
+
 QUERIES = {f.__name__: f for f in (
-    packet_messages, packet_selection, packet_contract, packet_records, packet_hashes, candidate_provenance, source_labels, contact_labels, conversation_selection, reading_ranks, bundle_gate, source_accounts, reader_gate, analytics_oracle, schema_actions, backfilled_sources, backfilled_links, backfilled_sha,
+    packet_messages, packet_selection, packet_contract, packet_records, packet_hashes, candidate_provenance, source_labels, contact_labels, conversation_selection, reading_ranks, bundle_gate, staging_contract, source_accounts, reader_gate, analytics_oracle, schema_actions, backfilled_sources, backfilled_links, backfilled_sha,
     gate_report,
 )}
 ORACLES = {
@@ -220,6 +251,7 @@ ORACLES = {
     "conversation_selection": f"WITH {ad.SQL_SPARSE} SELECT membership_id, timestamp_us FROM msg WHERE conversation_id % 2 = 0 AND timestamp_us BETWEEN 1704500000000000 AND 1705500000000000",
     "reading_ranks": f"{_with('finding')} SELECT finding_id, row_number() OVER (PARTITION BY user_id ORDER BY start_us DESC NULLS LAST, finding_id) AS finding_rank, row_number() OVER (PARTITION BY user_id ORDER BY start_us NULLS FIRST, end_us NULLS FIRST, candidate_type, candidate_id) AS candidate_rank FROM finding",
     "bundle_gate": f"WITH b AS (SELECT DISTINCT user_id AS u FROM events) " + " UNION ALL ".join(f"SELECT u AS bundle_id, '{code}' AS code FROM b WHERE {sql}" for code, sql in _BUNDLE_CASES.items()),
+    "staging_contract": f"{_STAGED} " + _stack("bundle_id", {code: code for code in _STAGED_CODES}, "g", ", CASE WHEN c.code IN ('EMPTY_LINE', 'TIMESTAMP_UNNORMALIZED', 'ATTACHMENT_SOURCE_ID_MISSING') THEN 'WARNING' ELSE 'ERROR' END AS severity"),
     "source_accounts": f"{_ACCOUNTS} SELECT * FROM s",
     "reader_gate": f"""{_with('published', 'titled')}, p AS (SELECT * FROM published UNION ALL SELECT * FROM published WHERE conversation_id = 1), w AS (SELECT t.conversation_id, (SELECT min(reconciliation_ok) FROM p WHERE p.conversation_id = t.conversation_id) AS ok FROM titled t)
       SELECT conversation_id, 'MEMBERSHIP_COUNT_DELTA_NOT_ZERO' AS code FROM p WHERE conversation_id % 5 = 0 UNION ALL SELECT conversation_id, 'INVALID_RESPONSE_SESSION_COUNT_NOT_ZERO' FROM p WHERE conversation_id % 7 = 0 UNION ALL SELECT conversation_id, 'PROCESSING_RUN_NOT_LATEST' FROM p WHERE conversation_id % 11 = 0
