@@ -118,3 +118,13 @@ def test_staged_bundles(spark):
         "MANIFEST_PARSER_INVALID", "SOURCE_SHA256_INVALID", "IMESSAGE_RECORD_KEY_CONTRACT_INVALID", "IMESSAGE_SNAPSHOT_METHOD_INVALID", "IMESSAGE_WAL_PROVENANCE_MISSING", "SOURCE_RECORD_KEY_INVALID", "SOURCE_TYPE_MISMATCH", "SOURCE_SHA256_MISMATCH", "SOURCE_RECORD_KEY_CONTRACT_UNKNOWN", "IMESSAGE_TIMESTAMP_CONVERSION_MISSING",
         "CONVERSATION_SOURCES_NOT_LIST", "IMESSAGE_CONVERSATION_SOURCES_MISSING", "ATTACHMENTS_NOT_LIST", "MESSAGES_SEEN_MISMATCH", "MESSAGES_EMITTED_MISMATCH", "A1_EXTRACTION_ERRORS",
     }
+
+
+def test_first_reply_does_not_hang_on_the_order_of_relations(spark):
+    messages = spark.createDataFrame([(0,), (1,), (2,)], "message_id long")
+    none = spark.createDataFrame([], "message_id long, mime_type string")
+    sources, runs = spark.createDataFrame([], "message_id long, import_run_id long, source_record_key string"), spark.createDataFrame([], "import_run_id long, source_sha256 string, source_fingerprint string, parser_version string")
+    told = [(0, 0, -1, "reply_to"), (0, 0, -2, "Reply"), (7, 1, 3, "reply_to"), (-7, 1, 0, "Reply"), (None, 1, 9, "reply"), (-9, 1, 5, "edit")]
+    for order in (told, told[::-1]):
+        relations = spark.createDataFrame(order, "relation_id long, source_message_id long, target_message_id long, relation_type string").coalesce(1)
+        assert rows(vw.message_provenance(messages, relations, none, sources, runs), "message_id", "reply_to") == [(0, -2), (1, 0), (2, None)]

@@ -141,8 +141,10 @@ def resolved_latest(rows: DataFrame, sidecar: DataFrame, runs: DataFrame, on: st
 
 
 def message_provenance(messages: DataFrame, relations: DataFrame, attachments: DataFrame, sources: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each message with its first reply target, and the distinct kinds of its attachments, keys, snapshots and parsers."""
-    reply = relations.where(F.lower("relation_type").contains("reply")).groupBy(F.col("source_message_id").alias("message_id")).agg(F.min_by("target_message_id", "relation_id").alias("reply_to"))
+    """Each message with its first reply target (by relation id, then target), and the distinct kinds of its attachments, keys,
+    snapshots and parsers."""
+    order = F.when(F.col("relation_id").isNotNull(), F.struct("relation_id", "target_message_id"))
+    reply = relations.where(F.lower("relation_type").contains("reply")).groupBy(F.col("source_message_id").alias("message_id")).agg(F.min_by("target_message_id", order).alias("reply_to"))
     kinds = attachments.where("mime_type IS NOT NULL").groupBy("message_id").agg(F.sort_array(F.collect_set("mime_type")).alias("mime_types"))
     per = sources.join(_runs(runs, "parser_version"), "import_run_id").groupBy("message_id").agg(*[F.sort_array(F.collect_set(c)).alias(f"{c}s") for c in ("source_record_key", "source_snapshot_key", "parser_version")])
     return messages.select("message_id").join(reply, "message_id", "left").join(kinds, "message_id", "left").join(per, "message_id", "left")
