@@ -393,6 +393,33 @@ def test_substrings_against_brute_force(spark, limits):
     assert got == dict(enumerate(substring_dedup.brute_force(texts, 60)))
 
 
+def test_contexts_of_a_hot_anchor_are_not_dealt_to_one_task(spark, monkeypatch):
+    rng = random.Random(4)
+    config = substring_dedup.SubstringConfig(length=60, gram=16, contexts=20)
+    shared = prose(rng, 40)
+    texts = [prose(rng, 3) + shared[: 90 + i % 60] + prose(rng, 5) for i in range(300)]
+    spread = []
+
+    def kept(df, name):
+        if name == "refined":
+            spread.extend(df.withColumn("task", F.spark_partition_id()).groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks")).where("n > 40").collect())
+        return common.materialize(df, name)
+
+    monkeypatch.setattr(substring_dedup, "materialize", kept)
+    large = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "20000"}  # as with large tables
+    was = {k: spark.conf.get(k) for k in large}
+    try:
+        for k, v in large.items():
+            spark.conf.set(k, v)
+        out = substring_dedup.remove(documents(spark, texts), config=config).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in out}
+    assert got == dict(enumerate(substring_dedup.brute_force(texts, 60)))
+    assert spread and all(r.tasks > 1 for r in spread), spread
+
+
 def test_repeat_groups_are_those_of_the_definition():
     """All sets of contexts that agree in a string around the anchor which none of its sides can grow for all of them."""
     rng = random.Random(1)

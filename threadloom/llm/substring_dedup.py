@@ -97,22 +97,22 @@ def anchors(docs: DataFrame, config: SubstringConfig) -> DataFrame:
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, config: SubstringConfig) -> DataFrame:
-    """The bytes of the contexts in wanted (h, ctx, doc_id, th, place, before, extra): h, ctx, before, extra, bytes."""
-    by_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "ctx", "place", "before", "extra")).alias("at"))  # a text's own anchors
+    """The bytes of the contexts in wanted (h, ctx, m, doc_id, th, place, before, extra): h, ctx, m, before, extra, bytes."""
+    by_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "ctx", "m", "place", "before", "extra")).alias("at"))  # a text's own anchors
     joined = docs.join(by_doc.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "at"), (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part, out = batch.slice(lo, 256), []
                 for text, at in zip(part.column(0), part.column(1).to_pylist(), strict=True):
                     raw = (text.as_py() or "").encode()
-                    out += [(x["h"], x["ctx"], x["before"], x["extra"], raw[x["place"] - x["before"] : x["place"] - x["before"] + x["extra"] + config.length]) for x in at]
+                    out += [(x["h"], x["ctx"], x["m"], x["before"], x["extra"], raw[x["place"] - x["before"] : x["place"] - x["before"] + x["extra"] + config.length]) for x in at]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "ctx", "before", "extra", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "ctx", "m", "before", "extra", "bytes"])
 
-    return joined.select("text", "at").mapInArrow(cut, "h bigint, ctx bigint, before int, extra int, bytes binary")
+    return joined.select("text", "at").mapInArrow(cut, "h bigint, ctx bigint, m bigint, before int, extra int, bytes binary")
 
 
 def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -277,6 +277,13 @@ def compared(groups: DataFrame, config: SubstringConfig, listed: bool = False) -
     return groups.select("g", "h", "ctx", "before", "bytes").repartition("g").sortWithinPartitions("g").mapInArrow(scan, HELD if listed else MARKS)
 
 
+def with_sizes(keyed: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """keyed with the n of its key in sizes (key, n). Keys of more than `most` rows, one in `most` rows at most, are broadcast, so
+    that their rows stay where they are; the rows of the others are dealt by key."""
+    told = keyed.join(F.broadcast(sizes.where(F.col("n") > most)), "key", "left")
+    return told.where("n IS NOT NULL").union(told.where("n IS NULL").drop("n").join(sizes.where(F.col("n") <= most), "key"))
+
+
 def refined(hot: DataFrame, config: SubstringConfig) -> tuple[list[DataFrame], list[DataFrame]]:
     """Splits anchors with too many contexts. hot: h, ctx, before, extra, bytes. Returns groups to compare, and marks."""
     groups, marks = [], []
@@ -290,7 +297,7 @@ def refined(hot: DataFrame, config: SubstringConfig) -> tuple[list[DataFrame], l
         core = F.substring("bytes", F.col("hi") + F.col("before") + 1, F.col("lo") + config.length - F.col("hi"))
         keyed = own.withColumn("key", F.xxhash64("g", "lo", "hi", core))
         sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        keyed = materialize(keyed.join(sizes, "key"), "refined")
+        keyed = materialize(with_sizes(keyed, sizes, config.contexts), "refined")
         single = keyed.where("lo = hi")
         marks.append(single.select(F.col("key").alias("repeat"), "h", "ctx", "lo", "hi"))
         groups.append(keyed.where((F.col("lo") < F.col("hi")) & (F.col("n") <= config.contexts)).select(F.col("key").alias("g"), "h", "ctx", "before", "bytes"))
@@ -308,7 +315,7 @@ def _held(docs: DataFrame, config: SubstringConfig, listed: bool) -> tuple[DataF
     # Equal contexts are one repeat as they are.
     whole = repeated.where("c > 1").select(F.xxhash64("h", "ctx").alias("repeat"), "h", "ctx", (-F.col("one.before")).alias("lo"), (F.col("one.extra") - F.col("one.before")).alias("hi"))
     open_ = repeated.where("m > 1" if listed else "m > 1 AND least = 1")
-    parts = materialize(contexts(docs, open_.select("h", "ctx", "one.*"), config).join(open_.groupBy("h").agg(F.count("*").alias("m")), "h").dropDuplicates(["h", "ctx"]), "context-bytes")
+    parts = materialize(contexts(docs, open_.select("h", "ctx", "m", "one.*"), config).dropDuplicates(["h", "ctx"]), "context-bytes")
     todo = parts.where(F.col("m") <= config.contexts).select(F.col("h").alias("g"), "h", "ctx", "before", "bytes")
     hot = parts.where(F.col("m") > config.contexts)
     if hot.limit(1).count():
