@@ -106,22 +106,26 @@ class SpanHash:
             return mix((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word in the buffer, and the row it belongs to."""
-    if not len(data):
+def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each stretch of true bytes that no row's edge cuts, and the row it belongs to."""
+    if not len(inside):
         return (np.zeros(0, np.int64),) * 3
-    inside = ~WS[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
     cut = offsets[1:-1]
-    cut = cut[(cut > 0) & (cut < len(data))]
+    cut = cut[(cut > 0) & (cut < len(inside))]
     first[cut] = inside[cut]
     last[cut - 1] = inside[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word in the buffer, and the row it belongs to."""
+    return spans_of(~WS[data], offsets)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's long."""
     return x.view(np.int64)
@@ -149,3 +153,28 @@ def bounded_sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
     if n <= most:
         return rows
     return rows.where(F.shiftrightunsigned(F.xxhash64(*by), 1) < F.lit(int(most / n * 2**63)))
+
+
+def bare_lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased, and nothing else."""
+    return np.where((data >= 0x41) & (data <= 0x5A), data + np.uint8(0x20), data)
+
+
+def joined_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each row one blank apart: the bytes, where each word starts in them, and the offsets of the rows."""
+    length = end - start
+    blank = np.zeros(len(row), dtype=np.int64)
+    blank[:-1] = row[1:] == row[:-1]
+    at = np.cumsum(length + blank) - length - blank
+    out = np.full(int((length + blank).sum()), 0x20, dtype=np.uint8)
+    step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    out[step + np.repeat(at, length)] = data[step + np.repeat(start, length)]
+    size = np.bincount(row, weights=length + blank, minlength=n_rows).astype(np.int64)
+    return out, at, np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::INT, 2))::BIGINT)"
+    steps = f"flatten(list_transform({octets}, lambda x: [x, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT)"

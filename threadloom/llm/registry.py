@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, near_dedup, quality_rules, source_mix, substring_dedup, token_files, toxicity, url_filter, warc
+from . import chat_format, decontaminate, near_dedup, periodic_runs, quality_rules, resampling, source_mix, substring_dedup, token_files, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_token_files": token_files.op9_token_files,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 ORACLES = {
     "op1_chat_format": chat_format.OP1_SQL,
     "op4_source_mix": source_mix.OP4_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op11_resampling": resampling.OP11_SQL,
 }
