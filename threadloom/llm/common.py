@@ -39,6 +39,13 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def open_store(uri: str):
+    """The file system of a folder or file, and its path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows lo to hi of a string column, their UTF-8 bytes and the offsets of the rows in them; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, near_dedup, periodic_runs, quality_rules, resampling, source_mix, substring_dedup, token_files, toxicity, url_filter, warc
+from . import chat_format, decontaminate, language_model, near_dedup, periodic_runs, quality_rules, resampling, source_mix, substring_dedup, token_files, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_resampling": resampling.op11_resampling,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_lm_scoring": language_model.op13_lm_scoring,
 }
 ORACLES = {
     "op1_chat_format": chat_format.OP1_SQL,
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
     "op11_resampling": resampling.OP11_SQL,
+    "op13_lm_scoring": language_model.OP13_SQL,
 }
