@@ -694,3 +694,21 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     loops = {x for x in parent if all(a == b for a, b in edges if x in (a, b))}
     assert got == {x: find(x) for x in parent if x not in loops}
+
+
+def test_passages_of_words(spark, monkeypatch):
+    rng = random.Random(9)
+    long, short = prose(rng, 50), prose(rng, 49)
+    texts = [f"{prose(rng, 30)} {long} {prose(rng, 9)}", f"{prose(rng, 80)}\n{long.replace(' ', '  ')}", f"{short} {prose(rng, 60)}", f"{prose(rng, 70)} {short}", prose(rng, 200), None, "", "no"]
+    docs = documents(spark, texts).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    assert sorted(r.doc_id for r in substring_dedup.passages(docs).collect()) == [0, 1]
+    out = {r.doc_id: (r.shared, len(r.removed)) for r in substring_dedup.remove(documents(spark, texts), words=50).collect()}
+    assert out == {i: (i < 2, 0) for i in range(len(texts))}
+    assert {r.shared for r in substring_dedup.remove(documents(spark, texts)).collect()} == {None}
+    # Large groups of keys that are too many to broadcast are dealt in shares, with the same result.
+    keyed = spark.createDataFrame([(k, h, h * 7) for k in range(5) for h in range(10 * k)], "key bigint, h bigint, ctx bigint")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    want = sorted(map(tuple, substring_dedup.with_sizes(keyed, sizes, 15).select("key", "h", "ctx", "n").collect()))
+    monkeypatch.setattr(substring_dedup, "BROADCAST_KEYS", 1)
+    assert sorted(map(tuple, substring_dedup.with_sizes(keyed, sizes, 15).select("key", "h", "ctx", "n").collect())) == want
+    assert len(want) == 100

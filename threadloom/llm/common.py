@@ -26,9 +26,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and lost executors don't matter."""
+def materialize(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there and lost executors don't matter. The folder is
+    added to `made`, for whoever deletes it when nothing reads it any more."""
     path = new_folder(df.sparkSession, label)
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SpanHash, materialize, mix, signed, text_slices
+from .common import SpanHash, delete, materialize, mix, signed, text_slices, word_spans
 
 PAD = 0xFF  # in no UTF-8 text
+#: So many keys of large groups are broadcast; beyond, each is dealt to so many shares.
+BROADCAST_KEYS, SHARES = 10_000, 64
 
 
 @dataclass(frozen=True)
@@ -278,13 +280,19 @@ def compared(groups: DataFrame, config: SubstringConfig, listed: bool = False) -
 
 
 def with_sizes(keyed: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
-    """keyed with the n of its key in sizes (key, n). Keys of more than `most` rows, one in `most` rows at most, are broadcast, so
-    that their rows stay where they are; the rows of the others are dealt by key."""
-    told = keyed.join(F.broadcast(sizes.where(F.col("n") > most)), "key", "left")
-    return told.where("n IS NOT NULL").union(told.where("n IS NULL").drop("n").join(sizes.where(F.col("n") <= most), "key"))
-
-
-def refined(hot: DataFrame, config: SubstringConfig) -> tuple[list[DataFrame], list[DataFrame]]:
+    """keyed (a table) with the n of its key in sizes (key, n). The rows of keys with more than `most` rows stay where they are:
+    these keys are broadcast if they are BROADCAST_KEYS at most, and else dealt by key and a hash of the row. Rows of other
+    keys are dealt by key."""
+    large = sizes.where(F.col("n") > most)
+    if large.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        told = keyed.join(F.broadcast(large), "key", "left")
+    else:
+        shares = large.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        told = keyed.withColumn("_share", F.pmod(F.xxhash64("h", "ctx"), F.lit(SHARES)).cast("int")).join(shares, ["key", "_share"], "left").drop("_share")
+    return told.where("n IS NOT NULL").unionByName(told.where("n IS NULL").drop("n").join(sizes.where(F.col("n") <= most), "key"))
+
+
+def refined(hot: DataFrame, config: SubstringConfig, made: list[str]) -> tuple[list[DataFrame], list[DataFrame]]:
     """Splits anchors with too many contexts. hot: h, ctx, before, extra, bytes. Returns groups to compare, and marks."""
     groups, marks = [], []
     state = hot.select("h", "ctx", "before", "extra", "bytes", F.lit(-(config.window - 1)).alias("lo"), F.lit(0).alias("hi"), F.col("h").alias("g"))
@@ -295,9 +303,9 @@ def refined(hot: DataFrame, config: SubstringConfig) -> tuple[list[DataFrame], l
         # Contexts with a window in the half, by the bytes that all windows of the half share.
         own = split.where("greatest(lo, -before) <= least(hi, extra - before)")
         core = F.substring("bytes", F.col("hi") + F.col("before") + 1, F.col("lo") + config.length - F.col("hi"))
-        keyed = own.withColumn("key", F.xxhash64("g", "lo", "hi", core))
+        keyed = materialize(own.withColumn("key", F.xxhash64("g", "lo", "hi", core)), "refined-keys", made)
         sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        keyed = materialize(with_sizes(keyed, sizes, config.contexts), "refined")
+        keyed = materialize(with_sizes(keyed, sizes, config.contexts), "refined", made)
         single = keyed.where("lo = hi")
         marks.append(single.select(F.col("key").alias("repeat"), "h", "ctx", "lo", "hi"))
         groups.append(keyed.where((F.col("lo") < F.col("hi")) & (F.col("n") <= config.contexts)).select(F.col("key").alias("g"), "h", "ctx", "before", "bytes"))
@@ -306,36 +314,40 @@ def refined(hot: DataFrame, config: SubstringConfig) -> tuple[list[DataFrame], l
             return groups, marks
 
 
-def _held(docs: DataFrame, config: SubstringConfig, listed: bool) -> tuple[DataFrame, DataFrame]:
+def _held(docs: DataFrame, config: SubstringConfig, listed: bool, made: list[str]) -> tuple[DataFrame, DataFrame]:
     """All anchors of docs (doc_id, th, text), and what repeats hold of their contexts, as `compared` returns it."""
-    found = materialize(anchors(docs, config), "anchors")
+    found = materialize(anchors(docs, config), "anchors", made)
     distinct = found.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "place", "before", "extra")).alias("one"))
     groups = distinct.groupBy("h").agg(F.count("*").alias("m"), F.sum("c").alias("total"), F.min("c").alias("least")).where("total > 1")
-    repeated = materialize(distinct.join(groups, "h"), "contexts")
+    repeated = materialize(distinct.join(groups, "h"), "contexts", made)
     # Equal contexts are one repeat as they are.
     whole = repeated.where("c > 1").select(F.xxhash64("h", "ctx").alias("repeat"), "h", "ctx", (-F.col("one.before")).alias("lo"), (F.col("one.extra") - F.col("one.before")).alias("hi"))
     open_ = repeated.where("m > 1" if listed else "m > 1 AND least = 1")
-    parts = materialize(contexts(docs, open_.select("h", "ctx", "m", "one.*"), config).dropDuplicates(["h", "ctx"]), "context-bytes")
+    parts = materialize(contexts(docs, open_.select("h", "ctx", "m", "one.*"), config).dropDuplicates(["h", "ctx"]), "context-bytes", made)
     todo = parts.where(F.col("m") <= config.contexts).select(F.col("h").alias("g"), "h", "ctx", "before", "bytes")
     hot = parts.where(F.col("m") > config.contexts)
     if hot.limit(1).count():
-        more, known = refined(hot.drop("m"), config)
+        more, known = refined(hot.drop("m"), config, made)
         for x in more:
             todo = todo.union(x)
         for x in known:
             whole = whole.union(x)
     if not listed:
         whole = whole.select("h", "ctx", F.array(F.struct("lo", "hi")).alias("spans"))
-    return found, materialize(whole.union(compared(todo, config, listed)), "marks")
+    return found, materialize(whole.union(compared(todo, config, listed)), "marks", made)
 
 
 def find_spans(docs: DataFrame, config: SubstringConfig = SubstringConfig()) -> DataFrame:
     """doc_id, th and the byte ranges (first, last) covered by repeats. docs: doc_id, th (a hash of the text), text."""
-    found, marks = _held(docs, config, listed=False)
+    made: list[str] = []
+    found, marks = _held(docs, config, listed=False, made=made)
     spans = found.join(marks, ["h", "ctx"]).select("doc_id", "th", "place", "before", "extra", F.explode("spans").alias("s"))
     # Only windows of the occurrence's own range: both ends lie in it already, for equal contexts have equal ranges.
     cover = spans.select("doc_id", "th", (F.col("place") + F.col("s.lo")).alias("first"), (F.col("place") + F.col("s.hi") + config.length - 1).alias("last"))
-    return cover.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # a text's own ranges
+    out = materialize(cover.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")  # a text's own ranges
+    for path in made:
+        delete(docs.sparkSession, path)
+    return out
 
 
 def maximal_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", config: SubstringConfig = SubstringConfig()) -> DataFrame:
@@ -347,8 +359,11 @@ def maximal_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", co
     elsewhere too, that part is a repeat of its own with more occurrences, and the others end at the anchors around it.
     """
     plain = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text").distinct()
-    found, held = _held(plain, config, listed=True)
+    made: list[str] = []
+    found, held = _held(plain, config, listed=True, made=made)
     occurs = materialize(held.distinct().join(found, ["h", "ctx"]).select("repeat", "doc_id", "th", (F.col("place") + F.col("lo")).alias("start"), (F.col("hi") - F.col("lo") + config.length).alias("length")).distinct(), "occurrences")
+    for path in made:
+        delete(docs.sparkSession, path)
     first = occurs.groupBy("repeat", "length").agg(F.min(F.struct("doc_id", "th", "start")).alias("f"), F.count("*").alias("n_occurrences")).where("n_occurrences > 1")
     # The places of a repeat against its first one, as a sum that combines map-side.
     moved = occurs.join(first, ["repeat", "length"]).groupBy("repeat", "length", "f", "n_occurrences").agg(F.sum(F.xxhash64("doc_id", "th", F.col("start") - F.col("f.start")).cast("decimal(38,0)")).alias("places"))
@@ -360,11 +375,39 @@ def maximal_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", co
     return joined.join(occurs, ["repeat", "length"]).select("repeat", F.col("_whole").alias("length"), "n_occurrences", "doc_id", "start")
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", config: SubstringConfig = SubstringConfig()) -> DataFrame:
-    """doc_id, n_bytes, removed (array of first and last byte, both in, not touching) and kept (binary) of every row."""
+def word_classes(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, th, text) with each word of the text as one of 127 characters, by its hash, so that repeats of words are repeats of bytes."""
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch.column(2)):
+                start, end, row = word_spans(data, offsets)
+                body = (SpanHash(data, 3)(start, end) % np.uint64(127) + np.uint64(1)).astype(np.uint8)
+                places = np.searchsorted(row, np.arange(hi - lo + 1))
+                text = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(places.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:2], text], names=["doc_id", "th", "text"])
+
+    return docs.mapInArrow(classes, "doc_id bigint, th bigint, text string")
+
+
+def passages(docs: DataFrame, words: int = 50) -> DataFrame:
+    """doc_id and th of the texts with a passage of so many words that is elsewhere too, whatever its white space and bytes.
+    docs: doc_id, th, text. Found as repeats of bytes are, over the classes of the words: unlike words share one in 127 cases."""
+    coded = materialize(word_classes(docs), "word-classes")
+    return find_spans(coded, SubstringConfig(length=words, gram=8)).select("doc_id", "th")
+
+
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", config: SubstringConfig = SubstringConfig(), words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, removed (array of first and last byte, both in, not touching), kept (binary) and shared of every row:
+    shared says whether a passage of so many words is elsewhere too, which takes nothing away (null if words is)."""
     plain = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    spans = find_spans(plain, config)
-    joined = plain.join(spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans"), (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    spans = find_spans(plain, config).withColumn("shared", F.lit(None).cast("boolean"))
+    if words is not None:
+        told = spans.drop("shared").unionByName(passages(plain, words).withColumn("shared", F.lit(True)), allowMissingColumns=True)
+        spans = told.groupBy("doc_id", "th").agg(F.first("spans", ignorenulls=True).alias("spans"), F.max("shared").alias("shared"))
+    joined = plain.join(spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans", "shared"), (F.col("th") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    if words is not None:
+        joined = joined.withColumn("shared", F.coalesce("shared", F.lit(False)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -382,15 +425,15 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", config: Sub
                     kept.append(b"".join([*out, raw[at:]]))
                     sizes.append(len(raw))
                     removed.append([{"first": a, "last": b} for a, b in runs])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary()), part.column(3)], names=["doc_id", "n_bytes", "removed", "kept", "shared"])
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id bigint, n_bytes bigint, removed array<struct<first:int,last:int>>, kept binary")
+    return joined.select("doc_id", "text", "spans", "shared").mapInArrow(cut, "doc_id bigint, n_bytes bigint, removed array<struct<first:int,last:int>>, kept binary, shared boolean")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, without what repeats anywhere for 400 bytes."""
-    rows = remove(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("bigint").alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("removed") > 0).alias("repeated"))
+    """All documents, without what repeats anywhere for 400 bytes; shares_passage says where 50 words are elsewhere too."""
+    rows = remove(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), words=50)
+    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("bigint").alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("shared").alias("shares_passage"))
 
 
 def brute_force(texts: list[str | None], length: int) -> list[tuple[int, int, int, str]]:
