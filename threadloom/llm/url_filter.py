@@ -4,8 +4,8 @@ A rule is a host and a path prefix; it fits its host and all subdomains where th
 the longest rule that fits decides. What no rule decides, trees judge that were fitted to labelled URLs: by length, depth,
 digit ratio, entropy, parameter counts and statistics of the host's suffixes in the labelled set.
 
-The trees are fitted on the driver to a bounded sample of the labelled rows (about max_labelled, those of the smallest hash, so
-that the same rows give the same trees), both kinds weighing the same; the model that tasks get is bounded by max_suffixes and the trees' size.
+The trees are fitted on the driver to a bounded sample of the labelled URLs (about max_labelled, those of the smallest hash, so
+that the same URLs give the same trees; a URL that repeats weighs as often as it does), both kinds weighing the same; the model that tasks get is bounded by max_suffixes and the trees' size.
 
 Defined results: a null URL or one without "://" has an empty host and path, no rule, and is judged by the trees as an
 empty string is; equal URLs get equal verdicts; extra columns pass through, columns of the operator's own names are
@@ -114,21 +114,22 @@ class Trees:
         return 1 / (1 + np.exp(-total))
 
 
-def fit(urls: list[str | None], labels: np.ndarray, config: TreeConfig = TreeConfig()) -> Trees:
-    """labels: 1 for block. Rows are taken in the order given; equal input gives equal trees."""
-    n, ones = len(labels), float(np.sum(labels))
+def fit(urls: list[str | None], labels: np.ndarray, config: TreeConfig = TreeConfig(), counts: np.ndarray | None = None) -> Trees:
+    """labels: 1 for block; counts: how often each row was seen. Rows are taken in the order given; equal input gives equal trees."""
+    counts = np.ones(len(labels)) if counts is None else counts
+    n, ones = float(np.sum(counts)), float(np.sum(counts * labels))
     # Both kinds weigh the same, however rare one is, so that 0.5 parts them; a single kind gives its own share.
     both = 0 < ones < n
-    weight = np.where(labels > 0, n / (2 * ones), n / (2 * (n - ones))) if both else np.ones(n)
+    weight = counts * (np.where(labels > 0, n / (2 * ones), n / (2 * (n - ones))) if both else 1.0)
     prior = 0.5 if both else (ones + 0.5) / (n + 1)
     parts = [split_url(u) for u in urls]
     seen: dict[str, list[float]] = {}
-    for (host, _), y, w in zip(parts, labels, weight, strict=True):
+    for (host, _), y, w, often in zip(parts, labels, weight, counts, strict=True):
         for s in dict.fromkeys(suffixes(host)):
             c = seen.setdefault(s, [0.0, 0.0, 0])
             c[0] += float(y * w)
             c[1] += float(w)
-            c[2] += 1
+            c[2] += int(often)
     top = sorted(seen, key=lambda s: (-seen[s][2], s))[: config.max_suffixes]
     model = Trees(math.log(prior / (1 - prior)), prior, {s: ((seen[s][0] + 10 * prior) / (seen[s][1] + 10), int(seen[s][2])) for s in top})
     if not 0 < ones < n:
@@ -136,13 +137,13 @@ def fit(urls: list[str | None], labels: np.ndarray, config: TreeConfig = TreeCon
     x = np.array([features(u, h, p, model.known, prior) for u, (h, p) in zip(urls, parts, strict=True)])
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, config.bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
-    raw = np.full(n, model.base)
+    raw = np.full(len(labels), model.base)
     for _ in range(config.trees):
         p = 1 / (1 + np.exp(-raw))
         grad, hess = weight * (labels - p), weight * p * (1 - p)
         size = 2 ** (config.depth + 1) - 1
         tree: list[tuple[int, float, float]] = [(-1, 0.0, 0.0)] * size
-        where = np.zeros(n, dtype=np.int64)
+        where = np.zeros(len(labels), dtype=np.int64)
         for node in range(size):
             rows = np.flatnonzero(where == node)
             if not len(rows):
@@ -169,18 +170,21 @@ def fit(urls: list[str | None], labels: np.ndarray, config: TreeConfig = TreeCon
 
 
 def train(labelled: DataFrame, config: TreeConfig = TreeConfig()) -> Trees:
-    """labelled: url and block (0 or 1). Rows with a null label are left out."""
-    # Read twice, so a table: what labels are made of, whole pages, is read once.
-    known = materialize(labelled.where("block IS NOT NULL").select("url", F.col("block").cast("int").alias("block")), "url-labels")
-    rows = sorted(bounded_sample(known, config.max_labelled, "url").collect(), key=lambda r: (r.url or "", r.block))
-    return fit([r.url for r in rows], np.array([r.block for r in rows], dtype=float), config)
+    """labelled: url and block (0 or 1). Rows with a null label are left out; URLs that repeat weigh as often as they do."""
+    known = labelled.where("block IS NOT NULL").groupBy("url").agg(F.sum(F.col("block").cast("bigint")).alias("bad"), F.count("*").alias("n"))
+    rows = sorted(bounded_sample(materialize(known, "url-labels"), config.max_labelled, "url").collect(), key=lambda r: (r.url is not None, r.url or ""))
+    both = [(r.url, y, c) for r in rows for y, c in ((0, r.n - r.bad), (1, r.bad)) if c]
+    return fit([u for u, _, _ in both], np.array([y for _, y, _ in both], dtype=float), config, np.array([c for _, _, c in both], dtype=float))
 
 
 def with_rules(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     """Adds host, path, rule and _listed (the rule's verdict), all null-safe column functions: a host looks up its own suffixes."""
     u = F.coalesce(F.col(f"`{url}`"), F.lit(""))
-    host = F.translate(F.regexp_extract(u, r"(?s)://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    path = F.regexp_extract(u, r"(?s)://[^/?#]*(/[^?#]*)", 1)
+    # What follows the first "://": a later one is a matter of the query or fragment.
+    at = F.locate("://", u)
+    rest = F.when(at > 0, F.substring(u, at + 3, F.length(u))).otherwise("")
+    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    path = F.regexp_extract(rest, r"^[^/?#]*(/[^?#]*)", 1)
     by_host: dict[str, list[Column]] = {}
     for verdict, rule in rules:
         name, slash, prefix = rule.partition("/")
@@ -229,4 +233,6 @@ def content_labels(pages: DataFrame, html: str = "html") -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages; the trees are fitted to URLs labelled by what their pages say."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return classify(pages.select("page_id", "url"), train(content_labels(pages)))
+    # Only the pages of URLs that are learned from are read for their labels.
+    chosen = bounded_sample(materialize(pages.select("url").where("url IS NOT NULL").distinct(), "urls"), TreeConfig().max_labelled, "url")
+    return classify(pages.select("page_id", "url"), train(content_labels(pages.join(F.broadcast(chosen), "url"))))
