@@ -181,6 +181,9 @@ class Grams:
     hashes: list[np.ndarray]
     numbers: list[np.ndarray]
     counts: list[np.ndarray]
+    #: Numbers of the distinct words, and which of them each token is.
+    words: np.ndarray
+    which: np.ndarray
 
 
 @dataclass
@@ -206,20 +209,19 @@ class Model:
         hashes[np.arange(len(word_row)) + word_row * (1 + pads) + pads] = SpanHash(low)(start, end)
         row = np.repeat(np.arange(n_rows), sizes)
         place = np.arange(len(row)) - np.repeat(close - sizes, sizes)
-        numbers, keys, counts = [], [hashes], []
-        for k in range(1, upto + 1):
-            if k > 1:
-                known = np.flatnonzero((place >= k - 1) & (numbers[0] >= 0) & (np.roll(numbers[-1], 1) >= 0))
-                key = np.zeros(len(row), dtype=np.uint64)
-                key[known] = packed(numbers[-1][known - 1], numbers[0][known])
-                keys.append(key)
+        # Words repeat, so that each distinct one is looked up once.
+        words, which = np.unique(hashes, return_inverse=True)
+        word, often = self.levels[0].find(words) if self.levels else (np.zeros(len(words), np.int64),) * 2
+        numbers, keys, counts = [word[which]], [hashes], [often[which]]
+        for k in range(2, upto + 1):
+            known = np.flatnonzero((place >= k - 1) & (numbers[0] >= 0) & (np.roll(numbers[-1], 1) >= 0))
+            keys.append(np.zeros(len(row), dtype=np.uint64))
+            keys[-1][known] = packed(numbers[-1][known - 1], numbers[0][known])
+            numbers.append(np.full(len(row), -1, dtype=np.int64))
+            counts.append(np.zeros(len(row), dtype=np.int64))
             if k <= len(self.levels):
-                number, count = np.full(len(row), -1, dtype=np.int64), np.zeros(len(row), dtype=np.int64)
-                at = np.arange(len(row)) if k == 1 else known
-                number[at], count[at] = self.levels[k - 1].find(keys[-1][at])
-                numbers.append(number)
-                counts.append(count)
-        return Grams(row, place, keys, numbers, counts)
+                numbers[-1][known], counts[-1][known] = self.levels[k - 1].find(keys[-1][known])
+        return Grams(row, place, keys, numbers, counts, word, which)
 
     def suffix(self, k: int, numbers: np.ndarray) -> np.ndarray:
         """Of n-grams of level k by number, the number of what is left without the first word, in the level below."""
@@ -375,13 +377,14 @@ def probabilities(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[
     numbers, at = found.numbers, np.flatnonzero(found.place >= model.order - 1)
     word, count = numbers[0][at], found.counts[0][at]
     seen = word >= 0
-    a = model.levels[0].values(word, "a")[0] if model.levels[0].size else np.zeros(len(at))
+    own = model.levels[0].values(found.words, "a", "total", "rest") if model.levels[0].size else [np.zeros(len(found.words))] * 3
+    a = own[0][found.which[at]]
     p = np.full(len(at), 1 / (model.words + 1)) * model.rest
     if model.continued:
         p += np.where(seen, discounted(a, model.levels[0].discounts) / model.continued, 0.0)
     for k in range(2, model.order + 1):
         level, below, context = model.levels[k - 1], model.levels[k - 2], numbers[k - 2][at - 1]
-        total, rest = below.values(context, "total", "rest") if below.size else (np.zeros(len(at)),) * 2
+        total, rest = [x[found.which[at - 1]] for x in own[1:]] if k == 2 else below.values(context, "total", "rest") if below.size else (np.zeros(len(at)),) * 2
         used = (context >= 0) & (total > 0)
         number = numbers[k - 1][at]
         a = found.counts[k - 1][at].astype(np.float64) if k == model.order else level.values(number, "a")[0] if level.size else np.zeros(len(at))
