@@ -69,8 +69,8 @@ def test_published_runs(spark, tmp_path):
     staging.publish(spark.range(2), path, 1, "v")
     staging.publish(spark.range(4), path, 2, "v")
     staging.publish(spark.range(5), path, 2, "v")  # again: in place of the first
-    spark.range(9).write.parquet(f"{path}/rows/run_id=3")  # never completed
-    assert staging.read_published(spark, path).count() == 5
+    spark.range(9).write.parquet(f"{path}/data/rows/run-3-{'0' * 32}")  # never completed
+    assert sorted(map(tuple, staging.read_published(spark, path).collect())) == [(i, 2) for i in range(5)]
 
 
 def test_long_bodies_are_whole():

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .publication import Publication
+
 CONTRACT = "1"
 
 
@@ -38,14 +40,12 @@ def write_report(checks: DataFrame, path: str) -> str:
 
 
 def publish(rows: DataFrame, path: str, run_id: int, signature: str) -> None:
-    """Rows of a run as its folder, then the run itself as another: readers take only runs that are completed. A run that is
-    published again takes the place of what it left before."""
-    rows.write.mode("overwrite").parquet(f"{path}/rows/run_id={run_id}")
-    rows.sparkSession.createDataFrame([(signature, "completed")], "signature string, status string").coalesce(1).write.mode("overwrite").parquet(f"{path}/runs/run_id={run_id}")
-
+    """Rows as a run of a publication. A run that is published again is replaced when its new rows are complete, and until then
+    readers see the old ones; one that fails is marked so and takes nothing away."""
+    Publication(rows.sparkSession, path).publish(signature, {"rows": rows}, run_id, again=True)
 
-def read_published(spark: SparkSession, path: str) -> DataFrame:
-    from ..operators.views import latest_run
 
-    wide = lambda df: df.withColumn("run_id", F.col("run_id").cast("bigint"))
-    return latest_run(wide(spark.read.parquet(f"{path}/rows")), wide(spark.read.parquet(f"{path}/runs")))
+def read_published(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of the latest run that has published any, with its run_id. Where none has, none if a schema is given, else it raises."""
+    store = Publication(spark, path)
+    return store.read("rows", schema, store.latest() or 0)
