@@ -62,10 +62,13 @@ def conversation_refs(spark, sf_dir: str) -> DataFrame:
     return ca.conversation_refs(rows)
 
 
+def records_to_resolve(e: DataFrame) -> DataFrame:
+    """Three events share a record key, and some a guid."""
+    return e.select(F.col("event_id").alias("source_pk"), F.lit("csv").alias("source_type"), (F.floor(F.col("event_id") / 3)).cast("string").alias("source_record_key"), F.when(F.col("event_id") % 2 == 0, "sms").alias("service"), F.when(F.col("event_id") % 5 == 0, (F.col("event_id") % 1000).cast("string")).alias("guid"))
+
+
 def resolved_messages(spark, sf_dir: str) -> DataFrame:
-    e = ad.table(spark, sf_dir, "events")
-    rows = e.select(F.col("event_id").alias("source_pk"), F.lit("csv").alias("source_type"), (F.floor(F.col("event_id") / 3)).cast("string").alias("source_record_key"), F.when(F.col("event_id") % 2 == 0, "sms").alias("service"), F.when(F.col("event_id") % 5 == 0, (F.col("event_id") % 1000).cast("string")).alias("guid"))
-    return ca.resolve_messages(rows).select("source_pk", "canonical_id")
+    return ca.resolve_messages(records_to_resolve(ad.table(spark, sf_dir, "events"))).select("source_pk", "canonical_id")
 
 
 def attachments(spark, sf_dir: str) -> DataFrame:

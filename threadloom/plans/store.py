@@ -167,7 +167,7 @@ ORACLES = {
     "store_integrity": f"{_WITH} " + _issues({**{c: f"SELECT count(*) FROM {q}" for c, q in _CHECKS.items()}, **{c: f"SELECT CASE WHEN (SELECT {a}) = (SELECT {b}) THEN 0 ELSE 1 END" for c, (a, b) in _PARITY.items()}}),
     **{n: f"{_WITH} {q}" for n, q in _VIEWS.items()},
     "provenance_view": f"""{_WITH}, rel AS (SELECT event_id AS rid, event_id AS s, event_id - 1 AS t FROM events WHERE event_id % 6 = 0 UNION ALL SELECT -event_id, event_id, event_id - 2 FROM events WHERE event_id % 12 = 0),
-      r AS (SELECT s AS message_id, arg_min(t, rid) AS reply_to FROM rel GROUP BY 1), k AS (SELECT message_id, string_agg(DISTINCT mime_type, ',' ORDER BY mime_type) AS mime_types FROM ({_VIEWS['attachment_view']}) WHERE mime_type IS NOT NULL GROUP BY 1),
+      r AS (SELECT s AS message_id, t AS reply_to FROM rel QUALIFY row_number() OVER (PARTITION BY s ORDER BY rid, t) = 1), k AS (SELECT message_id, string_agg(DISTINCT mime_type, ',' ORDER BY mime_type) AS mime_types FROM ({_VIEWS['attachment_view']}) WHERE mime_type IS NOT NULL GROUP BY 1),
       p AS (SELECT message_id, string_agg(DISTINCT source_record_key, ',' ORDER BY source_record_key) AS source_record_keys, string_agg(DISTINCT {_RUN}, ',' ORDER BY {_RUN}) AS source_snapshot_keys, string_agg(DISTINCT parser_version, ',' ORDER BY parser_version) AS parser_versions FROM message_source s JOIN import_run i ON i.import_run_id = s.import_run_id GROUP BY 1)
       SELECT m.message_id, reply_to, mime_types, source_record_keys, source_snapshot_keys, parser_versions FROM message m LEFT JOIN r USING (message_id) LEFT JOIN k USING (message_id) LEFT JOIN p USING (message_id)""",
     "vertical_reconciliation": f"""{_WITH}, s0 AS (SELECT 'k' || event_id AS k, CASE WHEN event_id % 10 = 0 THEN 1 WHEN event_id % 601 = 0 THEN 2 ELSE 0 END AS na, CASE WHEN event_id % 607 = 0 THEN 3 ELSE 1 END AS nc FROM events WHERE event_id % 527 <> 0), sg AS (SELECT * FROM s0 UNION ALL SELECT * FROM s0 WHERE k = 'k7'),
