@@ -25,7 +25,7 @@ def first_records(stream: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def sessions(stream: DataFrame, config: Config = DEFAULT, delay: str = "1 day") -> DataFrame:
-    """Sessions of conversations; a gap of exactly the limit ends one here, as session windows are half-open."""
+    """Sessions of conversations. A gap of exactly the limit goes on with the session, as in a batch; a microsecond more ends it."""
     gap = f"{config.session_gap_seconds} seconds"
     per = timed(stream, delay).groupBy("conversation_id", F.session_window("event_time", gap).alias("w")).agg(F.count("*").alias("message_count"), F.min("timestamp_us").alias("start_us"), F.max("timestamp_us").alias("end_us"))
     return per.select("conversation_id", "message_count", "start_us", "end_us")
