@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import incremental
 from ..session import shared_dir
+from ..sources import staged
 from ..sources.publication import Publication
 from . import adapters as ad
 from . import identity
@@ -23,5 +24,22 @@ def incremental_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.current(store)
 
 
-QUERIES = {f.__name__: f for f in (incremental_resolution,)}
-ORACLES = {"incremental_resolution": identity.ORACLES["resolved_messages"]}
+def staged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a staged bundle and read back: what of them are messages, and what errors. Some values have no form in JSON, some keys are missing."""
+    e = ad.table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    value = F.when(i % 97 == 0, F.lit(float("nan"))).when(i % 89 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    records = e.select(i.cast("string").alias("source_message_id"), F.when(i % 101 != 0, F.concat(F.lit("k"), i.cast("string"))).alias("source_record_key"), F.concat("event_type", F.lit(" č\n\""), "props").alias("text"), value.alias("value"))
+    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex[:12]}"
+    staged.write_staged(records, path, "events", "0" * 64, ("plans", "1"))
+    good = staged.read_staged(spark, path, "source_message_id string, source_record_key string, text string, value double", allow_errors=True)
+    bad = staged.read_errors(spark, path).select("source_message_id", "source_record_key", F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("value"), "error_type")
+    return good.withColumn("error_type", F.lit(None).cast("string")).unionByName(bad)
+
+
+QUERIES = {f.__name__: f for f in (incremental_resolution, staged_records)}
+ORACLES = {
+    "incremental_resolution": identity.ORACLES["resolved_messages"],
+    "staged_records": """WITH r AS (SELECT event_id::VARCHAR AS source_message_id, CASE WHEN event_id % 101 <> 0 THEN 'k' || event_id END AS source_record_key, event_type || ' č' || chr(10) || '"' || props AS text, value, event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 101 = 0 AS bad FROM events)
+  SELECT source_message_id, source_record_key, CASE WHEN NOT bad THEN text END AS text, CASE WHEN NOT bad THEN value END AS value, CASE WHEN bad THEN 'ValueError' END AS error_type FROM r""",
+}
