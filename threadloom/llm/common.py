@@ -42,6 +42,12 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Has the driver's JVM collect what it no longer holds, so that Spark's cleaner deletes the shuffle files of finished jobs
+    now; by itself it would when the driver's memory fills, however full the disks are."""
+    spark._jvm.System.gc()
+
+
 def open_store(uri: str):
     """The file system of a folder or file, and its path there."""
     from pyarrow import fs

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed, sql_fixed
-from .common import SpanHash, bare_lower, materialize, mix, new_folder, open_store, sql_crc32, text_slices, word_spans
+from .common import SpanHash, bare_lower, materialize, mix, new_folder, open_store, release_shuffles, sql_crc32, text_slices, word_spans
 
 #: Hashes of the tokens that no text holds.
 START, END = np.uint64(0x9D5C3A17E4B86F21), np.uint64(0x27B1F06D8EAC4953)
@@ -50,7 +50,7 @@ SHARES = "number bigint, total bigint, n1 bigint, n2 bigint, n3 bigint, continue
 class ModelConfig:
     order: int = 2
     #: N-grams of a range before equal ones are summed, about, and the most ranges of a level (a power of two).
-    range_size: int = 1 << 21
+    range_size: int = 1 << 20
     max_ranges: int = 1 << 16
 
 
@@ -100,7 +100,7 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
         writer.write_batch(batch)
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=4096)
 def read_arrays(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a file, mapped into memory where the store is a mounted one."""
     from pyarrow import fs
@@ -108,6 +108,8 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
     store, path = open_store(uri)
     source = pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
     batch = pa.ipc.open_file(source).get_batch(0)
+    # What is mapped stays so as long as an array is held; the file needn't stay open for it.
+    source.close()
     return {n: c.to_numpy(zero_copy_only=True) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
 
 
@@ -261,11 +263,13 @@ def _count(rows: DataFrame, model: Model, k: int, text: str, ranges: int) -> Dat
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
                 found = model.grams(data, offsets, k)
-                hashes, n = counted(found.hashes[-1][found.place >= k - 1])
+                hashes = found.hashes[-1][found.place >= k - 1]
+                # In order of codes, which neighbours in a shuffled block share the beginning of.
+                code, n = counted(hashes if k == 1 else unmix(hashes))
+                hashes = code if k == 1 else mix(code)
                 if k == 1:
                     n = np.where(hashes == START, 0, n)
                 bucket = (hashes >> bits).astype(np.int32) if ranges > 1 else np.zeros(len(hashes), np.int32)
-                code = hashes if k == 1 else unmix(hashes)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(code.view(np.int64)), pa.array(n)], names=["bucket", "code", "n"])
 
     return rows.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "bucket int, code bigint, n bigint")
@@ -342,11 +346,12 @@ def train(rows: DataFrame, text: str = "text", config: ModelConfig = ModelConfig
     model = Model(config.order, [])
     chars = rows.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
     for k in range(1, config.order + 1):
-        # A word takes some five characters; what a slice repeats is summed before.
-        ranges = 1
-        while ranges < config.max_ranges and ranges * config.range_size < chars // 5:
+        # A word takes some five characters; what a slice repeats is summed before, words to a quarter or so.
+        ranges, rows_expected = 1, chars // (20 if k == 1 else 5)
+        while ranges < config.max_ranges and ranges * config.range_size < rows_expected:
             ranges *= 2
         made = {r.bucket: r for r in _write_level(_count(rows, model, k, text, ranges), folder, k).collect()}  # a row a range
+        release_shuffles(spark)
         sizes = [made[i].n if i in made else 0 for i in range(ranges)]
         model.levels.append(Level(folder, [made[i].file if i in made else None for i in range(ranges)], np.concatenate([[0], np.cumsum(sizes)]), width=config.range_size // 8))
         if k < config.order and model.levels[-1].size >= 2**32:
