@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incremental
+from ..operators import incremental, inventory
 from ..session import shared_dir
 from ..sources import staged
 from ..sources.publication import Publication
@@ -37,9 +37,45 @@ def staged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.withColumn("error_type", F.lit(None).cast("string")).unionByName(bad)
 
 
-QUERIES = {f.__name__: f for f in (incremental_resolution, staged_records)}
+def source_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The account of a database whose messages are the events, with faults of each kind put in by their ids."""
+    e = ad.table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.floor(F.col("user_id") / 2).alias("chat"))
+    every = lambda n: F.col("i") % n == 0
+    links = e.where(~every(77)).select(F.col("i").alias("ROWID"), F.when(every(83), -F.col("i") - 1).when(~every(91), F.col("i")).alias("message_id"), F.col("chat").alias("chat_id"), "i")
+    source = {
+        "message": e.select(F.col("i").alias("ROWID")), "chat_message_join": links.drop("i").union(links.where(every(50)).select(F.col("ROWID") + 10**9, "message_id", "chat_id")),
+        "attachment": e.where(every(10) & ~every(170)).select(F.col("i").alias("ROWID")).union(e.where(every(190)).select(-F.col("i") - 1)),
+        "message_attachment_join": e.where(every(10)).select(F.col("i").alias("ROWID"), F.col("i").alias("message_id"), F.col("i").alias("attachment_id")),
+    }
+    sound = ~every(77) & ~every(83) & ~every(91)
+    named = lambda key, chat: F.struct(key.alias("key"), chat.cast("bigint").alias("chat_id"))
+    key = F.concat(F.lit("c"), F.col("chat").cast("string"))
+    conversations = F.array_compact(F.array(
+        F.when(sound & ~every(107), named(key, F.col("chat"))), F.when(~sound & ~every(71), named(F.concat(F.lit("orphan:"), F.col("i").cast("string")), F.lit(None))), F.when(every(109), named(F.lit("c-1"), F.lit(-1))),
+    ))
+    records = e.where(~every(97) & ~every(103)).select(
+        F.col("i").alias("message_id"), F.when(every(113), "other").otherwise(F.get(conversations, F.lit(0))["key"]).alias("conversation_id"), conversations.alias("conversations"), F.when(every(10) & ~every(130) & ~every(170), F.array("i")).alias("attachments"),
+    )
+    return inventory.source_account(source, records.union(records.where("message_id % 101 = 0")), e.where(every(103)).select(F.col("i").alias("message_id")))
+
+
+QUERIES = {f.__name__: f for f in (incremental_resolution, staged_records, source_reconciliation)}
 ORACLES = {
     "incremental_resolution": identity.ORACLES["resolved_messages"],
+    "source_reconciliation": """WITH e AS (SELECT event_id AS i, user_id // 2 AS chat, event_id % 103 = 0 AS x, event_id % 97 <> 0 AND event_id % 103 <> 0 AS em, event_id % 77 <> 0 AND event_id % 83 <> 0 AND event_id % 91 <> 0 AS sound FROM events),
+  r AS (SELECT *, (sound AND i % 107 <> 0) OR (NOT sound AND i % 71 <> 0) OR i % 109 = 0 AS has FROM e WHERE em UNION ALL SELECT *, (sound AND i % 107 <> 0) OR (NOT sound AND i % 71 <> 0) OR i % 109 = 0 FROM e WHERE em AND i % 101 = 0),
+  l AS (SELECT i AS row_id, CASE WHEN i % 83 = 0 THEN -i - 1 WHEN i % 91 <> 0 THEN i END AS m, * FROM e WHERE i % 77 <> 0),
+  a(table_name, row_id, message_id, other_id, outcome, reason) AS (
+    SELECT 'message', i, i, NULL::BIGINT, CASE WHEN x THEN 'error' WHEN NOT em THEN 'lost' WHEN i % 101 = 0 THEN 'doubled' ELSE 'emitted' END, CASE WHEN x THEN NULL WHEN NOT em THEN 'MESSAGE_LOST' WHEN i % 101 = 0 THEN 'MESSAGE_TWICE' END FROM e
+    UNION ALL SELECT 'chat_message_join', row_id, m, chat, CASE WHEN NOT sound THEN 'unsupported' WHEN em AND i % 107 <> 0 THEN 'emitted' WHEN x THEN 'error' ELSE 'lost' END, CASE WHEN i % 83 = 0 THEN 'MESSAGE_MISSING' WHEN i % 91 = 0 THEN 'ID_MISSING' WHEN x OR (em AND i % 107 <> 0) THEN NULL ELSE 'CONVERSATION_LOST' END FROM l
+    UNION ALL SELECT 'chat_message_join', row_id + 1000000000, m, chat, CASE WHEN sound THEN 'duplicate' ELSE 'unsupported' END, CASE WHEN i % 83 = 0 THEN 'MESSAGE_MISSING' WHEN i % 91 = 0 THEN 'ID_MISSING' ELSE 'SAME_RELATION' END FROM l WHERE i % 50 = 0
+    UNION ALL SELECT 'chat_message_join', NULL, i, -1, 'unfounded', 'CONVERSATION_WITHOUT_SOURCE' FROM e WHERE em AND i % 109 = 0
+    UNION ALL SELECT 'orphan', NULL, i, NULL, CASE WHEN em AND i % 71 <> 0 THEN 'emitted' WHEN x THEN 'error' ELSE 'lost' END, CASE WHEN (em AND i % 71 <> 0) OR x THEN NULL ELSE 'ORPHAN_LOST' END FROM e WHERE NOT sound
+    UNION ALL SELECT 'record', NULL, i, NULL, 'unfounded', 'PRIMARY_CONVERSATION_DIFFERS' FROM r WHERE has AND i % 113 = 0
+    UNION ALL SELECT 'message_attachment_join', i, i, i, CASE WHEN i % 170 = 0 THEN 'unsupported' WHEN em AND i % 130 <> 0 THEN 'emitted' WHEN x THEN 'error' ELSE 'lost' END, CASE WHEN i % 170 = 0 THEN 'ATTACHMENT_MISSING' WHEN x OR (em AND i % 130 <> 0) THEN NULL ELSE 'ATTACHMENT_LOST' END FROM e WHERE i % 10 = 0
+    UNION ALL SELECT 'message_attachment_join', NULL, i, i, 'unfounded', 'ATTACHMENT_WITHOUT_SOURCE' FROM e WHERE em AND i % 101 = 0 AND i % 10 = 0 AND i % 130 <> 0 AND i % 170 <> 0
+    UNION ALL SELECT 'attachment', -i - 1, NULL, NULL, 'unsupported', 'NO_LINK' FROM e WHERE i % 190 = 0)
+  SELECT * FROM a""",
     "staged_records": """WITH r AS (SELECT event_id::VARCHAR AS source_message_id, CASE WHEN event_id % 101 <> 0 THEN 'k' || event_id END AS source_record_key, event_type || ' č' || chr(10) || '"' || props AS text, value, event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 101 = 0 AS bad FROM events)
   SELECT source_message_id, source_record_key, CASE WHEN NOT bad THEN text END AS text, CASE WHEN NOT bad THEN value END AS value, CASE WHEN bad THEN 'ValueError' END AS error_type FROM r""",
 }
