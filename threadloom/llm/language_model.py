@@ -52,6 +52,8 @@ class ModelConfig:
     #: N-grams of a range before equal ones are summed, about, and the most ranges of a level (a power of two).
     range_size: int = 1 << 20
     max_ranges: int = 1 << 16
+    #: Ranges that even a small level is dealt over.
+    min_ranges: int = 64
 
 
 # Hashes of n-grams
@@ -347,7 +349,7 @@ def train(rows: DataFrame, text: str = "text", config: ModelConfig = ModelConfig
     chars = rows.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
     for k in range(1, config.order + 1):
         # A word takes some five characters; what a slice repeats is summed before, words to a quarter or so.
-        ranges, rows_expected = 1, chars // (20 if k == 1 else 5)
+        ranges, rows_expected = config.min_ranges, chars // (20 if k == 1 else 5)
         while ranges < config.max_ranges and ranges * config.range_size < rows_expected:
             ranges *= 2
         made = {r.bucket: r for r in _write_level(_count(rows, model, k, text, ranges), folder, k).collect()}  # a row a range
