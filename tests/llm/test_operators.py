@@ -400,10 +400,10 @@ def test_contexts_of_a_hot_anchor_are_not_dealt_to_one_task(spark, monkeypatch):
     texts = [prose(rng, 3) + shared[: 90 + i % 60] + prose(rng, 5) for i in range(300)]
     spread = []
 
-    def kept(df, name):
+    def kept(df, name, made=None):
         if name == "refined":
             spread.extend(df.withColumn("task", F.spark_partition_id()).groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks")).where("n > 40").collect())
-        return common.materialize(df, name)
+        return common.materialize(df, name, made)
 
     monkeypatch.setattr(substring_dedup, "materialize", kept)
     large = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "20000"}  # as with large tables
