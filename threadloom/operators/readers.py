@@ -94,7 +94,11 @@ def context_window(messages: DataFrame, requests: DataFrame, blind: bool = False
     before = F.create_map(*[F.lit(x) for k, (a, _) in CONTEXT_WINDOWS.items() for x in (k, a * HOUR)])
     after = F.create_map(*[F.lit(x) for k, (_, b) in CONTEXT_WINDOWS.items() for x in (k, b * HOUR)])
     r = requests.select("request_id", "conversation_id", (F.col("start_us") - F.element_at(before, F.col("analysis"))).alias("_lo"), (F.col("end_us") + (F.lit(0) if blind else F.element_at(after, F.col("analysis")))).alias("_hi"))
-    return messages.join(r, "conversation_id").where(F.col("timestamp_us").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    # By conversation and week: a request meets the messages of its own weeks, not all of a conversation that everybody asks about.
+    week = lambda c: F.floor(F.col(c) / (168 * HOUR))
+    r = r.withColumn("_week", F.explode(F.sequence(week("_lo"), F.greatest(week("_lo"), week("_hi")))))
+    dated = messages.withColumn("_week", week("timestamp_us"))
+    return dated.join(r, ["conversation_id", "_week"]).where(F.col("timestamp_us").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi", "_week")
 
 
 def candidate_disposition(candidates: DataFrame) -> DataFrame:

@@ -245,12 +245,12 @@ def opposite_sender_gap(spark, sf_dir: str) -> DataFrame:
 
 def evidence_window(spark, sf_dir: str) -> DataFrame:
     s = st.sequence_numbers(ad.sparse(spark, sf_dir))
-    return rd.around_evidence(s, s.where("message_id % 500 = 0"), 3).select("membership_id", "conversation_id", "sequence_number", "is_evidence")
+    return rd.around_evidence(s, s.where("message_id % 100 = 0"), 3).select("membership_id", "conversation_id", "sequence_number", "is_evidence")
 
 
 def context_window(spark, sf_dir: str) -> DataFrame:
     m = ad.sparse(spark, sf_dir)
-    r = m.where("message_id % 1000 = 7 AND timestamp_us IS NOT NULL").select(F.col("message_id").alias("request_id"), "conversation_id", F.when(F.col("message_id") % 2000 == 7, "conflict").otherwise("change").alias("analysis"), F.col("timestamp_us").alias("start_us"), (F.col("timestamp_us") + 1_000_000).alias("end_us"))
+    r = m.where("message_id % 100 = 0 AND timestamp_us IS NOT NULL").select(F.col("message_id").alias("request_id"), "conversation_id", F.when(F.col("message_id") % 200 == 0, "conflict").otherwise("change").alias("analysis"), F.col("timestamp_us").alias("start_us"), (F.col("timestamp_us") + 1_000_000).alias("end_us"))
     return rd.context_window(m, r).groupBy("request_id").agg(F.count("*").alias("n"), F.min("timestamp_us").alias("first_us"), F.max("timestamp_us").alias("last_us"))
 
 
@@ -342,8 +342,8 @@ ORACLES = {
     "contact_overview": f"{_SPARSE} SELECT conversation_id, count(*) AS message_count, count(DISTINCT sender_id) AS sender_count, count(*) FILTER (WHERE timestamp_us IS NULL) AS unknown_time_count, min(timestamp_us) AS first_us, max(timestamp_us) AS last_us FROM msg GROUP BY 1",
     "conversation_inventory": f"{_SPARSE} SELECT conversation_id, count(*) AS message_count, count(*) FILTER (WHERE timestamp_us IS NULL) AS unknown_time_count, array_to_string(list_sort(list(DISTINCT sender_id) FILTER (WHERE sender_id IS NOT NULL)), ',') AS senders FROM msg GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100",
     "opposite_sender_gap": f"{_SPARSE}, w AS (SELECT *, lag(sender_id) OVER c AS p, lag(timestamp_us) OVER c AS u FROM msg WHERE timestamp_us IS NOT NULL WINDOW c AS (PARTITION BY conversation_id ORDER BY timestamp_us, membership_id)) SELECT conversation_id, membership_id, sender_id, p AS previous_sender_id, timestamp_us - u AS gap_us FROM w WHERE p <> sender_id AND timestamp_us - u BETWEEN 0 AND 259200000000",
-    "evidence_window": f"WITH {ad.sql_processed(ad.SQL_SPARSE)}, h AS (SELECT conversation_id, seq FROM st WHERE message_id % 500 = 0) SELECT DISTINCT membership_id, st.conversation_id, st.seq AS sequence_number, message_id % 500 = 0 AS is_evidence FROM st JOIN h ON h.conversation_id = st.conversation_id AND st.seq BETWEEN h.seq - 3 AND h.seq + 3",
-    "context_window": f"{_SPARSE}, r AS (SELECT message_id AS request_id, conversation_id AS c, timestamp_us AS t, CASE WHEN message_id % 2000 = 7 THEN 24 ELSE 336 END AS b, CASE WHEN message_id % 2000 = 7 THEN 24 ELSE 168 END AS a FROM msg WHERE message_id % 1000 = 7 AND timestamp_us IS NOT NULL) SELECT request_id, count(*) AS n, min(timestamp_us) AS first_us, max(timestamp_us) AS last_us FROM msg JOIN r ON conversation_id = c AND timestamp_us BETWEEN t - b * 3600000000 AND t + 1000000 + a * 3600000000 GROUP BY 1",
+    "evidence_window": f"WITH {ad.sql_processed(ad.SQL_SPARSE)}, h AS (SELECT conversation_id, seq FROM st WHERE message_id % 100 = 0) SELECT DISTINCT membership_id, st.conversation_id, st.seq AS sequence_number, message_id % 100 = 0 AS is_evidence FROM st JOIN h ON h.conversation_id = st.conversation_id AND st.seq BETWEEN h.seq - 3 AND h.seq + 3",
+    "context_window": f"{_SPARSE}, r AS (SELECT message_id AS request_id, conversation_id AS c, timestamp_us AS t, CASE WHEN message_id % 200 = 0 THEN 24 ELSE 336 END AS b, CASE WHEN message_id % 200 = 0 THEN 24 ELSE 168 END AS a FROM msg WHERE message_id % 100 = 0 AND timestamp_us IS NOT NULL) SELECT request_id, count(*) AS n, min(timestamp_us) AS first_us, max(timestamp_us) AS last_us FROM msg JOIN r ON conversation_id = c AND timestamp_us BETWEEN t - b * 3600000000 AND t + 1000000 + a * 3600000000 GROUP BY 1",
     "question_route": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'data' WHEN 2 THEN 'combined' WHEN 3 THEN 'combined' ELSE 'interpretive' END AS route FROM events",
     "clean_text": r"WITH a AS (SELECT doc_id, '  ' || chr(10) || replace(text, '. ', '.' || chr(160) || ' ' || chr(9) || chr(10)) || ' ' || chr(133) || ' ' AS t FROM documents) SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(nfc_normalize(t), chr(160), ' '), '[\x{00}-\x{08}\x{0B}-\x{1F}\x{7F}-\x{9F}]', '', 'g'), '(?m)[ \t]+$', '', 'g'), ' ' || chr(9) || chr(10))) AS cleaned_md5 FROM a",
     "safe_excerpt": r"WITH a AS (SELECT doc_id, trim(regexp_replace(text, '[\s\x{0B}\x{85}\p{Z}]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE rtrim(t[:239]) || '…' END AS excerpt FROM a",
