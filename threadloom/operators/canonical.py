@@ -188,3 +188,30 @@ def apple_metadata(rows: DataFrame) -> DataFrame:
 def json_safe(c: Column, binary: bool) -> Column:
     """Bytes as {"encoding": "base64", "data": ...}, anything else as its text; null stays null."""
     return F.when(c.isNotNull(), F.to_json(F.struct(F.lit("base64").alias("encoding"), F.base64(c).alias("data")))) if binary else c.cast("string")
+
+
+def merge_local_times(messages: DataFrame, observations: DataFrame) -> DataFrame:
+    """messages: message_id, timezone_offset_min and local_iso (null where unknown). observations: message_id, local_iso,
+    stated_offset_min, as sources give them, any number a message and in any order.
+
+    An observation fails whose local time has no offset of whole minutes within 840, or another one than is stated; it gives
+    nothing and is counted in `failed`. Of the others an unknown field takes the smallest value (offsets as numbers, times as
+    text), and every other value goes to `conflicts` (a map of the field to the sorted values, null if there are none), as do all that differ
+    from a field that was known. So the result hangs on the set of observations alone. Those of other messages are left out.
+    """
+    told = local_time(observations.where("message_id IS NOT NULL")).withColumn("_ok", F.col("iso_ok") & ~F.col("conflict") & (F.col("offset_min").isNull() | F.col("offset_min").between(-840, 840)))
+    failed = told.where("NOT _ok").groupBy("message_id").agg(F.count("*").alias("_failed"))
+    pair = lambda name, value, order: F.when(value.isNotNull(), F.struct(F.lit(name).alias("field"), order.cast("bigint").alias("o"), value.cast("string").alias("value")))
+    offset, iso = F.col("offset_min"), F.col("local_iso")
+    values = told.where("_ok").select("message_id", F.explode(F.array_compact(F.array(pair("timezone_offset_min", offset, offset), pair("local_iso", iso, F.lit(0))))).alias("v")).select("message_id", "v.*").distinct()
+    # One row a message: what its fields hold of different values, each once.
+    held = values.groupBy("message_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("o", "value")))), lambda x: x.value).alias(f"_{f}") for f in ("timezone_offset_min", "local_iso")])
+    joined = messages.join(held, "message_id", "left").join(failed, "message_id", "left")
+    known = {f: F.coalesce(F.col(f).cast("string"), F.get(F.col(f"_{f}"), F.lit(0))) for f in ("timezone_offset_min", "local_iso")}
+    unlike = lambda f: F.filter(F.col(f"_{f}"), lambda v: v != known[f])
+    others = F.array(*[F.struct(F.lit(f).alias("key"), unlike(f).alias("value")) for f in known])
+    clash = F.map_from_entries(F.filter(others, lambda e: F.coalesce(F.size(e.value) > 0, F.lit(False))))
+    return joined.select(
+        *[c for c in messages.columns if c not in (*known, "conflicts", "failed")], known["timezone_offset_min"].cast("int").alias("timezone_offset_min"), known["local_iso"].alias("local_iso"),
+        F.when(F.size(clash) > 0, clash).alias("conflicts"), F.coalesce("_failed", F.lit(0)).alias("failed"),
+    )

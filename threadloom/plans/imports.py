@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incremental, inventory
+from ..operators import canonical, incremental, inventory
 from ..session import shared_dir
 from ..sources import staged
 from ..sources.publication import Publication
@@ -59,9 +59,34 @@ def source_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.source_account(source, records.union(records.where("message_id % 101 = 0")), e.where(every(103)).select(F.col("i").alias("message_id")))
 
 
-QUERIES = {f.__name__: f for f in (incremental_resolution, staged_records, source_reconciliation)}
+def local_time_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with what up to three sources say of their local time; some agree, some don't, some can't be."""
+    e = ad.table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss").alias("t"))
+    iso = lambda n, *ends: F.concat("t", F.get(F.array(*[F.lit(x) for x in ends]), (F.col("i") % n).cast("int")))
+    no_time, no_offset = F.lit(None).cast("string"), F.lit(None).cast("int")
+    messages = e.select(F.col("i").alias("message_id"), F.when(F.col("i") % 4 == 0, 60).alias("timezone_offset_min"), F.when(F.col("i") % 9 == 0, F.concat("t", F.lit("+01:00"))).alias("local_iso"))
+    parts = [
+        e.where("i % 3 <> 0").select("i", iso(5, "+01:00", "+02:00", "Z", "+15:00", "").alias("iso"), no_offset.alias("o")),
+        e.where("i % 2 = 0").select("i", iso(3, "+01:00", "-05:30", "+02:00").alias("iso"), F.when(F.col("i") % 7 == 0, 60).alias("o")),
+        e.where("i % 5 = 1").select("i", no_time.alias("iso"), F.when(F.col("i") % 2 == 0, 60).otherwise(-90).alias("o")),
+    ]
+    told = parts[0].union(parts[1]).union(parts[2]).union(parts[1]).select(F.col("i").alias("message_id"), F.col("iso").alias("local_iso"), F.col("o").alias("stated_offset_min"))
+    out = canonical.merge_local_times(messages, told)
+    listed = lambda f: F.array_join(F.try_element_at("conflicts", F.lit(f)), ",").alias(f"{f}_conflicts")
+    return out.select("message_id", "timezone_offset_min", "local_iso", listed("timezone_offset_min"), listed("local_iso"), "failed")
+
+
+QUERIES = {f.__name__: f for f in (incremental_resolution, staged_records, source_reconciliation, local_time_merge)}
 ORACLES = {
     "incremental_resolution": identity.ORACLES["resolved_messages"],
+    "local_time_merge": """WITH e AS (SELECT event_id AS i, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS t FROM events),
+  b AS (SELECT i, t || (['+01:00', '-05:30', '+02:00'])[i % 3 + 1] AS iso, ([60, -330, 120])[i % 3 + 1] AS own, CASE WHEN i % 7 = 0 THEN 60 END AS o FROM e WHERE i % 2 = 0),
+  s AS (SELECT i, t || (['+01:00', '+02:00', 'Z', '+15:00', ''])[i % 5 + 1] AS iso, ([60, 120, 0, 900, NULL])[i % 5 + 1] AS own, NULL::INT AS o FROM e WHERE i % 3 <> 0 UNION ALL SELECT * FROM b UNION ALL SELECT i, NULL, NULL, CASE WHEN i % 2 = 0 THEN 60 ELSE -90 END FROM e WHERE i % 5 = 1 UNION ALL SELECT * FROM b),
+  k AS (SELECT *, (iso IS NULL OR (own IS NOT NULL AND abs(own) <= 840)) AND NOT (o IS NOT NULL AND own IS NOT NULL AND o <> own) AS ok, coalesce(o, own) AS z FROM s),
+  m AS (SELECT i, CASE WHEN i % 4 = 0 THEN 60 END AS z, CASE WHEN i % 9 = 0 THEN t || '+01:00' END AS iso FROM e),
+  f AS (SELECT m.i, coalesce(m.z, min(k.z) FILTER (k.ok)) AS z, coalesce(m.iso, min(k.iso) FILTER (k.ok)) AS iso, count(*) FILTER (NOT k.ok) AS failed FROM m LEFT JOIN k ON k.i = m.i GROUP BY m.i, m.z, m.iso)
+  SELECT f.i AS message_id, any_value(f.z)::BIGINT AS timezone_offset_min, any_value(f.iso) AS local_iso, array_to_string(list_sort(list_distinct(list(k.z) FILTER (k.ok AND k.z <> f.z))), ',') AS timezone_offset_min_conflicts,
+    array_to_string(list_sort(list_distinct(list(k.iso) FILTER (k.ok AND k.iso <> f.iso))), ',') AS local_iso_conflicts, any_value(f.failed) AS failed FROM f LEFT JOIN k ON k.i = f.i GROUP BY f.i""",
     "source_reconciliation": """WITH e AS (SELECT event_id AS i, user_id // 2 AS chat, event_id % 103 = 0 AS x, event_id % 97 <> 0 AND event_id % 103 <> 0 AS em, event_id % 77 <> 0 AND event_id % 83 <> 0 AND event_id % 91 <> 0 AS sound FROM events),
   r AS (SELECT *, (sound AND i % 107 <> 0) OR (NOT sound AND i % 71 <> 0) OR i % 109 = 0 AS has FROM e WHERE em UNION ALL SELECT *, (sound AND i % 107 <> 0) OR (NOT sound AND i % 71 <> 0) OR i % 109 = 0 FROM e WHERE em AND i % 101 = 0),
   l AS (SELECT i AS row_id, CASE WHEN i % 83 = 0 THEN -i - 1 WHEN i % 91 <> 0 THEN i END AS m, * FROM e WHERE i % 77 <> 0),
