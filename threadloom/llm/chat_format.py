@@ -2,7 +2,8 @@ r"""Chat formatting: event-sourced reconstruction. DataFrame functions only.
 
 A log of events is partitioned by conversation and sorted by sequence. The events of a message fold into its final
 text: `message` and `edit` set it, `delta` adds to it, `regenerate` empties it and, with it, drops the messages that
-had begun after this one and before the regeneration, for they answered what is gone. The final messages are rendered
+had begun after this one and before the regeneration, for they answered what is gone; that it was dropped itself by an earlier
+regeneration doesn't matter. The final messages are rendered
 
     ### Role:
     text</turn>
