@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoints
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, for what is read more than once."""
     ensure_checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
-def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = _checkpointed, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = checkpointed, most: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     edges: a, b (long, not null; order, repeats and loops don't matter). Returns node, component (its smallest node) for

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core, gates, identity, imports, lexical, store, trends
+from . import audits, core, gates, identity, imports, lexical, store, trends
 
 
 def _wide(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,5 +20,5 @@ def _wide(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return run
 
 
-QUERIES = {name: _wide(query) for name, query in {**core.QUERIES, **trends.QUERIES, **lexical.QUERIES, **identity.QUERIES, **store.QUERIES, **gates.QUERIES, **imports.QUERIES}.items()}
-ORACLES = {**core.ORACLES, **trends.ORACLES, **lexical.ORACLES, **identity.ORACLES, **store.ORACLES, **gates.ORACLES, **imports.ORACLES}
+QUERIES = {name: _wide(query) for name, query in {**core.QUERIES, **trends.QUERIES, **lexical.QUERIES, **identity.QUERIES, **store.QUERIES, **gates.QUERIES, **imports.QUERIES, **audits.QUERIES}.items()}
+ORACLES = {**core.ORACLES, **trends.ORACLES, **lexical.ORACLES, **identity.ORACLES, **store.ORACLES, **gates.ORACLES, **imports.ORACLES, **audits.ORACLES}
