@@ -171,3 +171,41 @@ def resolve_evidence(messages: DataFrame, wanted: DataFrame) -> tuple[DataFrame,
     """The messages that are wanted (conversation_id, message_id), and what is wanted but no message."""
     keys = ["conversation_id", "message_id"]
     return messages.join(wanted.select(*keys), keys, "left_semi"), wanted.select(*keys).distinct().join(messages.select(*keys), keys, "left_anti")
+
+
+def run_reconciliation(conversations: DataFrame, runs: DataFrame, processing: DataFrame, processed: DataFrame, sessions: DataFrame, responses: DataFrame, silences: DataFrame, events: DataFrame) -> DataFrame:
+    """Each conversation of each analytics run against the latest completed processing run, with all counts and whether they agree.
+
+    conversations: analytics_run_id, conversation_id, source_message_count, known_sender_message_count,
+    unknown_sender_message_count; runs: analytics_run_id, processing_run_id; processing: processing_run_id, status; processed:
+    processing_run_id, conversation_id; sessions: processing_run_id, conversation_id, session_id; responses, silences and
+    events: analytics_run_id, conversation_id and session_id, or previous_session_id and next_session_id. A session must be one
+    of the run's own processing run and conversation; an event may have none. No rows come if no processing run is completed.
+    """
+    latest = processing.where("status = 'completed'").agg(F.max("processing_run_id").alias("latest_processing_run_id")).where("latest_processing_run_id IS NOT NULL")
+    counted = processed.join(latest, F.col("processing_run_id") == F.col("latest_processing_run_id")).groupBy("conversation_id").agg(F.count("*").alias("_processed"))
+    at = ["analytics_run_id", "conversation_id"]
+    of = sessions.select("processing_run_id", "conversation_id", "session_id").distinct()
+
+    def invalid(rows: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
+        """How many rows of a run's conversation name a session, in any of the columns, that isn't there."""
+        known = rows.select(*at, *columns).join(runs.select("analytics_run_id", "processing_run_id"), "analytics_run_id")
+        for c in columns:
+            known = known.join(of.withColumnRenamed("session_id", c).withColumn(f"_{c}", F.lit(True)), ["processing_run_id", "conversation_id", c], "left")
+        missing = reduce(lambda x, y: x | y, [F.col(f"_{c}").isNull() for c in columns])
+        return known.groupBy(*at).agg(F.count_if(missing).alias(name))
+
+    parts = {
+        "invalid_response_session_count": invalid(responses, ("session_id",), "invalid_response_session_count"),
+        "invalid_silence_session_count": invalid(silences, ("previous_session_id", "next_session_id"), "invalid_silence_session_count"),
+        "invalid_event_session_count": invalid(events.where("session_id IS NOT NULL"), ("session_id",), "invalid_event_session_count"),
+    }
+    rows = conversations.join(runs.select("analytics_run_id", "processing_run_id"), "analytics_run_id").join(latest, F.lit(True)).join(counted, "conversation_id", "left")
+    rows = reduce(lambda x, y: x.join(y, at, "left"), parts.values(), rows).fillna(0, ["_processed", *parts])
+    source, told = F.col("source_message_count"), F.col("known_sender_message_count") + F.col("unknown_sender_message_count")
+    newest = F.col("processing_run_id") == F.col("latest_processing_run_id")
+    ok = reduce(lambda x, y: x & y, [F.col(c) == 0 for c in parts], newest & (source == F.col("_processed")) & (source == told))
+    return rows.select(
+        *at, "processing_run_id", "latest_processing_run_id", source.alias("a4_source_membership_count"), F.col("_processed").alias("a3_processed_membership_count"), (source - F.col("_processed")).alias("membership_count_delta"),
+        "known_sender_message_count", "unknown_sender_message_count", told.alias("sender_accounted_membership_count"), *parts, F.when(newest, 1).otherwise(0).cast("bigint").alias("uses_latest_processing_run"), F.when(ok, 1).otherwise(0).cast("bigint").alias("reconciliation_ok"),
+    )

@@ -9,8 +9,10 @@ from ..operators import behaviour as bh
 from ..operators import evidence as ev
 from ..operators import rederive as rd
 from ..operators import sidecars as sc
+from ..operators import snapshots as sn
 from ..operators import structure as st
 from ..operators import topics as tp
+from ..operators import views as vw
 from ..operators.graph import checkpointed
 from . import adapters as ad
 from . import core, lexical, store
@@ -117,6 +119,43 @@ def resolution_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.sidecar_faults(people, identities, processed, told, normalize=False)
 
 
+def run_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two analytics runs, the second of the latest completed processing run, with wrong counts and sessions that are not there."""
+    p = checkpointed(st.structured(ad.sparse(spark, sf_dir), ad.EVENTS))
+    t = checkpointed(st.turns(st.processed(ad.sparse(spark, sf_dir), ad.EVENTS)))
+    c = F.col("conversation_id")
+    two = lambda rows, name: rows.withColumn(name, F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>")))
+    lost = lambda name, when: F.when(when, F.col(name) + 10**6).otherwise(F.col(name))
+    counts = p.groupBy("conversation_id").agg(F.count("*").alias("n"), F.count("sender_id").alias("k"))
+    conversations = two(counts, "analytics_run_id").select("analytics_run_id", "conversation_id", (F.col("n") + F.when(c % 7 == 1, 1).otherwise(0)).alias("source_message_count"), (F.col("k") - F.when(c % 7 == 2, 1).otherwise(0)).alias("known_sender_message_count"), (F.col("n") - F.col("k")).alias("unknown_sender_message_count"))
+    runs = spark.sql("SELECT stack(2, 1L, 1L, 2L, 2L) AS (analytics_run_id, processing_run_id)")
+    processing = spark.sql("SELECT stack(3, 1L, 'completed', 2L, 'completed', 3L, 'failed') AS (processing_run_id, status)")
+    sessions = two(p.select("conversation_id", F.col("session_no").alias("session_id")).distinct(), "processing_run_id")
+    responses = two(st.response_samples(t), "analytics_run_id").select("analytics_run_id", "conversation_id", lost("session_no", (F.col("turn_no") % 11 == 0) & (F.col("analytics_run_id") == 2)).alias("session_id"))
+    silences = two(bh.silence_events(t, ad.EVENTS), "analytics_run_id").select("analytics_run_id", "conversation_id", lost("session_no", c % 6 == 0).alias("previous_session_id"), lost("next_session_no", c % 4 == 0).alias("next_session_id"))
+    events = two(bh.conflict_candidates(t, ad.EVENTS), "analytics_run_id").select("analytics_run_id", "conversation_id", F.when(c % 2 == 0, None).otherwise(lost("session_no", c % 5 == 1)).alias("session_id"))
+    return vw.run_reconciliation(conversations, runs, processing, two(p.select("conversation_id"), "processing_run_id"), sessions, responses, silences, events)
+
+
+def snapshot_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of the events' conversations as the evidence of an assertion, with snapshots of its messages and of a metric, and faults of each kind."""
+    m = checkpointed(st.processed(ad.sparse(spark, sf_dir), ad.EVENTS))
+    t = checkpointed(st.turns(m).select(F.col("conversation_id").alias("context_id"), F.concat(F.lit("turn/"), F.col("turn_no").cast("string")).alias("path"), "turn_no", "message_ids"))
+    x, i, k = F.col("context_id"), F.col("message_id"), F.col("turn_no")
+    none = F.array().cast("array<string>")
+    keyed = lambda letter: F.array(F.concat(F.lit(letter), i.cast("string")))
+    messages = m.select(F.col("conversation_id").alias("context_id"), "message_id", "timestamp_us", "sender_id", "membership_id", F.when(i % 5 == 0, none).otherwise(keyed("k")).alias("source_record_keys"), keyed("s").alias("source_snapshot_keys"), F.array(F.lit("1")).alias("parser_versions"))
+    ids = messages.select("context_id").distinct()
+    origin = {c: F.concat(F.lit(c), x.cast("string")) for c in sn.PROVENANCE}
+    contexts = ids.select("context_id", F.when(x % 13 == 1, F.array(F.lit(1))).alias("missing_message_ids"), F.when(x % 13 == 3, none).otherwise(F.array(F.lit("a"))).alias("omitted_message_ids"), F.when(x % 13 > 1, 1).otherwise(0).alias("omitted_message_count"), F.when(x % 13 != 4, "f").alias("omitted_sha256"), F.when(x % 13 != 5, F.array(F.lit("1 Omitted"))).alias("quality_warnings"), *[v.alias(c) for c, v in origin.items()])
+    metrics = ids.select("context_id", F.lit("before").alias("phase"), F.lit("rate").alias("name"), (x / 3).alias("value"))
+    shown = t.select("context_id", "path", "turn_no", F.posexplode("message_ids").alias("position", "message_id")).join(messages, ["context_id", "message_id"])
+    shown = shown.where(i % 41 != 1).withColumns({"message_id": F.when(i % 43 == 1, -i).otherwise(i), "sender_id": F.when(i % 47 == 1, F.lit(-1)).otherwise(F.col("sender_id")), "source_record_keys": F.when(i % 53 == 1, none).otherwise(F.col("source_record_keys"))})
+    of = t.select("context_id", "path", F.when(k % 17 == 1, "after").otherwise("before").alias("phase"), F.lit("rate").alias("name"), (x / 3 + F.when(k % 19 == 1, 1).otherwise(0)).alias("value"), *[(F.when(k % 23 == 1, "other").otherwise(v) if c == "analysis_signature" else v).alias(c) for c, v in origin.items()])
+    evidence = t.select("context_id", "path", "message_ids").union(t.where(k == 1).select("context_id", F.lit("nothing"), F.array().cast("array<bigint>")))
+    return sn.snapshot_faults(contexts, messages.union(messages.where(i % 59 == 1)), metrics, evidence, shown, of)
+
+
 def _counts(table: str, cases: dict[str, str]) -> str:
     return "SELECT unnest([" + ", ".join(f"struct_pack(code := '{code}', n := count(*) FILTER (WHERE {sql}))" for code, sql in cases.items()) + f"]) AS c FROM {table}"
 
@@ -161,7 +200,21 @@ def _all_counts(tables: dict[str, dict[str, str]]) -> str:
     return f"SELECT c.code AS code, c.n AS n, {SEVERITY.replace('n >', 'c.n >')} FROM (" + " UNION ALL ".join(_counts(table, cases) for table, cases in tables.items()) + ")"
 
 
-QUERIES = {f.__name__: f for f in (analytics_audit, vertical_children, processing_audit, topic_audit, resolution_sidecars)}
+_RUNS = f"""WITH sil AS ({core.ORACLES['silence_events']}), con AS ({core.ORACLES['conflict_candidates']}), rs AS ({core.ORACLES['response_samples']}), cs AS ({core.ORACLES['conversation_summary']}), a(run) AS (VALUES (1::BIGINT), (2)),
+ri AS (SELECT conversation_id, count(*) FILTER (WHERE turn_no % 11 = 0) AS x FROM rs GROUP BY 1), si AS (SELECT conversation_id, count(*) FILTER (WHERE conversation_id % 6 = 0 OR conversation_id % 4 = 0) AS x FROM sil GROUP BY 1), ei AS (SELECT conversation_id, count(*) FILTER (WHERE conversation_id % 2 = 1 AND conversation_id % 5 = 1) AS x FROM con GROUP BY 1),
+b AS (SELECT run, cs.conversation_id, message_count + CASE WHEN cs.conversation_id % 7 = 1 THEN 1 ELSE 0 END AS src, message_count AS done, message_count - unknown_sender_count - CASE WHEN cs.conversation_id % 7 = 2 THEN 1 ELSE 0 END AS kn, unknown_sender_count AS un, CASE WHEN run = 2 THEN coalesce(ri.x, 0) ELSE 0 END AS r, coalesce(si.x, 0) AS s, coalesce(ei.x, 0) AS e
+  FROM cs CROSS JOIN a LEFT JOIN ri ON ri.conversation_id = cs.conversation_id LEFT JOIN si ON si.conversation_id = cs.conversation_id LEFT JOIN ei ON ei.conversation_id = cs.conversation_id)"""
+_SNAP = """, ms AS (SELECT conversation_id AS x, turn_no AS k, message_id AS i FROM t1), tt AS (SELECT conversation_id AS x, turn_no AS k FROM turns), cx AS (SELECT DISTINCT conversation_id AS x FROM pm)"""
+_OF_CONTEXT = "SELECT x AS context_id, NULL::VARCHAR AS path, '{0}' AS code, count(*) AS n FROM {1} WHERE {2} GROUP BY 1"
+_OF_PATH = "SELECT x AS context_id, 'turn/' || k AS path, '{0}' AS code, count(*) AS n FROM {1} WHERE {2} GROUP BY 1, 2"
+_SNAP_CODES = [_OF_CONTEXT.format(*c) for c in (
+    ("CONTEXT_MISSING_EVIDENCE", "cx", "x % 13 = 1"), ("CONTEXT_OMISSION_COUNT_DIFFERS", "cx", "x % 13 = 3"), ("CONTEXT_OMISSION_HASH_MISSING", "cx", "x % 13 = 4"), ("CONTEXT_OMISSION_NOT_DISCLOSED", "cx", "x % 13 = 5"), ("CONTEXT_MESSAGE_REPEATED", "ms", "i % 59 = 1"),
+)] + [_OF_PATH.format(*c) for c in (
+    ("MESSAGE_SNAPSHOT_DIFFERS_FROM_LIST", "ms", "i % 41 = 1 OR i % 43 = 1"), ("MESSAGE_OUTSIDE_CONTEXT", "ms", "i % 41 <> 1 AND i % 43 = 1"), ("MESSAGE_PROVENANCE_DIFFERS", "ms", "i % 41 <> 1 AND i % 43 <> 1 AND (i % 47 = 1 OR (i % 53 = 1 AND i % 5 <> 0))"), ("SOURCE_RECORD_DROPPED", "ms", "i % 41 <> 1 AND i % 43 <> 1 AND i % 53 = 1 AND i % 5 <> 0"),
+    ("METRIC_OUTSIDE_CONTEXT", "tt", "k % 17 = 1"), ("METRIC_VALUE_DIFFERS", "tt", "k % 17 <> 1 AND k % 19 = 1"), ("METRIC_PROVENANCE_DIFFERS", "tt", "k % 17 <> 1 AND k % 23 = 1"),
+)] + ["SELECT x AS context_id, 'nothing' AS path, 'EVIDENCE_EMPTY' AS code, count(*) AS n FROM cx GROUP BY 1"]
+
+QUERIES = {f.__name__: f for f in (analytics_audit, vertical_children, processing_audit, topic_audit, resolution_sidecars, run_reconciliation, snapshot_audit)}
 ORACLES = {
     "analytics_audit": f"{core._BASE}, {core._SUMMARY} " + _all_counts(_ANALYTICS),
     "vertical_children": f"WITH {_UP} SELECT 'k' || i AS source_record_key, 'record' AS kind, NULL::VARCHAR AS child, CASE WHEN stored = 0 THEN 'RECORD_MISSING' WHEN staged = 0 THEN 'RECORD_UNEXPECTED' ELSE 'RECORD_REPEATED' END AS code, staged, stored FROM r WHERE staged <> stored UNION ALL "
@@ -171,4 +224,7 @@ ORACLES = {
       UNION ALL SELECT DISTINCT 'PROVENANCE_MISSING', m FROM d WHERE m NOT IN (SELECT m FROM t) UNION ALL SELECT 'INPUT_MEMBERSHIP_COUNT_DIFFERS', NULL""",
     "topic_audit": f"{lexical._BASE}, {_TOPIC} " + " UNION ALL ".join(_EACH.format(*x) for x in _TOPIC_CODES),
     "resolution_sidecars": f"{_PEOPLE} " + _all_counts(_SIDECARS),
+    "run_reconciliation": f"""{_RUNS} SELECT run AS analytics_run_id, conversation_id, run AS processing_run_id, 2::BIGINT AS latest_processing_run_id, src AS a4_source_membership_count, done AS a3_processed_membership_count, src - done AS membership_count_delta, kn AS known_sender_message_count, un AS unknown_sender_message_count,
+      kn + un AS sender_accounted_membership_count, r AS invalid_response_session_count, s AS invalid_silence_session_count, e AS invalid_event_session_count, CASE WHEN run = 2 THEN 1 ELSE 0 END::BIGINT AS uses_latest_processing_run, CASE WHEN run = 2 AND src = done AND src = kn + un AND r = 0 AND s = 0 AND e = 0 THEN 1 ELSE 0 END::BIGINT AS reconciliation_ok FROM b""",
+    "snapshot_audit": f"{core._BASE}{_SNAP} " + " UNION ALL ".join(_SNAP_CODES),
 }
