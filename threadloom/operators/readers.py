@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,27 +122,43 @@ def ai_candidates(conflicts: DataFrame, changes: DataFrame, signals: DataFrame,
 
 
 def merge_candidates(candidates: DataFrame, least: float = 0.7) -> DataFrame:
-    """Folds candidates of a conversation and kind, by start, into the merged one before where they overlap by `least` of the shorter
-    (a second at least). The fold depends on what was merged, so that it runs in pandas, within an island: what starts when all
-    before it have ended can join none of them, so that islands are folded apart and a conversation is never gathered."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in rows.sort_values(["start_us", "end_us", "importance"]).itertuples(index=False):
-            if out:
-                m = out[-1]
-                over = min(m[3], r.end_us) - max(m[2], r.start_us)
-                if over > 0 and over / min(max(m[3] - m[2], 1_000_000), max(r.end_us - r.start_us, 1_000_000)) >= least:
-                    m[3], m[4], m[5] = max(m[3], r.end_us), max(m[4], r.importance), m[5] + 1
+    """Folds candidates of a conversation and kind, by start, into the merged one before where they overlap by `least` of the
+    shorter (a second at least). Candidates without a start or an end are in no result: nothing can be said of their overlap.
+
+    The fold depends on what was merged, so that it runs in Python, over rows in order with one merged candidate in hand:
+    nothing is gathered. Islands go to tasks of their own: what starts when all before it have ended joins none of them.
+    """
+    columns = ["conversation_id", "kind", "start_us", "end_us", "importance", "merged"]
+    schema = pa.schema([("conversation_id", pa.int64()), ("kind", pa.string()), ("start_us", pa.int64()), ("end_us", pa.int64()), ("importance", pa.float64()), ("merged", pa.int64())])
+
+    def higher(a: float | None, b: float | None) -> float | None:
+        return b if a is None else a if b is None else max(a, b)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, m = None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                now = (r["conversation_id"], r["kind"], r["_island"])
+                start, end = r["start_us"], r["end_us"]
+                over = min(m["end_us"], end) - max(m["start_us"], start) if m and now == key else 0
+                if over > 0 and over / min(max(m["end_us"] - m["start_us"], 1_000_000), max(end - start, 1_000_000)) >= least:
+                    m |= {"end_us": max(m["end_us"], end), "importance": higher(m["importance"], r["importance"]), "merged": m["merged"] + 1}
                     continue
-            out.append([r.conversation_id, r.kind, r.start_us, r.end_us, r.importance, 1])
-        return pd.DataFrame(out, columns=["conversation_id", "kind", "start_us", "end_us", "importance", "merged"])
-
-    known = candidates.where("start_us IS NOT NULL AND end_us IS NOT NULL").select("conversation_id", "kind", "start_us", "end_us", "importance")
+                if m:
+                    out.append(m)
+                key, m = now, {**{c: r[c] for c in columns[:-1]}, "merged": 1}
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if m:
+            yield pa.RecordBatch.from_pylist([m], schema=schema)
+
+    known = candidates.where("start_us IS NOT NULL AND end_us IS NOT NULL").select(F.col("conversation_id").cast("bigint").alias("conversation_id"), "kind", "start_us", "end_us", F.col("importance").cast("double").alias("importance"))
     w = Window.partitionBy("conversation_id", "kind").orderBy("start_us", "end_us", "importance")
     before = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
     known = known.withColumn("_new", F.when(F.col("start_us") >= before, 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return known.groupBy("conversation_id", "kind", "_island").applyInPandas(fold, "conversation_id bigint, kind string, start_us bigint, end_us bigint, importance double, merged bigint")
+    island = ["conversation_id", "kind", "_island"]
+    ordered = known.drop("_new").repartition(*island).sortWithinPartitions(*island, "start_us", "end_us", "importance")
+    return ordered.mapInArrow(fold, "conversation_id bigint, kind string, start_us bigint, end_us bigint, importance double, merged bigint")
 
 
 def ordered_lookup(requests: DataFrame, rows: DataFrame, key: str) -> DataFrame:

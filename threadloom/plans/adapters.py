@@ -113,3 +113,9 @@ turns AS (SELECT conversation_id, turn_no, any_value(session_no) AS session_no,
   arg_min_null(period_date, seq) AS period_date, sum(words)::BIGINT AS words, sum(chars)::BIGINT AS chars, sum(q)::BIGINT AS q, sum(ex)::BIGINT AS ex, sum(aff)::BIGINT AS aff, sum(neg)::BIGINT AS neg, list(message_id ORDER BY seq) AS ids FROM t1 GROUP BY conversation_id, turn_no),
 resp AS (SELECT conversation_id, session_no, turn_no, participant_id AS responder_id, p AS from_id, period_date, CASE WHEN start_us - e >= 0 THEN start_us - e END AS latency_us, words::DOUBLE / greatest(w, 1) AS effort FROM (
   SELECT *, lag(participant_id) OVER c AS p, lag(session_no) OVER c AS ps, lag(end_us) OVER c AS e, lag(words) OVER c AS w FROM turns WINDOW c AS (PARTITION BY conversation_id ORDER BY turn_no)) WHERE ps = session_no AND p IS NOT NULL AND participant_id IS NOT NULL AND p <> participant_id)"""
+
+
+# From c (conversation_id, kind, s, e, v, and n, the place by start) to what merge_candidates folds it into; for WITH RECURSIVE.
+SQL_FOLD = """  f AS (SELECT conversation_id, kind, n, s, e, v, 1::BIGINT AS merged, 1 AS g FROM c WHERE n = 1 UNION ALL SELECT conversation_id, kind, n, CASE WHEN j THEN fs ELSE s END, CASE WHEN j THEN greatest(fe, e) ELSE e END, CASE WHEN j THEN greatest(fv, v) ELSE v END, CASE WHEN j THEN fm + 1 ELSE 1 END, CASE WHEN j THEN g ELSE g + 1 END
+    FROM (SELECT c.*, f.s AS fs, f.e AS fe, f.v AS fv, f.merged AS fm, f.g AS g, least(f.e, c.e) > greatest(f.s, c.s) AND (least(f.e, c.e) - greatest(f.s, c.s))::DOUBLE / least(greatest(f.e - f.s, 1000000), greatest(c.e - c.s, 1000000)) >= 0.7 AS j FROM f JOIN c ON c.conversation_id = f.conversation_id AND c.kind = f.kind AND c.n = f.n + 1))
+  SELECT conversation_id, kind, s AS start_us, e AS end_us, v AS importance, merged FROM f QUALIFY row_number() OVER (PARTITION BY conversation_id, kind, g ORDER BY n DESC) = 1"""

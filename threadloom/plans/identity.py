@@ -315,9 +315,7 @@ ORACLES = {
     "resolved_messages": "WITH k AS (SELECT event_id // 3 AS t, min(event_id) AS m, max(CASE WHEN event_id % 5 = 0 THEN event_id % 1000 END) AS g FROM events GROUP BY 1), c AS (SELECT t, CASE WHEN g IS NULL THEN m ELSE min(m) OVER (PARTITION BY g) END AS canonical_id FROM k) SELECT event_id AS source_pk, canonical_id FROM events JOIN c ON t = event_id // 3",
     "fingerprint": f"{_SPARSE}, h AS (SELECT conversation_id, sha256(to_json(struct_pack(message_id := message_id, sender_id := sender_id, timestamp_us := timestamp_us, text := text))::VARCHAR) AS h FROM msg) SELECT conversation_id, sha256(concat_ws(':', count(*), {', '.join(f"sum(('0x' || substr(h, {1 + 12 * i}, 12))::BIGINT)" for i in range(5))})) AS fingerprint FROM h GROUP BY 1",
     "interval_merge": """WITH RECURSIVE c AS (SELECT user_id // 2 AS conversation_id, event_type AS kind, epoch_us(ts) AS s, epoch_us(ts) + event_id % 400 * 3600000000 AS e, value AS v, row_number() OVER (PARTITION BY user_id // 2, event_type ORDER BY epoch_us(ts), epoch_us(ts) + event_id % 400 * 3600000000, value) AS n FROM events WHERE event_id % 71 <> 0),
-  f AS (SELECT conversation_id, kind, n, s, e, v, 1::BIGINT AS merged, 1 AS g FROM c WHERE n = 1 UNION ALL SELECT conversation_id, kind, n, CASE WHEN j THEN fs ELSE s END, CASE WHEN j THEN greatest(fe, e) ELSE e END, CASE WHEN j THEN greatest(fv, v) ELSE v END, CASE WHEN j THEN fm + 1 ELSE 1 END, CASE WHEN j THEN g ELSE g + 1 END
-    FROM (SELECT c.*, f.s AS fs, f.e AS fe, f.v AS fv, f.merged AS fm, f.g AS g, least(f.e, c.e) > greatest(f.s, c.s) AND (least(f.e, c.e) - greatest(f.s, c.s))::DOUBLE / least(greatest(f.e - f.s, 1000000), greatest(c.e - c.s, 1000000)) >= 0.7 AS j FROM f JOIN c ON c.conversation_id = f.conversation_id AND c.kind = f.kind AND c.n = f.n + 1))
-  SELECT conversation_id, kind, s AS start_us, e AS end_us, v AS importance, merged FROM f QUALIFY row_number() OVER (PARTITION BY conversation_id, kind, g ORDER BY n DESC) = 1""",
+""" + ad.SQL_FOLD,
     "analytic_read": f"WITH {ad.SQL_EVENTS}, mb AS (SELECT membership_id, message_id, conversation_id, true AS is_primary, text FROM msg UNION ALL SELECT membership_id + 1000000000, message_id, conversation_id + 1000, false, text FROM msg WHERE message_id % 40 = 0) SELECT membership_id, message_id, conversation_id, is_primary, length(text) AS char_count FROM mb WHERE message_id % 13 <> 0 AND message_id % 17 <> 0",
     "evidence_resolution": "WITH w AS (SELECT DISTINCT user_id // 2 AS conversation_id, event_id AS message_id FROM events WHERE event_id % 2 = 0 UNION SELECT user_id // 2, event_id + 1 FROM events WHERE (event_id + 1) % 10 = 0) SELECT w.conversation_id, w.message_id, e.event_id IS NOT NULL AS found FROM w LEFT JOIN events e ON e.event_id = w.message_id AND e.user_id // 2 = w.conversation_id",
     "inventory_details": f"""WITH {ad.SQL_SPARSE}, cs AS ({TABLES["conversation_source"]}), p AS (SELECT conversation_id, string_agg(DISTINCT sender_id || '/User ' || (sender_id % 40) || '/' || CASE WHEN sender_id % 50 = 0 THEN 'true' ELSE 'false' END, ',' ORDER BY sender_id || '/User ' || (sender_id % 40) || '/' || CASE WHEN sender_id % 50 = 0 THEN 'true' ELSE 'false' END) AS participants FROM msg WHERE sender_id IS NOT NULL GROUP BY 1),

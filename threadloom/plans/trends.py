@@ -11,7 +11,7 @@ from ..operators import readers as rd
 from ..operators import series as se
 from ..operators import structure as st
 from . import adapters as ad
-from . import core
+from . import core, lexical
 
 
 def _series(spark, sf_dir: str, kind: str, adapter=ad.sparse, config=ad.EVENTS) -> DataFrame:
@@ -71,7 +71,7 @@ def daily_pivot(spark, sf_dir: str) -> DataFrame:
 
 def candidate_rows(spark, sf_dir: str) -> DataFrame:
     signals = _signals(spark, sf_dir)
-    topics = spark.createDataFrame([], "conversation_id bigint, first_date date, last_date date")
+    topics = lexical.topic_candidates(spark, sf_dir).withColumns({c: F.col(c).cast("date") for c in ("first_date", "last_date")})
     return rd.ai_candidates(bh.conflict_candidates(core._turns(spark, sf_dir), ad.EVENTS), _changes(spark, sf_dir), signals, se.dyadic_regimes(signals), topics)
 
 
@@ -175,4 +175,11 @@ ORACLES = {
     "trend_slopes": f"SELECT * FROM ({_slopes_sql('week', 8)}) UNION ALL SELECT * FROM ({_slopes_sql('month', 6)})",
     "findings_union": _FINDINGS,
     "daily_pivot": _pivot_sql(),
+    "candidate_merge": f"""WITH RECURSIVE u AS (SELECT conversation_id, 'conflict' AS kind, start_us AS s, end_us AS e, score::DOUBLE * 100 AS v FROM ({core.ORACLES['conflict_candidates']})
+  UNION ALL SELECT conversation_id, 'change', epoch_us(period_date::TIMESTAMP), epoch_us(period_date::TIMESTAMP) + {rd.DAY - 1}, greatest(60.0::DOUBLE, least(100.0::DOUBLE, abs(z_score) * 20)) FROM ({_CHANGES})
+  UNION ALL SELECT conversation_id, 'engagement', epoch_us(d::TIMESTAMP), epoch_us(e::TIMESTAMP) + {rd.DAY - 1}, CASE direction WHEN 'stable' THEN 50 ELSE 80 END::DOUBLE FROM ({_SIGNAL_SQL} SELECT conversation_id, d, e, direction FROM sgn)
+  UNION ALL SELECT conversation_id, 'regime', epoch_us(period_start::TIMESTAMP), epoch_us(period_end::TIMESTAMP) + {rd.DAY - 1}, CASE regime_type WHEN 'stable_or_mixed' THEN 50 ELSE 85 END::DOUBLE FROM ({_REGIMES})
+  UNION ALL SELECT conversation_id, 'topic', epoch_us(first_date::TIMESTAMP), epoch_us(last_date::TIMESTAMP) + {rd.DAY - 1}, 65::DOUBLE FROM ({lexical.ORACLES['topic_candidates']})),
+  c AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, kind ORDER BY s, e, v) AS n FROM u WHERE s IS NOT NULL AND e IS NOT NULL),
+{ad.SQL_FOLD}""",
 }
