@@ -119,7 +119,23 @@ def last_messages(spark, sf_dir: str) -> DataFrame:
 
 
 def store_fingerprint(spark, sf_dir: str) -> DataFrame:
-    return ig.store_fingerprint(store(spark, sf_dir)).select("table_name", "n")
+    return ig.store_fingerprint(store(spark, sf_dir))
+
+
+#: Columns of the tables in the order of their names.
+COLUMNS = {
+    "conversation": "conversation_id", "message": "conversation_id message_id", "membership": "conversation_id is_primary membership_id message_id", "import_run": "import_run_id parser_version source_fingerprint source_sha256 source_type",
+    "message_source": "import_run_id message_id message_source_id source_conversation_id source_record_key source_type", "conversation_source": "conversation_id conversation_source_id import_run_id source_conversation_id source_sha256 source_type",
+    "source_membership": "conversation_source_id membership_id message_source_id position", "attachment": "attachment_id mime_type sha256", "occurrence": "attachment_id message_id occurrence_id position", "message_attachment": "attachment_id message_id",
+    "attachment_source": "attachment_id attachment_source_id import_run_id occurrence_id source_occurrence_key",
+}
+
+
+def _fingerprint(table: str) -> str:
+    """A table's digest in SQL: sums of five parts of its rows' digests."""
+    row = "sha256(to_json(struct_pack(" + ", ".join(f"{c} := {c}" for c in COLUMNS[table].split()) + "))::VARCHAR)"
+    sums = ", ".join(f"coalesce(sum(('0x' || substring(h, {1 + 12 * i}, 12))::BIGINT), 0)::VARCHAR" for i in range(5))
+    return f"SELECT '{table}' AS table_name, count(*) AS n, sha256(concat_ws(':', count(*)::VARCHAR, {sums})) AS fingerprint FROM (SELECT {row} AS h FROM {table})"
 
 
 _WITH = "WITH " + ", ".join(f"{n} AS ({q})" for n, q in TABLES.items())
@@ -183,5 +199,5 @@ ORACLES = {
     "labelled_responses": "WITH p AS (SELECT DISTINCT user_id AS i, 'User ' || (user_id % 40) AS name FROM events WHERE user_id % 9 <> 0) SELECT event_id, user_id AS responder_id, user_id + 3 AS from_id, a.name AS responder_id_name, b.name AS from_id_name FROM events LEFT JOIN p a ON a.i = user_id LEFT JOIN p b ON b.i = user_id + 3",
     "exact_targets": "WITH u AS (SELECT DISTINCT user_id AS p FROM events), n AS (SELECT 'User ' || (p % 40) AS label, count(DISTINCT p // 2) AS found, min(p // 2) AS c FROM u GROUP BY 1) SELECT ' ID ' || p AS label, 1::BIGINT AS found, p // 2 AS conversation_id FROM u UNION ALL SELECT label, found, CASE WHEN found = 1 THEN c END FROM n",
     "last_messages": f"WITH {ad.SQL_SPARSE} SELECT conversation_id, membership_id, timestamp_us FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp_us DESC NULLS LAST, membership_id DESC) AS n FROM msg) WHERE n <= 5",
-    "store_fingerprint": f"{_WITH} " + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in TABLES),
+    "store_fingerprint": f"{_WITH} " + " UNION ALL ".join(_fingerprint(n) for n in TABLES),
 }
