@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 #: Between the parts of a key.
 SEPARATOR = "\u001f"
 APPLE_EPOCH = 978_307_200
@@ -77,9 +79,10 @@ def participants(records: DataFrame) -> DataFrame:
 
 
 def dense_ids(rows: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
-    """Ids from 1 without gaps, in the order of the columns: row numbers within ranges, plus how many the ranges before have."""
+    """Ids from 1 without gaps, in the order of the columns: row numbers within ranges, plus how many the ranges before have.
+    The numbered rows are kept: ranges found a second time may be other ones."""
     ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    numbered = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    numbered = checkpointed(ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_size"))
     offsets = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_offset"))  # `parts` rows
     return numbered.join(F.broadcast(offsets), "_part").select((F.col("_n") + F.col("_offset")).cast("bigint").alias(name), *rows.columns)
