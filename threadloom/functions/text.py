@@ -95,9 +95,19 @@ def marker_hits(c: Column, markers: tuple[str, ...]) -> Column:
     return total
 
 
-def tokens(c: Column, normalize: bool = True) -> Column:
+def token_text(c: Column, normalize: bool = True) -> Column:
+    """The text that tokens are taken of."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    return F.regexp_extract_all(nfkc(low) if normalize else low, F.lit(TOKEN), F.lit(0))
+    return nfkc(low) if normalize else low
+
+
+def tokens_of(c: Column) -> Column:
+    """The tokens of a token_text."""
+    return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+
+
+def tokens(c: Column, normalize: bool = True) -> Column:
+    return tokens_of(token_text(c, normalize))
 
 
 def person_name(c: Column, normalize: bool = True) -> Column:
