@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import structure as st
 from ..operators import topics as tp
+from ..operators.graph import checkpointed
 from . import adapters as ad
 
 
@@ -46,7 +47,7 @@ def topic_periods(spark, sf_dir: str) -> DataFrame:
 
 def topic_period_recon(spark, sf_dir: str) -> DataFrame:
     p = _processed(spark, sf_dir)
-    e = _evidence(p)
+    e = checkpointed(_evidence(p))
     return tp.topic_period_recon(tp.topic_periods(e, p), e)
 
 
@@ -57,13 +58,13 @@ def marker_summary(spark, sf_dir: str) -> DataFrame:
 
 def marker_periods(spark, sf_dir: str) -> DataFrame:
     p = _processed(spark, sf_dir)
-    e = _evidence(p)
+    e = checkpointed(_evidence(p))
     return tp.marker_periods(tp.topic_markers(p, e), tp.topic_periods(e, p)).withColumn("period_start", F.col("period_start").cast("string"))
 
 
 def marker_recon(spark, sf_dir: str) -> DataFrame:
     p = _processed(spark, sf_dir)
-    m = tp.topic_markers(p, _evidence(p))
+    m = checkpointed(tp.topic_markers(p, _evidence(p)))
     return tp.marker_recon(m, tp.marker_summary(m))
 
 
