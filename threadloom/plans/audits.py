@@ -76,7 +76,7 @@ def processing_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of the chats, their evidence, markers and accounts as a reader gets them, with a fault in conversations of each remainder."""
-    p = checkpointed(st.processed(ad.chats(spark, sf_dir), ad.CHATS))
+    p = st.processed(ad.chats(spark, sf_dir), ad.CHATS)
     e = checkpointed(tp.topic_evidence(p, tp.topic_candidates(p, ad.CHATS, normalize=False), ad.CHATS, normalize=False).withColumn("topic_key", F.concat_ws(":", "n", "phrase")))
     c = F.col("conversation_id") % 11
     dated = F.col("period_date").isNotNull()
