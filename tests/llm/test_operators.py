@@ -299,6 +299,36 @@ def test_decontamination_recall_at_all_rates_of_edits(spark):
     assert all(d <= int(0.2 * len(items[k])) for (i, k), d in zip(every, decontaminate.edit_search([items[k].lower() for _, k in every], [" ".join(rows[i].lower().split()) for i, _ in every]).tolist(), strict=True))
 
 
+def test_decontamination_leaves_no_match_out(spark):
+    """Against the edit distance of every item to every text; every fifth letter is another one, or is gone, so that no seed is left."""
+    rng = np.random.default_rng(3)
+    alphabet = np.array(list("abcdefgh ijklmnoprstuv\u010d"))
+    word = lambda n: "".join(rng.choice(alphabet, n)).strip()
+    items = ["q" + word(n) + "w" for n in [3, 7, 11, 16, 21, 30, 44, 64, 80, 120, 233, 300, 390] for _ in range(2)] + ["the thorn the " * 9 + "end"]
+    rows = []
+    for item in items:
+        edits = int(0.2 * len(item))
+        for spare in (0, -1):
+            replaced, fewer, mixed = list(item), list(item), list(item)
+            for j in range(edits - spare):
+                at = min(5 * j + 2, len(item) - 1)
+                replaced[at], fewer[at] = "Z", ""
+                mixed[at] = ("Z", "", mixed[at] + "z")[j % 3]
+            rows += [f"{word(40)} {''.join(x)} {word(700)}" for x in (replaced, fewer, mixed)]
+    rows += ["the thorn " * 400, "".join(items), None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, h.item_id): h.distance for r in decontaminate.find(documents(spark, rows), bench).collect() for h in r.hits}
+    plain = [" ".join(i.lower().split()) for i in items]
+    pairs = [(d, k) for d in range(len(rows)) for k in range(len(items))]
+    texts = [" ".join((r or "").lower().split()) for r in rows]
+    exact = dict(zip(pairs, decontaminate.edit_search([plain[k] for _, k in pairs], [texts[d] for d, _ in pairs]).tolist(), strict=True))
+    want = {(d, k): x for (d, k), x in exact.items() if x <= int(0.2 * len(plain[k]))}
+    assert len(want) > 3 * len(items)
+    assert found == want
+    few = decontaminate.DecontaminationConfig(stretch=64, found=50)
+    assert {(r.doc_id, h.item_id): h.distance for r in decontaminate.find(documents(spark, rows), bench, config=few).collect() for h in r.hits} == want
+
+
 def test_decontamination_of_odd_rows(spark):
     rng = random.Random(22)
     item = prose(rng, 40)

@@ -9,6 +9,10 @@ tables, as many as reach the target recall at max_edits, and a window that agree
 the least edit distance between the item and any part of the text around the window, by a bit-parallel search, must be at
 most max_edits of the item's length.
 
+What seeds, walks and tables leave out is found in an exact way: an item is cut into short pieces, more than the edits
+allowed, and each edit breaks one piece at most. Where as many pieces as must stay whole lie within so many diagonals, the
+text around is searched too. So no text within max_edits is left out, and the distance is the least in all of the text.
+
 All of it is done within a document's row: no shuffle. The items go to the tasks in blocks of bounded size, one stage of
 a chain for each block, so that a benchmark of any size is compared whole.
 
@@ -54,6 +58,10 @@ class DecontaminationConfig:
     #: unlike strings a fifth agree.
     agreement: float = 0.3
     seed: int = 7
+    #: Code points of a piece, at most; positions of a text whose pieces are counted together, and pieces found at a time.
+    piece: int = 4
+    stretch: int = 1 << 16
+    found: int = 1 << 20
     #: Bytes of items in a block; its index takes some forty times as much in each Python worker.
     block_bytes: int = 2 << 20
 
@@ -117,8 +125,164 @@ class Grams:
         self.bitmap[self.hash >> np.uint64(42)] = True
 
 
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+class Pieces:
+    """Items whose pieces are of one size, by slots of a table: a hash takes each piece to one, and pieces that share a slot
+    count as equal, which can only add places to look at."""
+
+    def __init__(self, size: int, members: list[int], texts: list[str], config: DecontaminationConfig):
+        self.size, self.members = size, np.array(members)
+        self.chars = np.array([len(texts[k]) for k in members], dtype=np.int64)
+        self.edits = (config.max_edits * self.chars).astype(np.int64)
+        count = self.chars // size
+        #: Pieces that no max_edits edits can break.
+        self.whole = np.maximum(1, count - self.edits)
+        #: Longest part of a text that matches, and bits of a diagonal that are left off: those of a match lie in one bucket
+        #: or in two neighbouring ones.
+        self.reach = int((self.chars + self.edits).max())
+        self.shift = int(self.edits.max()).bit_length()
+        self.step = max(config.stretch, 2 * self.reach)
+        self.buckets = ((self.step + 2 * self.reach) >> self.shift) + 2
+        self.bits = min(22, max(12, int(4 * count.sum()).bit_length()))
+        slots = np.concatenate([self.slots(codes(texts[k]))[: n * size : size] for k, n in zip(members, count.tolist(), strict=True)])
+        order = np.argsort(slots, kind="stable")
+        self.first = np.searchsorted(slots[order], np.arange((1 << self.bits) + 1)).astype(np.int64)
+        place = (np.arange(len(slots)) - np.repeat(np.cumsum(count) - count, count)) * size
+        #: What a piece adds to a place in a text: the number that has its item and diagonal.
+        self.adds = (np.repeat(np.arange(len(members)) * (self.buckets << self.shift), count) + self.reach - place)[order]
+        self.order, self.count = (place // size)[order].astype(np.int32), count.astype(np.int32)
+
+    def slots(self, data: np.ndarray) -> np.ndarray:
+        """Of the piece that begins at each place."""
+        n = max(0, len(data) - self.size + 1)
+        out = data[:n].astype(np.uint32)
+        for j in range(1, self.size):
+            out *= np.uint32(0x01000193)
+            out += data[j : j + n]
+        out *= np.uint32(0x9E3779B1)
+        out >>= np.uint32(32 - self.bits)
+        return out
+
+    def regions(self, data: np.ndarray, config: DecontaminationConfig) -> list[tuple[int, int, int]]:
+        """Every item with the places where a part of data within its edits may begin, first and last."""
+        slots, out = self.slots(data), []
+        span, cells = self.buckets << self.shift, self.buckets * len(self.members)
+        need = np.repeat(self.whole, self.buckets)
+        for lo in range(0, len(slots), self.step):
+            here = slots[lo : lo + self.step + self.reach]
+            first = self.first[here]
+            n = self.first[1:][here] - first
+            at = np.flatnonzero(n)
+            if not len(at):
+                continue
+            first, n = first[at], n[at]
+            ends = np.cumsum(n)
+            total, k = 0, 0
+            while k < len(at):
+                done = int(ends[k - 1]) if k else 0
+                to = max(k + 1, int(np.searchsorted(ends, done + config.found, side="right")))
+                piece = np.repeat(first[k:to] - (ends[k:to] - n[k:to] - done), n[k:to])
+                piece += np.arange(len(piece))
+                number = self.adds[piece]
+                number += np.repeat(at[k:to], n[k:to])
+                total = total + np.bincount(number >> self.shift, minlength=cells)
+                k = to
+            hit = total >= need
+            hit[:-1] |= total[:-1] + total[1:] >= need[:-1]
+            if not hit.any():
+                continue
+            if int(ends[-1]) <= config.found:
+                # All are at hand: those in the buckets, by number, and the diagonals from which enough lie near.
+                both = hit.copy()
+                both[1:] |= hit[:-1]
+                sel = np.flatnonzero(both[number >> self.shift])
+                packed = np.sort(number[sel] << 20 | self.order[piece[sel]])
+                number, piece = packed >> 20, (packed & (1 << 20) - 1).astype(np.int32)
+                item = number // span
+                end = np.minimum(number + self.edits[item], (item + 1) * span - 1)
+                reached = np.arange(len(number)) + self.whole[item] - 1
+                begin = np.flatnonzero(reached < len(number))
+                begin = begin[number[reached[begin]] <= end[begin]]
+                if not len(begin):
+                    continue
+                low, high = self.chained(number, piece, begin, np.searchsorted(number, end[begin], side="right"), item)
+            else:
+                begin = np.flatnonzero(hit)
+                low, high = begin << self.shift, (begin + 2) << self.shift
+            if not len(low):
+                continue
+            # Overlapping regions of an item are one.
+            item = low // span
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(item) > 0) | (low[1:] - high[:-1] > self.edits[item[1:]])]))
+            last = np.append(new[1:], len(low)) - 1
+            item, base = item[new], item[new] * span + self.reach - lo
+            out += zip(self.members[item].tolist(), (low[new] - base - self.edits[item]).tolist(), (high[last] - base + self.edits[item]).tolist(), strict=True)
+        return out
+
+    def chained(self, number: np.ndarray, piece: np.ndarray, begin: np.ndarray, last: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last diagonals (as numbers) where chains of whole pieces can be within the edits, of those at `begin`, each with its last piece's place."""
+        # Neighbouring diagonals are looked at together.
+        block = number[begin] // (self.edits[item[begin]] + 1)
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0) | (np.diff(item[begin]) > 0)]))
+        final = np.append(new[1:], len(begin)) - 1
+        first, end = begin[new], last[final]
+        size, keep = end - first, np.ones(len(new), dtype=bool)
+        least = 0
+        for most in (16, 24, 32, 48, 64, 96, 128):
+            mine = np.flatnonzero((size > least) & (size <= most))
+            least = most
+            for lo in range(0, len(mine), 2048):
+                part = mine[lo : lo + 2048]
+                at = first[part] + np.arange(most)[:, None]
+                real = at < end[part]
+                at[~real] = 0
+                count = self.count[item[first[part]]]
+                kind = np.int16 if count.max() < 1 << 13 else np.int32
+                count = count.astype(kind)
+                p = np.where(real, piece[at], count).astype(kind)
+                d = np.where(real, number[at] - number[first[part]], 0).astype(kind)
+                way = np.argsort(p, axis=0, kind="stable")
+                p, d = np.take_along_axis(p, way, 0), np.take_along_axis(d, way, 0)
+                # Repeated pieces count once.
+                keep[part] = 1 + ((p[1:] != p[:-1]) & (p[1:] < count)).sum(axis=0) >= self.whole[item[first[part]]]
+                go = np.flatnonzero(keep[part])
+                part = part[go]
+                keep[part] = least_edits(p[:, go], d[:, go], count[go]) <= self.edits[item[first[part]]]
+        return number[begin[new]][keep], number[begin[final]][keep]
+
+
+def least_edits(piece: np.ndarray, diagonal: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each column the least edits that a match with some of its pieces whole can have; `count` is that of all pieces of
+    the item, and rows beyond a column's have a piece of that number. Pieces that aren't whole take an edit each, and so does
+    each step between diagonals; between two whole pieces the larger of the two counts."""
+    best = np.empty_like(piece)
+    out, far = count.copy(), np.iinfo(piece.dtype).max
+    for i in range(len(piece)):
+        gap = piece[i] - piece[:i] - 1
+        cost = np.abs(diagonal[i] - diagonal[:i])
+        np.maximum(cost, gap, out=cost)
+        cost += best[:i]
+        np.copyto(cost, far, where=gap < 0)
+        best[i] = np.minimum(piece[i], cost.min(axis=0)) if i else piece[i]
+        np.minimum(out, np.where(piece[i] < count, best[i] + count - 1 - piece[i], out), out=out)
+    return out
+
+
+def pieces_of(texts: list[str], config: DecontaminationConfig) -> list[Pieces]:
+    """The items by the size of their pieces (the largest of which two and an eighth of all must stay whole, or at least one) and by their edits."""
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, t in enumerate(texts):
+        edits, fit = int(config.max_edits * len(t)), range(min(config.piece, len(t)), 0, -1)
+        good = [g for g in fit if len(t) // g - edits >= max(2, len(t) // g / 8)] or [g for g in fit if len(t) // g - edits >= 1] or [1]
+        alike.setdefault((good[0], edits.bit_length()), []).append(k)
+    return [Pieces(size, members, texts, config) for (size, _), members in sorted(alike.items())]
+
+
 class ItemIndex:
-    """The items of a block, once each, and their seeds."""
+    """The items of a block, once each, their seeds and their pieces."""
 
     def __init__(self, ids: list[int | None], texts: list[str], config: DecontaminationConfig):
         column = normal(pa.array(texts, pa.string()))
@@ -135,6 +299,7 @@ class ItemIndex:
         for k, b in enumerate(self.bytes):
             by_size.setdefault(config.gram(len(b), len(self.texts[k])), []).append(k)
         self.families = [Grams(size, members, self.bytes, config) for size, members in sorted(by_size.items())]
+        self.pieces = pieces_of(self.texts, config)
         self.needs = np.zeros(len(self.texts))
         for family in self.families:
             for k, v in family.needs.items():
@@ -311,17 +476,43 @@ def candidates(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[
     return out
 
 
-def verified(index: ItemIndex, windows: list[Window]) -> dict[int, dict[int, tuple[int, int]]]:
-    """For each row with matches its items, each with the edit distance and the byte where the window began."""
-    out: dict[int, dict[int, tuple[int, int]]] = {}
-    if not windows:
+def rest(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[Window]:
+    """Windows without seeds and walks: all parts of a slice's texts where an item's pieces allow a match."""
+    config, out = index.config, []
+    if not len(index.texts) or not len(data):
         return out
-    near = np.flatnonzero(index.near(np.array([w[1] for w in windows], dtype=np.int64), [w[3] for w in windows]))
-    distances = edit_search([index.texts[windows[i][1]] for i in near], [windows[i][4].decode("utf-8", "ignore") for i in near])
-    for i, distance in zip(near.tolist(), distances.tolist(), strict=True):
-        d, k, b, _, _ = windows[i]
-        if distance <= int(index.config.max_edits * index.chars[k]) and (k not in out.get(d, ()) or distance < out[d][k][0]):
-            out.setdefault(d, {})[k] = (distance, b)
+    data, offsets, stood = collapsed(data, offsets)
+    starts = None if data.max() < 0x80 else np.flatnonzero((data & 0xC0) != 0x80)
+    letters = data if starts is None else codes(data.tobytes().decode("utf-8", "surrogatepass"))
+    ends = offsets if starts is None else np.searchsorted(starts, offsets)
+    bytes_at = (lambda i: i) if starts is None else np.append(starts, len(data)).__getitem__
+    for family in index.pieces:
+        for k, low, high in family.regions(letters, config):
+            chars = int(index.chars[k])
+            edits = int(config.max_edits * chars)
+            longest = chars + edits
+            size = max(4096, 4 * longest)
+            d = max(0, int(np.searchsorted(ends, low, side="right")) - 1)
+            while d < len(ends) - 1 and ends[d] < high + longest:
+                a, z = max(low, int(ends[d])), min(high + longest, int(ends[d + 1]))
+                # Long regions in parts, each with the longest match that begins in it.
+                for b in range(a, z if z - a >= chars - edits else a, size):
+                    out.append((d, k, int(stood[bytes_at(b)] - stood[offsets[d]]), b"", data[bytes_at(b) : bytes_at(min(z, b + size + longest))].tobytes()))
+                d += 1
+    return out
+
+
+def verified(index: ItemIndex, windows: list[Window], others: list[Window] = ()) -> dict[int, dict[int, tuple[int, int]]]:
+    """For each row with matches its items, each with the edit distance and the byte where the window began; `windows` by walks first, `others` as they are."""
+    out: dict[int, dict[int, tuple[int, int]]] = {}
+    near = np.flatnonzero(index.near(np.array([w[1] for w in windows], dtype=np.int64), [w[3] for w in windows])).tolist() if windows else []
+    looked = [windows[i] for i in near] + list(others)
+    for lo in range(0, len(looked), 1 << 14):
+        part = looked[lo : lo + (1 << 14)]
+        distances = edit_search([index.texts[w[1]] for w in part], [w[4].decode("utf-8", "ignore") for w in part])
+        for (d, k, b, _, _), distance in zip(part, distances.tolist(), strict=True):
+            if distance <= int(index.config.max_edits * index.chars[k]) and (k not in out.get(d, ()) or distance < out[d][k][0]):
+                out.setdefault(d, {})[k] = (distance, b)
     return out
 
 
@@ -346,9 +537,11 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", config: Deco
                 hits: list[list[dict]] = batch.column("hits").to_pylist() if "hits" in batch.schema.names else [[] for _ in range(batch.num_rows)]
                 column = normal(batch.column(text))
                 windows: list[Window] = []
+                others: list[Window] = []
                 for lo, _, data, offsets in text_slices(column):
                     windows += [(lo + w[0], *w[1:]) for w in candidates(index, data, offsets)]
-                for d, found in verified(index, windows).items():
+                    others += [(lo + w[0], *w[1:]) for w in rest(index, data, offsets)]
+                for d, found in verified(index, windows, others).items():
                     hits[d] += [{"item_id": index.ids[k], "distance": dist, "item_chars": int(index.chars[k]), "byte": b} for k, (dist, b) in sorted(found.items())]
                 columns = [batch.column(n) for n in batch.schema.names if n != "hits"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, _HITS)], names=[*[n for n in batch.schema.names if n != "hits"], "hits"])
