@@ -15,3 +15,11 @@ def test_every_order_gives_one_result(spark):
         (2, 120, "kept", (("local_iso", ("2024-01-02T10:00:00Z",)), ("timezone_offset_min", ("0",))), 0),
         (3, None, None, (), 0),
     )}
+
+
+def test_an_offset_is_read_once(spark):
+    """However many columns name it: it was copied to each place, and each observation was read twice."""
+    messages = spark.createDataFrame([(1, None, None)], "message_id bigint, timezone_offset_min int, local_iso string")
+    told = spark.createDataFrame([(1, "2024-01-02T10:00:00+02:00", None)], "message_id bigint, local_iso string, stated_offset_min int")
+    plan = merge_local_times(messages, told)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import let
 from .graph import checkpointed
 
 #: Between the parts of a key.
@@ -146,11 +147,17 @@ def reply_relations(messages: DataFrame) -> DataFrame:
 
 def local_time(rows: DataFrame) -> DataFrame:
     """local_iso and stated_offset_min to the offset that holds, ok, and the conflict where both are given and differ."""
-    m = F.regexp_extract("local_iso", r"([+-])(\d{2}):?(\d{2})$", 1)
-    minutes = F.regexp_extract("local_iso", r"([+-])(\d{2}):?(\d{2})$", 2).try_cast("int") * 60 + F.regexp_extract("local_iso", r"([+-])(\d{2}):?(\d{2})$", 3).try_cast("int")
-    own = F.when(F.col("local_iso").endswith("Z"), 0).when(m == "-", -minutes).when(m == "+", minutes)
+    tail = F.regexp_extract("local_iso", r"([+-])(\d{2}):?(\d{2})$", 0)
+
+    def signed(t: Column) -> Column:
+        minutes = F.substring(t, 2, 2).try_cast("int") * 60 + F.right(t, F.lit(2)).try_cast("int")
+        return F.when(F.col("local_iso").endswith("Z"), 0).when(t.startswith("-"), -minutes).when(t.startswith("+"), minutes)
+
+    # Exploded, so that the offset is a column that is read, not an expression that is copied to each place that names it.
+    rows = rows.select("*", F.explode(F.array(let(tail, signed))).alias("_own"))
+    own = F.col("_own")
     return rows.select(
-        "*", own.alias("iso_offset_min"), F.coalesce("stated_offset_min", own).alias("offset_min"),
+        *[c for c in rows.columns if c != "_own"], own.alias("iso_offset_min"), F.coalesce("stated_offset_min", own).alias("offset_min"),
         (F.col("local_iso").isNull() | (own.isNotNull() & own.between(-840, 840))).alias("iso_ok"), (F.col("stated_offset_min").isNotNull() & own.isNotNull() & (F.col("stated_offset_min") != own)).alias("conflict"),
     )
 
@@ -203,13 +210,12 @@ def merge_local_times(messages: DataFrame, observations: DataFrame) -> DataFrame
     from a field that was known. So the result hangs on the set of observations alone. Those of other messages are left out.
     """
     told = local_time(observations.where("message_id IS NOT NULL")).withColumn("_ok", F.col("iso_ok") & ~F.col("conflict") & (F.col("offset_min").isNull() | F.col("offset_min").between(-840, 840)))
-    failed = told.where("NOT _ok").groupBy("message_id").agg(F.count("*").alias("_failed"))
-    pair = lambda name, value, order: F.when(value.isNotNull(), F.struct(F.lit(name).alias("field"), order.cast("bigint").alias("o"), value.cast("string").alias("value")))
-    offset, iso = F.col("offset_min"), F.col("local_iso")
-    values = told.where("_ok").select("message_id", F.explode(F.array_compact(F.array(pair("timezone_offset_min", offset, offset), pair("local_iso", iso, F.lit(0))))).alias("v")).select("message_id", "v.*").distinct()
-    # One row a message: what its fields hold of different values, each once.
-    held = values.groupBy("message_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("o", "value")))), lambda x: x.value).alias(f"_{f}") for f in ("timezone_offset_min", "local_iso")])
-    joined = messages.join(held, "message_id", "left").join(failed, "message_id", "left")
+    # One row a message: what its fields hold of different values, each once, and its failures.
+    fair = lambda name: F.array_sort(F.collect_set(F.when(F.col("_ok"), F.col(name))))
+    held = told.groupBy("message_id").agg(
+        F.transform(fair("offset_min"), lambda v: v.cast("string")).alias("_timezone_offset_min"), fair("local_iso").alias("_local_iso"), F.count_if(~F.col("_ok")).alias("_failed"),
+    )
+    joined = messages.join(held, "message_id", "left")
     known = {f: F.coalesce(F.col(f).cast("string"), F.get(F.col(f"_{f}"), F.lit(0))) for f in ("timezone_offset_min", "local_iso")}
     unlike = lambda f: F.filter(F.col(f"_{f}"), lambda v: v != known[f])
     others = F.array(*[F.struct(F.lit(f).alias("key"), unlike(f).alias("value")) for f in known])
