@@ -21,8 +21,9 @@ def period_end(start: Column, kind: str) -> Column:
     return start if kind == "day" else F.date_add(start, 6) if kind == "week" else F.last_day(start)
 
 
-def series(processed: DataFrame, turns: DataFrame, responses: DataFrame, kind: str = "day") -> DataFrame:
-    """A row for each period of a conversation, from its first to its last, and each participant with a dated message.
+def series(processed: DataFrame, turns: DataFrame, responses: DataFrame, kind: str = "day", newest: int | None = None) -> DataFrame:
+    """A row for each period of a conversation, from its first to its last, and each participant with a dated message; with
+    `newest` only so many last periods of it, which are the same for all its participants.
 
     Turns, starts of sessions and responses belong to the period of their turn's first message. The basis of a period is
     local if a message of it has a local date (an empty day: if any message of the participant has).
@@ -32,6 +33,9 @@ def series(processed: DataFrame, turns: DataFrame, responses: DataFrame, kind: s
     dated = processed.where("period_date IS NOT NULL")
     span = dated.groupBy("conversation_id").agg(F.min(period_start(F.col("period_date"), kind)).alias("_a"), F.max(period_start(F.col("period_date"), kind)).alias("_b"))
     step = {"day": "1 DAY", "week": "7 DAYS", "month": "1 MONTH"}[kind]
+    if newest is not None:
+        back = F.add_months("_b", 1 - newest) if kind == "month" else F.date_sub("_b", (newest - 1) * (7 if kind == "week" else 1))
+        span = span.withColumn("_a", F.greatest("_a", back))
     who = dated.where("sender_id IS NOT NULL").groupBy("conversation_id", F.col("sender_id").alias("participant_id")).agg(F.max(F.col("local_date").isNotNull()).alias("_any_local"))
     spine = who.join(span, "conversation_id").select("conversation_id", "participant_id", "_any_local", F.explode(F.expr(f"sequence(_a, _b, INTERVAL {step})")).alias("period_start"))
     counts = dated.where("sender_id IS NOT NULL").groupBy("conversation_id", F.col("sender_id").alias("participant_id"), p("period_date")).agg(

@@ -14,10 +14,10 @@ from . import adapters as ad
 from . import core, lexical
 
 
-def _series(spark, sf_dir: str, kind: str, adapter=ad.sparse, config=ad.EVENTS) -> DataFrame:
+def _series(spark, sf_dir: str, kind: str, adapter=ad.sparse, config=ad.EVENTS, newest: int | None = None) -> DataFrame:
     p = st.processed(adapter(spark, sf_dir), config)
     t = st.turns(p)
-    return se.series(p, t, st.response_samples(t), kind)
+    return se.series(p, t, st.response_samples(t), kind, newest)
 
 
 def _shown(rows: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def dyadic_regimes(spark, sf_dir: str) -> DataFrame:
 
 
 def trend_slopes(spark, sf_dir: str) -> DataFrame:
-    periods = _series(spark, sf_dir, "week", ad.orders, ad.ORDERS).unionByName(_series(spark, sf_dir, "month", ad.orders, ad.ORDERS))
+    periods = _series(spark, sf_dir, "week", ad.orders, ad.ORDERS, ad.ORDERS.weekly_trend_periods).unionByName(_series(spark, sf_dir, "month", ad.orders, ad.ORDERS, ad.ORDERS.monthly_trend_periods))
     rows = se.trend_slopes(periods, ad.ORDERS)
     return rows.withColumns({"period_start": F.col("period_start").cast("string"), "period_end": F.col("period_end").cast("string"), "first_value": fixed(F.col("first_value"), 3), "last_value": fixed(F.col("last_value"), 3)})
 
