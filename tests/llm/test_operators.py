@@ -329,6 +329,23 @@ def test_decontamination_leaves_no_match_out(spark):
     assert {(r.doc_id, h.item_id): h.distance for r in decontaminate.find(documents(spark, rows), bench, config=few).collect() for h in r.hits} == want
 
 
+def test_decontamination_looks_at_few_places_by_chance():
+    """Pieces are more than the edits and disjoint, and are found by chance half as often as those cut at every fourth letter."""
+    rng = random.Random(31)
+    syllables = ["the", "and", "ing", "ion", "ent", "her", "tha", "nth", "int", "ere", "ter", "est", "ers", "ati", "hat", "ate", "all", "eth", "hes", "ver", "his", "oft", "ith", "fth", "sth"]
+    text = lambda n: " ".join("".join(rng.choices(syllables, range(25, 0, -1), k=rng.randint(1, 3))) for _ in range(n))
+    config, items, other = decontaminate.DecontaminationConfig(), [*(text(40) for _ in range(60)), "a", "abcd", "aaaaaaaaaaaa"], text(4000)
+    pieces = decontaminate.Pieces(items, config)
+    for item, cut, edits in zip(items, decontaminate.partition(items, pieces.edits, config), pieces.edits, strict=True):
+        assert len(cut) > edits and (cut[1:, 0] >= cut[:-1].sum(axis=1)).all() and cut[0, 0] >= 0 and cut[-1].sum() <= len(item)
+    found = 0
+    for q, h in enumerate(decontaminate.rolling(decontaminate.codes(other), config.piece), 1):
+        if q in pieces.tables:
+            found += int(np.diff(pieces.tables[q][0])[pieces.slots(h)].sum())
+    fixed = sum(other.count(i[j : j + 4]) for i in items for j in range(0, len(i) - 3, 4))
+    assert 0 < found < fixed / 2, (found, fixed)
+
+
 def test_decontamination_of_odd_rows(spark):
     rng = random.Random(22)
     item = prose(rng, 40)

@@ -10,7 +10,7 @@ the least edit distance between the item and any part of the text around the win
 most max_edits of the item's length.
 
 What seeds, walks and tables leave out is found in an exact way: an item is cut into short pieces, more than the edits
-allowed, and each edit breaks one piece at most. Where as many pieces as must stay whole lie within so many diagonals, the
+allowed and as seldom found by chance as can be, and each edit breaks one piece at most. Where as many pieces as must stay whole lie within so many diagonals, the
 text around is searched too. So no text within max_edits is left out, and the distance is the least in all of the text.
 
 All of it is done within a document's row: no shuffle. The items go to the tasks in blocks of bounded size, one stage of
@@ -58,8 +58,10 @@ class DecontaminationConfig:
     #: unlike strings a fifth agree.
     agreement: float = 0.3
     seed: int = 7
-    #: Code points of a piece, at most; positions of a text whose pieces are counted together, and pieces found at a time.
-    piece: int = 4
+    #: Code points of a piece, at most, and of an item whose pieces are chosen (those of longer ones have four each);
+    #: positions of a text whose pieces are looked at together, and pieces found at a time.
+    piece: int = 6
+    chosen: int = 4096
     stretch: int = 1 << 16
     found: int = 1 << 20
     #: Bytes of items in a block; its index takes some forty times as much in each Python worker.
@@ -129,129 +131,232 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
+def partition(texts: list[str], edits: np.ndarray, config: DecontaminationConfig) -> list[np.ndarray]:
+    """Of each text the places and lengths (rows) of its pieces: disjoint, more than its edits, and as seldom found by chance
+    as can be. How often a piece is found is judged by the texts themselves; any pieces give the same matches in the end."""
+    data, lengths = codes("".join(texts)), np.array([len(t) for t in texts], dtype=np.int64)
+    sizes, starts = range(1, config.piece + 1), np.cumsum(lengths) - lengths
+    cost = np.full((config.piece, len(data)), 2.0, dtype=np.float32)  # of the piece that ends at a place
+    for q, h in zip(sizes, rolling(data, config.piece), strict=True):
+        at = np.arange(q - 1, len(data))
+        _, kind, held = np.unique(h, return_inverse=True, return_counts=True)
+        often = (held[kind] - 1) / max(1, len(data))
+        # What is not seen again is rarer than its parts.
+        less = np.minimum(cost[q - 2, at - 1], cost[q - 2, at]) if q > 1 else 1 / max(1, len(data))
+        cost[q - 1, at] = often + 0.2 * less
+    out: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)] * len(texts)
+    prices = np.append(1e-5 * 1.4 ** np.arange(28), 4.0).astype(np.float32)
+    order = np.argsort(lengths, kind="stable")
+    for k in order[lengths[order] > config.chosen].tolist():
+        n, e = int(lengths[k]), int(edits[k])
+        q = next((g for g in range(config.piece, 0, -1) if n // g - e >= max(2, n // g / 8)), 1)
+        out[k] = np.stack([np.arange(n // q) * q, np.full(n // q, q)], axis=1)
+    order = order[lengths[order] <= config.chosen]
+    while len(order):
+        part = order[: np.searchsorted(lengths[order], 16 + lengths[order[0]] * 5 // 4, side="right")]
+        order = order[len(part) :]
+        most = int(lengths[part[-1]])
+        # The cheapest pieces of what comes before each place, where each piece earns a price: the higher it is, the more there are.
+        best = np.zeros((most + 1, len(part), len(prices)), dtype=np.float32)
+        way = np.zeros((most + 1, len(part), len(prices)), dtype=np.uint8)
+        for j in range(1, most + 1):
+            best[j] = best[j - 1]
+            at = starts[part] + np.minimum(j, lengths[part]) - 1
+            for q in sizes[: min(j, config.piece)]:
+                value = best[j - q] + (cost[q - 1, at][:, None] - prices)
+                less = value < best[j]
+                best[j][less] = value[less]
+                way[j][less] = q
+        for i, k in enumerate(part.tolist()):
+            found = None
+            for p in range(len(prices)):
+                j, pieces, sum_ = int(lengths[k]), [], 0.0
+                while j:
+                    q = int(way[j, i, p])
+                    if q:
+                        pieces.append((j - q, q))
+                        sum_ += float(cost[q - 1, starts[k] + j - 1])
+                    j -= q or 1
+                need = len(pieces) - int(edits[k])
+                if need < 1:
+                    if found is None and p == len(prices) - 1:
+                        found = (0.0, pieces)
+                    continue
+                # What is found by chance, and how likely that is enough.
+                chance = sum_ * (int(edits[k]) + 1)
+                tail = math.exp(need - chance - need * math.log(need / chance)) if need > chance else 1.0
+                if found is None or sum_ + tail < found[0]:
+                    found = (sum_ + tail, pieces)
+            out[k] = np.array(found[1][::-1], dtype=np.int64)
+    return out
+
+
+def rolling(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A number for each run of 1, 2, ... most letters, by where it begins."""
+    h = data.astype(np.uint32)
+    for q in range(1, most + 1):
+        if q > 1:
+            h = h[:-1] * np.uint32(0x01000193) if len(h) else h
+            h += data[q - 1 :]
+        yield h
+
+
 class Pieces:
-    """Items whose pieces are of one size, by slots of a table: a hash takes each piece to one, and pieces that share a slot
-    count as equal, which can only add places to look at."""
+    """The items cut into pieces, by slots of a table for each length: a hash takes each piece to one, and pieces that share
+    a slot count as equal, which can only add places to look at."""
 
-    def __init__(self, size: int, members: list[int], texts: list[str], config: DecontaminationConfig):
-        self.size, self.members = size, np.array(members)
-        self.chars = np.array([len(texts[k]) for k in members], dtype=np.int64)
+    def __init__(self, texts: list[str], config: DecontaminationConfig):
+        self.chars = np.array([len(t) for t in texts], dtype=np.int64)
         self.edits = (config.max_edits * self.chars).astype(np.int64)
-        count = self.chars // size
+        cuts = partition(texts, self.edits, config)
+        self.count = np.array([len(c) for c in cuts], dtype=np.int32)
         #: Pieces that no max_edits edits can break.
-        self.whole = np.maximum(1, count - self.edits)
-        #: Longest part of a text that matches, and bits of a diagonal that are left off: those of a match lie in one bucket
-        #: or in two neighbouring ones.
-        self.reach = int((self.chars + self.edits).max())
-        self.shift = int(self.edits.max()).bit_length()
+        self.whole = np.maximum(1, self.count - self.edits)
+        #: Longest part of a text that matches.
+        self.reach = int((self.chars + self.edits).max(initial=0))
         self.step = max(config.stretch, 2 * self.reach)
-        self.buckets = ((self.step + 2 * self.reach) >> self.shift) + 2
-        self.bits = min(22, max(12, int(4 * count.sum()).bit_length()))
-        slots = np.concatenate([self.slots(codes(texts[k]))[: n * size : size] for k, n in zip(members, count.tolist(), strict=True)])
-        order = np.argsort(slots, kind="stable")
-        self.first = np.searchsorted(slots[order], np.arange((1 << self.bits) + 1)).astype(np.int64)
-        place = (np.arange(len(slots)) - np.repeat(np.cumsum(count) - count, count)) * size
-        #: What a piece adds to a place in a text: the number that has its item and diagonal.
-        self.adds = (np.repeat(np.arange(len(members)) * (self.buckets << self.shift), count) + self.reach - place)[order]
-        self.order, self.count = (place // size)[order].astype(np.int32), count.astype(np.int32)
-
-    def slots(self, data: np.ndarray) -> np.ndarray:
-        """Of the piece that begins at each place."""
-        n = max(0, len(data) - self.size + 1)
-        out = data[:n].astype(np.uint32)
-        for j in range(1, self.size):
-            out *= np.uint32(0x01000193)
-            out += data[j : j + n]
-        out *= np.uint32(0x9E3779B1)
-        out >>= np.uint32(32 - self.bits)
-        return out
+        #: A piece found is a number: the item, its diagonal (of so many bits) and the piece's own (of so many).
+        self.low, self.high = int(self.count.max(initial=0)).bit_length(), (self.step + 2 * self.reach).bit_length()
+        #: Bits of a diagonal that are left off where pieces found are too many: those of a match lie in one bucket or two neighbouring ones.
+        self.shift = np.array([max(6, int(e).bit_length()) for e in self.edits], dtype=np.int64)
+        buckets = ((self.step + 2 * self.reach) >> self.shift) + 2
+        self.cell = np.append(0, np.cumsum(buckets))
+        item, place, size = np.repeat(np.arange(len(texts)), self.count), *(np.concatenate([*cuts, np.zeros((0, 2), dtype=np.int64)]).T)
+        own = np.arange(len(item)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        adds = ((item << self.high) + self.reach - place << self.low) + own
+        at = np.repeat(np.cumsum(self.chars) - self.chars, self.count) + place
+        self.bits = min(22, max(12, 5 + len(item).bit_length()))
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        often = 0.0
+        for q, h in enumerate(rolling(codes("".join(texts)), int(size.max(initial=0))), 1):
+            mine = np.flatnonzero(size == q)
+            if len(mine):
+                slots = self.slots(h[at[mine]])
+                order = np.argsort(slots, kind="stable")
+                first = np.searchsorted(slots[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+                self.tables[q] = first, np.diff(first) > 0, adds[mine][order]
+                often += float(np.diff(first)[self.slots(h)].sum(dtype=np.int64)) / len(h)
+        # Of many items so many pieces are found that less of a text is looked at together.
+        self.step = max(2 * self.reach, min(self.step, int(config.found / (4 * often + 1))))
+
+    def slots(self, h: np.ndarray) -> np.ndarray:
+        h = h * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA77)
+        h >>= np.uint32(32 - self.bits)
+        return h
 
     def regions(self, data: np.ndarray, config: DecontaminationConfig) -> list[tuple[int, int, int]]:
         """Every item with the places where a part of data within its edits may begin, first and last."""
-        slots, out = self.slots(data), []
-        span, cells = self.buckets << self.shift, self.buckets * len(self.members)
-        need = np.repeat(self.whole, self.buckets)
-        for lo in range(0, len(slots), self.step):
-            here = slots[lo : lo + self.step + self.reach]
-            first = self.first[here]
-            n = self.first[1:][here] - first
-            at = np.flatnonzero(n)
-            if not len(at):
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for q, h in enumerate(rolling(data, max(self.tables, default=0)), 1):
+            if q in self.tables and len(h):
+                slots = self.slots(h)
+                at = np.flatnonzero(self.tables[q][1][slots])
+                held.append((q, at, slots[at]))
+        regions: list[np.ndarray] = []
+        likely: list[np.ndarray] = []
+        for lo in range(0, len(data), self.step):
+            parts, total = [], 0
+            for q, at, slots in held:
+                a, z = np.searchsorted(at, [lo, lo + self.step + self.reach])
+                first, _, adds = self.tables[q]
+                begin = first[slots[a:z]]
+                n = first[slots[a:z] + np.uint32(1)] - begin
+                parts.append((at[a:z] - lo, begin, n, adds))
+                total += int(n.sum(dtype=np.int64))
+            if not total:
                 continue
-            first, n = first[at], n[at]
-            ends = np.cumsum(n)
-            total, k = 0, 0
-            while k < len(at):
-                done = int(ends[k - 1]) if k else 0
-                to = max(k + 1, int(np.searchsorted(ends, done + config.found, side="right")))
-                piece = np.repeat(first[k:to] - (ends[k:to] - n[k:to] - done), n[k:to])
-                piece += np.arange(len(piece))
-                number = self.adds[piece]
-                number += np.repeat(at[k:to], n[k:to])
-                total = total + np.bincount(number >> self.shift, minlength=cells)
-                k = to
-            hit = total >= need
-            hit[:-1] |= total[:-1] + total[1:] >= need[:-1]
-            if not hit.any():
+            if total > config.found:
+                regions.append(self.crowded(parts, lo, config))
                 continue
-            if int(ends[-1]) <= config.found:
-                # All are at hand: those in the buckets, by number, and the diagonals from which enough lie near.
-                both = hit.copy()
-                both[1:] |= hit[:-1]
-                sel = np.flatnonzero(both[number >> self.shift])
-                packed = np.sort(number[sel] << 20 | self.order[piece[sel]])
-                number, piece = packed >> 20, (packed & (1 << 20) - 1).astype(np.int32)
-                item = number // span
-                end = np.minimum(number + self.edits[item], (item + 1) * span - 1)
-                reached = np.arange(len(number)) + self.whole[item] - 1
-                begin = np.flatnonzero(reached < len(number))
-                begin = begin[number[reached[begin]] <= end[begin]]
-                if not len(begin):
-                    continue
-                low, high = self.chained(number, piece, begin, np.searchsorted(number, end[begin], side="right"), item)
-            else:
-                begin = np.flatnonzero(hit)
-                low, high = begin << self.shift, (begin + 2) << self.shift
-            if not len(low):
-                continue
-            # Overlapping regions of an item are one.
-            item = low // span
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(item) > 0) | (low[1:] - high[:-1] > self.edits[item[1:]])]))
-            last = np.append(new[1:], len(low)) - 1
-            item, base = item[new], item[new] * span + self.reach - lo
-            out += zip(self.members[item].tolist(), (low[new] - base - self.edits[item]).tolist(), (high[last] - base + self.edits[item]).tolist(), strict=True)
+            number = np.concatenate([self.found(*p) for p in parts])
+            number.sort()
+            diagonal = number >> self.low
+            item = diagonal >> self.high
+            # The diagonals from which enough lie near.
+            reached = self.whole[item]
+            reached += np.arange(-1, len(number) - 1)
+            begin = np.flatnonzero(reached < len(number))
+            begin = begin[diagonal[reached[begin]] - diagonal[begin] <= self.edits[item[begin]]]
+            if len(begin):
+                # Neighbouring diagonals are looked at together.
+                of = item[begin]
+                block = (diagonal[begin] & (1 << self.high) - 1) // (self.edits[of] + 1)
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0) | (np.diff(of) > 0)]))
+                final = begin[np.append(new[1:], len(begin)) - 1]
+                end = np.searchsorted(diagonal, diagonal[final] + self.edits[of[new]], side="right")
+                first, of = begin[new], of[new]
+                size = end - first
+                # Repeated pieces count once.
+                cells = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                group = np.repeat(np.arange(len(first)), size)
+                once = np.unique(group << self.low | number[cells] & (1 << self.low) - 1) >> self.low
+                go = np.flatnonzero(np.bincount(once, minlength=len(first)) >= self.whole[of])
+                likely += [np.concatenate([[lo, of[g], diagonal[first[g]], diagonal[final[g]]], number[first[g] : end[g]]]) for g in go.tolist()]
+        regions.append(self.chained(likely))
+        item, low, high = np.concatenate(regions).T
+        # Overlapping regions of an item are one.
+        order = np.lexsort((low, item))
+        item, low, high = item[order], low[order], high[order]
+        if not len(item):
+            return []
+        high = np.maximum.accumulate(high + item * (4 * len(data) + 4 * self.reach)) - item * (4 * len(data) + 4 * self.reach)
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(item) > 0) | (low[1:] - high[:-1] > self.edits[item[1:]])]))
+        last, item = np.append(new[1:], len(low)) - 1, item[new]
+        return list(zip(item.tolist(), (low[new] - self.edits[item]).tolist(), (high[last] + self.edits[item]).tolist(), strict=True))
+
+    def found(self, at: np.ndarray, first: np.ndarray, n: np.ndarray, adds: np.ndarray) -> np.ndarray:
+        """The numbers of the pieces of slots found at some places."""
+        out = np.repeat(at << self.low, n)
+        n = n.astype(np.int64)
+        out += adds[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(out))]
         return out
 
-    def chained(self, number: np.ndarray, piece: np.ndarray, begin: np.ndarray, last: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last diagonals (as numbers) where chains of whole pieces can be within the edits, of those at `begin`, each with its last piece's place."""
-        # Neighbouring diagonals are looked at together.
-        block = number[begin] // (self.edits[item[begin]] + 1)
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0) | (np.diff(item[begin]) > 0)]))
-        final = np.append(new[1:], len(begin)) - 1
-        first, end = begin[new], last[final]
-        size, keep = end - first, np.ones(len(new), dtype=bool)
-        least = 0
-        for most in (16, 24, 32, 48, 64, 96, 128):
-            mine = np.flatnonzero((size > least) & (size <= most))
-            least = most
-            for lo in range(0, len(mine), 2048):
-                part = mine[lo : lo + 2048]
-                at = first[part] + np.arange(most)[:, None]
-                real = at < end[part]
-                at[~real] = 0
-                count = self.count[item[first[part]]]
-                kind = np.int16 if count.max() < 1 << 13 else np.int32
-                count = count.astype(kind)
-                p = np.where(real, piece[at], count).astype(kind)
-                d = np.where(real, number[at] - number[first[part]], 0).astype(kind)
-                way = np.argsort(p, axis=0, kind="stable")
-                p, d = np.take_along_axis(p, way, 0), np.take_along_axis(d, way, 0)
-                # Repeated pieces count once.
-                keep[part] = 1 + ((p[1:] != p[:-1]) & (p[1:] < count)).sum(axis=0) >= self.whole[item[first[part]]]
-                go = np.flatnonzero(keep[part])
-                part = part[go]
-                keep[part] = least_edits(p[:, go], d[:, go], count[go]) <= self.edits[item[first[part]]]
-        return number[begin[new]][keep], number[begin[final]][keep]
+    def crowded(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], lo: int, config: DecontaminationConfig) -> np.ndarray:
+        """Items and first and last places, by counts of pieces in buckets alone: of those found, so many at a time."""
+        total = np.zeros(self.cell[-1], dtype=np.int64)
+        for at, first, n, adds in parts:
+            ends, k = np.cumsum(n, dtype=np.int64), 0
+            while k < len(at):
+                to = max(k + 1, int(np.searchsorted(ends, (int(ends[k - 1]) if k else 0) + config.found, side="right")))
+                diagonal = self.found(at[k:to], first[k:to], n[k:to], adds) >> self.low
+                item = diagonal >> self.high
+                total += np.bincount(self.cell[item] + ((diagonal & (1 << self.high) - 1) >> self.shift[item]), minlength=len(total))
+                k = to
+        need = np.repeat(self.whole, np.diff(self.cell))
+        hit = total >= need
+        hit[:-1] |= total[:-1] + total[1:] >= need[:-1]
+        cell = np.flatnonzero(hit)
+        item = np.searchsorted(self.cell, cell, side="right") - 1
+        low = (cell - self.cell[item]) << self.shift[item]
+        return np.stack([item, low + lo - self.reach, low + (2 << self.shift[item]) + lo - self.reach], axis=1)
+
+    def chained(self, likely: list[np.ndarray]) -> np.ndarray:
+        """Items and first and last places of those groups whose chains of whole pieces can be within the edits. A group has
+        where its stretch begins, its item, its first and last diagonal, and its pieces found."""
+        if not likely:
+            return np.zeros((0, 3), dtype=np.int64)
+        size = np.array([len(x) - 4 for x in likely])
+        lo, item, first, last = np.array([x[:4] for x in likely]).T
+        keep = np.ones(len(likely), dtype=bool)
+        order = np.argsort(size, kind="stable")
+        order = order[size[order] <= 128]
+        while len(order):
+            part = order[: min(2048, int(np.searchsorted(size[order], max(16, size[order[0]] * 3 // 2), side="right")))]
+            order = order[len(part) :]
+            most, count = int(size[part[-1]]), self.count[item[part]]
+            kind = np.int16 if count.max() < 1 << 13 and self.edits[item[part]].max() < 1 << 13 else np.int32
+            count = count.astype(kind)
+            p, d = np.repeat(count[None], most, axis=0), np.zeros((most, len(part)), dtype=kind)
+            for i, k in enumerate(part.tolist()):
+                x = likely[k][4:]
+                p[: len(x), i] = x & (1 << self.low) - 1
+                d[: len(x), i] = (x >> self.low) - first[k]
+            way = np.argsort(p, axis=0, kind="stable")
+            keep[part] = least_edits(np.take_along_axis(p, way, 0), np.take_along_axis(d, way, 0), count) <= self.edits[item[part]]
+        base = lo - self.reach - (item << self.high)
+        return np.stack([item, first + base, last + base], axis=1)[keep]
 
 
 def least_edits(piece: np.ndarray, diagonal: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -271,16 +376,6 @@ def least_edits(piece: np.ndarray, diagonal: np.ndarray, count: np.ndarray) -> n
     return out
 
 
-def pieces_of(texts: list[str], config: DecontaminationConfig) -> list[Pieces]:
-    """The items by the size of their pieces (the largest of which two and an eighth of all must stay whole, or at least one) and by their edits."""
-    alike: dict[tuple[int, int], list[int]] = {}
-    for k, t in enumerate(texts):
-        edits, fit = int(config.max_edits * len(t)), range(min(config.piece, len(t)), 0, -1)
-        good = [g for g in fit if len(t) // g - edits >= max(2, len(t) // g / 8)] or [g for g in fit if len(t) // g - edits >= 1] or [1]
-        alike.setdefault((good[0], edits.bit_length()), []).append(k)
-    return [Pieces(size, members, texts, config) for (size, _), members in sorted(alike.items())]
-
-
 class ItemIndex:
     """The items of a block, once each, their seeds and their pieces."""
 
@@ -299,7 +394,7 @@ class ItemIndex:
         for k, b in enumerate(self.bytes):
             by_size.setdefault(config.gram(len(b), len(self.texts[k])), []).append(k)
         self.families = [Grams(size, members, self.bytes, config) for size, members in sorted(by_size.items())]
-        self.pieces = pieces_of(self.texts, config)
+        self.pieces = Pieces(self.texts, config)
         self.needs = np.zeros(len(self.texts))
         for family in self.families:
             for k, v in family.needs.items():
@@ -486,19 +581,18 @@ def rest(index: ItemIndex, data: np.ndarray, offsets: np.ndarray) -> list[Window
     letters = data if starts is None else codes(data.tobytes().decode("utf-8", "surrogatepass"))
     ends = offsets if starts is None else np.searchsorted(starts, offsets)
     bytes_at = (lambda i: i) if starts is None else np.append(starts, len(data)).__getitem__
-    for family in index.pieces:
-        for k, low, high in family.regions(letters, config):
-            chars = int(index.chars[k])
-            edits = int(config.max_edits * chars)
-            longest = chars + edits
-            size = max(4096, 4 * longest)
-            d = max(0, int(np.searchsorted(ends, low, side="right")) - 1)
-            while d < len(ends) - 1 and ends[d] < high + longest:
-                a, z = max(low, int(ends[d])), min(high + longest, int(ends[d + 1]))
-                # Long regions in parts, each with the longest match that begins in it.
-                for b in range(a, z if z - a >= chars - edits else a, size):
-                    out.append((d, k, int(stood[bytes_at(b)] - stood[offsets[d]]), b"", data[bytes_at(b) : bytes_at(min(z, b + size + longest))].tobytes()))
-                d += 1
+    for k, low, high in index.pieces.regions(letters, config):
+        chars = int(index.chars[k])
+        edits = int(config.max_edits * chars)
+        longest = chars + edits
+        size = max(4096, 4 * longest)
+        d = max(0, int(np.searchsorted(ends, low, side="right")) - 1)
+        while d < len(ends) - 1 and ends[d] < high + longest:
+            a, z = max(low, int(ends[d])), min(high + longest, int(ends[d + 1]))
+            # Long regions in parts, each with the longest match that begins in it.
+            for b in range(a, z if z - a >= chars - edits else a, size):
+                out.append((d, k, int(stood[bytes_at(b)] - stood[offsets[d]]), b"", data[bytes_at(b) : bytes_at(min(z, b + size + longest))].tobytes()))
+            d += 1
     return out
 
 
