@@ -158,3 +158,18 @@ def test_streamed_batches_are_imported_once(spark, tmp_path):
     spark.createDataFrame(rows[25:], SCHEMA).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
     run()
     assert found(store) == batch(spark, rows) and store.read("records", incremental.RECORDS).count() == 40
+
+
+def test_an_import_reads_its_records_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    store = Publication(spark, f"file://{tmp_path}/once")
+    for part in (0, 1):
+        rows = spark.createDataFrame([(i, "csv", str(i // 3), "sms", str(i % 7)) for i in range(part, 60, 2)], SCHEMA)
+        incremental.resolve(store, rows.mapInArrow(counted, rows.schema), f"part-{part}")
+    assert read.value == 60 and {r.canonical_id for r in incremental.current(store).collect()} == {0}

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.publication import Publication
-from .graph import components
+from .graph import checkpointed, components
 
 RECORDS = "source_pk bigint, source_type string, source_record_key string, service string, guid string, component bigint"
 MOVES = "component bigint, target bigint"
@@ -52,18 +52,20 @@ def resolve(store: Publication, records: DataFrame, fingerprint: str) -> int:
     with store.attempt(run_id) as write:
         stored, moved = store.read("records", RECORDS), moves(store)
         columns = ("source_pk", "source_type", "source_record_key", "service", "guid")
-        new = records.select(*columns).dropDuplicates(["source_pk"]).join(stored.select("source_pk"), "source_pk", "left_anti")
+        new = checkpointed(records.select(*columns).dropDuplicates(["source_pk"]).join(stored.select("source_pk"), "source_pk", "left_anti"))
         fresh = keyed(new, F.col("source_pk").alias("node"))
         # Stored components that hold a key of the new records, by their present names.
         touched = keyed(stored, "component").join(fresh.select("key").distinct(), "key", "left_semi").distinct()
-        touched = touched.join(moved, "component", "left").select("key", F.coalesce("target", "component").alias("node"))
-        members = fresh.select("key", "node").union(touched.select("key", "node")).distinct()
+        touched = touched.join(moved, "component", "left").select("key", F.coalesce("target", "component").alias("node")).distinct()
+        # A stored component and a new record never have one name: what names a component is stored.
+        told = checkpointed(fresh.select("key", "node", F.lit(False).alias("stored")).distinct().union(touched.select("key", "node", F.lit(True))))
+        members = told.select("key", "node")
         low = members.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
         edges = members.join(low, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
         found = components(edges)
         write("records", new.join(found.select(F.col("node").alias("source_pk"), "component"), "source_pk", "left").select(*columns, F.coalesce("component", "source_pk").alias("component")))
         # A component that becomes part of another takes along what had moved to it.
-        became = touched.select("node").distinct().join(found, "node").where("node <> component").select("node", F.col("component").alias("to"))
+        became = told.where("stored").select("node").distinct().join(found, "node").where("node <> component").select("node", F.col("component").alias("to"))
         along = moved.join(became, F.col("target") == F.col("node")).select("component", F.col("to").alias("target"))
         write("moves", became.select(F.col("node").alias("component"), F.col("to").alias("target")).union(along))
     return run_id
