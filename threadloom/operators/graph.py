@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoints
+from ..session import ensure_checkpoints, shared_dir
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -16,6 +17,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for what is read more than once, by few of its columns at a time."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = checkpointed, most: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

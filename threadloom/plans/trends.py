@@ -10,6 +10,7 @@ from ..operators import behaviour as bh
 from ..operators import readers as rd
 from ..operators import series as se
 from ..operators import structure as st
+from ..operators.graph import kept
 from . import adapters as ad
 from . import core, lexical
 
@@ -56,9 +57,18 @@ def trend_slopes(spark, sf_dir: str) -> DataFrame:
     return rows.withColumns({"period_start": F.col("period_start").cast("string"), "period_end": F.col("period_end").cast("string"), "first_value": fixed(F.col("first_value"), 3), "last_value": fixed(F.col("last_value"), 3)})
 
 
+def _parts(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turns, change points and signals (kept, without messages) of the events, from messages and turns that are kept once."""
+    p = kept(st.processed(ad.sparse(spark, sf_dir), ad.EVENTS).drop("text"))
+    t = kept(st.turns(p))
+    r = st.response_samples(t)
+    signals = se.engagement_signals(se.series(p, t, r, "week"), ad.EVENTS).drop("component_scores", "source_message_ids")
+    return t, se.change_points(se.series(p, t, r, "day"), ad.EVENTS), kept(signals).withColumn("source_message_ids", F.array().cast("array<bigint>"))
+
+
 def findings_union(spark, sf_dir: str) -> DataFrame:
-    t = core._turns(spark, sf_dir)
-    return se.findings(bh.conflict_candidates(t, ad.EVENTS), _changes(spark, sf_dir), se.dyadic_regimes(_signals(spark, sf_dir)))
+    t, changes, signals = _parts(spark, sf_dir)
+    return se.findings(bh.conflict_candidates(t, ad.EVENTS), changes, se.dyadic_regimes(signals))
 
 
 PIVOTED = {"message_count": True, "initiations": True, "median_response_latency_seconds": False}
@@ -70,9 +80,9 @@ def daily_pivot(spark, sf_dir: str) -> DataFrame:
 
 
 def candidate_rows(spark, sf_dir: str) -> DataFrame:
-    signals = _signals(spark, sf_dir)
+    t, changes, signals = _parts(spark, sf_dir)
     topics = lexical.topic_candidates(spark, sf_dir).withColumns({c: F.col(c).cast("date") for c in ("first_date", "last_date")})
-    return rd.ai_candidates(bh.conflict_candidates(core._turns(spark, sf_dir), ad.EVENTS), _changes(spark, sf_dir), signals, se.dyadic_regimes(signals), topics)
+    return rd.ai_candidates(bh.conflict_candidates(t, ad.EVENTS), changes, signals, se.dyadic_regimes(signals), topics)
 
 
 def candidate_merge(spark, sf_dir: str) -> DataFrame:
