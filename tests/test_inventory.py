@@ -4,6 +4,8 @@ import random
 import sqlite3
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from threadloom.operators import inventory
 from threadloom.sources import chatdb
 
@@ -114,3 +116,14 @@ def test_a_database_read_by_ranges(spark, tmp_path):
     account = inventory.source_account(t, emitted, spark.createDataFrame([], "message_id bigint"))
     assert account.where("outcome IN ('lost', 'unfounded', 'doubled')").count() == 0
     assert {(r.outcome, r.reason): r.n for r in inventory.account_summary(account).where("table_name = 'chat_message_join'").collect()} == {("emitted", None): 289, ("duplicate", "SAME_RELATION"): 2, ("unsupported", "ID_MISSING"): 1}
+
+
+def test_rows_are_dealt_over_as_many_tasks_as_they_need(spark, monkeypatch):
+    """Bytes of ids are few, and AQE would give all of them to one task, whose sorts hold them all."""
+    monkeypatch.setattr(inventory, "TASK_ROWS", 1000)
+    ids = spark.range(3500).select(F.col("id").alias("ROWID"))
+    links = ids.select("ROWID", F.col("ROWID").alias("message_id"), (F.col("ROWID") % 50).alias("chat_id"))
+    emitted = links.select("message_id", F.lit("c").alias("conversation_id"), F.array(F.struct(F.lit("c").alias("key"), "chat_id")).alias("conversations"))
+    account = inventory.conversation_account(ids, links, emitted, ids.limit(0).select(F.col("ROWID").alias("message_id"))).where("table_name = 'chat_message_join' AND outcome = 'emitted'")
+    held = [r["count"] for r in account.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 3500 and max(held) < 1000
