@@ -75,3 +75,23 @@ def test_quantiles_by_rank(spark):
     rows = spark.createDataFrame([(1, float(v)) for v in (4, 1, 3, 2)] + [(2, 5.0), (2, None), (3, None)], "k long, v double")
     got = {x.k: (x.a, x.b, x.c) for x in rd.quantiles(rows, ["k"], "v", {"a": 0.5, "b": 0.25, "c": 1.0}).collect()}
     assert got == {1: (2.5, 1.75, 4.0), 2: (5.0, 5.0, 5.0)}
+
+
+def test_digests_over_blocks_and_long_turns(spark, monkeypatch):
+    long = [(i, i * 7, 1, 2 if i < 70_000 else 3, 1_700_000_000_000_000 + i * 1000, None, i, None, None) for i in range(70_010)]
+    tables = published(spark.createDataFrame(long, MESSAGE))
+    assert faults(*tables) == {}
+    monkeypatch.setattr(rd, "BLOCK", 3)
+    p, t, r, s, c = published(messages(spark, 120))
+    assert faults(p, t, r, s, c) == {}
+    assert list(faults(p, t.withColumn("message_ids", F.reverse("message_ids")), r, s, c)) == ["TURN_MESSAGES_DIFFER"]
+
+
+def test_faults_are_planted_in_one_pass_over_the_rows(spark):
+    from threadloom.plans import audits as au
+
+    rows = spark.createDataFrame([(k, 10 * (k or 5)) for k in (0, 1, 2, 3, 4, 4, None)], "k long, v long").repartition(3)
+    told = au._altered(rows, F.col("k"), {2: {"v": F.col("v") + 1}}, 0, 1, (3, {"k": F.col("k") + 100}))
+    assert told.columns == ["k", "v"]
+    assert sorted(map(tuple, told.collect()), key=str) == sorted([(1, 10), (1, 10), (2, 21), (3, 30), (103, 30), (4, 40), (4, 40)], key=str)
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1

@@ -13,28 +13,36 @@ from ..operators import snapshots as sn
 from ..operators import structure as st
 from ..operators import topics as tp
 from ..operators import views as vw
-from ..operators.graph import checkpointed
+from ..operators.graph import checkpointed, kept
 from . import adapters as ad
 from . import core, lexical, store
 
 SEVERITY = "CASE WHEN n > 0 THEN 'ERROR' ELSE 'OK' END AS severity"
 #: Summaries of participants with p % 31 = i have the i-th metric altered; then come rows left out, told twice, and made up.
 OUT, TWICE, MADE = len(rd.METRICS), len(rd.METRICS) + 1, len(rd.METRICS) + 2
+#: What turns, summaries and their second derivation read of a processed message.
+READ = (
+    "conversation_id", "sender_id", "message_id", "sequence_number", "session_no", "timestamp_us", "timezone_offset_min", "period_date", "utc_hour", "utc_weekday", "local_hour", "local_weekday",
+    "word_count", "char_count", "question_count", "exclamation_count", "affection_count", "negative_count",
+)
 NULLABLE = ("mean_response_latency_seconds", *rd.QUANTILES, "median_response_effort_ratio")
 
 
 def _altered(rows: DataFrame, key: Column, changes: dict[int, dict[str, Column]], out: int, twice: int, made: tuple[int, dict[str, Column]]) -> DataFrame:
-    """Rows with other values where the key is that of a change; without those of `out`, twice those of `twice`, and one more for each of `made`."""
+    """Rows with other values where the key is that of a change; without those of `out` (and of no key), twice those of `twice`, and one more for each of `made`. Rows are read once."""
     new = {c: v for of in changes.values() for c, v in of.items()}
-    told = rows.where(key != out).withColumns({c: F.when(key.isin(*[k for k, of in changes.items() if c in of]), v).otherwise(F.col(c)) for c, v in new.items()})
-    return told.unionByName(rows.where(key == twice)).unionByName(rows.where(key == made[0]).withColumns(made[1]))
+    k, times = F.col("_key"), lambda *n: F.array(*map(F.lit, n))
+    copies = F.when(k == twice, times(0, 0)).when(k == made[0], times(0, 1)).when(k != out, times(0))
+    told = rows.withColumn("_key", key).withColumn("_copy", F.explode(copies))
+    told = told.withColumns({c: F.when(k.isin(*[n for n, of in changes.items() if c in of]), v).otherwise(F.col(c)) for c, v in new.items()})
+    return told.withColumns({c: F.when(F.col("_copy") == 1, v).otherwise(F.col(c)) for c, v in made[1].items()}).drop("_key", "_copy")
 
 
 def analytics_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything published of the events' conversations against its second derivation, with faults of each kind."""
-    p = checkpointed(st.processed(ad.sparse(spark, sf_dir), ad.EVENTS))
-    t = checkpointed(st.turns(p))
-    r = st.response_samples(t)
+    p = kept(st.processed(ad.sparse(spark, sf_dir), ad.EVENTS).select(*READ))
+    t = kept(st.turns(p))
+    r = kept(st.response_samples(t))
     s = bh.participant_summary(p, t, r, st.unanswered_turns(t), ad.EVENTS)
     c = bh.conversation_summary(p, t)
     plus = lambda name, n: F.coalesce(F.col(name), F.lit(0)) + n
